@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe_encoding
+from .decontaminate import op3_benchmark_decontamination
 from .sharding import op5_feistel_sharding
 
 
 def queries() -> dict:
     return {
         "op1_bpe_encoding": op1_bpe_encoding,
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op5_feistel_sharding": op5_feistel_sharding,
     }
 
