@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op1_bpe_encoding
 from .decontaminate import op3_benchmark_decontamination
 from .sharding import op5_feistel_sharding
+from .simhash import op7_simhash_near_dedup
 
 
 def queries() -> dict:
@@ -12,6 +13,7 @@ def queries() -> dict:
         "op1_bpe_encoding": op1_bpe_encoding,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op5_feistel_sharding": op5_feistel_sharding,
+        "op7_simhash_near_dedup": op7_simhash_near_dedup,
     }
 
 
