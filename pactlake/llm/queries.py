@@ -6,6 +6,7 @@ from .bpe import op1_bpe_encoding
 from .decontaminate import op3_benchmark_decontamination
 from .sharding import op5_feistel_sharding
 from .simhash import op7_simhash_near_dedup
+from .warc import op6_warc_archive
 
 
 def queries() -> dict:
@@ -13,6 +14,7 @@ def queries() -> dict:
         "op1_bpe_encoding": op1_bpe_encoding,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op5_feistel_sharding": op5_feistel_sharding,
+        "op6_warc_archive": op6_warc_archive,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
     }
 
