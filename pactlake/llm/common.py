@@ -77,3 +77,33 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], [*keep, *added.names])
 
     return source.mapInArrow(run, schema)
+
+
+def scan_texts(df: DataFrame, columns: list[str], out: T.StructType, start: Callable[[], Callable[[Iterator[tuple]], Iterator[tuple]]], rows: int = 4096) -> DataFrame:
+    """One Arrow pass that gives any number of rows: start() returns, once a task, a function from
+    the rows of a partition (text columns as UTF-8 bytes) to its result rows."""
+    source = df.select(*[F.col(f"`{c}`") for c in columns])
+    kinds = to_arrow_schema(out)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                part = whole.slice(at, 256)
+                texts = lambda c: pa.types.is_string(c.type) or pa.types.is_large_string(c.type)
+                yield from zip(*[as_bytes(c) if texts(c) else c.to_pylist() for c in part.columns], strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple] = []
+        for row in start()(read(batches)):
+            made.append(row)
+            if len(made) >= rows:
+                yield _as_batch(made, kinds)
+                made = []
+        if made:
+            yield _as_batch(made, kinds)
+
+    return source.mapInArrow(run, out)
+
+
+def _as_batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], kinds.names)

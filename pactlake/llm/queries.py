@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op1_bpe_encoding
 from .decontaminate import op3_benchmark_decontamination
+from .pii import op8_pii_disclosure
 from .sharding import op5_feistel_sharding
 from .simhash import op7_simhash_near_dedup
 from .warc import op6_warc_archive
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op5_feistel_sharding": op5_feistel_sharding,
         "op6_warc_archive": op6_warc_archive,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op8_pii_disclosure": op8_pii_disclosure,
     }
 
 
