@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op1_bpe_encoding
 from .decontaminate import op3_benchmark_decontamination
 from .pii import op8_pii_disclosure
+from .quality import op9_quality_nbsvm
 from .sharding import op5_feistel_sharding
 from .simhash import op7_simhash_near_dedup
 from .warc import op6_warc_archive
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op6_warc_archive": op6_warc_archive,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_pii_disclosure": op8_pii_disclosure,
+        "op9_quality_nbsvm": op9_quality_nbsvm,
     }
 
 
