@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op1_bpe_encoding
 from .decontaminate import op3_benchmark_decontamination
+from .langid import op10_language_string_kernel
 from .pii import op8_pii_disclosure
 from .quality import op9_quality_nbsvm
 from .sharding import op5_feistel_sharding
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_pii_disclosure": op8_pii_disclosure,
         "op9_quality_nbsvm": op9_quality_nbsvm,
+        "op10_language_string_kernel": op10_language_string_kernel,
     }
 
 
