@@ -9,6 +9,7 @@ from .pii import op8_pii_disclosure
 from .quality import op9_quality_nbsvm
 from .sharding import op5_feistel_sharding
 from .simhash import op7_simhash_near_dedup
+from .toxicity import op4_toxicity_levenshtein
 from .warc import op6_warc_archive
 
 
@@ -16,6 +17,7 @@ def queries() -> dict:
     return {
         "op1_bpe_encoding": op1_bpe_encoding,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op4_toxicity_levenshtein": op4_toxicity_levenshtein,
         "op5_feistel_sharding": op5_feistel_sharding,
         "op6_warc_archive": op6_warc_archive,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
