@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import materialize, shared_dir, table
 
 BLOCK_LINES = 500
+#: Captures of an index shard, which one task writes and one task reads back; at most MAX_SHARDS shards.
+SHARD_LINES, MAX_SHARDS = 4_000, 20_000
 OPEN_FILES = 64
 DATE = "1970-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -149,9 +151,10 @@ def _order(key: str, page_id: int | None) -> tuple[bytes, int]:
 
 
 def write_index(captures: DataFrame, folder: str) -> list[tuple[tuple[bytes, int], str]]:
-    """Writes the capture index under `folder`; returns (first key, file) of each shard in order: as
-    many as there are shuffle partitions at most."""
-    dealt = captures.repartitionByRange("key", "page_id", "file", "start").sortWithinPartitions("key", "page_id", "file", "start")
+    """Writes the capture index under `folder`; returns (first key, file) of each shard in order,
+    MAX_SHARDS at most."""
+    number = min(MAX_SHARDS, captures.count() // SHARD_LINES + 1)
+    dealt = captures.repartitionByRange(number, "key", "page_id", "file", "start").sortWithinPartitions("key", "page_id", "file", "start")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines: list[tuple] = []
@@ -268,7 +271,7 @@ def read_back(pages: DataFrame, shards: list[tuple[tuple[bytes, int], str]], fol
             if made:
                 yield _batch(made, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    routed = wanted.mapInArrow(route, "shard int, key string, page_id long").repartition("shard").sortWithinPartitions("shard", "key", "page_id")
+    routed = wanted.mapInArrow(route, "shard int, key string, page_id long").repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard", "key", "page_id")
     return routed.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
