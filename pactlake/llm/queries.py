@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op1_bpe_encoding
 from .decontaminate import op3_benchmark_decontamination
+from .embeddings import op2_embedding_near_dedup
 from .langid import op10_language_string_kernel
 from .pii import op8_pii_disclosure
 from .quality import op9_quality_nbsvm
@@ -16,6 +17,7 @@ from .warc import op6_warc_archive
 def queries() -> dict:
     return {
         "op1_bpe_encoding": op1_bpe_encoding,
+        "op2_embedding_near_dedup": op2_embedding_near_dedup,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_toxicity_levenshtein": op4_toxicity_levenshtein,
         "op5_feistel_sharding": op5_feistel_sharding,
