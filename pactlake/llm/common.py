@@ -44,6 +44,17 @@ def held_out(doc_id: str, parts: int, part: int):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(parts)) == part
 
 
+#: Rows of an Arrow batch of texts, unless the session has a setting of its own. Spark's default of 10,000
+#: rows holds tens of MB of text a task, outside the heap.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, None for null."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -61,6 +72,7 @@ def map_texts(
     """One Arrow pass without a shuffle: the columns `keep`, then those of `out`, computed from
     the whole text by what start() returns (start runs once a task). A kept column whose name `out`
     also has is replaced; other columns of df are ignored."""
+    _small_batches(df.sparkSession)
     names = {f.name.lower() for f in out}
     keep = [c for c in keep if c.lower() not in names]
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text__"))
@@ -82,6 +94,7 @@ def map_texts(
 def scan_texts(df: DataFrame, columns: list[str], out: T.StructType, start: Callable[[], Callable[[Iterator[tuple]], Iterator[tuple]]], rows: int = 4096) -> DataFrame:
     """One Arrow pass that gives any number of rows: start() returns, once a task, a function from
     the rows of a partition (text columns as UTF-8 bytes) to its result rows."""
+    _small_batches(df.sparkSession)
     source = df.select(*[F.col(f"`{c}`") for c in columns])
     kinds = to_arrow_schema(out)
 
