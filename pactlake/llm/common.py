@@ -75,7 +75,9 @@ def map_texts(
     _small_batches(df.sparkSession)
     names = {f.name.lower() for f in out}
     keep = [c for c in keep if c.lower() not in names]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text__"))
+    own = [F.col(f"`{c}`") for c in keep]
+    read = keep.index(text_col) if text_col in keep and dict(df.dtypes)[text_col] == "string" else len(keep)
+    source = df.select(*own, *([F.col(f"`{text_col}`").cast("string").alias("__text__")] if read == len(keep) else []))
     schema = T.StructType([source.schema[c] for c in keep] + list(out))
     added = to_arrow_schema(out)
 
@@ -84,7 +86,7 @@ def map_texts(
         for whole in batches:
             for at in range(0, whole.num_rows, part):
                 batch = whole.slice(at, part)
-                rows = [one(x) for x in as_bytes(batch.column(len(keep)))]
+                rows = [one(x) for x in as_bytes(batch.column(read))]
                 columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(added)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], [*keep, *added.names])
 

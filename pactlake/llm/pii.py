@@ -180,14 +180,16 @@ def _before(a, b):
 SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer").add("share", "double"))
 
 
-def find(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+def find(df: DataFrame, keep: list[str], text: str = "text", clean: str | None = None) -> DataFrame:
     """Columns `keep` and spans of every whole text: kind, start, end (code points, end exclusive),
     share (of disclosure, for the kind `term`), by start, then kind (email, ip, card, phone, term).
+    clean: name of a further column, the redacted text.
 
-    A null text is the empty one and has no spans; repeated rows stay, and count as documents in the
-    statistics; empty tables give no rows; other columns are ignored.
+    A null text is the empty one and has no spans, and stays null redacted; repeated rows stay, and
+    count as documents in the statistics; empty tables give no rows; other columns are ignored.
     """
     rows, blocks = df, _blocks(disclosing_terms(df, text))
+    whole = len(blocks) == 1
     for k, block in enumerate(blocks):
         shared = df.sparkSession.sparkContext.broadcast({r["term"]: r["share"] for r in block.toLocalIterator()})
         last, first = k == len(blocks) - 1, k == 0
@@ -199,17 +201,30 @@ def find(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
                 t = (x or b"").decode()
                 spans = base_spans(t)
                 more = [("term", a, b, s) for a, b, s in _term_spans(t, terms, spans)] if terms else []
-                return (sorted([*[(*s, None) for s in spans if first], *more], key=_place),)
+                spans = sorted([*[(*s, None) for s in spans if first], *more], key=_place)
+                return (spans, None if x is None else redact(t, spans)) if clean and whole else (spans,)
 
             return one
 
-        carried = list(dict.fromkeys([*keep, *([] if last else [text])]))
-        rows = map_texts(rows, text, carried if first else [*carried, "__spans"], T.StructType().add("spans", SPANS), start)
+        out = T.StructType().add("spans", SPANS)
+        out = out.add(clean, "string") if clean and whole else out
+        carried = list(dict.fromkeys([*keep, *([] if last and not clean else [text])]))
+        rows = map_texts(rows, text, carried if first else [*carried, "__spans"], out, start)
         if not first:
             rows = rows.withColumn("spans", F.array_sort(F.concat("__spans", "spans"), _before)).drop("__spans")
         if not last:
             rows = materialize(rows.withColumnRenamed("spans", "__spans"))
-    return rows
+    if clean and not whole:
+        rows = rows.withColumn(clean, _cleaned(text, "spans"))
+    return rows.select(*keep, "spans", *([clean] if clean else []))
+
+
+def _cleaned(text: str, spans: str):
+    @F.udf("string", useArrow=True)
+    def cleaned(t, found):
+        return None if t is None else redact(t, [(s["kind"], s["start"], s["end"], s["share"]) for s in found])
+
+    return cleaned(text, spans)
 
 
 def redact(text: str, spans: list) -> str:
@@ -225,14 +240,9 @@ def redact(text: str, spans: list) -> str:
 
 def redacted(df: DataFrame, text: str = "text") -> DataFrame:
     """df with every span of its texts redacted. Null texts stay null; columns stay as they are."""
-
-    @F.udf("string", useArrow=True)
-    def cleaned(t, spans):
-        return None if t is None else redact(t, [(s["kind"], s["start"], s["end"], s["share"]) for s in spans])
-
     names = df.columns
-    found = find(df, names, text).withColumnRenamed("spans", "__found")
-    return found.withColumn(text, cleaned(F.col(text).cast("string"), "__found")).select(*names)
+    own = F.col("__clean").alias(text)
+    return find(df, names, text, "__clean").select(*[own if c == text else F.col(f"`{c}`") for c in names])
 
 
 def op8_pii_disclosure(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -192,6 +192,19 @@ def fingerprints(df: DataFrame, keep: list[str], text: str = "text", shingle: in
     return map_texts(df, text, keep, T.StructType().add("fp", "long"), start)
 
 
+def groups(lean: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Of rows (doc_id, fp): (fp, first, component_id, stays) for each fingerprint: its least doc_id,
+    that of its component, and whether it is the fingerprint of the component's one row to stay."""
+    classes = materialize(lean.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    of = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    linked = materialize(of.join(classes, "fp"))
+    least = linked.groupBy("component").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("least"))
+    own = linked.join(least, "component")
+    own = own.select("fp", "first", F.col("least.first").alias("component_id"), (F.col("fp") == F.col("least.fp")).alias("stays"))
+    alone = classes.join(linked, "fp", "left_anti").select("fp", "first", F.col("first").alias("component_id"), F.lit(True).alias("stays"))
+    return materialize(own.union(alone))
+
+
 def near_duplicates(
     df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -201,15 +214,21 @@ def near_duplicates(
     rows stay; a null doc_id is no component's smallest unless all are null. An empty table gives
     no rows; other columns are ignored.
     """
+    renamed = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    lean = materialize(fingerprints(renamed, ["doc_id"], "text", shingle))
+    return lean.join(groups(lean, radius).select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df, with its columns, that are left when one of each component stays: that with
+    the smallest doc_id, and of repeated rows one. Texts move once, dealt by doc_id."""
+    names = df.columns
+    own = fingerprints(df, names, text, shingle).withColumnRenamed("fp", "__fp")
     lean = materialize(fingerprints(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), ["doc_id"], "text", shingle))
-    classes = materialize(lean.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    groups = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    linked = materialize(groups.join(classes, "fp"))
-    least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_linked = linked.join(least, "component").select("fp", "component_id")
-    alone = classes.join(linked, "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
-    labels = materialize(of_linked.union(alone))
-    return lean.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
+    stay = groups(lean, radius).where("stays").select(F.col("fp").alias("__stay"), F.col("first").alias("__first"))
+    kept = own.join(stay, (F.col("__fp") == F.col("__stay")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("__first")), "left_semi")
+    again = F.row_number().over(Window.partitionBy(F.col("__fp"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))).orderBy(F.xxhash64(text)))
+    return kept.withColumn("__again", again).where(F.col("__again") == 1).select(*names)
 
 
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
