@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import unicodedata
 
@@ -20,7 +21,9 @@ from pyspark.sql import types as T
 from .common import map_texts, table
 
 #: Entries of a worker's memory of words; beyond it the memory starts anew. Longer words aren't kept.
-MEMO_WORDS, MEMO_LENGTH = 200_000, 64
+MEMO_WORDS, MEMO_LENGTH = 300_000, 64
+#: Symbols from which a fragment is merged by a heap.
+LONG = 64
 #: Control characters that str.split() takes for white space and the pre-tokenizer doesn't.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: From this code point on, letters and numbers differ between Unicode versions: the library splits such words itself.
@@ -69,11 +72,26 @@ class ForcedBoundaryBPE:
         return [*out, word[start:]]
 
     def merge(self, fragment: str, last: bool) -> list[int]:
-        """Ids of a fragment: the neighbours of lowest rank are merged first, the leftmost among equals.
-        A heap over a linked list, so that long fragments without a cut stay near linear."""
+        """Ids of a fragment: the neighbours of lowest rank are merged first, the leftmost among equals."""
         parts = list(fragment)
         if last:
             parts[-1] += self.end
+        if len(parts) > LONG:
+            return self.merge_long(parts)
+        rank, none = self.ranks.get, len(self.ranks)
+        ranks = [rank(p, none) for p in itertools.pairwise(parts)]
+        while ranks and (least := min(ranks)) < none:
+            k = ranks.index(least)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank((parts[k - 1], parts[k]), none)
+            if k < len(ranks):
+                ranks[k] = rank((parts[k], parts[k + 1]), none)
+        return [self.vocab[p] for p in parts]
+
+    def merge_long(self, parts: list[str]) -> list[int]:
+        """The same by a heap over a linked list, so that long fragments without a cut stay near linear."""
         after, before = [*range(1, len(parts)), -1], [*range(-1, len(parts) - 1)]
         ranks = self.ranks
         heap = [(r, k, a, b) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (r := ranks.get((a, b))) is not None]
