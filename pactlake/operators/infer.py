@@ -141,10 +141,8 @@ def _type(path: str, c: dict, notes: list) -> str:
     if families == ["numbers"]:
         if c["fractions"]:
             return "float"
-        # the check takes an integer only where it is written as one
         if c["tokens"]:
-            note("all numbers are whole, some are written with a fraction: drafted as float")
-            return "float"
+            note(f"{c['tokens']} values are written with a fraction but whole: drafted as integer, choose float if fractions may come")
         return "integer"
     return next((k for k in ("uuid", "date", "timestamp") if c[k] == c["strings"]), "string")
 
