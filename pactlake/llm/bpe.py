@@ -10,18 +10,20 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import itertools
 import json
 import unicodedata
 
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_texts, table
 
-#: Entries of a worker's memory of words; beyond it the memory starts anew. Longer words aren't kept.
-MEMO_WORDS, MEMO_LENGTH = 300_000, 64
+#: Entries of each half of a worker's memory of words and of fragments: when the new half is full it
+#: becomes the old one, from which words that come again are taken over. Longer words aren't kept.
+MEMO_WORDS, MEMO_LENGTH = 120_000, 32
 #: Symbols from which a fragment is merged by a heap.
 LONG = 64
 #: Control characters that str.split() takes for white space and the pre-tokenizer doesn't.
@@ -51,6 +53,7 @@ class ForcedBoundaryBPE:
         self.end: str = model["end_of_word_suffix"] or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {m: k for k, m in enumerate(merges)}
+        self.letters = {a + b: k for (a, b), k in self.ranks.items() if len(a) == len(b) == 1}  # of two single symbols
         self.symbols = byte_symbols()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
@@ -59,12 +62,18 @@ class ForcedBoundaryBPE:
         self.words = regex.compile(split["pattern"]["Regex"])
         bare = (t.removesuffix(self.end) for t in self.vocab)
         self.inside = {t[k : k + 2] for t in bare for k in range(len(t) - 1)}
-        self.fragments: dict[tuple[str, bool], list[int]] = {}
+        # a fragment at a word's end is kept under its text and a space
+        self.fragments: dict[str, list[int]] = {}
+        self.old_fragments: dict[str, list[int]] = {}
         self.memo: dict[str, tuple[int, str, str]] = {}
+        self.old_memo: dict[str, tuple[int, str, str]] = {}
 
     def cut(self, word: str) -> list[str]:
         """Fragments of a word of byte symbols, cut where a pair occurs inside no token."""
-        out, start, inside = [], 0, self.inside
+        inside = self.inside
+        if inside.issuperset([word[k : k + 2] for k in range(len(word) - 1)]):
+            return [word]
+        out, start = [], 0
         for k in range(1, len(word)):
             if word[k - 1 : k + 1] not in inside:
                 out.append(word[start:k])
@@ -79,7 +88,10 @@ class ForcedBoundaryBPE:
         if len(parts) > LONG:
             return self.merge_long(parts)
         rank, none = self.ranks.get, len(self.ranks)
-        ranks = [rank(p, none) for p in itertools.pairwise(parts)]
+        two = self.letters.get
+        ranks = [two(fragment[k : k + 2], none) for k in range(len(parts) - 1)]
+        if last and ranks:
+            ranks[-1] = rank((parts[-2], parts[-1]), none)
         while ranks and (least := min(ranks)) < none:
             k = ranks.index(least)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
@@ -112,17 +124,18 @@ class ForcedBoundaryBPE:
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of one pre-token, given as text."""
-        mapped = "".join([self.symbols[b] for b in word.encode()])
+        mapped = word if word.isascii() and word.isprintable() else "".join([self.symbols[b] for b in word.encode()])
         out: list[int] = []
         pieces = self.cut(mapped)
+        last = len(pieces) - 1
         for k, piece in enumerate(pieces):
-            key = (piece, k == len(pieces) - 1)
+            key = piece if k < last else piece + " "
             ids = self.fragments.get(key)
             if ids is None:
-                ids = self.merge(*key)
+                ids = self.old_fragments.get(key) or self.merge(piece, k == last)
                 if len(piece) <= MEMO_LENGTH:
                     if len(self.fragments) >= MEMO_WORDS:
-                        self.fragments.clear()
+                        self.fragments, self.old_fragments = {}, self.fragments
                     self.fragments[key] = ids
             out += ids
         return out
@@ -149,18 +162,21 @@ class ForcedBoundaryBPE:
         """Of a chunk: how many ids, the ids in decimal, and what they decode to."""
         found = self.memo.get(chunk)
         if found is None:
-            ids = self.chunk_ids(chunk)
-            found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+            found = self.old_memo.get(chunk)
+            if found is None:
+                ids = self.chunk_ids(chunk)
+                found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
             if len(chunk) <= MEMO_LENGTH:
                 if len(self.memo) >= MEMO_WORDS:
-                    self.memo.clear()
+                    self.memo, self.old_memo = {}, self.memo
                 self.memo[chunk] = found
         return found
 
     def parts(self, text: str) -> list[tuple[int, str, str]]:
         """summed() of every chunk of the whole text, special tokens among them."""
         if self.at_special is None or "<|" not in text:
-            return [self.summed(c) for c in self.chunks(text)]
+            known = self.memo.get
+            return [known(c) or self.summed(c) for c in self.chunks(text)]
         out = []
         for k, piece in enumerate(self.at_special.split(text)):
             out += [(1, str(self.special[piece]), piece)] if k % 2 else [self.summed(c) for c in self.chunks(piece)]
@@ -216,9 +232,6 @@ def encode(df: DataFrame, tokenizer: str | None = None, text: str = "text", keep
 
 def decode(df: DataFrame, ids: str = "ids", tokenizer: str | None = None) -> DataFrame:
     """df with the column `decoded`: the text of the ids, null for null."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
 

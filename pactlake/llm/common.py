@@ -44,15 +44,18 @@ def held_out(doc_id: str, parts: int, part: int):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(parts)) == part
 
 
-#: Rows of an Arrow batch of texts, unless the session has a setting of its own. Spark's default of 10,000
-#: rows holds tens of MB of text a task, outside the heap.
-BATCH_ROWS = 1000
+#: Rows of a batch of texts, read and sent to Python, for sessions that keep Spark's own numbers: 4096 and
+#: 10,000 long texts are tens of MB a task, in arrays that the heap can only grow for.
+SMALL_BATCHES = {
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+}
 
 
 def _small_batches(spark: SparkSession) -> None:
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
+    for name, (default, small) in SMALL_BATCHES.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, small)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

@@ -142,10 +142,12 @@ def disclosing_terms(df: DataFrame, text: str = "text") -> DataFrame:
         return run
 
     schema = T.StructType().add("e", "string").add("t", "string").add("around", "long")
-    seen = materialize(scan_texts(df, [text], schema, start))
+    # copies of one surrounding are one row with a count before anything is written
+    seen = scan_texts(df, [text], schema, start).groupBy("e", "t", "around").agg(F.count(F.lit(1)).alias("n"))
+    seen = materialize(seen)
     n = df.count()
-    of_entity = seen.where(F.col("t") == "").groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    pairs = seen.where(F.col("t") != "").groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et"), F.count_distinct("around").alias("contexts"))
+    of_entity = seen.where(F.col("t") == "").select("e", F.col("n").alias("n_e"))
+    pairs = seen.where(F.col("t") != "").groupBy("e", "t").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("contexts"))
     pairs = materialize(pairs.where(F.col("contexts") >= MIN_CONTEXTS))
     terms = materialize(pairs.select(F.col("t").alias("term")).distinct())
     if terms.isEmpty():
