@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,7 @@ from ..functions.shapes import preview
 from ..plans import rules as R
 from ..plans.spec import Contract, ContractError, Model
 from ..sources.read import LINE, ROW
+from .records import judge_text
 
 REFUSE, SKIP, TRACK = "refuse", "skip", "track"
 MAX_BYTES = 16 << 20
@@ -188,15 +190,11 @@ def newest_dead_letters(spark: SparkSession, dead: str, limit: int = 50) -> tupl
 
 def register_functions(spark: SparkSession, contract: Contract, model: str | None = None, unique: str = REFUSE, prefix: str = "contract") -> None:
     """SQL functions <prefix>_verdict(text) and <prefix>_dead_letter(text) of the same rules; null gives null."""
-    import pandas as pd
-
     name, m = _model(contract, model, unique)
     assert m and name
 
     def of(kind: str):
-        # a SQL function can't hold lambdas over columns of the outer query, so each Arrow batch is judged as a frame
-        from .records import judge_text
-
+        # columns can't be bound inside a SQL function, so texts are judged one by one, by Arrow batch
         @F.pandas_udf("string")
         def run(text: pd.Series) -> pd.Series:
             return text.map(lambda t: None if t is None else judge_text(t, contract, name, kind))
