@@ -32,6 +32,15 @@ def _feistel(x: Column, base: int, seed: int) -> Column:
     return F.aggregate(F.array(*[F.lit(k) for k in range(ROUNDS)]), halves, one, lambda s: s["l"] * size + s["r"])
 
 
+def _before(y: Column, base: int, seed: int) -> Column:
+    """The number that _feistel() sends to y: the rounds backwards."""
+    size = F.lit(base).cast("long")
+    halves = F.struct(_div(y, base).alias("l"), F.pmod(y, size).alias("r"))
+    key = lambda s, k: F.pmod(F.xxhash64(s["l"], F.lit(seed), k), size)
+    one = lambda s, k: F.struct(F.pmod(s["r"] - key(s, k), size).alias("l"), s["l"].alias("r"))
+    return F.aggregate(F.array(*[F.lit(k) for k in reversed(range(ROUNDS))]), halves, one, lambda s: s["l"] * size + s["r"])
+
+
 def _base(n: int) -> int:
     base = max(2, int(n**0.5))
     while base * base < n:
@@ -41,19 +50,27 @@ def _base(n: int) -> int:
 
 def walk_length(spark, n: int, base: int, seed: int) -> int:
     """Steps that the longest walk through numbers n..base*base-1 takes before it comes back below n.
-    There are at most 2*sqrt(n)+1 such numbers; they are followed together, one job a step."""
-    outside, steps = spark.range(n, base * base).select(F.col("id").alias("x")), 0
+    There are at most 2*sqrt(n)+1 such numbers. Those that a number below n is sent to are followed in
+    one job, again with a higher bound if a walk is longer; their walks end, while numbers that only
+    others above n lead to may go round for ever. Lambda variables keep each step's expression small."""
+    limit = 64
     while True:
-        outside = outside.select(_feistel(F.col("x"), base, seed).alias("x")).where(F.col("x") >= n)
-        steps += 1
-        if outside.isEmpty():
-            return steps
+        walked = lambda s, _: F.when(
+            s["p"] >= n, F.struct(_feistel(s["p"], base, seed).alias("p"), (s["k"] + 1).alias("k"))
+        ).otherwise(s)
+        begin = F.struct(F.col("id").alias("p"), F.lit(0).alias("k"))
+        entered = spark.range(n, base * base).where(_before(F.col("id"), base, seed) < n)
+        ends = entered.select(F.aggregate(F.sequence(F.lit(1), F.lit(limit)), begin, walked).alias("s"))
+        steps, furthest = ends.agg(F.max("s.k"), F.max("s.p")).first()
+        if furthest is None or furthest < n:
+            return steps or 0
+        limit *= 8
 
 
 def permute(x: Column, n: int, base: int, seed: int, walk: int) -> Column:
     """The place of row number x in 0..n-1: one Feistel pass, repeated while the result is not below n."""
     step = lambda p, k: F.when((k == 0) | (p >= n), _feistel(p, base, seed)).otherwise(p)
-    return F.aggregate(F.array(*[F.lit(k) for k in range(walk + 1)]), x, step)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(walk)), x, step)
 
 
 def number_rows(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
