@@ -39,10 +39,12 @@ def sign(x: Column) -> Column:
 
 def middle(number: int) -> float:
     """The middle of a bucket's magnitudes."""
-    return (lower(number) + lower(number + 1)) / 2
+    return lower(number) / 2 + lower(number + 1) / 2
 
 
 def lower(number: int) -> float:
     """The least magnitude of a bucket."""
     e, part = divmod(number, PER_OCTAVE)
+    if e > 2046:
+        return 1.7976931348623157e308  # beyond the last bucket
     return (part / PER_OCTAVE) * 2.0**-1022 if e == 0 else (1 + part / PER_OCTAVE) * 2.0 ** (e - 1023)

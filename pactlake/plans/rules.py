@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import patterns, shapes
-from .spec import Field, Model
+from .spec import ContractError, Field, Model
 
 #: Every rule, in the order in which reports list them.
 RULES = (
@@ -245,9 +245,16 @@ def parse_records(value: Column) -> Column:
     return F.when((F.octet_length(value) <= _MAX_BYTES) & is_object, first)
 
 
+def _member(name: str) -> Column:
+    """A key's value. A path takes any name in quotes, but none that holds both kinds of them."""
+    for quote in ('"', "'"):
+        if quote not in name:
+            return F.try_variant_get(F.col(RECORD), f"$[{quote}{name}{quote}]", "variant")
+    raise ContractError(f"the field name {name!r} holds both kinds of quotes, which no path can name")
+
+
 def _json_value(f: Field, name: str) -> Value:
-    path = '$["' + name.replace("\\", "\\\\").replace('"', '\\"') + '"]'
-    v = F.try_variant_get(F.col(RECORD), path, "variant")
+    v = _member(name)
     kind = F.schema_of_variant(v)
     present, null = v.isNotNull(), _never_null(F.is_variant_null(v))
     as_type = lambda t: F.try_variant_get(v, "$", t)
