@@ -29,7 +29,43 @@ def queries() -> dict:
     }
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Cosines of all pairs of a label, and the least vec_id that links reach.
+_OP2 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id, vec_id AS reached FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reached),
+c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+#: Windows as lists of words, joined.
+_OP3 = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, ws, least(10, len(ws)) AS m FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+p AS (SELECT DISTINCT item_id, m, ws[k : k + m - 1] AS window_words FROM (SELECT item_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS k FROM b)),
+d AS (SELECT doc_id, m, k, ws[k : k + m - 1] AS window_words FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS k FROM w, (SELECT DISTINCT m FROM p) WHERE len(ws) >= m)),
+h AS (SELECT doc_id, item_id, k, m FROM d JOIN p USING (m, window_words)),
+x AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) AS place FROM h) GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM w LEFT JOIN x USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+#: Base32 by five hex digits (20 bits, four letters) at a time.
+_OP6 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS response FROM pages)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None of these can be written in SQL at the full size: they hash, search automata, draw keyed
-    permutations or train models. tests/llm holds each against a brute-force version instead."""
-    return {}
+    """Of the operators that SQL can express. The others run tokenizers, XXH64, keyed permutations or
+    trained models; tests/llm holds each against a plain version or held-out labels."""
+    return {"op2_embedding_near_dedup": _OP2, "op3_benchmark_decontamination": _OP3, "op6_warc_archive": _OP6}
