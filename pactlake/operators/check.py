@@ -13,7 +13,7 @@ import json
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.shapes import observed, preview
@@ -112,6 +112,14 @@ def duplicates(frame: DataFrame, name: str, v: R.Value) -> DataFrame:
     )
 
 
+def later_copies(frame: DataFrame, key: Column, order: Column) -> DataFrame:
+    """Rows of a key beyond its first in `order`. The first of each key is a minimum, combined before
+    it moves, and the join with it can be split; no window gathers a key's rows in one task."""
+    keyed_rows = frame.withColumn("__key", key).withColumn("__order", order).where(F.col("__key").isNotNull())
+    first = keyed_rows.groupBy("__key").agg(F.min("__order").alias("__first"))
+    return keyed_rows.join(first, "__key").where(F.col("__order") > F.col("__first")).drop("__first", "__order", "__key")
+
+
 def counts_frame(frame: DataFrame, compiled: R.Compiled) -> DataFrame:
     """(field, rule, violations) of every rule of the model, zeros too."""
     named = F.explode(
@@ -134,9 +142,8 @@ def _samples(frame: DataFrame, compiled: R.Compiled, hit: set[int], unique: set[
         found = frame.withColumn("__n", number).select("__n", F.explode(F.array_compact(told)).alias("x")).select("__n", "x.k", "x.text")
     for name in sorted(unique):
         v = compiled.unique[name]
-        again = Window.partitionBy("__key").orderBy("__n")
-        keys = frame.withColumn("__n", number).where(v.ok).select("__n", v.key.alias("__key"), v.text.alias("text"))
-        later = keys.withColumn("__again", F.row_number().over(again)).where(F.col("__again") > 1)
+        keys = frame.withColumn("__n", number).where(v.ok).select("__n", v.key.alias("k"), v.text.alias("text"))
+        later = later_copies(keys, F.col("k"), F.col("__n")).drop("k")
         own = later.select("__n", F.lit(len(compiled.rules) + list(compiled.unique).index(name)).alias("k"), "text")
         found = own if found is None else found.unionByName(own)
     if found is None or not cap:

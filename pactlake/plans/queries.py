@@ -152,9 +152,9 @@ _LINE_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
 @query(f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY {_LINE_ORDER}) AS k FROM lineitem) WHERE k > 1")
 def unique_later_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that repeat a key: the first in order keeps it."""
-    again = F.row_number().over(Window.partitionBy("l_partkey").orderBy(*_LINE_ORDER.split(", ")))
-    df = _table(spark, sf_dir, "lineitem").withColumn("k", again)
-    return df.where(F.col("k") > 1).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    order = F.struct(*_LINE_ORDER.split(", "), F.monotonically_increasing_id().alias("id"))
+    df = C.later_copies(_table(spark, sf_dir, "lineitem"), F.col("l_partkey"), order)
+    return df.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 
 
 @query(_union(("l_orderkey,l_linenumber", "duplicate_values", "count(*) - count(DISTINCT (l_orderkey, l_linenumber))"), table="lineitem"))

@@ -68,9 +68,10 @@ def records(frame: DataFrame) -> DataFrame:
     return frame.withColumn(RECORD, parse_records(F.col(LINE)))
 
 
-def read(spark: SparkSession, data: Any, name: str | None = None, data_format: str | None = None, rows: bool = False) -> Source:
+def read(spark: SparkSession, data: Any, name: str | None = None, data_format: str | None = None, rows: bool = False, multiline: bool = True) -> Source:
     """A source of a path, a DataFrame, a pandas or Arrow table, or a list of dicts. rows: number the
-    rows, as samples need; counts don't."""
+    rows, as samples need; counts don't. multiline: CSV cells may hold line breaks; without them Spark
+    can split large files."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     if isinstance(data, str):
         kind = format_of(data, data_format)
@@ -78,7 +79,7 @@ def read(spark: SparkSession, data: Any, name: str | None = None, data_format: s
             df = spark.read.parquet(data)
             return Source(df.select("*", F.col("_metadata.row_index").alias(ROW)) if rows else df, "columns", name or data, rows)
         if kind == "csv":
-            df = spark.read.option("header", True).option("multiLine", True).option("emptyValue", "").csv(data, inferSchema=False)
+            df = spark.read.option("header", True).option("multiLine", multiline).option("emptyValue", "").csv(data, inferSchema=False)
             return Source(df.withColumn(ROW, F.monotonically_increasing_id()) if rows else df, "cells", name or data, rows)
         text = spark.read.text(data)
         lines = _numbered_lines(text) if rows else text.select(F.col("value").alias(LINE)).where(F.trim(F.col(LINE)) != "")

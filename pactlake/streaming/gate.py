@@ -11,7 +11,7 @@ import json
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,17 +95,18 @@ def track(judged: DataFrame, m: Model, contract: Contract, order: str, seen: Dat
         return judged, judged.select(F.lit("").alias("field"), F.lit("").alias("key")).limit(0)
     keys = F.array(*[F.struct(F.lit(n).alias("field"), F.when(compiled.unique[n].ok, compiled.unique[n].key.cast("string")).alias("key")) for n in fields])
     each = judged.select(F.col(order).alias("__order"), F.explode(keys).alias("k")).select("__order", "k.field", "k.key").where(F.col("key").isNotNull())
-    ranked = each.withColumn("__k", F.row_number().over(Window.partitionBy("field", "key").orderBy("__order")))
+    # the first record of each key is a minimum: no window gathers the records of a frequent key
+    first = each.groupBy("field", "key").agg(F.min("__order").alias("__first"))
     if seen is not None:
-        ranked = ranked.join(seen.withColumn("__seen", F.lit(True)), ["field", "key"], "left")
+        first = first.join(seen.distinct().withColumn("__seen", F.lit(True)), ["field", "key"], "left")
     else:
-        ranked = ranked.withColumn("__seen", F.lit(None).cast("boolean"))
-    repeated = ranked.where((F.col("__k") > 1) | F.col("__seen"))
+        first = first.withColumn("__seen", F.lit(None).cast("boolean"))
+    repeated = each.join(first, ["field", "key"]).where((F.col("__order") > F.col("__first")) | F.coalesce("__seen", F.lit(False)))
     one = F.struct("field", F.lit("unique").alias("rule"), preview(F.col("key")).alias("value"))
     more = repeated.groupBy("__order").agg(F.sort_array(F.collect_list(one)).alias("__more"))
     out = judged.join(more, judged[order] == more["__order"], "left")
     out = out.withColumn("violations", F.concat("violations", F.coalesce("__more", F.array().cast(_VIOLATIONS)))).drop("__more", "__order")
-    fresh = ranked.where((F.col("__k") == 1) & F.col("__seen").isNull()).select("field", "key")
+    fresh = first.where(F.col("__seen").isNull()).select("field", "key")
     return out.withColumn("verdict", verdict(F.col("violations"), contract)), fresh
 
 
