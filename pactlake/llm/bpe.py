@@ -23,7 +23,7 @@ from .common import map_texts, table
 
 #: Entries of each half of a worker's memory of words and of fragments: when the new half is full it
 #: becomes the old one, from which words that come again are taken over. Longer words aren't kept.
-MEMO_WORDS, MEMO_LENGTH = 120_000, 32
+MEMO_WORDS, MEMO_LENGTH = 200_000, 32
 #: Symbols from which a fragment is merged by a heap.
 LONG = 64
 #: Control characters that str.split() takes for white space and the pre-tokenizer doesn't.
@@ -143,6 +143,10 @@ class ForcedBoundaryBPE:
     def chunk_ids(self, chunk: str) -> list[int]:
         """Ids of a normalized chunk without white space: usually a word with its punctuation."""
         if chunk.isascii() or max(chunk) < STABLE_BELOW:
+            if chunk.isalpha():
+                return self.word_ids(chunk)
+            if chunk[-1] in ".,:;!?" and chunk[:-1].isalpha():
+                return self.word_ids(chunk[:-1]) + self.word_ids(chunk[-1])
             words = self.words.findall(chunk)
         else:
             words = [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
