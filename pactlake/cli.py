@@ -15,7 +15,7 @@ from .operators.check import check_source
 from .operators.diff import FAIL_ON, diff
 from .plans.spec import ContractError, load
 from .sources.read import read
-from .streaming import gate
+from .streaming import gate, kafka
 
 PASS, FAIL, ERROR = 0, 1, 2
 
@@ -129,11 +129,14 @@ def _consumer_check(args) -> int:
 def _gate(args) -> int:
     c = _enforceable(args.contract, args.allow_unenforced)
     spark = session()
-    if args.brokers:
-        stream = spark.readStream.format("kafka").option("kafka.bootstrap.servers", args.brokers).option("subscribe", args.source).option("startingOffsets", "earliest").load()
-    else:
-        stream = spark.readStream.text(args.source)
     trigger = {"availableNow": True} if args.exit_at_end else {"processingTime": "1 second"}
+    if args.brokers:
+        stream = spark.readStream.format("kafka").option("kafka.bootstrap.servers", args.brokers).option("subscribe", args.source)
+        stream = stream.option("startingOffsets", "earliest").option("includeHeaders", True).load()
+        unique = gate.REFUSE if args.unique == gate.TRACK else args.unique  # topics have no memory of keys
+        kafka.gate(stream, c, args.brokers, args.to, args.dlq, args.checkpoint, args.model, unique, trigger).awaitTermination()
+        return PASS
+    stream = spark.readStream.text(args.source)
     query, stats = gate.gate(stream, c, args.to, args.dlq, args.checkpoint, args.model, args.unique, stats=args.stats, trigger=trigger)
     query.awaitTermination()
     _show(args, ", ".join(f"{k}: {v:,}" for k, v in vars(stats).items()), vars(stats))

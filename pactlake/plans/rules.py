@@ -261,8 +261,10 @@ def _json_value(f: Field, name: str) -> Value:
     text = F.to_json(v)
     number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
     if f.type == "integer":
-        whole = kind == "DECIMAL(20,0)"  # beyond 64 bits with a sign
-        typed, ok, family = as_type("decimal(38,0)"), (kind == "BIGINT") | (whole & (as_type("decimal(20,0)").between(F.lit("0").cast("decimal(20,0)"), F.lit(str((1 << 64) - 1)).cast("decimal(20,0)")))), "decimal"
+        typed, family = as_type("decimal(38,0)"), "decimal"
+        # beyond 64 bits with a sign, where an integer is told from 1.0 by its size alone
+        large = kind.isin("DECIMAL(19,0)", "DECIMAL(20,0)") & typed.between(_integer(_LONG), _integer(2 * _LONG - 1))
+        ok = (kind == "BIGINT") | large
         key = typed.cast("string")
     elif f.type == "float":
         typed, ok, family = as_type("double"), number, "float64"
