@@ -350,7 +350,7 @@ def profile_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT 'c_name' AS field, CAST(count(*) AS BIGINT) AS n, CAST(min(length(c_name)) AS INTEGER) AS least, CAST(max(length(c_name)) AS INTEGER) AS most, CAST(sum(length(c_name)) AS BIGINT) AS total FROM customer "
-       "UNION ALL SELECT 'c_mktsegment', count(*), min(length(c_mktsegment)), max(length(c_mktsegment)), sum(length(c_mktsegment)) FROM customer")
+       "UNION ALL SELECT 'c_mktsegment', CAST(count(*) AS BIGINT), CAST(min(length(c_mktsegment)) AS INTEGER), CAST(max(length(c_mktsegment)) AS INTEGER), CAST(sum(length(c_mktsegment)) AS BIGINT) FROM customer")
 def profile_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame, compiled = _bound(spark, sf_dir, "customer", _model(c_name={"type": "string"}, c_mktsegment={"type": "string"}))
     one = P.counters(frame, compiled)
