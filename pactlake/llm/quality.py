@@ -9,6 +9,7 @@ a logistic curve fitted on margins of folds that the model didn't see.
 from __future__ import annotations
 
 import itertools
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,16 +61,17 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.log(shares[1] / shares[0])
 
 
-def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, size: int) -> np.ndarray:
+def descend(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Weights (the last one is the bias) of the squared hinge loss with L2 penalty, one dual
-    coordinate at a time. rows: sorted places of each row; values: what stands there."""
-    w, alpha, sign = np.zeros(size + 1), np.zeros(len(rows)), 2.0 * y - 1
-    norms = np.array([v @ v + 1.0 for v in values])
+    coordinate at a time. rows: the places of each row, where it has the values scale[place]."""
+    w, alpha, sign = np.zeros(len(scale) + 1), np.zeros(len(rows)), 2.0 * y - 1
+    norms = np.array([np.square(scale[p]).sum() + 1.0 for p in rows])
     diagonal = 0.5 / cost
     random = np.random.default_rng(SEED)
     for _ in range(EPOCHS):
         for k in random.permutation(len(rows)).tolist():
-            places, v, s = rows[k], values[k], sign[k]
+            places, s = rows[k], sign[k]
+            v = scale[places]
             slope = s * (w[places] @ v + w[-1]) - 1 + diagonal[k] * alpha[k]
             new = max(0.0, alpha[k] - slope / (norms[k] + diagonal[k]))
             if (step := (new - alpha[k]) * s) != 0.0:
@@ -116,10 +118,9 @@ def _fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
     ratio = log_count_ratio(rows, y)
     # one scale for all, so that short texts, with little evidence, stay near the bias
     ratio /= np.sqrt(np.mean([np.square(ratio[p]).sum() for p in rows])) or 1.0
-    values = [ratio[p] for p in rows]
     share = y.mean()
     cost = COST * np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
-    w = descend(rows, values, y, cost, len(ratio))
+    w = descend(rows, ratio, y, cost)
     return Model((ratio * w[:-1]).astype(np.float32), float(w[-1]), 1.0, 0.0)
 
 
@@ -157,7 +158,7 @@ def labelled(labels: DataFrame, column: str, parts: int, part: int, rows: int =
 def indicators(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     def start():
         of = Indicators()
-        return lambda x: (of(x).astype("<i4").tobytes(),)
+        return lambda x: (zlib.compress(np.diff(of(x), prepend=0).astype("<i4").tobytes(), 1),)
 
     return map_texts(df, text, keep, T.StructType().add("places", "binary"), start)
 
@@ -168,8 +169,11 @@ def train(documents: DataFrame, labels: DataFrame, column: str = "quality", part
     ids, totals = labelled(labels, column, parts, part)
     rows = documents.join(F.broadcast(ids), "doc_id").select("y", F.col(f"`{text}`").alias("text"))
     few = indicators(rows, ["y"], "text").orderBy(F.xxhash64("places"), "places", "y").limit(2 * TRAIN_ROWS)
-    found = few.collect()
-    return fit([np.frombuffer(r["places"], "<i4") for r in found], np.array([r["y"] for r in found], np.int64), totals)
+    rows, y = [], []
+    for r in few.toLocalIterator():
+        rows.append(np.cumsum(np.frombuffer(zlib.decompress(r["places"]), "<i4"), dtype=np.int32))
+        y.append(r["y"])
+    return fit(rows, np.array(y, np.int64), totals)
 
 
 def score(df: DataFrame, model: Model | float, keep: list[str], text: str = "text") -> DataFrame:

@@ -54,7 +54,7 @@ def test_log_count_ratio_and_dual_descent(monkeypatch):
     ratio = quality.log_count_ratio(rows, y)
     total = 4 + (1 << quality.BITS)
     assert ratio[0] == pytest.approx(np.log((3 / total) / (1 / total))) and ratio[0] == -ratio[3] and ratio[1] == ratio[2] == 0
-    w = quality.descend(rows, [np.ones(2)] * 4, y, np.ones(4), 4)
+    w = quality.descend(rows, np.ones(4), y, np.ones(4))
     x = np.zeros((4, 5))
     for k, r in enumerate(rows):
         x[k, r] = 1
