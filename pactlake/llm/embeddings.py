@@ -154,8 +154,8 @@ def _leaf_rows(cells: DataFrame, threshold: float) -> DataFrame:
 
 
 def _compare(a: tuple, b: tuple | None, leaf: int, threshold: float):
-    """Links of the rows of a among themselves, or (b given) between a and b, that count in this leaf:
-    link counts of a and of b, and pairs that connect what is linked. a, b: ids, units, n, lists of leaves."""
+    """Links of the rows of a among themselves, or (b given) between a and b: those that count in this
+    leaf as counts of a's and of b's rows, and the matrix of all. a, b: ids, units, n, lists of leaves."""
     ids, x, n, lists = a
     other = a if b is None else b
     found = x @ other[1].T >= threshold
@@ -175,8 +175,7 @@ def _compare(a: tuple, b: tuple | None, leaf: int, threshold: float):
     linked = found.copy()
     for v, rows in mine.items():
         linked[np.ix_(rows, of[v])] = False
-    first = np.where(found.any(axis=1), found.argmax(axis=1), -1)
-    return linked @ other[2], (linked.T @ n if b is not None else None), found, first
+    return linked @ other[2], (linked.T @ n if b is not None else None), found
 
 
 def _forest(ids: np.ndarray, found: np.ndarray) -> list[tuple[int, int]]:
@@ -216,12 +215,12 @@ def _links(rows: DataFrame, threshold: float) -> DataFrame:
         a, b, links, edges = [], [], [], []
         if tile_a == tile_b:
             of = part(side == tile_a)
-            counts, _, found, _ = _compare(of, None, leaf, threshold)
+            counts, _, found = _compare(of, None, leaf, threshold)
             edges = _forest(of[0], found)
             tell = [(of[0], counts)]
         else:
             one, two = part(side == tile_a), part(side == tile_b)
-            counts, back, found, _ = _compare(one, two, leaf, threshold)
+            counts, back, found = _compare(one, two, leaf, threshold)
             square = np.zeros((len(ids), len(ids)), np.bool_)
             square[: len(one[0]), len(one[0]) :] = found
             square |= square.T
@@ -250,7 +249,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, vec_id: str = "
     no rows; other columns are ignored.
     """
     known = materialize(classes(df, vec_id, embedding, label))
-    in_leaves = materialize(_leaf_rows(_cells(known, threshold), threshold)).distinct()
+    in_leaves = materialize(_leaf_rows(_cells(known, threshold), threshold))  # a class is in a leaf once
     lists = in_leaves.groupBy("id").agg(F.collect_set("leaf").alias("leaves"))  # TREES times the spill, whatever the table's size
     sizes = in_leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
     full = known.select("id", "vector", "n").join(lists, "id")
