@@ -170,7 +170,7 @@ def train(documents: DataFrame, labels: DataFrame, column: str = "quality", part
     rows = documents.join(F.broadcast(ids), "doc_id").select("y", F.col(f"`{text}`").alias("text"))
     few = indicators(rows, ["y"], "text").orderBy(F.xxhash64("places"), "places", "y").limit(2 * TRAIN_ROWS)
     rows, y = [], []
-    for r in few.toLocalIterator():
+    for r in few.collect():
         rows.append(np.cumsum(np.frombuffer(zlib.decompress(r["places"]), "<i4"), dtype=np.int32))
         y.append(r["y"])
     return fit(rows, np.array(y, np.int64), totals)
