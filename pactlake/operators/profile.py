@@ -130,7 +130,8 @@ def histogram(frame: DataFrame, compiled) -> DataFrame:
         if compiled.model.fields[name].type in ("integer", "float"):
             x = _number(v)
             parts.append(F.when(v.ok & _finite(x), F.struct(F.lit(name).alias("field"), buckets.sign(x).alias("sign"), buckets.bucket(x).alias("bucket"))))
-    told = frame.select(F.explode(F.array_compact(F.array(*parts))).alias("x")).select("x.*")
+    # inline() evaluates the structs once; explode and x.* would once for each of their fields
+    told = frame.select(F.inline(F.array(*parts))).where(F.col("field").isNotNull())
     return told.groupBy("field", "sign", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -143,7 +144,8 @@ def categories(frame: DataFrame, compiled) -> DataFrame:
             declared = [_text(x) for x in f.allowed] if f.allowed is not None else ["false", "true"]
             text = v.typed.cast("double").cast("string") if f.type == "float" else v.typed.cast("string")
             parts.append(F.when(v.ok, F.struct(F.lit(name).alias("field"), F.when(text.isin(declared), text).alias("value"))))
-    told = frame.select(F.explode(F.array_compact(F.array(*parts))).alias("x")).select("x.*")
+    # inline() evaluates the structs once; explode and x.* would once for each of their fields
+    told = frame.select(F.inline(F.array(*parts))).where(F.col("field").isNotNull())
     return told.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
 
 

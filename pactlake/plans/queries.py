@@ -281,8 +281,8 @@ def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, 'k' AS field, CASE WHEN CAST(props->>'k' AS BIGINT) < 10 THEN 'min' ELSE 'max' END AS rule, props->>'k' AS value FROM events WHERE CAST(props->>'k' AS BIGINT) NOT BETWEEN 10 AND 89")
 def gate_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the dead letters tell: each violation of each blocked record."""
-    judged = G.judge(_table(spark, sf_dir, "events"), EVENTS, value="props").where(F.col("verdict") == "block")
-    return judged.select("event_id", F.explode("violations").alias("v")).select("event_id", "v.field", "v.rule", "v.value")
+    judged = G.judge(_table(spark, sf_dir, "events"), EVENTS, value="props")  # what passes has nothing to explode
+    return judged.select("event_id", F.inline("violations"))
 
 
 @query("SELECT event_id, CASE WHEN k < 10 OR k > 89 OR event_id > first_id THEN 'block' ELSE 'pass' END AS verdict FROM (SELECT event_id, CAST(props->>'k' AS BIGINT) AS k, "
