@@ -20,8 +20,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates, that with the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates (0.8 or more of their 5-word shingles in common),
+    that with the smallest doc_id."""
+    return simhash.similar_one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,12 @@ those two blocks and their values (for radius 2: six shards of 32 shared bits ea
 a BK-tree, whose children are keyed by their Hamming distance to the parent, and is searched along
 edges within the radius. A shard gives a spanning forest of its links, never all pairs. A shard of
 over SHARD_MAX fingerprints is cut again, by parts of the bits that it does not share.
+
+Near copies that differ in more than a few shingles are far beyond a radius that trees of 64 bits can
+search (about 10 bits apart at a similarity of 0.8). similar_one_of_each() therefore takes BANDS
+fingerprints a text, each of the ROWS shingles that come first under ROWS orders of their own; texts of
+similarity s share one of them but for a chance of (1 - s**ROWS)**BANDS, 5e-7 at 0.8. Texts that such
+fingerprints connect, however indirectly, are compared by their whole sets of shingles, exactly.
 """
 
 from __future__ import annotations
@@ -32,21 +38,31 @@ SEED = 42
 SHINGLE, RADIUS = 3, 2
 #: Fingerprints of one tree; beyond it a shard is cut again, if that makes its parts smaller.
 SHARD_MAX = 4096
+#: Of similar texts: words of a shingle, common share of all shingles of both (Jaccard).
+SIMILAR_SHINGLE, SIMILAR = 5, 0.8
+BANDS, ROWS = 48, 6
+#: Shingles of the texts that one task compares with one another, or with as many more.
+TILE_SHINGLES = 2_000_000
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Of the whole text as unsigned 64 bits; 0 if it has no words."""
+def _hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """Of each shingle of the text; of all words if they are fewer than a shingle has."""
     words = text.lower().split() if text else []  # bytes: A-Z and the white space of ASCII only
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined, n = b" ".join(words), len(words)
     if n < shingle:
-        return xxhash.xxh64_intdigest(joined, seed=SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, seed=SEED)], "<u8")
     lengths = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(lengths + 1) - 1
     first, last = (ends - lengths)[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)], "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)], "<u8")
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """Of the whole text as unsigned 64 bits; 0 if it has no words."""
+    hashes = _hashes(text, shingle)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192].view(np.uint8).reshape(-1, 8)
@@ -196,7 +212,11 @@ def groups(lean: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Of rows (doc_id, fp): (fp, first, component_id, stays) for each fingerprint: its least doc_id,
     that of its component, and whether it is the fingerprint of the component's one row to stay."""
     classes = materialize(lean.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    of = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return _groups(classes, links(classes.select("fp"), radius))
+
+
+def _groups(classes: DataFrame, linked: DataFrame) -> DataFrame:
+    of = components(linked).withColumnRenamed("node", "fp")
     linked = materialize(of.join(classes, "fp"))
     least = linked.groupBy("component").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("least"))
     own = linked.join(least, "component")
@@ -225,12 +245,148 @@ def one_of_each(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, doc
     names = df.columns
     own = fingerprints(df, names, text, shingle).withColumnRenamed("fp", "__fp")
     lean = materialize(fingerprints(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), ["doc_id"], "text", shingle))
-    stay = groups(lean, radius).where("stays").select(F.col("fp").alias("__stay"), F.col("first").alias("__first"))
+    return _staying(own, groups(lean, radius), names, doc_id, text)
+
+
+def _staying(own: DataFrame, found: DataFrame, names: list[str], doc_id: str, text: str) -> DataFrame:
+    stay = found.where("stays").select(F.col("fp").alias("__stay"), F.col("first").alias("__first"))
     kept = own.join(stay, (F.col("__fp") == F.col("__stay")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("__first")), "left_semi")
     again = F.row_number().over(Window.partitionBy(F.col("__fp"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))).orderBy(F.xxhash64(text)))
     return kept.withColumn("__again", again).where(F.col("__again") == 1).select(*names)
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def shingle_set(text: bytes | None, shingle: int = SIMILAR_SHINGLE) -> tuple[int, np.ndarray]:
+    """(hash of the set, sorted hashes of its shingles); (0, none) without words."""
+    held = np.unique(_hashes(text, shingle))
+    return (_signed(xxhash.xxh64_intdigest(held.tobytes(), SEED)) if len(held) else 0), held
+
+
+def _orders() -> tuple[np.ndarray, np.ndarray]:
+    drawn = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+    return drawn[0], drawn[1] | np.uint64(1)
+
+
+def subset_fingerprints(held: np.ndarray, orders: tuple[np.ndarray, np.ndarray]) -> list[int]:
+    """BANDS fingerprints of the set, each of the shingles that are first under its ROWS orders."""
+    if not len(held):
+        return []
+    first = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(held), 128):
+        np.minimum(first, ((held[at : at + 128, None] ^ orders[0]) * orders[1]).min(axis=0), out=first)
+    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), k)) for k, row in enumerate(first.reshape(BANDS, ROWS))]
+
+
+def similar(sets: list[np.ndarray], threshold: float = SIMILAR) -> list[int]:
+    """For each of the sets a number that those share which links of `threshold` or more connect. Exact:
+    two such sets have one of the rarest elements of both in common (prefix filter). Sets that are
+    connected already aren't compared, so that a group of copies of one text costs no square."""
+    n, parent = len(sets), list(range(len(sets)))
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(n), sizes)
+    if not len(owner):
+        return parent
+    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((element, times[element], owner))
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+    use = (place < prefix[owner]) & (times[element[order]] > 1)
+    element, owner = element[order][use], owner[use]
+    by = np.lexsort((owner, element))
+    element, owner = element[by], owner[by]
+    seen: set[tuple[int, int]] = set()
+
+    def link(a: int, b: int) -> None:
+        x, y = _root(parent, a), _root(parent, b)
+        if x == y or min(sizes[a], sizes[b]) < threshold * max(sizes[a], sizes[b]) - 1e-9 or (a, b) in seen:
+            return
+        seen.add((a, b))
+        common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        if common >= threshold * (sizes[a] + sizes[b] - common) - 1e-9:
+            parent[max(x, y)] = min(x, y)
+
+    postings = [p.tolist() for p in np.split(owner, np.flatnonzero(np.diff(element)) + 1) if len(p) > 1]
+    for posting in postings:  # the first with all others, which connects most
+        for b in posting[1:]:
+            link(posting[0], b)
+    for posting in postings:
+        parts: dict[int, list[int]] = {}
+        for k in posting:
+            parts.setdefault(_root(parent, k), []).append(k)
+        for one, two in itertools.combinations(parts.values(), 2):
+            for a, b in itertools.product(one, two):
+                link(min(a, b), max(a, b))
+    return [_root(parent, k) for k in range(n)]
+
+
+def _similar_links(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Of (fp, group) and (fp, shingles): links (a, b) that connect the similar ones of each group. A
+    group of over TILE_SHINGLES is compared tile by tile: a row for each pair of tiles that its own is in."""
+    rows = materialize(sets.join(candidates, "fp"))
+    sizes = rows.groupBy("group").agg(F.ceil(F.sum(F.octet_length("shingles")) / (8 * TILE_SHINGLES)).cast("int").alias("tiles"))
+    rows = rows.join(sizes, "group").withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("group", F.least("tile", "with").alias("tile_a"), F.greatest("tile", "with").alias("tile_b"), "fp", "shingles")
+
+    def compare(key, frame):
+        frame = frame.sort_by("fp")
+        fps = frame.column("fp").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in frame.column("shingles").to_pylist()]
+        edges = [(fps[k], fps[r]) for k, r in enumerate(similar(sets, threshold)) if k != r]
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return rows.groupBy("group", "tile_a", "tile_b").applyInArrow(compare, "a long, b long")
+
+
+def similar_groups(df: DataFrame, shingle: int = SIMILAR_SHINGLE, threshold: float = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(fp, first, component_id, stays) as of groups(), where fp is the hash of a text's set of shingles
+    and texts link from a common share of `threshold` of their shingles on. Texts without words are one class."""
+
+    def start():
+        orders = _orders()
+
+        def one(x):
+            fp, held = shingle_set(x, shingle)
+            return fp, subset_fingerprints(held, orders)
+
+        return one
+
+    def whole():
+        def one(x):
+            fp, held = shingle_set(x, shingle)
+            return fp, held.tobytes()
+
+        return one
+
+    texts = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    lean = materialize(map_texts(texts, "text", ["doc_id"], T.StructType().add("fp", "long").add("parts", T.ArrayType(T.LongType())), start))
+    classes = materialize(lean.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    parts = lean.select("fp", F.explode("parts").alias("part"))
+    least = parts.groupBy("part").agg(F.min("fp").alias("a"), F.max("fp").alias("last")).where(F.col("a") != F.col("last")).select("part", "a")
+    proposed = parts.join(least, "part").where(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
+    candidates = materialize(components(proposed).select(F.col("node").alias("fp"), F.col("component").alias("group")))
+    firsts = classes.join(candidates, "fp", "left_semi").select("first").distinct()
+    some = texts.join(firsts, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    sets = map_texts(some, "text", [], T.StructType().add("fp", "long").add("shingles", "binary"), whole)
+    # rows of one doc_id may have other texts, and several of them the same
+    return _groups(classes, _similar_links(candidates, sets.dropDuplicates(["fp"]), threshold))
+
+
+def similar_one_of_each(df: DataFrame, shingle: int = SIMILAR_SHINGLE, threshold: float = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df, with its columns, that are left when one of each component of similar texts
+    stays, as in one_of_each()."""
+    found = similar_groups(df, shingle, threshold, doc_id, text)
+
+    def start():
+        return lambda x: (shingle_set(x, shingle)[0],)
+
+    own = map_texts(df, text, df.columns, T.StructType().add("__fp", "long"), start)
+    return _staying(own, found, df.columns, doc_id, text)
+
+
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
