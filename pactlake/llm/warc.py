@@ -159,7 +159,7 @@ def write_index(captures: DataFrame, folder: str) -> list[tuple[tuple[bytes, int
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines: list[tuple] = []
         directory: list[tuple] = []
-        name, store, out, at = f"index-{uuid.uuid4().hex}", None, None, 0
+        name, store, out, at, head = f"index-{uuid.uuid4().hex}", None, None, 0, None
 
         def flush():
             nonlocal at
@@ -173,6 +173,7 @@ def write_index(captures: DataFrame, folder: str) -> list[tuple[tuple[bytes, int
                 store, path = _open(folder)
                 out = store.open_output_stream(f"{path}/{name}", compression=None)
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                head = head or row
                 lines.append(row)
                 if len(lines) == BLOCK_LINES:
                     flush()
@@ -183,10 +184,13 @@ def write_index(captures: DataFrame, folder: str) -> list[tuple[tuple[bytes, int
         raw = zlib.compress(json.dumps(directory).encode(), 6)
         out.write(raw + struct.pack("<Q", len(raw)))
         out.close()
-        yield _batch([(directory[0][0], directory[0][1], name)], [pa.string(), pa.int64(), pa.string()], ["key", "page_id", "file"])
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        yield _batch([(*head[:2], name, *head[2:4])], kinds, ["key", "page_id", "file", "first_file", "first_start"])
 
-    shards = materialize(dealt.mapInArrow(write, "key string, page_id long, file string"))
-    return sorted((_order(r["key"], r["page_id"]), r["file"]) for r in shards.toLocalIterator())
+    shards = materialize(dealt.mapInArrow(write, "key string, page_id long, file string, first_file string, first_start long"))
+    # of shards that start with one key, that which goes on to others is last
+    found = sorted((_order(r["key"], r["page_id"]), r["first_file"], r["first_start"], r["file"]) for r in shards.toLocalIterator())
+    return [(f[0], f[3]) for f in found]
 
 
 class Shard:
@@ -238,13 +242,19 @@ def read_back(pages: DataFrame, shards: list[tuple[tuple[bytes, int], str]], fol
     """Looks every row of pages up in the index and reads its record: page_id, payload_bytes,
     payload_digest, record_type, refers_to. Equal rows are looked up once and give each of their records."""
     firsts = [s[0] for s in shards]
-    wanted = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"))
+    wanted = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url")).distinct()
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch.column(0).to_pylist(), [url_key(u) for u in batch.column(1).to_pylist()]
-            to = [max(0, bisect.bisect_right(firsts, _order(k, p)) - 1) for k, p in zip(keys, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(keys, pa.string()), batch.column(0)], ["shard", "key", "page_id"])
+            made = []
+            for p, u in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                key = url_key(u)
+                at = _order(key, p)
+                # every shard that may hold it: captures of one key and page may run over several
+                for to in range(max(0, bisect.bisect_left(firsts, at) - 1), max(1, bisect.bisect_right(firsts, at))):
+                    made.append((to, key, p))
+            if made:
+                yield _batch(made, [pa.int32(), pa.string(), pa.int64()], ["shard", "key", "page_id"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _open(folder)
@@ -253,7 +263,7 @@ def read_back(pages: DataFrame, shards: list[tuple[tuple[bytes, int], str]], fol
             made = []
             for to, key, p in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if to != number:
-                    number, shard = to, Shard(store, f"{path}/{shards[to][1]}")
+                    number, shard, last = to, Shard(store, f"{path}/{shards[to][1]}"), None
                 at = _order(key, p)
                 if at == last:
                     continue
