@@ -2,7 +2,8 @@
 
 Within a label (and vector length), each of TREES trees splits the vectors again and again at the
 median of a random projection; vectors close to the split go to both sides (spill), until a leaf has
-LEAF vectors or fewer. Leaves are compared by one matrix product each, in double precision, and
+LEAF vectors or fewer. Where the band that the threshold asks for would hold over SPILL of a node, as in
+a dense group whose vectors all link, the node isn't split, and the band is never narrowed. Leaves are compared by one matrix product each, in double precision, and
 pairs at the threshold or above are links. Equal vectors of a label are one class with a count, so a
 group of copies is one entry of every leaf.
 
@@ -10,7 +11,7 @@ Trees are grown from the top by distributed steps while a cell has over CELL cla
 on inside one task a cell, so no task and no driver holds a label. A pair that shares several leaves
 counts in the least of them alone, which both vectors' lists of leaves tell; so links are counted
 without writing pairs, and components come from a spanning forest of each leaf. A leaf that no
-projection splits (more than SPLIT_MAX equal projections) is compared in tiles, exactly.
+projection of TRIES splits is compared in tiles, exactly; one that is a whole label, by one tree only.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ TREES, LEAF, SEED = 8, 512, 42
 #: Classes of a cell that one task splits further.
 CELL = 20_000
 #: Half-width of the band around a split that goes to both sides, as a share of the largest distance
-#: of linked unit vectors over the root of the dimension; and the most of a node that the band may hold.
-BAND, SPILL = 1.0, 0.3
+#: of linked unit vectors over the root of the dimension; and the most of a node that the band may hold
+#: for it to be split. Projections tried before a node is left whole.
+BAND, SPILL, TRIES = 1.0, 0.3, 4
 TILE = 512
 
 
@@ -60,13 +62,12 @@ def _band(dim: int, threshold: float) -> float:
 
 
 def _sides(p: np.ndarray, band: float) -> tuple[np.ndarray, np.ndarray] | None:
-    """Positions left and right of the median of projections p, those within the band (SPILL of all
-    at most, the nearest) on both sides. None if that doesn't split."""
+    """Positions left and right of the median of projections p, those within the band on both sides.
+    None if that doesn't split, or the band holds over SPILL of all."""
     middle = np.median(p)
-    away = np.abs(p - middle)
-    most = int(len(p) * SPILL)
-    limit = min(band, np.partition(away, most)[most])
-    left, right = np.flatnonzero(p <= middle + limit), np.flatnonzero(p > middle - limit)
+    if np.count_nonzero(np.abs(p - middle) <= band) > SPILL * len(p):
+        return None
+    left, right = np.flatnonzero(p <= middle + band), np.flatnonzero(p > middle - band)
     if max(len(left), len(right)) > 0.9 * len(p) or not min(len(left), len(right)):
         return None
     return left, right
@@ -78,7 +79,7 @@ def leaves(x: np.ndarray, tree: int, depth: int, threshold: float) -> Iterator[n
     todo = [(np.arange(len(x)), depth, 0)]
     while todo:
         of, d, tries = todo.pop()
-        if len(of) <= LEAF or tries == 4:
+        if len(of) <= LEAF or tries == TRIES:
             yield of
             continue
         sides = _sides(x[of] @ _direction(tree, d, x.shape[1]), band)
@@ -88,6 +89,12 @@ def leaves(x: np.ndarray, tree: int, depth: int, threshold: float) -> Iterator[n
             todo += [(of[s], d + 1, 0) for s in sides]
 
 
+def _unsplit(x: np.ndarray, tree: int, threshold: float) -> bool:
+    """Whether the tree leaves the rows of x, a whole label, in one leaf."""
+    band, dim = _band(x.shape[1], threshold), x.shape[1]
+    return len(x) <= LEAF or all(_sides(x @ _direction(tree, d, dim), band) is None for d in range(TRIES))
+
+
 def classes(df: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
     """(label, dim, vector, id, n): distinct comparable vectors of a label, their least id and how
     many rows have them."""
@@ -100,10 +107,10 @@ def classes(df: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame
 
 
 def _cells(known: DataFrame, threshold: float) -> DataFrame:
-    """(label, dim, tree, path, depth, id, vector): the classes in every tree's cells of CELL classes
-    or fewer, as far as splits at an approximate median get there."""
+    """(label, dim, tree, path, depth, id, vector, whole): the classes in every tree's cells of CELL classes
+    or fewer, and (whole) in the larger ones that no projection splits."""
     trees = F.explode(F.array(*[F.lit(t) for t in range(TREES)]))
-    at = known.select("label", "dim", "id", "vector", trees.alias("tree"), F.lit("").alias("path"), F.lit(0).alias("depth"))
+    at = known.select("label", "dim", "id", "vector", trees.alias("tree"), F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit(0).alias("tries"))
     done: DataFrame | None = None
     node = ["label", "dim", "tree", "path"]
     largest = known.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
@@ -120,16 +127,20 @@ def _cells(known: DataFrame, threshold: float) -> DataFrame:
             F.percentile_approx("p", 0.5 - SPILL / 2, 1000).alias("low"), F.percentile_approx("p", 0.5 + SPILL / 2, 1000).alias("high"),
         )
         joined = at.join(split, node)
-        small = joined.where(F.col("size") <= CELL).select(*node, "depth", "id", "vector")
-        done = small if done is None else done.union(small)
-        half = F.lit(float(BAND * np.sqrt(max(0.0, 2 - 2 * threshold)) / 2)) / F.sqrt("dim")
-        band = F.least(half, F.col("high") - F.col("middle"), F.col("middle") - F.col("low"))
+        band = F.lit(float(BAND * np.sqrt(max(0.0, 2 - 2 * threshold)) / 2)) / F.sqrt("dim")
+        crowded = 2 * band >= F.col("high") - F.col("low")
+        whole = (F.col("size") > CELL) & crowded & (F.col("tries") == TRIES - 1)
+        ended = joined.where((F.col("size") <= CELL) | whole).select(*node, "depth", "id", "vector", whole.alias("whole"))
+        done = ended if done is None else done.union(ended)
         to = F.array_compact(F.array(F.when(F.col("p") <= F.col("middle") + band, "0"), F.when(F.col("p") > F.col("middle") - band, "1")))
-        large = joined.where(F.col("size") > CELL).select(*node, "id", "vector", F.explode(to).alias("side"))
-        at = materialize(large.select("label", "dim", "id", "vector", "tree", F.concat("path", "side").alias("path"), F.lit(depth + 1).alias("depth")))
+        to = F.when(crowded, F.array(F.lit(""))).otherwise(to)
+        large = joined.where((F.col("size") > CELL) & ~whole)
+        large = large.select(*node, "id", "vector", F.when(crowded, F.col("tries") + 1).otherwise(0).alias("tries"), F.explode(to).alias("side"))
+        at = materialize(large.select("label", "dim", "id", "vector", "tree", F.concat("path", "side").alias("path"), F.lit(depth + 1).alias("depth"), "tries"))
         largest = at.groupBy(*node).count().agg(F.max("count")).first()[0] or 0
         depth += 1
-    return at.select(*node, "depth", "id", "vector") if done is None else done.union(at.select(*node, "depth", "id", "vector"))
+    rest = at.select(*node, "depth", "id", "vector", F.lit(False).alias("whole"))
+    return rest if done is None else done.union(rest)
 
 
 def _number(*parts) -> int:
@@ -144,13 +155,19 @@ def _leaf_rows(cells: DataFrame, threshold: float) -> DataFrame:
         frame = frame.sort_by("id")  # whatever the order of arrival, the same leaves
         ids, x = frame.column("id").to_numpy(), _units(frame.column("vector").combine_chunks())
         depth = frame.column("depth")[0].as_py()
+        if not path and not depth and any(_unsplit(x, t, threshold) for t in range(tree)):
+            return pa.table({"id": ids[:0], "leaf": np.empty(0, np.int64)})  # an earlier tree compares all pairs
         parts = list(leaves(x, tree, depth, threshold))
         out = np.concatenate([ids[p] for p in parts])
         number = np.concatenate([np.full(len(p), _number(label, dim, tree, path, k), np.int64) for k, p in enumerate(parts)])
         return pa.table({"id": out, "leaf": number})
 
     kind = cells.schema["id"].dataType
-    return cells.groupBy("label", "dim", "tree", "path").applyInArrow(split, T.StructType().add("id", kind).add("leaf", "long"))
+    small = cells.where(~F.col("whole")).drop("whole").groupBy("label", "dim", "tree", "path")
+    own = small.applyInArrow(split, T.StructType().add("id", kind).add("leaf", "long"))
+    # a whole label is the same leaf in every tree
+    number = F.shiftrightunsigned(F.xxhash64("label", "dim", F.when(F.col("path") != "", F.col("tree")).otherwise(-1), "path"), 1)
+    return own.union(cells.where("whole").select("id", number.alias("leaf")).distinct())
 
 
 def _compare(a: tuple, b: tuple | None, leaf: int, threshold: float):
