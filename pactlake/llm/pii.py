@@ -4,7 +4,9 @@ The protected entities are the values that the patterns find. A term t in the wi
 discloses PMI(e; t) = log2(n_et * N / (n_e * n_t)) bits of the IC(e) = log2(N / n_e) bits that name e
 (Sanchez and Batet, 2013), with n counted in documents of the whole corpus. A term whose share
 PMI / IC reaches GENERALISE is generalised wherever it stands, from REMOVE on it is removed. A term
-needs MIN_CONTEXTS different surroundings beside the entity, so that copies of one text prove nothing.
+needs MIN_CONTEXTS different surroundings beside the entity, in one document or several, so that copies
+of one text prove nothing; of an entity that fewer different texts have, but two at least, it needs as
+many surroundings as texts, and not all in one text.
 """
 
 from __future__ import annotations
@@ -86,9 +88,9 @@ def _outside(spans: list[tuple[str, int, int]], start: int, end: int) -> bool:
     return all(end <= a or start >= b for _, a, b in spans)
 
 
-def _evidence(text: str, spans: list[tuple[str, int, int]]) -> dict[tuple[str, str], int]:
-    """(entity, term) of the terms within WINDOW terms of an entity: a hash of one surrounding each."""
-    out: dict[tuple[str, str], int] = {}
+def _evidence(text: str, spans: list[tuple[str, int, int]]) -> dict[tuple[str, str], set[int]]:
+    """(entity, term) of the terms within WINDOW terms of an entity: a hash of each surrounding."""
+    out: dict[tuple[str, str], set[int]] = {}
     for kind, start, end in spans:
         name = entity(kind, text[start:end])
         far = 64 * WINDOW  # characters; a longer word ends the window
@@ -98,7 +100,7 @@ def _evidence(text: str, spans: list[tuple[str, int, int]]) -> dict[tuple[str, s
         words = [m[0].lower() for m in before + after]
         for k, word in enumerate(words):
             around = "\0".join([words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""])
-            out.setdefault((name, word), xxhash.xxh64_intdigest(around) >> 1)
+            out.setdefault((name, word), set()).add(xxhash.xxh64_intdigest(around) >> 1)
     return out
 
 
@@ -134,21 +136,25 @@ def disclosing_terms(df: DataFrame, text: str = "text") -> DataFrame:
             for (x,) in rows:
                 if x and _MAYBE.search(x):
                     text = x.decode()
-                    spans = base_spans(text)
-                    yield from {(entity(k, text[a:b]), "", 0) for k, a, b in spans}
-                    for (e, t), around in _evidence(text, spans).items():
-                        yield e, t, around
+                    spans, whole = base_spans(text), xxhash.xxh64_intdigest(x) >> 1
+                    yield from {(entity(k, text[a:b]), "", whole, 1, whole) for k, a, b in spans}
+                    for (e, t), surroundings in _evidence(text, spans).items():
+                        for k, around in enumerate(surroundings):  # a document counts once
+                            yield e, t, around, int(k == 0), whole
 
         return run
 
-    schema = T.StructType().add("e", "string").add("t", "string").add("around", "long")
+    schema = T.StructType().add("e", "string").add("t", "string").add("around", "long").add("document", "long").add("whole", "long")
     # copies of one surrounding are one row with a count before anything is written
-    seen = scan_texts(df, [text], schema, start).groupBy("e", "t", "around").agg(F.count(F.lit(1)).alias("n"))
-    seen = materialize(seen)
+    seen = scan_texts(df, [text], schema, start).groupBy("e", "t", "around")
+    seen = materialize(seen.agg(F.sum("document").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")))
     n = df.count()
-    of_entity = seen.where(F.col("t") == "").select("e", F.col("n").alias("n_e"))
-    pairs = seen.where(F.col("t") != "").groupBy("e", "t").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("contexts"))
-    pairs = materialize(pairs.where(F.col("contexts") >= MIN_CONTEXTS))
+    of_entity = seen.where(F.col("t") == "").groupBy("e").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts"))
+    pairs = seen.where(F.col("t") != "").groupBy("e", "t")
+    pairs = pairs.agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("contexts"), (F.min("least") != F.max("most")).alias("apart"))
+    rare = F.col("texts").between(2, MIN_CONTEXTS - 1) & F.col("apart") & (F.col("contexts") >= F.col("texts"))
+    pairs = pairs.where(F.col("contexts") >= 2).join(of_entity, "e").where((F.col("contexts") >= MIN_CONTEXTS) | rare)
+    pairs = materialize(pairs)
     terms = materialize(pairs.select(F.col("t").alias("term")).distinct())
     if terms.isEmpty():
         return terms.withColumn("share", F.lit(0.0))
@@ -157,7 +163,7 @@ def disclosing_terms(df: DataFrame, text: str = "text") -> DataFrame:
         found = frozenset(r["term"] for r in block.toLocalIterator())  # BLOCK_TERMS at most, about
         part = _count_terms(df, text, found)
         counted = part if counted is None else counted.union(part)
-    joined = pairs.join(counted.withColumnRenamed("term", "t"), "t").join(of_entity, "e")
+    joined = pairs.join(counted.withColumnRenamed("term", "t"), "t")
     pmi = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t")))
     share = F.when(F.col("n_e") < n, pmi / F.log2(F.lit(float(n)) / F.col("n_e"))).otherwise(0.0)
     shares = joined.groupBy(F.col("t").alias("term")).agg(F.max(share).alias("share"))

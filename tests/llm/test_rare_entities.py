@@ -1,0 +1,16 @@
+"""Terms beside entities that few documents have."""
+
+import pytest
+
+from pactlake.llm import pii
+
+
+@pytest.mark.parametrize("copies", [1, 5])
+def test_terms_of_rare_entities(spark, copies):
+    one = "alpha Zorblatt writes zorb@x.com nice words then bravo Zorblatt calls zorb@x.com again while delta Zorblatt sleeps"
+    two = ["early Quibbler answers quib@y.org today", "later Quibbler forgot quib@y.org somewhere"]
+    once = "lonely Marvolo asks marv@z.org something"
+    others = "alpha writes nice words then bravo calls again while delta sleeps early answers today later forgot somewhere lonely asks something"
+    rows = [one, *two, once] * copies + [f"{others} n{k}" for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(r["term"] for r in pii.disclosing_terms(df).collect()) == ["quibbler", "zorblatt"]
