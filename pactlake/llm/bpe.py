@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
 
 import pandas as pd
 import regex
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, table
+from .common import map_texts, table, text_of
 
 #: Entries of each half of a worker's memory of words and of fragments: when the new half is full it
 #: becomes the old one, from which words that come again are taken over. Longer words aren't kept.
@@ -28,7 +27,9 @@ MEMO_WORDS, MEMO_LENGTH = 200_000, 32
 LONG = 64
 #: Control characters that str.split() takes for white space and the pre-tokenizer doesn't.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
-#: From this code point on, letters and numbers differ between Unicode versions: the library splits such words itself.
+_SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: From this code point on, letters, numbers and cases differ between Unicode versions: words with such
+#: characters are normalized and split by the library itself.
 STABLE_BELOW = "\u0250"
 
 
@@ -67,6 +68,7 @@ class ForcedBoundaryBPE:
         self.old_fragments: dict[str, list[int]] = {}
         self.memo: dict[str, tuple[int, str, str]] = {}
         self.old_memo: dict[str, tuple[int, str, str]] = {}
+        self.normals: dict[str, str] = {}
 
     def cut(self, word: str) -> list[str]:
         """Fragments of a word of byte symbols, cut where a pair occurs inside no token."""
@@ -153,14 +155,24 @@ class ForcedBoundaryBPE:
         return [i for w in words for i in self.word_ids(w)]
 
     def chunks(self, text: str) -> list[str]:
-        """Normalized chunks of a text without special tokens. Letters lose their case one by one, so
-        a final sigma is like any other."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
-        if _SEPARATORS.search(text):
-            return [c for c in regex.split(r"[ \t-\r\x85\xa0  -     　]+", text) if c]
-        return text.split()
+        """Normalized chunks of a text without special tokens: what white space parts, in lower case. No
+        character of white space composes with another, so chunks can be normalized one by one."""
+        wide = not text.isascii() and max(text) >= STABLE_BELOW
+        text = text if wide else text.lower()
+        found = [c for c in _SPACE.split(text) if c] if _SEPARATORS.search(text) else text.split()
+        return [self.normal(c) for c in found] if wide else found
+
+    def normal(self, chunk: str) -> str:
+        if chunk.isascii() or max(chunk) < STABLE_BELOW:
+            return chunk.lower()
+        known = self.normals.get(chunk)
+        if known is None:
+            known = self.library.normalizer.normalize_str(chunk)
+            if len(chunk) <= MEMO_LENGTH:
+                if len(self.normals) >= MEMO_WORDS:
+                    self.normals.clear()
+                self.normals[chunk] = known
+        return known
 
     def summed(self, chunk: str) -> tuple[int, str, str]:
         """Of a chunk: how many ids, the ids in decimal, and what they decode to."""
@@ -216,7 +228,8 @@ def encode(df: DataFrame, tokenizer: str | None = None, text: str = "text", keep
     """Columns `keep` (all but the text, if None), n_tokens and ids of every whole text.
 
     tokenizer: path of a tokenizer file on the driver; its text, of fixed size, is broadcast. A null
-    text is encoded as the empty one: no ids. Repeated rows stay repeated.
+    text is encoded as the empty one: no ids; bytes that aren't UTF-8 count as U+FFFD. Repeated rows stay
+    repeated. A kept column of the name of a result column gives way to it.
     """
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
@@ -225,7 +238,7 @@ def encode(df: DataFrame, tokenizer: str | None = None, text: str = "text", keep
         bpe = _encoder(shared.value)
 
         def one(x):
-            ids = bpe.encode((x or b"").decode())
+            ids = bpe.encode(text_of(x))
             return len(ids), ids
 
         return one
@@ -256,7 +269,7 @@ def digests(df: DataFrame, tokenizer: str | None = None, text: str = "text", kee
         bpe = _encoder(shared.value)
 
         def one(x):
-            parts = [p for p in bpe.parts((x or b"").decode()) if p[0]]
+            parts = [p for p in bpe.parts(text_of(x)) if p[0]]
             ids, decoded = " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
             return sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 _own_folder: dict[str, str] = {}
+#: Folders of the steps written by this process, oldest first.
+_steps: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,39 +25,82 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset
-    (tests, one machine), a temporary folder of this process."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset on one
+    machine (as in tests), a temporary folder of this process. On a cluster it must be set."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _own_folder:
-        _own_folder["dir"] = "file://" + tempfile.mkdtemp(prefix="shared-")
+        folder = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_folder["dir"] = "file://" + folder
     return _own_folder["dir"]
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and rereads it: cuts the lineage, survives lost
-    executors, keeps column statistics."""
+    executors, keeps column statistics. The step stays until drop_steps(), or own_steps(), deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _steps.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(paths: Iterable[str]) -> None:
+    from pyarrow import fs
+
+    for p in paths:
+        store, path = fs.FileSystem.from_uri(p)
+        if store.get_file_info(path).type == fs.FileType.Directory:
+            store.delete_dir(path)
+        _steps.remove(p)
+
+
+def drop_steps() -> None:
+    """Deletes the steps that this process has written, once no result that reads them is needed."""
+    _delete(list(_steps))
+
+
+@contextmanager
+def own_steps():
+    """Of the steps written inside, only the last one, the block's result, stays; earlier ones go."""
+    before = set(_steps)
+    yield
+    _delete([p for p in _steps[:-1] if p not in before])
+
+
+def unused(columns: Iterable[str], name: str) -> str:
+    """The name, with as many underscores as it takes to be none of the columns'."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_of(x: bytes | None) -> str:
+    """A text from its bytes, in all operators alike: null is the empty text, and what isn't UTF-8 is U+FFFD."""
+    return (x or b"").decode("utf-8", "replace")
+
+
 def held_out(doc_id: str, parts: int, part: int):
     """crc32 of doc_id as text, modulo parts, equals part. A null doc_id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(parts)) == part
 
 
 #: Rows of a batch of texts, read and sent to Python, for sessions that keep Spark's own numbers: 4096 and
-#: 10,000 long texts are tens of MB a task, in arrays that the heap can only grow for.
+#: 10,000 long texts are tens of MB a task, in arrays that the heap can only grow for. Both are read when a
+#: plan runs, so they are set for the session and stay.
 SMALL_BATCHES = {
     "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"),
     "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
 }
 
 
-def _small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession) -> None:
     for name, (default, small) in SMALL_BATCHES.items():
         if spark.conf.get(name) == default:
             spark.conf.set(name, small)
@@ -69,18 +117,19 @@ def map_texts(
     text_col: str,
     keep: list[str],
     out: T.StructType,
-    start: Callable[[], Callable[[bytes | None], tuple]],
+    start: Callable[[], Callable[..., tuple]],
     part: int = 256,
+    beside: tuple[str, ...] = (),
 ) -> DataFrame:
     """One Arrow pass without a shuffle: the columns `keep`, then those of `out`, computed from
-    the whole text by what start() returns (start runs once a task). A kept column whose name `out`
-    also has is replaced; other columns of df are ignored."""
-    _small_batches(df.sparkSession)
+    the whole text, and the columns `beside`, by what start() returns (start runs once a task). A kept
+    column whose name `out` also has is replaced; other columns of df are ignored."""
+    small_batches(df.sparkSession)
     names = {f.name.lower() for f in out}
     keep = [c for c in keep if c.lower() not in names]
     own = [F.col(f"`{c}`") for c in keep]
     read = keep.index(text_col) if text_col in keep and dict(df.dtypes)[text_col] == "string" else len(keep)
-    source = df.select(*own, *([F.col(f"`{text_col}`").cast("string").alias("__text__")] if read == len(keep) else []))
+    source = df.select(*own, *([F.col(f"`{text_col}`").cast("string").alias("__text__")] if read == len(keep) else []), *beside)
     schema = T.StructType([source.schema[c] for c in keep] + list(out))
     added = to_arrow_schema(out)
 
@@ -89,7 +138,7 @@ def map_texts(
         for whole in batches:
             for at in range(0, whole.num_rows, part):
                 batch = whole.slice(at, part)
-                rows = [one(x) for x in as_bytes(batch.column(read))]
+                rows = [one(*x) for x in zip(as_bytes(batch.column(read)), *[c.to_pylist() for c in batch.columns[batch.num_columns - len(beside) :]], strict=True)]
                 columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(added)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], [*keep, *added.names])
 
@@ -99,7 +148,7 @@ def map_texts(
 def scan_texts(df: DataFrame, columns: list[str], out: T.StructType, start: Callable[[], Callable[[Iterator[tuple]], Iterator[tuple]]], rows: int = 4096) -> DataFrame:
     """One Arrow pass that gives any number of rows: start() returns, once a task, a function from
     the rows of a partition (text columns as UTF-8 bytes) to its result rows."""
-    _small_batches(df.sparkSession)
+    small_batches(df.sparkSession)
     source = df.select(*[F.col(f"`{c}`") for c in columns])
     kinds = to_arrow_schema(out)
 
