@@ -2,16 +2,15 @@
 
 The protected entities are the values that the patterns find. A term t in the window of an entity e
 discloses PMI(e; t) = log2(n_et * N / (n_e * n_t)) bits of the IC(e) = log2(N / n_e) bits that name e
-(Sanchez and Batet, 2013), with n counted in documents of the whole corpus. A term whose share
-PMI / IC reaches GENERALISE is generalised wherever it stands, from REMOVE on it is removed. A term
-needs MIN_CONTEXTS different surroundings beside the entity, in one document or several, so that copies
-of one text prove nothing; of an entity that fewer different texts have, but two at least, it needs as
-many surroundings as texts, and not all in one text.
+(Sanchez and Batet, 2013), with n counted in documents of the whole corpus: n_et those in which t is in a
+window of e, n_e and n_t those that hold e, or t anywhere. A term whose share PMI / IC reaches GENERALISE
+is generalised wherever it stands in the documents that hold e beside it, from REMOVE on it is removed. A
+copy of a document adds as much to n_et as to n_e and n_t, so copies neither raise nor hide a share.
 """
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, materialize, scan_texts, table
+from .common import map_texts, materialize, scan_texts, table, text_of, unused
 
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "term")
-WINDOW, MIN_CONTEXTS, GENERALISE, REMOVE = 8, 3, 0.9, 0.98
-#: Terms that one pass over the texts holds in memory; more terms take more passes.
-BLOCK_TERMS = 200_000
+WINDOW, GENERALISE, REMOVE = 8, 0.9, 0.98
+#: Different terms that a task counts before it passes them on.
+COUNTED_TERMS = 200_000
+#: Bytes of found terms that are broadcast to their texts; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -84,155 +85,145 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(c for c in value if c.isdigit())}"
 
 
-def _outside(spans: list[tuple[str, int, int]], start: int, end: int) -> bool:
-    return all(end <= a or start >= b for _, a, b in spans)
+def _free_terms(text: str, spans: list[tuple[str, int, int]]) -> list[re.Match]:
+    """Terms of the text that overlap no span (given by start), in one sweep along both."""
+    covered: list[list[int]] = []
+    for _, start, end in spans:
+        if covered and start < covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], end)
+        else:
+            covered.append([start, end])
+    out, k, n = [], 0, len(covered)
+    for m in _TERM.finditer(text):
+        start, end = m.span()
+        while k < n and covered[k][1] <= start:
+            k += 1
+        if k == n or covered[k][0] >= end:
+            out.append(m)
+    return out
 
 
-def _evidence(text: str, spans: list[tuple[str, int, int]]) -> dict[tuple[str, str], set[int]]:
-    """(entity, term) of the terms within WINDOW terms of an entity: a hash of each surrounding."""
-    out: dict[tuple[str, str], set[int]] = {}
+def _evidence(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[str, str]]:
+    """(entity, term) of the WINDOW terms before and after each entity, however far."""
+    out: set[tuple[str, str]] = set()
+    terms = _free_terms(text, spans)
+    lower, starts = [m[0].lower() for m in terms], [m.start() for m in terms]
     for kind, start, end in spans:
         name = entity(kind, text[start:end])
-        far = 64 * WINDOW  # characters; a longer word ends the window
-        low = max(0, start - far)
-        before = [m for m in _TERM.finditer(text, low, start) if (m.start() > low or not low) and _outside(spans, *m.span())][-WINDOW:]
-        after = [m for m in _TERM.finditer(text, end, min(len(text), end + far)) if _outside(spans, *m.span())][:WINDOW]
-        words = [m[0].lower() for m in before + after]
-        for k, word in enumerate(words):
-            around = "\0".join([words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""])
-            out.setdefault((name, word), set()).add(xxhash.xxh64_intdigest(around) >> 1)
+        at = bisect.bisect_left(starts, start)  # terms from here on are behind the span, as none overlaps it
+        out.update((name, word) for word in lower[max(0, at - WINDOW) : at + WINDOW])
     return out
 
 
-def _count_terms(df: DataFrame, text: str, terms: frozenset[str]) -> DataFrame:
-    """(term, n): documents that hold each of the terms anywhere."""
-    shared = df.sparkSession.sparkContext.broadcast(terms)
+def _count_terms(df: DataFrame, text: str) -> DataFrame:
+    """(t, n_t): documents that hold each term anywhere."""
 
     def start():
         def run(rows):
-            wanted, count = shared.value, Counter()
+            count: Counter = Counter()
             for (x,) in rows:
-                if x:
-                    count.update(wanted.intersection(_TERM.findall(x.decode().lower())))
+                count.update(set(_TERM.findall(text_of(x).lower())))
+                if len(count) > COUNTED_TERMS:
+                    yield from count.items()
+                    count.clear()
             yield from count.items()
 
         return run
 
-    out = T.StructType().add("term", "string").add("n", "long")
-    return scan_texts(df, [text], out, start).groupBy("term").agg(F.sum("n").alias("n_t"))
-
+    out = T.StructType().add("t", "string").add("n", "long")
+    return scan_texts(df, [text], out, start).groupBy("t").agg(F.sum("n").alias("n_t"))
 
-def _blocks(terms: DataFrame) -> list[DataFrame]:
-    n = max(1, -(-terms.count() // BLOCK_TERMS))
-    return [terms.where(F.pmod(F.xxhash64("term"), F.lit(n)) == k) for k in range(n)]
 
-
-def disclosing_terms(df: DataFrame, text: str = "text") -> DataFrame:
-    """(term, share): terms of the whole corpus and the largest share of an entity that they disclose,
-    from GENERALISE on."""
+def _seen(df: DataFrame, text: str) -> DataFrame:
+    """(whole, e, t, n): entities, and the terms in their windows (t empty for the entity itself), of each
+    different text (by its hash), and how many documents have that text."""
 
     def start():
         def run(rows):
             for (x,) in rows:
                 if x and _MAYBE.search(x):
-                    text = x.decode()
-                    spans, whole = base_spans(text), xxhash.xxh64_intdigest(x) >> 1
-                    yield from {(entity(k, text[a:b]), "", whole, 1, whole) for k, a, b in spans}
-                    for (e, t), surroundings in _evidence(text, spans).items():
-                        for k, around in enumerate(surroundings):  # a document counts once
-                            yield e, t, around, int(k == 0), whole
+                    text, whole = text_of(x), _whole(x)
+                    spans = base_spans(text)
+                    yield from ((whole, e, "") for e in {entity(k, text[a:b]) for k, a, b in spans})
+                    yield from ((whole, e, t) for e, t in _evidence(text, spans))
 
         return run
 
-    schema = T.StructType().add("e", "string").add("t", "string").add("around", "long").add("document", "long").add("whole", "long")
-    # copies of one surrounding are one row with a count before anything is written
-    seen = scan_texts(df, [text], schema, start).groupBy("e", "t", "around")
-    seen = materialize(seen.agg(F.sum("document").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")))
-    n = df.count()
-    of_entity = seen.where(F.col("t") == "").groupBy("e").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts"))
-    pairs = seen.where(F.col("t") != "").groupBy("e", "t")
-    pairs = pairs.agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("contexts"), (F.min("least") != F.max("most")).alias("apart"))
-    rare = F.col("texts").between(2, MIN_CONTEXTS - 1) & F.col("apart") & (F.col("contexts") >= F.col("texts"))
-    pairs = pairs.where(F.col("contexts") >= 2).join(of_entity, "e").where((F.col("contexts") >= MIN_CONTEXTS) | rare)
-    pairs = materialize(pairs)
-    terms = materialize(pairs.select(F.col("t").alias("term")).distinct())
-    if terms.isEmpty():
-        return terms.withColumn("share", F.lit(0.0))
-    counted = None
-    for block in _blocks(terms):
-        found = frozenset(r["term"] for r in block.toLocalIterator())  # BLOCK_TERMS at most, about
-        part = _count_terms(df, text, found)
-        counted = part if counted is None else counted.union(part)
-    joined = pairs.join(counted.withColumnRenamed("term", "t"), "t")
-    pmi = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t")))
-    share = F.when(F.col("n_e") < n, pmi / F.log2(F.lit(float(n)) / F.col("n_e"))).otherwise(0.0)
-    shares = joined.groupBy(F.col("t").alias("term")).agg(F.max(share).alias("share"))
-    return materialize(shares.where(F.col("share") >= GENERALISE))
+    schema = T.StructType().add("whole", "long").add("e", "string").add("t", "string")
+    return materialize(scan_texts(df, [text], schema, start).groupBy("whole", "e", "t").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _whole(x: bytes) -> int:
+    """The hash of a text, as Spark's xxhash64()."""
+    h = xxhash.xxh64_intdigest(x, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _disclosing(df: DataFrame, seen: DataFrame, text: str) -> DataFrame:
+    n = float(df.count())
+    of_entity = seen.where(F.col("t") == "").groupBy("e").agg(F.sum("n").alias("n_e"))
+    pairs = seen.where(F.col("t") != "").groupBy("e", "t").agg(F.sum("n").alias("n_et")).join(of_entity, "e")
+    joined = pairs.join(_count_terms(df, text), "t")
+    pmi = F.log2(F.col("n_et") * F.lit(n) / (F.col("n_e") * F.col("n_t")))
+    share = F.when(F.col("n_e") < n, pmi / F.log2(F.lit(n) / F.col("n_e"))).otherwise(0.0)
+    return joined.select("e", "t", share.alias("share")).where(F.col("share") >= GENERALISE)
+
+
+def disclosing_terms(df: DataFrame, text: str = "text") -> DataFrame:
+    """(e, t, share): entities of the corpus, the terms that disclose them and how much, from GENERALISE on."""
+    return _disclosing(df, _seen(df, text), text)
+
+
+def _terms_of_texts(df: DataFrame, text: str) -> DataFrame:
+    """(whole, terms): of each text, by its hash, the terms that disclose its own entities, each with the
+    largest share."""
+    seen = _seen(df, text)
+    if seen.isEmpty():
+        return seen.select("whole", F.array().cast("array<struct<t:string,share:double>>").alias("terms"))
+    found = seen.where(F.col("t") != "").join(_disclosing(df, seen, text), ["e", "t"])
+    each = found.groupBy("whole", "t").agg(F.max("share").alias("share"))
+    # as many as a text has near its entities
+    return materialize(each.groupBy("whole").agg(F.collect_list(F.struct("t", "share")).alias("terms")))
 
 
 def _term_spans(text: str, terms: dict[str, float], spans: list[tuple[str, int, int]]) -> list[tuple[int, int, float]]:
-    return [(*m.span(), share) for m in _TERM.finditer(text) if (share := terms.get(m[0].lower())) and _outside(spans, *m.span())]
+    return [(*m.span(), share) for m in _free_terms(text, spans) if (share := terms.get(m[0].lower()))]
 
 
 def _place(span: tuple) -> tuple:
     return span[1], ALL_KINDS.index(span[0]), span[2]
 
 
-def _before(a, b):
-    """The order of _place() for array_sort()."""
-    kinds = F.array(*[F.lit(k) for k in ALL_KINDS])
-    key = lambda s: F.struct(s["start"], F.array_position(kinds, s["kind"]), s["end"])
-    return F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
-
-
 SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer").add("share", "double"))
 
 
-def find(df: DataFrame, keep: list[str], text: str = "text", clean: str | None = None) -> DataFrame:
-    """Columns `keep` and spans of every whole text: kind, start, end (code points, end exclusive),
+def find(df: DataFrame, keep: list[str], text: str = "text", clean: str | None = None, into: str = "spans") -> DataFrame:
+    """Columns `keep` and `into`, spans of every whole text: kind, start, end (code points, end exclusive),
     share (of disclosure, for the kind `term`), by start, then kind (email, ip, card, phone, term).
     clean: name of a further column, the redacted text.
 
-    A null text is the empty one and has no spans, and stays null redacted; repeated rows stay, and
-    count as documents in the statistics; empty tables give no rows; other columns are ignored.
+    A null text is the empty one and has no spans, and stays null redacted; bytes that aren't UTF-8 count
+    as U+FFFD; repeated rows stay, and count as documents in the statistics; empty tables give no rows;
+    other columns are ignored, and a kept column named as `into` or `clean` gives way.
     """
-    rows, blocks = df, _blocks(disclosing_terms(df, text))
-    whole = len(blocks) == 1
-    for k, block in enumerate(blocks):
-        shared = df.sparkSession.sparkContext.broadcast({r["term"]: r["share"] for r in block.toLocalIterator()})
-        last, first = k == len(blocks) - 1, k == 0
-
-        def start(shared=shared, first=first):
-            terms = shared.value
-
-            def one(x):
-                t = (x or b"").decode()
-                spans = base_spans(t)
-                more = [("term", a, b, s) for a, b, s in _term_spans(t, terms, spans)] if terms else []
-                spans = sorted([*[(*s, None) for s in spans if first], *more], key=_place)
-                return (spans, None if x is None else redact(t, spans)) if clean and whole else (spans,)
-
-            return one
-
-        out = T.StructType().add("spans", SPANS)
-        out = out.add(clean, "string") if clean and whole else out
-        carried = list(dict.fromkeys([*keep, *([] if last and not clean else [text])]))
-        rows = map_texts(rows, text, carried if first else [*carried, "__spans"], out, start)
-        if not first:
-            rows = rows.withColumn("spans", F.array_sort(F.concat("__spans", "spans"), _before)).drop("__spans")
-        if not last:
-            rows = materialize(rows.withColumnRenamed("spans", "__spans"))
-    if clean and not whole:
-        rows = rows.withColumn(clean, _cleaned(text, "spans"))
-    return rows.select(*keep, "spans", *([clean] if clean else []))
+    found = _terms_of_texts(df, text)
+    size = found.agg(F.sum(24 + F.aggregate("terms", F.lit(0), lambda n, x: n + F.octet_length(x["t"]) + 24))).first()[0] or 0
+    found = found.select(F.col("whole").alias("__whole"), F.col("terms").alias("__terms"))
+    hashed = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])], F.xxhash64(F.col(f"`{text}`").cast("string")).alias("__whole"))
+    rows = hashed.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "__whole", "left")
 
+    def start():
+        def one(x, terms):
+            t = text_of(x)
+            spans = base_spans(t)
+            more = _term_spans(t, {r["t"]: r["share"] for r in terms}, spans) if terms else []
+            spans = sorted([*[(*s, None) for s in spans], *[("term", *s) for s in more]], key=_place)
+            return (spans, None if x is None else redact(t, spans)) if clean else (spans,)
 
-def _cleaned(text: str, spans: str):
-    @F.udf("string", useArrow=True)
-    def cleaned(t, found):
-        return None if t is None else redact(t, [(s["kind"], s["start"], s["end"], s["share"]) for s in found])
+        return one
 
-    return cleaned(text, spans)
+    out = T.StructType().add(into, SPANS)
+    return map_texts(rows, text, keep, out.add(clean, "string") if clean else out, start, beside=("__terms",))
 
 
 def redact(text: str, spans: list) -> str:
@@ -249,8 +240,9 @@ def redact(text: str, spans: list) -> str:
 def redacted(df: DataFrame, text: str = "text") -> DataFrame:
     """df with every span of its texts redacted. Null texts stay null; columns stay as they are."""
     names = df.columns
-    own = F.col("__clean").alias(text)
-    return find(df, names, text, "__clean").select(*[own if c == text else F.col(f"`{c}`") for c in names])
+    spans, clean = unused(names, "spans"), unused(names, "clean")
+    own = F.col(clean).alias(text)
+    return find(df, names, text, clean, spans).select(*[own if c == text else F.col(f"`{c}`") for c in names])
 
 
 def op8_pii_disclosure(spark, sf_dir: str) -> DataFrame:
