@@ -9,7 +9,6 @@ a logistic curve fitted on margins of folds that the model didn't see.
 from __future__ import annotations
 
 import itertools
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +19,9 @@ from pyspark.sql import types as T
 from .common import held_out, map_texts, table
 
 BITS, ORDERS = 18, (1, 2, 3, 4)
-#: Runs of a word that equals its neighbour have indicators of their own: n-grams of "the same again".
+#: Runs of a word that equals its neighbour have indicators of their own, behind those of the n-grams.
 REPEATS = (1, 2, 3, 4)
+SIZE = (1 << BITS) + len(REPEATS)
 #: Labelled rows of each class that the model is fitted on, the first by a hash of their doc_id.
 TRAIN_ROWS = 4000
 SMOOTHING, COST, EPOCHS, FOLDS, SEED = 1.0, 1.0, 12, 3, 42
@@ -32,7 +32,7 @@ class Indicators:
     """Places of the n-grams that occur in a text, each once; the flags are reused from text to text."""
 
     def __init__(self):
-        self.flags = np.zeros(1 << BITS, np.bool_)
+        self.flags = np.zeros(SIZE, np.bool_)
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         codes = np.frombuffer(text or b"", np.uint8).astype(np.uint32) + 1
@@ -46,26 +46,57 @@ class Indicators:
             self.flags[(mixed * _PRIMES[3]) >> np.uint32(32 - BITS)] = True
         words = text.split() if text else []
         same = bytes([a == b for a, b in itertools.pairwise(words)])
-        for n in REPEATS:
-            self.flags[n] |= same.find(b"\x01" * n) >= 0
+        for k, n in enumerate(REPEATS):
+            self.flags[(1 << BITS) + k] = b"\x01" * n in same
         places = np.flatnonzero(self.flags)
         self.flags[places] = False
         return places
 
 
-def log_count_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    sums = np.full((2, 1 << BITS), SMOOTHING)
-    for places, label in zip(rows, y.tolist(), strict=True):
-        sums[label, places] += 1
+def pack(places: np.ndarray) -> bytes:
+    """Places as their list or as SIZE bits, whichever is shorter: 32 KB at most, whatever the text."""
+    if 4 * len(places) < SIZE // 8:
+        return b"l" + places.astype("<i4").tobytes()
+    flags = np.zeros(SIZE, np.bool_)
+    flags[places] = True
+    return b"b" + np.packbits(flags).tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    if packed[:1] == b"l":
+        return np.frombuffer(packed, "<i4", offset=1)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, offset=1), count=SIZE))
+
+
+class Packed:
+    """Sets of places, kept packed and unpacked one at a time."""
+
+    def __init__(self, rows: list[bytes]):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return unpack(self.rows[k])
+
+    def take(self, at: np.ndarray) -> Packed:
+        return Packed([self.rows[k] for k in at.tolist()])
+
+
+def log_count_ratio(rows: Packed | list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    sums = np.full((2, SIZE), SMOOTHING)
+    for k, label in enumerate(y.tolist()):
+        sums[label, rows[k]] += 1
     shares = sums / sums.sum(axis=1, keepdims=True)
     return np.log(shares[1] / shares[0])
 
 
-def descend(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+def descend(rows: Packed | list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Weights (the last one is the bias) of the squared hinge loss with L2 penalty, one dual
     coordinate at a time. rows: the places of each row, where it has the values scale[place]."""
     w, alpha, sign = np.zeros(len(scale) + 1), np.zeros(len(rows)), 2.0 * y - 1
-    norms = np.array([np.square(scale[p]).sum() + 1.0 for p in rows])
+    norms = np.array([np.square(scale[rows[k]]).sum() + 1.0 for k in range(len(rows))])
     diagonal = 0.5 / cost
     random = np.random.default_rng(SEED)
     for _ in range(EPOCHS):
@@ -114,17 +145,17 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(places) + self.offset, -35, 35))))
 
 
-def _fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
+def _fit(rows: Packed, y: np.ndarray) -> Model:
     ratio = log_count_ratio(rows, y)
     # one scale for all, so that short texts, with little evidence, stay near the bias
-    ratio /= np.sqrt(np.mean([np.square(ratio[p]).sum() for p in rows])) or 1.0
+    ratio /= np.sqrt(np.mean([np.square(ratio[rows[k]]).sum() for k in range(len(rows))])) or 1.0
     share = y.mean()
     cost = COST * np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     w = descend(rows, ratio, y, cost)
     return Model((ratio * w[:-1]).astype(np.float32), float(w[-1]), 1.0, 0.0)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, totals: tuple[int, int]) -> Model | float:
+def fit(rows: Packed, y: np.ndarray, totals: tuple[int, int]) -> Model | float:
     """The model of labelled indicator sets, from classes of these totals. With one class only, its
     label; without rows, 0.5."""
     if len(y) == 0 or y.min() == y.max():
@@ -135,7 +166,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, totals: tuple[int, int]) -> Model
         seen, other = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if y[seen].min() == y[seen].max():
             continue
-        part = _fit([rows[i] for i in seen], y[seen])
+        part = _fit(rows.take(seen), y[seen])
         margins[other] = [part.margin(rows[i]) for i in other]
     model = _fit(rows, y)
     model.slope, model.offset = logistic(margins, y, totals)
@@ -147,7 +178,7 @@ def labelled(labels: DataFrame, column: str, parts: int, part: int, rows: int =
     a hash of the id; and how many there are of each. A doc_id with both labels counts as 1; other
     label values are ignored."""
     y = F.col(column).cast("int")
-    known = labels.where(y.isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", parts, part))
+    known = labels.select("doc_id", column).where(y.isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", parts, part))
     known = known.groupBy("doc_id").agg(F.max(y).alias("y"))
     hashed = F.xxhash64(F.col("doc_id"), F.lit(SEED))
     first = [known.where(F.col("y") == c).orderBy(hashed, "doc_id").limit(rows) for c in (0, 1)]
@@ -158,34 +189,31 @@ def labelled(labels: DataFrame, column: str, parts: int, part: int, rows: int =
 def indicators(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     def start():
         of = Indicators()
-        return lambda x: (zlib.compress(np.diff(of(x), prepend=0).astype("<i4").tobytes(), 1),)
+        return lambda x: (pack(of(x)),)
 
     return map_texts(df, text, keep, T.StructType().add("places", "binary"), start)
 
 
 def train(documents: DataFrame, labels: DataFrame, column: str = "quality", parts: int = 3, part: int = 1, text: str = "text") -> Model | float:
     """The model of labelled documents outside the held-out part: at most 2 * TRAIN_ROWS of them, of
-    whole texts, of which only the places of their n-grams come to the driver (1 MB each at most)."""
+    whole texts, of which only the places of their n-grams come to the driver (32 KB each at most)."""
     ids, totals = labelled(labels, column, parts, part)
-    rows = documents.join(F.broadcast(ids), "doc_id").select("y", F.col(f"`{text}`").alias("text"))
-    few = indicators(rows, ["y"], "text").orderBy(F.xxhash64("places"), "places", "y").limit(2 * TRAIN_ROWS)
-    rows, y = [], []
-    for r in few.collect():
-        rows.append(np.cumsum(np.frombuffer(zlib.decompress(r["places"]), "<i4"), dtype=np.int32))
-        y.append(r["y"])
-    return fit(rows, np.array(y, np.int64), totals)
-
-
-def score(df: DataFrame, model: Model | float, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns `keep` and score (0 to 1, higher: good quality likelier) of every whole text. A null
-    text counts as the empty one, which gets the score of a text without any n-gram."""
+    own = documents.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(ids), "doc_id")
+    few = indicators(own, ["y"], "text").orderBy(F.xxhash64("places"), "places", "y").limit(2 * TRAIN_ROWS).collect()
+    return fit(Packed([bytes(r["places"]) for r in few]), np.array([r["y"] for r in few], np.int64), totals)
+
+
+def score(df: DataFrame, model: Model | float, keep: list[str], text: str = "text", into: str = "score") -> DataFrame:
+    """Columns `keep` and `into` (0 to 1, higher: good quality likelier) of every whole text. A null
+    text counts as the empty one, which gets the score of a text without any n-gram. A kept column named
+    as `into` gives way."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def start():
         of, m = Indicators(), shared.value
         return lambda x: ((m if isinstance(m, float) else m.score(of(x))),)
 
-    return map_texts(df, text, keep, T.StructType().add("score", "double"), start)
+    return map_texts(df, text, keep, T.StructType().add(into, "double"), start)
 
 
 def op9_quality_nbsvm(spark, sf_dir: str) -> DataFrame:
