@@ -11,6 +11,7 @@ wasn't learned from, gives the score.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -21,17 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, map_texts, materialize, scan_texts, table
+from .common import held_out, map_texts, materialize, scan_texts, table, text_of
 from .quality import labelled
 
-#: Bounds: labelled rows of each class; candidate terms; terms of the lexicon.
-TRAIN_ROWS, MAX_CANDIDATES, MAX_LEXICON = 8000, 20_000, 2000
-STEM_LENGTHS, MAX_WORD = range(4, 9), 40
+#: Labelled rows of each class that the model is fitted on.
+TRAIN_ROWS = 8000
+STEM_LENGTHS = range(4, 9)
 #: A term's least log odds, and the least share of toxic texts that it must still explain; a text
 #: is explained by COVER terms.
 MIN_ODDS, MIN_GAIN, COVER = 3.0, 0.004, 3
-#: Share of toxic texts that hold a term, from which it also matches misspelled.
-MIN_SHARE = 0.02
+#: Clean texts with words that look like a misspelled term, for each toxic text with the term, from which
+#: it matches exactly only.
+COLLISIONS = 0.25
 #: Texts of three: two teach the lexicon, one the weights.
 FOLDS, SEED = 3, 42
 WINDOW, QUOTE_SPAN = 5, 80
@@ -58,6 +60,7 @@ class FuzzyTrie:
     def __init__(self, terms: list[tuple[str, bool, int]]):
         self.children: list[dict[str, int]] = [{}]
         self.word, self.stem, self.most = [-1], [-1], [0]
+        self.ends: dict[int, list[tuple[str, bool]]] = {}
         for term, stem, k in terms:
             at = 0
             self.most[0] = max(self.most[0], k)
@@ -71,6 +74,7 @@ class FuzzyTrie:
                 at = self.children[at][c]
                 self.most[at] = max(self.most[at], k)
             (self.stem if stem else self.word)[at] = k
+            self.ends[at] = self.ends.get(at, []) + [(term, stem)]
         self.reset()
 
     def reset(self) -> None:
@@ -79,6 +83,7 @@ class FuzzyTrie:
         self.steps: list[dict[str, int]] = []
         self.found: list[int] = []  # least edits of a word that ends here, or -1
         self.sticky: list[int] = []  # least edits of a stem that ends here, or -1
+        self.nearest: list[tuple[int, int]] = []  # the terms (by node) of both
         self.start = self._state(self._close({0: 0}))
 
     def _close(self, nodes: dict[int, int]) -> dict[int, int]:
@@ -98,9 +103,11 @@ class FuzzyTrie:
             self.ids[key] = len(self.sets)
             self.sets.append(nodes)
             self.steps.append({})
-            least = lambda ends: min((e for n, e in nodes.items() if e <= ends[n]), default=-1)
-            self.found.append(least(self.word))
-            self.sticky.append(least(self.stem))
+            least = lambda ends: min(((e, n) for n, e in nodes.items() if e <= ends[n]), default=(-1, -1))
+            word, stem = least(self.word), least(self.stem)
+            self.found.append(word[0])
+            self.sticky.append(stem[0])
+            self.nearest.append((word[1], stem[1]))
         return self.ids[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -118,6 +125,19 @@ class FuzzyTrie:
         self.steps[state][c] = to
         return to
 
+    def near(self, word: str) -> set[int]:
+        """The nodes of the terms that match with least edits at their places in the word."""
+        if len(self.sets) > MAX_STATES:
+            self.reset()
+        out, state = set(), self.start
+        for c in word:
+            state = self.steps[state].get(c) if c in self.steps[state] else self._step(state, c)
+            if state < 0:
+                return out
+            if self.sticky[state] >= 0:
+                out.add(self.nearest[state][1])
+        return out | ({self.nearest[state][0]} if self.found[state] >= 0 else set())
+
     def match(self, word: str) -> int:
         """Edits of the nearest term, or -1."""
         if len(self.sets) > MAX_STATES:
@@ -148,7 +168,6 @@ class Lexicon:
     def match(self, word: str) -> int:
         if self.trie is None:
             self.trie = FuzzyTrie(self.terms)
-        word = word[:MAX_WORD]
         e = self.trie.match(word)
         if e < 0 and not word.isalpha():
             e = max(-1, self.trie.match(word.translate(_LEET)))
@@ -180,7 +199,7 @@ def features(text: bytes | None, lexicon: Lexicon) -> np.ndarray:
     out = np.zeros(len(FEATURES))
     if not text or not lexicon.terms:
         return out
-    lower = text.decode().lower()
+    lower = text_of(text).lower()
     hits = {w: e for w in set(_WORD.findall(lower)) if (e := lexicon.match(w)) >= 0}
     if not hits:
         return out
@@ -200,13 +219,14 @@ def features(text: bytes | None, lexicon: Lexicon) -> np.ndarray:
 
 
 def _terms(text: bytes) -> set[tuple[str, bool]]:
-    words = {w for w in _WORD.findall(text.decode().lower()) if w.isalpha() and len(w) <= MAX_WORD}
+    words = {w for w in _WORD.findall(text_of(text).lower()) if w.isalpha()}
     return {(w, False) for w in words if len(w) >= 3} | {(w[:n], True) for n in STEM_LENGTHS for w in words if len(w) >= n}
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
     """From rows (y, text): greedily, the terms that still explain most toxic texts. Equal texts count
-    once. Bounded by MAX_CANDIDATES and MAX_LEXICON."""
+    once. As each term adds MIN_GAIN of the texts at least, and a text counts COVER times at most, there are
+    COVER / MIN_GAIN terms at most; candidates are as many as the bounded sample has."""
     rows = rows.groupBy("y", "text").agg(F.count(F.lit(1)).alias("n")).select("y", "text")
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
@@ -231,8 +251,8 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     )
     odds = F.log((F.col("t1") + 0.5) / (n1 + 1)) - F.log((F.col("t0") + 0.5) / (n0 + 1))
     least = max(3, int(MIN_GAIN * n1))
-    few = counts.where((F.col("t1") >= least) & (odds >= MIN_ODDS)).orderBy(F.desc("t1"), "t0", "term", "stem").limit(MAX_CANDIDATES)
-    candidates = [(r["term"], r["stem"]) for r in few.collect()]
+    few = counts.where((F.col("t1") >= least) & (odds >= MIN_ODDS))
+    candidates = [(r["term"], r["stem"]) for r in sorted(few.toLocalIterator(), key=lambda r: (-r["t1"], r["t0"], r["term"], r["stem"]))]
     number = {c: k for k, c in enumerate(candidates)}
     shared = rows.sparkSession.sparkContext.broadcast(number)
 
@@ -260,20 +280,23 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
             inside[c].append(k)
     left, gain = np.full(len(texts), COVER), np.array([len(x) for x in inside])
     chosen: list[tuple[str, bool, int]] = []
-    share = np.array([len(x) for x in inside]) / max(1, len(texts))
-    while len(gain) and len(chosen) < MAX_LEXICON:
+    ordered = sorted(range(len(candidates)), key=lambda k: candidates[k][0])
+    names = [candidates[k][0] for k in ordered]
+    while len(gain):
         # the largest gain; a word before a stem of as many texts, a longer stem before a shorter one
         top = np.flatnonzero(gain == gain.max())
         best = int(min(top, key=lambda k: (candidates[k][1], -len(candidates[k][0]), candidates[k][0])))
         if gain[best] < least:
             break
         term, stem = candidates[best]
-        chosen.append((term, stem, edits(term, stem) if share[best] >= MIN_SHARE else 0))
+        chosen.append((term, stem, edits(term, stem)))
         done = set(inside[best])
-        for k, (t, s) in enumerate(candidates):
-            if (stem and t.startswith(term)) or t == term:  # what the term matches needs no term of its own
-                gain[k] = 0
-            elif s and term.startswith(t):  # a stem of the term counts by the other texts
+        at = bisect.bisect_left(names, term)
+        while at < len(names) and names[at].startswith(term) and (stem or names[at] == term):  # what the term matches needs no term of its own
+            gain[ordered[at]] = 0
+            at += 1
+        for n in range(len(term)):  # a stem of the term counts by the other texts
+            if (k := number.get((term[:n], True))) is not None and gain[k]:
                 inside[k] = [d for d in inside[k] if d not in done]
                 gain[k] = sum(left[d] > 0 for d in inside[k])
         for doc in done:
@@ -284,22 +307,38 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     return Lexicon(chosen)
 
 
-def _harmless(rows: DataFrame, lexicon: Lexicon) -> frozenset[str]:
-    """Words that match with edits and stand in clean texts, MAX_CANDIDATES of them at most."""
+def settle(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
+    """The lexicon with words of clean texts that match with edits as harmless ones; terms that would
+    be taken for ever more of them (COLLISIONS) match exactly only. From rows (y, text) of the sample."""
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def start():
         def run(texts):
             counts: Counter = Counter()
-            for (x,) in texts:
-                counts.update(w for w in {w[:MAX_WORD] for w in _WORD.findall((x or b"").decode().lower())} if shared.value.match(w) > 0)
-            yield from counts.items()
+            trie = FuzzyTrie(shared.value.terms)
+            for y, x in texts:
+                words = set(_WORD.findall(text_of(x).lower()))
+                if y == 0:
+                    counts.update((w, None, 0) for w in words if shared.value.match(w) > 0)
+                else:
+                    counts.update((t, s, 1) for t, s in {e for w in words if shared.value.match(w) == 0 for n in trie.near(w) for e in trie.ends[n]})
+            yield from ((*k, n) for k, n in counts.items())
 
         return run
 
-    found = scan_texts(rows.where(F.col("y") == 0), ["text"], T.StructType().add("word", "string").add("n", "long"), start)
-    few = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(MAX_CANDIDATES)
-    return frozenset(r["word"] for r in few.collect())
+    schema = T.StructType().add("word", "string").add("stem", "boolean").add("y", "integer").add("n", "long")
+    found = scan_texts(rows, ["y", "text"], schema, start).groupBy("word", "stem", "y").agg(F.sum("n").alias("n"))
+    held: dict[tuple[str, bool], int] = {}
+    words: dict[str, int] = {}
+    for r in found.toLocalIterator():  # words of the bounded sample
+        if r["y"]:
+            held[r["word"], r["stem"]] = r["n"]
+        else:
+            words[r["word"]] = r["n"]
+    trie, taken = FuzzyTrie(lexicon.terms), Counter()
+    for w, n in words.items():
+        taken.update(dict.fromkeys((e for node in trie.near(w) for e in trie.ends[node]), n))
+    return Lexicon([(t, s, 0 if taken[t, s] > COLLISIONS * held.get((t, s), 0) else k) for t, s, k in lexicon.terms], frozenset(words))
 
 
 @dataclass
@@ -333,14 +372,15 @@ def train(documents: DataFrame, labels: DataFrame, column: str = "toxic", parts:
     """The model of labelled documents outside the held-out part, TRAIN_ROWS of each class at most.
     With one class only, its label; without rows, 0.5."""
     ids, totals = labelled(labels, column, parts, part, TRAIN_ROWS)
-    joined = documents.join(F.broadcast(ids), "doc_id").select("y", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    own = documents.select("doc_id", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    joined = own.join(F.broadcast(ids), "doc_id").select("y", "text")
     rows = materialize(joined.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(FOLDS))))
     seen = {r["y"] for r in rows.select("y").distinct().collect()}
     if len(seen) < 2:
         return float(seen.pop()) if seen else 0.5
     first, rest = rows.where(F.col("fold") > 0), rows.where(F.col("fold") == 0)
     lexicon = learn_lexicon(first)
-    lexicon = Lexicon(lexicon.terms, _harmless(first, lexicon))
+    lexicon = settle(first, lexicon)
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def start():
@@ -353,16 +393,17 @@ def train(documents: DataFrame, labels: DataFrame, column: str = "toxic", parts:
     return Model(lexicon, fit_weights(np.array([np.frombuffer(r["x"], "<f8") for r in found]), y, totals))
 
 
-def score(df: DataFrame, model: Model | float, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns `keep` and score (0 to 1, higher: toxic likelier) of every whole text. A null text
-    counts as the empty one, which holds no term."""
+def score(df: DataFrame, model: Model | float, keep: list[str], text: str = "text", into: str = "score") -> DataFrame:
+    """Columns `keep` and `into` (0 to 1, higher: toxic likelier) of every whole text. A null text
+    counts as the empty one, which holds no term; bytes that aren't UTF-8 are no letters. A kept column
+    named as `into` gives way."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def start():
         m = shared.value
         return lambda x: (m if isinstance(m, float) else m.score(features(x, m.lexicon)),)
 
-    return map_texts(df, text, keep, T.StructType().add("score", "double"), start)
+    return map_texts(df, text, keep, T.StructType().add(into, "double"), start)
 
 
 def op4_toxicity_levenshtein(spark, sf_dir: str) -> DataFrame:
