@@ -19,11 +19,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, held_out, map_texts, table
+from .common import as_bytes, held_out, map_texts, materialize, small_batches, table, text_of
 
 BITS, ORDERS = 15, (1, 2, 3)
-#: Bounds of what the model is fitted on: rows and languages (the most frequent), and landmarks among the rows.
-TRAIN_ROWS, MAX_LANGUAGES, LANDMARKS = 6000, 200, 400
+#: Bounds of the sample that the model is fitted on: texts of all languages together, but LEAST_ROWS of each
+#: however many they are; and landmarks among them, one for each language at least.
+TRAIN_ROWS, LEAST_ROWS, LANDMARKS = 6000, 20, 400
+#: The model has 128 KB a language; a column of more values than these is refused, none are left out.
+MOST_LANGUAGES = 5000
 RIDGE, SHARPNESS, SEED = 0.01, 6.0, 42
 UNKNOWN = "und"
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -49,10 +52,18 @@ class Spectrum:
         self.flags, self.letters = np.zeros(1 << BITS, np.bool_), _letters()
 
     def __call__(self, text: bytes | None) -> np.ndarray:
-        points = np.frombuffer((text or b"").decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), "<u4")
+        flags = self.set(text)
+        places = np.flatnonzero(flags)
+        flags[places] = False
+        return places
+
+    def set(self, text: bytes | None) -> np.ndarray:
+        """The same as flags, which the next call reuses."""
+        self.flags[:] = False
+        points = np.frombuffer(text_of(text).encode("utf-32-le", "surrogatepass"), "<u4")
         codes = self.letters[points]
         if not (codes != 32).any():
-            return np.empty(0, np.int64)
+            return self.flags
         codes = np.concatenate([[np.uint32(32)], codes, [np.uint32(32)]]).astype(np.uint32)
         for n in ORDERS:
             mixed = np.full(len(codes) - n + 1, n, np.uint32)
@@ -60,9 +71,7 @@ class Spectrum:
                 mixed = (mixed ^ codes[k : len(codes) - n + 1 + k]) * _PRIMES[k]
             mixed ^= mixed >> np.uint32(15)
             self.flags[(mixed * _PRIMES[3]) >> np.uint32(32 - BITS)] = True
-        places = np.flatnonzero(self.flags)
-        self.flags[places] = False
-        return places
+        return self.flags
 
 
 def dense(rows: list[np.ndarray]) -> np.ndarray:
@@ -101,7 +110,7 @@ def fit(rows: list[np.ndarray], languages: list[str]) -> Model | None:
     for c in range(len(names)):
         of = order[own[order] == c]
         turn[of] = np.arange(len(of))
-    chosen = order[np.argsort(turn[order], kind="stable")][:LANDMARKS]
+    chosen = order[np.argsort(turn[order], kind="stable")][: max(LANDMARKS, len(names))]
     marks = dense([rows[k] for k in chosen]).astype(np.float64)
     values, vectors = np.linalg.eigh(marks @ marks.T)
     whiten = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
@@ -117,34 +126,40 @@ def fit(rows: list[np.ndarray], languages: list[str]) -> Model | None:
 
 
 def train(documents: DataFrame, parts: int = 4, part: int = 2, text: str = "text", lang: str = "lang") -> Model | None:
-    """The model of documents that aren't held out and have a language: TRAIN_ROWS of whole texts at
-    most, an even number of each language, the first by a hash of doc_id and text."""
-    known = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out("doc_id", parts, part))
-    counts = known.groupBy(F.col(lang).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
+    """The model of documents that aren't held out and have a language: of every language as many different
+    texts, TRAIN_ROWS in all (LEAST_ROWS of each at least), the first by a hash of the whole text. Copies of
+    a text count once, so they crowd out neither texts nor languages."""
+    own = documents.select(F.col("doc_id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
+    known = own.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("doc_id", parts, part)).withColumn("h", F.xxhash64("text", F.lit(SEED)))
+    number = known.select("lang").distinct().count()
+    if number > MOST_LANGUAGES:
+        raise ValueError(f"{number} values of {lang!r} can't be languages")
+    if not number:
         return None
-    each = max(1, TRAIN_ROWS // len(counts))
-    # a share of each language by the hash, a little more than is needed, before anything is sorted
-    hashed = F.xxhash64("doc_id", text, F.lit(SEED))
-    share = F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, (1.3 * each + 50) / r["count"])))]), F.col("lang"))
-    few = known.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), hashed.alias("h"))
-    few = few.where(F.col("lang").isin([r["lang"] for r in counts])).where(F.pmod("h", F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
+    each = max(LEAST_ROWS, TRAIN_ROWS // number)
+    # hashes alone are ranked; one document of each chosen text is looked up again
+    copies = known.groupBy("lang", "h").agg(F.min(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("id"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = materialize(copies.withColumn("rank", rank).where(F.col("rank") <= each).drop("rank"))
+    few = known.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(F.broadcast(chosen), ["lang", "h", "id"])
 
     def start():
         of = Spectrum()
-        return lambda x: (of(x).astype("<i4").tobytes(),)
+        return lambda x: (np.packbits(of.set(x)).tobytes(),)
 
-    sets = map_texts(few, "text", ["lang", "h"], T.StructType().add("places", "binary"), start).where(F.octet_length("places") > 0)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "places"))
-    found = sets.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "places").collect()
-    found.sort(key=lambda r: (r["lang"], r["places"]))
-    return fit([np.frombuffer(r["places"], "<i4") for r in found], [r["lang"] for r in found])
+    sets = map_texts(few, "text", ["lang", "h"], T.StructType().add("places", "binary"), start).groupBy("lang", "h").agg(F.min("places").alias("places"))
+    found = sorted(((r["lang"], bytes(r["places"])) for r in sets.toLocalIterator()))  # 4 KB each
+    sets, names = [np.flatnonzero(np.unpackbits(np.frombuffer(p, np.uint8))).astype(np.int32) for _, p in found], [x for x, _ in found]
+    return fit([s for s in sets if len(s)], [x for x, s in zip(names, sets, strict=True) if len(s)])
 
 
 def identify(df: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
     """Columns `keep`, lang_pred and score of every whole text: the language with the largest share
-    and that share. `und` with score 0 if the text is null or has no letter, or if nothing was learned."""
+    and that share. `und` with score 0 if the text is null or has no letter, or if nothing was learned.
+    Bytes that aren't UTF-8 are no letters. A kept column of the name of a result column gives way."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
+    keep = [c for c in keep if c.lower() not in ("lang_pred", "score")]
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text__"))
     schema = T.StructType([source.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double")
 
