@@ -16,6 +16,8 @@ ROUNDS = 4
 #: Rows that one numbering bucket holds on average.
 BUCKET_ROWS = 1_000
 MAX_BUCKETS = 65_536
+#: Rows that are equal in all columns are dealt in pieces of so many.
+PIECE = 1_000
 
 
 def _div(x: Column, by: int) -> Column:
@@ -78,18 +80,18 @@ def number_rows(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     columns and numbered within their bucket in that order; buckets follow one another. Neither
     partitions nor task order matter, and no task sees more than a bucket or two. Rows equal in every
     column share a bucket: count them first (as shard() does) if there may be many."""
-    buckets = max(1, min(MAX_BUCKETS, df.count() // BUCKET_ROWS))
+    total = int(df.agg(F.sum("__copies")).first()[0] or 0)
+    buckets = max(1, min(MAX_BUCKETS, total // BUCKET_ROWS))
     dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(buckets)))
     sizes = dealt.groupBy("__bucket").agg(F.sum("__copies").alias("__size"))
     before = F.coalesce(F.sum("__size").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__bucket", before.alias("__start"), "__size")  # at most MAX_BUCKETS rows
+    starts = sizes.select("__bucket", before.alias("__start"))  # at most MAX_BUCKETS rows
     within = Window.partitionBy("__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     numbered = dealt.withColumn("__within", F.coalesce(F.sum("__copies").over(within), F.lit(0)))
-    numbered = numbered.join(F.broadcast(starts.drop("__size")), "__bucket")
-    total = sizes.agg(F.sum("__size")).first()[0] or 0
+    numbered = numbered.join(F.broadcast(starts), "__bucket")
     first = F.col("__start") + F.col("__within")
     out = numbered.withColumn("row_number", F.explode(F.sequence(first, first + F.col("__copies") - 1)))
-    return out.drop("__bucket", "__start", "__within", "__copies"), int(total)
+    return out.drop("__bucket", "__start", "__within", "__copies"), total
 
 
 def shard(df: DataFrame, shards: int = 40, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,7 +112,11 @@ def shard(df: DataFrame, shards: int = 40, seed: int = 42, doc_id: str = "doc_id
         F.xxhash64(body).alias("__hash"),
     )
     order = ["doc_id", "size", "text_crc32", "__hash"]
-    lean = materialize(lean.groupBy(*order).agg(F.count(F.lit(1)).alias("__copies")))
+    counted = lean.groupBy(*order).agg(F.count(F.lit(1)).alias("__all"))
+    # a row that is repeated often goes to many buckets, a piece to each
+    pieces = counted.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), _div(F.col("__all") - 1, PIECE))))
+    order = [*order, "__piece"]
+    lean = materialize(pieces.select(*order, F.least(F.lit(PIECE).cast("long"), F.col("__all") - F.col("__piece") * PIECE).alias("__copies")))
     numbered, n = number_rows(lean, order)
     base = _base(n)
     walk = walk_length(df.sparkSession, n, base, seed) if n else 1
