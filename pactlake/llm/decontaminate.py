@@ -90,11 +90,11 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> list[DataFrame]:
 
 def scan(
     df: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", window: int = WINDOW,
+    item_text: str = "text", window: int = WINDOW, into: tuple[str, str, str] | list[str] = ("n_words", "hits", "items"),
 ) -> DataFrame:
-    """Columns `keep` and, of every whole text, n_words, hits (positions of the words inside any
-    occurrence of a window, ascending) and items (ids of the items with occurring windows, sorted as
-    strings).
+    """Columns `keep` and, of every whole text, named by `into`: n_words, hits (positions of the words inside
+    any occurrence of a window, ascending) and items (ids of the items with occurring windows, sorted as
+    strings). A kept column of such a name gives way.
 
     A null text has no words. A null item id counts as the empty one, items of equal id as one item,
     items without words match nothing; with no items nothing is hit. The benchmark is sent to the
@@ -102,7 +102,8 @@ def scan(
     a written table in between.
     """
     ints, strings = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
-    out = T.StructType().add("n_words", "long").add("hits", ints).add("items", strings)
+    n_words, hits, ids = into
+    out = T.StructType().add(n_words, "long").add(hits, ints).add(ids, strings)
     blocks = _blocks(benchmark, item_id, item_text)
     rows = df
     for k, block in enumerate(blocks):
@@ -126,10 +127,10 @@ def scan(
         carried = list(dict.fromkeys([*keep, *([] if last else [text])]))
         rows = map_texts(rows, text, [*carried, *before], out, start)
         if k:
-            rows = rows.withColumn("hits", F.array_sort(F.array_union("hits", "__hits")))
-            rows = rows.withColumn("items", F.array_sort(F.array_union("items", "__items"))).drop("__hits", "__items")
+            rows = rows.withColumn(hits, F.array_sort(F.array_union(hits, "__hits")))
+            rows = rows.withColumn(ids, F.array_sort(F.array_union(ids, "__items"))).drop("__hits", "__items")
         if not last:
-            rows = materialize(rows.withColumnsRenamed({"hits": "__hits", "items": "__items"}).drop("n_words"))
+            rows = materialize(rows.withColumnsRenamed({hits: "__hits", ids: "__items"}).drop(n_words))
     return rows
 
 
