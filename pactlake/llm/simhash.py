@@ -5,23 +5,27 @@ link at `radius` or fewer differing bits. Texts of one fingerprint are one class
 copies, however large, is one entry from there on.
 
 One tree of all fingerprints could not be broadcast at scale, and with a tree at random distances
-nearly every edge is within the radius. So the trees are of shards: the 64 bits fall into radius + 2
-blocks; two fingerprints within the radius agree in two blocks at least, hence meet in the shard of
-those two blocks and their values (for radius 2: six shards of 32 shared bits each). Each shard gets
-a BK-tree, whose children are keyed by their Hamming distance to the parent, and is searched along
-edges within the radius. A shard gives a spanning forest of its links, never all pairs. A shard of
-over SHARD_MAX fingerprints is cut again, by parts of the bits that it does not share.
-
-Near copies that differ in more than a few shingles are far beyond a radius that trees of 64 bits can
-search (about 10 bits apart at a similarity of 0.8). similar_one_of_each() therefore takes BANDS
-fingerprints a text, each of the ROWS shingles that come first under ROWS orders of their own; texts of
-similarity s share one of them but for a chance of (1 - s**ROWS)**BANDS, 5e-7 at 0.8. Texts that such
-fingerprints connect, however indirectly, are compared by their whole sets of shingles, exactly.
+nearly every edge is within the radius. So the trees are of shards, and each stays in the task that
+searches it: the 64 bits fall into radius + 1 blocks; two fingerprints within the radius agree in one
+of them at least, hence meet in the shard of that block's lowest bits, of which there are as many as make
+shards of SHARD fingerprints. Each shard gets a BK-tree, whose children are keyed by their Hamming
+distance to the parent, and is searched along edges within the radius. A shard gives a spanning forest
+of its links, never all pairs. A shard of over SHARD_MAX fingerprints is cut again, by the whole block
+and by parts of the bits outside it.
+
+Near copies that differ in more than a few shingles are further apart (about 10 bits at a similarity of
+0.8), where trees of all fingerprints prune nothing. similar_one_of_each() therefore brings texts together
+first: BANDS hashes a text, each of the ROWS shingles that come first under ROWS orders of their own;
+texts of similarity s share one of them but for a chance of (1 - s**ROWS)**BANDS, 6e-7 at 0.8. What such
+hashes connect is a shard, cut into tiles if it is large; the fingerprints of a tile's texts make a
+BK-tree, which is searched along edges within SIMILAR_RADIUS (a pair at 0.8 is beyond it with a chance
+of 4e-6 at most), and the pairs that it proposes are compared by their whole sets of shingles, exactly.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +40,15 @@ from .graph import components
 
 SEED = 42
 SHINGLE, RADIUS = 3, 2
-#: Fingerprints of one tree; beyond it a shard is cut again, if that makes its parts smaller.
-SHARD_MAX = 4096
+#: Fingerprints of one tree on average; and at most, unless all its bits but a third are shared.
+SHARD, SHARD_MAX = 1024, 8192
 #: Of similar texts: words of a shingle, common share of all shingles of both (Jaccard).
-SIMILAR_SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS = 48, 6
+SIMILAR_SHINGLE, SIMILAR, SIMILAR_RADIUS = 5, 0.8, 26
+BANDS, ROWS = 36, 5
 #: Shingles of the texts that one task compares with one another, or with as many more.
 TILE_SHINGLES = 2_000_000
+#: Rows of a table that is broadcast, of 24 bytes each; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def _hashes(text: bytes | None, shingle: int) -> np.ndarray:
@@ -62,7 +68,11 @@ def _hashes(text: bytes | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """Of the whole text as unsigned 64 bits; 0 if it has no words."""
-    hashes = _hashes(text, shingle)
+    return majority(_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have; 0 of none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192].view(np.uint8).reshape(-1, 8)
@@ -71,36 +81,41 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 class BKTree:
-    """Over distinct fingerprints. Built and searched in batches: a node splits all that pass through
-    it by their distance to it at once."""
+    """Over distinct fingerprints. Built and searched level by level: a step deals all that are below the
+    nodes of a level to the next, or goes along all edges of a level that are within the radius."""
 
     def __init__(self, values: np.ndarray):
         self.values = values
-        self.children: list[list[tuple[int, int]]] = [[] for _ in values]
-        todo = [np.arange(len(values))] if len(values) else []
-        while todo:
-            below = todo.pop()
-            node, rest = int(below[0]), below[1:]
-            if not len(rest):
-                continue
-            distance = np.bitwise_count(values[rest] ^ values[node])
-            order = np.argsort(distance, kind="stable")
-            cuts = np.flatnonzero(np.diff(distance[order])) + 1
-            for group in np.split(rest[order], cuts):
-                self.children[node].append((int(np.bitwise_count(values[group[0]] ^ values[node])), int(group[0])))
-                todo.append(group)
-
-    def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(node, positions of the queries within the radius of it), along edges within the radius."""
-        todo = [(0, np.arange(len(queries)))] if len(self.values) else []
-        while todo:
-            node, asked = todo.pop()
-            distance = np.bitwise_count(queries[asked] ^ self.values[node]).astype(np.int16)
-            if len(hit := asked[distance <= radius]):
-                yield node, hit
-            for edge, child in self.children[node]:
-                if len(near := asked[np.abs(distance - edge) <= radius]):
-                    todo.append((child, near))
+        #: The child of each node at each distance, or -1.
+        self.child = np.full((len(values), 65), -1, np.int32)
+        below, node = np.arange(1, len(values)), np.zeros(max(0, len(values) - 1), np.int64)
+        while len(below):
+            edge = np.bitwise_count(values[below] ^ values[node]).astype(np.int64)
+            place = node * 65 + edge
+            order = np.argsort(place, kind="stable")  # the first of each place becomes the child
+            below, place = below[order], place[order]
+            first = np.flatnonzero(np.concatenate([[True], np.diff(place) != 0]))
+            self.child.reshape(-1)[place[first]] = below[first]
+            node = np.repeat(below[first], np.diff(np.append(first, len(below))))
+            rest = np.ones(len(below), np.bool_)
+            rest[first] = False
+            below, node = below[rest], node[rest]
+
+    def within(self, queries: np.ndarray, radius: int, batch: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(nodes, positions of queries) of those within the radius, found along edges within the radius."""
+        near = np.arange(-radius, radius + 1)
+        for at in range(0, len(queries) if len(self.values) else 0, batch):
+            asked = np.arange(at, min(at + batch, len(queries)))
+            node = np.zeros(len(asked), np.int64)
+            while len(asked):
+                distance = np.bitwise_count(queries[asked] ^ self.values[node]).astype(np.int64)
+                hit = distance <= radius
+                if hit.any():
+                    yield node[hit], asked[hit]
+                edges = distance[:, None] + near
+                child = np.where((edges >= 0) & (edges <= 64), self.child[node[:, None], np.clip(edges, 0, 64)], -1)
+                who, which = np.nonzero(child >= 0)
+                node, asked = child[who, which].astype(np.int64), asked[who]
 
 
 def _root(parent: list[int], x: int) -> int:
@@ -109,42 +124,37 @@ def _root(parent: list[int], x: int) -> int:
     return x
 
 
-def forest(values: np.ndarray, radius: int, free: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
-    """Links (value, value) that connect the distinct values within the radius of one another. free:
-    (lowest bit, bits) of the parts that may differ, by which too large a shard is cut again."""
+def forest(values: np.ndarray, radius: int, cuts: list[list[tuple[int, int]]] | None = None) -> list[tuple[int, int]]:
+    """Links (value, value) that connect the distinct values within the radius of one another. cuts: by
+    which bits (lowest, number) too large a shard is cut again, step by step: by each of a step's, so
+    that two values of a shard within the radius agree in one of them."""
     n = len(values)
-    if n > SHARD_MAX and free:
+    if n > SHARD_MAX and cuts:
         out = []
-        for low, bits in free:
+        for low, bits in cuts[0]:
             part = (values >> np.uint64(low)) & np.uint64((1 << bits) - 1)
             order = np.argsort(part, kind="stable")
             for group in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
                 if len(group) > 1:
-                    out += forest(values[group], radius)
+                    out += forest(values[group], radius, cuts[1:])
         return out
     parent = list(range(n))
-    if n <= 12:
-        small = values.tolist()
-        for a in range(n):
-            for b in range(a):
-                if (small[a] ^ small[b]).bit_count() <= radius:
-                    parent[_root(parent, a)] = _root(parent, b)
-    else:
-        for node, hits in BKTree(values).within(values, radius):
-            for k in hits.tolist():
-                parent[_root(parent, k)] = _root(parent, node)
+    for nodes, asked in BKTree(values).within(values, radius):
+        other = nodes != asked
+        for a, b in zip(nodes[other].tolist(), asked[other].tolist(), strict=True):
+            parent[_root(parent, b)] = _root(parent, a)
     return [(int(values[k]), int(values[r])) for k in range(n) if (r := _root(parent, k)) != k]
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(lowest bit, bits) of the radius + 2 blocks of 64 bits."""
-    cuts = [64 * k // (radius + 2) for k in range(radius + 3)]
+    """(lowest bit, bits) of the radius + 1 blocks of 64 bits."""
+    cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
     return [(a, b - a) for a, b in itertools.pairwise(cuts)]
 
 
 def _parts(blocks: list[tuple[int, int]], radius: int) -> list[tuple[int, int]]:
     """The blocks cut into radius + 1 parts or more: two values within the radius agree in one of them."""
-    while len(blocks) < radius + 1:
+    while blocks and len(blocks) < radius + 1:
         blocks = [p for low, bits in blocks for p in ((low, bits // 2), (low + bits // 2, bits - bits // 2))]
     return blocks
 
@@ -153,17 +163,12 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, fp: str = "fp") -> Data
     """Of distinct 64-bit fingerprints (long): links (a, b) whose components are those of all pairs
     within the radius."""
     blocks = _blocks(radius)
-    pairs = list(itertools.combinations(range(len(blocks)), 2))
-
-    def bits(k: int) -> Column:
-        low, n = blocks[k]
-        return F.shiftrightunsigned(F.col(fp), low).bitwiseAND(F.lit((1 << n) - 1))
-
-    width = max(n for _, n in blocks)
-    shards = F.array(*[F.struct(F.lit(c).alias("c"), (F.shiftleft(bits(i), width) + bits(j)).alias("k")) for c, (i, j) in enumerate(pairs)])
+    width = min(min(n for _, n in blocks), max(0, math.ceil(math.log2(max(1, fingerprints.count()) / SHARD))))
+    low_bits = lambda low: F.shiftrightunsigned(F.col(fp), low).bitwiseAND(F.lit((1 << width) - 1))
+    shards = F.array(*[F.struct(F.lit(c).alias("c"), low_bits(low).alias("k")) for c, (low, _) in enumerate(blocks)])
     dealt = fingerprints.select(F.explode(shards).alias("s"), F.col(fp).alias("fp")).select("s.c", "s.k", "fp")
     dealt = dealt.repartition("c", "k").sortWithinPartitions("c", "k")
-    free = [_parts([b for k, b in enumerate(blocks) if k not in pair], radius) for pair in pairs]
+    cuts = [[[b], _parts([x for x in blocks if x != b], radius)] for b in blocks]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # rows of the last shard seen, which may go on
@@ -178,8 +183,8 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, fp: str = "fp") -> Data
                     held.append(rows)
                     continue
                 rows, ends = np.concatenate([*held, rows]), False
-            cuts = np.flatnonzero((np.diff(rows[:, :2], axis=0) != 0).any(axis=1)) + 1
-            bounds = [0, *cuts.tolist(), len(rows)]
+            where = np.flatnonzero((np.diff(rows[:, :2], axis=0) != 0).any(axis=1)) + 1
+            bounds = [0, *where.tolist(), len(rows)]
             if not ends:
                 held = [rows[bounds[-2] :]]
                 bounds.pop()
@@ -187,7 +192,7 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, fp: str = "fp") -> Data
             starts = np.array(bounds)
             for k in np.flatnonzero(np.diff(starts) > 1).tolist():
                 a, b = bounds[k], bounds[k + 1]
-                found += forest(rows[a:b, 2].view(np.uint64), radius, free[int(rows[a, 0])])
+                found += forest(rows[a:b, 2].view(np.uint64), radius, cuts[int(rows[a, 0])])
             if found:
                 both = np.array(found, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
@@ -195,17 +200,13 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, fp: str = "fp") -> Data
     return dealt.mapInArrow(search, "a long, b long")
 
 
-def fingerprints(df: DataFrame, keep: list[str], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Columns `keep` and fp, the fingerprint as a signed long."""
+def fingerprints(df: DataFrame, keep: list[str], text: str = "text", shingle: int = SHINGLE, into: str = "fp") -> DataFrame:
+    """Columns `keep` and `into`, the fingerprint as a signed long. A kept column named as `into` gives way."""
 
     def start():
-        def one(x):
-            f = fingerprint(x, shingle)
-            return (f - (1 << 64) if f >> 63 else f,)
-
-        return one
+        return lambda x: (_signed(fingerprint(x, shingle)),)
 
-    return map_texts(df, text, keep, T.StructType().add("fp", "long"), start)
+    return map_texts(df, text, keep, T.StructType().add(into, "long"), start)
 
 
 def groups(lean: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -241,18 +242,41 @@ def near_duplicates(
 
 def one_of_each(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df, with its columns, that are left when one of each component stays: that with
-    the smallest doc_id, and of repeated rows one. Texts move once, dealt by doc_id."""
-    names = df.columns
-    own = fingerprints(df, names, text, shingle).withColumnRenamed("fp", "__fp")
-    lean = materialize(fingerprints(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), ["doc_id"], "text", shingle))
-    return _staying(own, groups(lean, radius), names, doc_id, text)
+    the smallest doc_id, and of repeated rows one. Texts are read by one Python pass and move only if over
+    BROADCAST_ROWS rows are dropped or repeated."""
+    lean = materialize(fingerprints(_hashed(df, doc_id, text), ["doc_id", "h"], "text", shingle))
+    return _staying(df, _marks(lean, groups(lean, radius)), doc_id, text)
 
 
-def _staying(own: DataFrame, found: DataFrame, names: list[str], doc_id: str, text: str) -> DataFrame:
-    stay = found.where("stays").select(F.col("fp").alias("__stay"), F.col("first").alias("__first"))
-    kept = own.join(stay, (F.col("__fp") == F.col("__stay")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("__first")), "left_semi")
-    again = F.row_number().over(Window.partitionBy(F.col("__fp"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))).orderBy(F.xxhash64(text)))
-    return kept.withColumn("__again", again).where(F.col("__again") == 1).select(*names)
+def _hashed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    whole = F.col(f"`{text}`").cast("string")
+    return df.select(F.col(f"`{doc_id}`").alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("h"))
+
+
+def _marks(lean: DataFrame, found: DataFrame) -> DataFrame:
+    """Of rows (doc_id, h, fp), h the hash of the text, and groups(): (doc_id, h, again) of the rows that don't
+    all stay: none of them does (again false), or one of several equal ones (true)."""
+    each = materialize(lean.groupBy("doc_id", "h", "fp").agg(F.count(F.lit(1)).alias("n")))
+    stay = found.where("stays").select("fp", "first")
+    # texts of one fingerprint and id may differ: one of them stays
+    keeper = each.join(stay, "fp").where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("fp").agg(F.min("h").alias("h"))
+    keeper = keeper.join(stay, "fp").select(F.col("fp").alias("f"), F.col("h").alias("g"), "first")
+    all_ = each.join(keeper, (F.col("fp") == F.col("f")) & (F.col("h") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("first")), "left")
+    again = F.col("f").isNotNull() & (F.col("n") > 1)
+    return materialize(all_.where(F.col("f").isNull() | (F.col("n") > 1)).select("doc_id", "h", again.alias("again")))
+
+
+def _staying(df: DataFrame, marks: DataFrame, doc_id: str, text: str) -> DataFrame:
+    names = df.columns
+    marks = marks.select(F.col("doc_id").alias("__id"), F.col("h").alias("__of"), F.col("again").alias("__again"))
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
+    hashed = df.withColumn("__h", F.xxhash64(F.col(f"`{text}`").cast("string")))
+    joined = hashed.join(marks, (F.col("__h") == F.col("__of")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")), "left")
+    order = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    number = F.row_number().over(Window.partitionBy("__id", "__h").orderBy(*order))
+    one = joined.where("__again").withColumn("__number", number).where(F.col("__number") == 1)
+    own = [F.col(f"`{c}`") for c in names]
+    return joined.where(F.col("__again").isNull()).select(*own).union(one.select(*own))
 
 
 def _signed(x: int) -> int:
@@ -281,44 +305,33 @@ def subset_fingerprints(held: np.ndarray, orders: tuple[np.ndarray, np.ndarray])
 
 
 def similar(sets: list[np.ndarray], threshold: float = SIMILAR) -> list[int]:
-    """For each of the sets a number that those share which links of `threshold` or more connect. Exact:
-    two such sets have one of the rarest elements of both in common (prefix filter). Sets that are
-    connected already aren't compared, so that a group of copies of one text costs no square."""
+    """For each of the sets a number that those share which links of `threshold` or more connect. The pairs
+    that a BK-tree of their fingerprints proposes are compared exactly, but for those that are connected
+    already, so that a group of copies of one text costs no square."""
     n, parent = len(sets), list(range(len(sets)))
     sizes = np.array([len(x) for x in sets], np.int64)
-    owner = np.repeat(np.arange(n), sizes)
-    if not len(owner):
-        return parent
-    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.lexsort((element, times[element], owner))
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
-    use = (place < prefix[owner]) & (times[element[order]] > 1)
-    element, owner = element[order][use], owner[use]
-    by = np.lexsort((owner, element))
-    element, owner = element[by], owner[by]
-    seen: set[tuple[int, int]] = set()
 
     def link(a: int, b: int) -> None:
         x, y = _root(parent, a), _root(parent, b)
-        if x == y or min(sizes[a], sizes[b]) < threshold * max(sizes[a], sizes[b]) - 1e-9 or (a, b) in seen:
-            return
-        seen.add((a, b))
-        common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-        if common >= threshold * (sizes[a] + sizes[b] - common) - 1e-9:
-            parent[max(x, y)] = min(x, y)
-
-    postings = [p.tolist() for p in np.split(owner, np.flatnonzero(np.diff(element)) + 1) if len(p) > 1]
-    for posting in postings:  # the first with all others, which connects most
-        for b in posting[1:]:
-            link(posting[0], b)
-    for posting in postings:
-        parts: dict[int, list[int]] = {}
-        for k in posting:
-            parts.setdefault(_root(parent, k), []).append(k)
-        for one, two in itertools.combinations(parts.values(), 2):
-            for a, b in itertools.product(one, two):
-                link(min(a, b), max(a, b))
+        if x != y:
+            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if common >= threshold * (sizes[a] + sizes[b] - common) - 1e-9:
+                parent[max(x, y)] = min(x, y)
+
+    for b in np.flatnonzero(np.minimum(sizes, sizes[:1]) >= threshold * np.maximum(sizes, sizes[:1]) - 1e-9)[1:].tolist():
+        link(0, b)  # the first with all others, which connects most
+    prints, place = np.unique(np.array([majority(x) for x in sets], np.uint64), return_inverse=True)
+    members = np.split(np.argsort(place, kind="stable"), np.cumsum(np.bincount(place, minlength=len(prints)))[:-1]) if n else []
+    for nodes, asked in BKTree(prints).within(prints, SIMILAR_RADIUS, 64):
+        for u, v in zip(nodes.tolist(), asked.tolist(), strict=True):
+            if u > v:
+                continue
+            root = np.array([_root(parent, k) for k in members[u].tolist()]), np.array([_root(parent, k) for k in members[v].tolist()])
+            apart = root[0][:, None] != root[1]
+            if apart.any():
+                p, q = sizes[members[u]][:, None], sizes[members[v]]
+                for i, j in zip(*np.nonzero(apart & (np.minimum(p, q) >= threshold * np.maximum(p, q) - 1e-9)), strict=True):
+                    link(int(members[u][i]), int(members[v][j]))
     return [_root(parent, k) for k in range(n)]
 
 
@@ -341,8 +354,8 @@ def _similar_links(candidates: DataFrame, sets: DataFrame, threshold: float) ->
     return rows.groupBy("group", "tile_a", "tile_b").applyInArrow(compare, "a long, b long")
 
 
-def similar_groups(df: DataFrame, shingle: int = SIMILAR_SHINGLE, threshold: float = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(fp, first, component_id, stays) as of groups(), where fp is the hash of a text's set of shingles
+def similar_groups(df: DataFrame, shingle: int = SIMILAR_SHINGLE, threshold: float = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, fp) of the rows of df, and (fp, first, component_id, stays) as of groups(), where fp is the hash of a text's set of shingles
     and texts link from a common share of `threshold` of their shingles on. Texts without words are one class."""
 
     def start():
@@ -361,30 +374,29 @@ def similar_groups(df: DataFrame, shingle: int = SIMILAR_SHINGLE, threshold: flo
 
         return one
 
-    texts = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    lean = materialize(map_texts(texts, "text", ["doc_id"], T.StructType().add("fp", "long").add("parts", T.ArrayType(T.LongType())), start))
+    texts = _hashed(df, doc_id, text)
+    lean = materialize(map_texts(texts, "text", ["doc_id", "h"], T.StructType().add("fp", "long").add("parts", T.ArrayType(T.LongType())), start))
     classes = materialize(lean.groupBy("fp").agg(F.min("doc_id").alias("first")))
     parts = lean.select("fp", F.explode("parts").alias("part"))
     least = parts.groupBy("part").agg(F.min("fp").alias("a"), F.max("fp").alias("last")).where(F.col("a") != F.col("last")).select("part", "a")
     proposed = parts.join(least, "part").where(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
     candidates = materialize(components(proposed).select(F.col("node").alias("fp"), F.col("component").alias("group")))
-    firsts = classes.join(candidates, "fp", "left_semi").select("first").distinct()
-    some = texts.join(firsts, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    # one row of each candidate: that of its least id, and of the texts of that id with this set one
+    one = classes.join(candidates, "fp", "left_semi")
+    one = one.join(lean.select("doc_id", "h", F.col("fp").alias("f")), (F.col("fp") == F.col("f")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    one = materialize(one.groupBy("fp", "first").agg(F.min("h").alias("g")).select("first", "g"))
+    few = F.broadcast(one) if one.count() <= BROADCAST_ROWS else one
+    some = texts.join(few, (F.col("h") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     sets = map_texts(some, "text", [], T.StructType().add("fp", "long").add("shingles", "binary"), whole)
-    # rows of one doc_id may have other texts, and several of them the same
-    return _groups(classes, _similar_links(candidates, sets.dropDuplicates(["fp"]), threshold))
+    # repeated rows of one id and text come several times
+    return lean.select("doc_id", "h", "fp"), _groups(classes, _similar_links(candidates, sets.dropDuplicates(["fp"]), threshold))
 
 
 def similar_one_of_each(df: DataFrame, shingle: int = SIMILAR_SHINGLE, threshold: float = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df, with its columns, that are left when one of each component of similar texts
     stays, as in one_of_each()."""
-    found = similar_groups(df, shingle, threshold, doc_id, text)
-
-    def start():
-        return lambda x: (shingle_set(x, shingle)[0],)
-
-    own = map_texts(df, text, df.columns, T.StructType().add("__fp", "long"), start)
-    return _staying(own, found, df.columns, doc_id, text)
+    lean, found = similar_groups(df, shingle, threshold, doc_id, text)
+    return _staying(df, _marks(lean, found), doc_id, text)
 
 
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
