@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlake.llm import bpe, decontaminate, pii, quality, simhash
-from pactlake.llm.common import materialize, table
+from pactlake.llm.common import materialize, own_steps, table, unused
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score 0.5 or more)."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, docs.columns).where(F.col("score") >= 0.5).select(*docs.columns)
+    good = unused(docs.columns, "good")
+    return quality.score(docs, model, docs.columns, into=good).where(F.col(good) >= 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +28,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), docs.columns)
-    return found.where(F.size("hits") == 0).select(*docs.columns)
+    names = [unused(docs.columns, n) for n in ("n_words", "hits", "items")]
+    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), docs.columns, into=names)
+    return found.where(F.size(names[1]) == 0).select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data and disclosing terms redacted; n_chars follows the text."""
     clean = pii.redacted(docs)
+    if "n_chars" not in docs.columns:
+        return clean
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
@@ -57,5 +61,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with own_steps():  # what a stage wrote on its way goes when its result is written
+            docs = materialize(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
