@@ -47,7 +47,9 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _steps.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._step = path
+    return out
 
 
 def _delete(paths: Iterable[str]) -> None:
@@ -60,6 +62,11 @@ def _delete(paths: Iterable[str]) -> None:
         _steps.remove(p)
 
 
+def drop_step(step: DataFrame) -> None:
+    """Deletes a step of materialize() that nothing else reads any more."""
+    _delete([step._step])
+
+
 def drop_steps() -> None:
     """Deletes the steps that this process has written, once no result that reads them is needed."""
     _delete(list(_steps))
