@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, table
+from .common import as_bytes, materialize, shared_dir, small_batches, table, text_of
 
 BLOCK_LINES = 500
 #: Captures of an index shard, which one task writes and one task reads back; at most MAX_SHARDS shards.
 SHARD_LINES, MAX_SHARDS = 4_000, 20_000
 OPEN_FILES = 64
+HOT_DIGESTS = 1000
 DATE = "1970-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -111,13 +112,24 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
 
     Of rows with equal payloads of `dedup_from` bytes or more, those with the largest page_id are
     responses and the others revisit it. A null html is the empty payload; a null page_id is never
-    the largest, and rows without any id are responses; repeated rows give repeated records.
+    the largest, and rows without any id are responses; repeated rows give repeated records. Payloads are
+    bytes as they are; in a URL what isn't UTF-8 counts as U+FFFD. Other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     payload = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    largest = rows.where(F.octet_length("payload") >= dedup_from).groupBy("digest").agg(F.max("page_id").alias("response"))
-    joined = rows.join(largest, "digest", "left").select("page_id", "url", "payload", F.col("response"))
+    # payloads of one row are their own responses; of the others there are digests alone to join
+    again = rows.where(F.octet_length("payload") >= dedup_from).groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n"))
+    again = materialize(again.where(F.col("n") > 1))
+    total = again.agg(F.sum("n")).first()[0] or 0
+    # digests of over a share of 1 / HOT_DIGESTS of these rows, so HOT_DIGESTS at most, are broadcast, and
+    # their rows are dealt by page and not by digest
+    hot = again.where(F.col("n") > total / HOT_DIGESTS).select(F.col("digest").alias("of"), F.col("response").alias("hot"))
+    dealt = rows.join(F.broadcast(hot), F.col("digest") == F.col("of"), "left")
+    dealt = dealt.withColumn("digest", F.when(F.col("of").isNull(), F.col("digest")).otherwise(F.concat_ws(":", "page_id", F.xxhash64("url"))))
+    joined = dealt.join(again.select("digest", "response"), "digest", "left")
+    joined = joined.select("page_id", "url", "payload", F.coalesce("hot", "response").alias("response"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)
@@ -130,7 +142,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
             for whole in itertools.chain([first], batches):
                 for part in range(0, whole.num_rows, 256):
                     made = []
-                    for p, u, body, r in zip(*[c.to_pylist() for c in whole.slice(part, 256).columns], strict=True):
+                    for p, u, body, r in zip(*_columns(whole.slice(part, 256)), strict=True):
                         raw = gzip.compress(page_record(p, u, body, r, r is not None and p != r), 4, mtime=0)
                         out.write(raw)
                         made.append((url_key(u), p, name, at, len(raw)))
@@ -141,6 +153,12 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     return materialize(joined.mapInArrow(write, "key string, page_id long, file string, start long, length long"))
 
 
+def _columns(batch: pa.RecordBatch) -> list[list]:
+    """Columns as lists; texts by text_of(), but null stays null."""
+    texts = lambda c: [None if x is None else text_of(x) for x in as_bytes(c)]
+    return [texts(c) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c.to_pylist() for c in batch.columns]
+
+
 def _batch(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -241,13 +259,14 @@ class Archives:
 def read_back(pages: DataFrame, shards: list[tuple[tuple[bytes, int], str]], folder: str, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """Looks every row of pages up in the index and reads its record: page_id, payload_bytes,
     payload_digest, record_type, refers_to. Equal rows are looked up once and give each of their records."""
+    small_batches(pages.sparkSession)
     firsts = [s[0] for s in shards]
     wanted = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url")).distinct()
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for p, u in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for p, u in zip(*_columns(batch), strict=True):
                 key = url_key(u)
                 at = _order(key, p)
                 # every shard that may hold it: captures of one key and page may run over several
