@@ -45,8 +45,9 @@ SHARD, SHARD_MAX = 1024, 8192
 #: Of similar texts: words of a shingle, common share of all shingles of both (Jaccard).
 SIMILAR_SHINGLE, SIMILAR, SIMILAR_RADIUS = 5, 0.8, 26
 BANDS, ROWS = 36, 5
-#: Shingles of the texts that one task compares with one another, or with as many more.
-TILE_SHINGLES = 2_000_000
+#: Texts, and shingles of theirs, that one task compares with one another, or with as many more; and texts that
+#: are compared with all others of their tile before the rest.
+TILE_TEXTS, TILE_SHINGLES, HUBS = 10_000, 2_000_000, 8
 #: Rows of a table that is broadcast, of 24 bytes each; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -86,24 +87,26 @@ class BKTree:
 
     def __init__(self, values: np.ndarray):
         self.values = values
-        #: The child of each node at each distance, or -1.
-        self.child = np.full((len(values), 65), -1, np.int32)
+        edges, children = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         below, node = np.arange(1, len(values)), np.zeros(max(0, len(values) - 1), np.int64)
         while len(below):
-            edge = np.bitwise_count(values[below] ^ values[node]).astype(np.int64)
-            place = node * 65 + edge
-            order = np.argsort(place, kind="stable")  # the first of each place becomes the child
-            below, place = below[order], place[order]
-            first = np.flatnonzero(np.concatenate([[True], np.diff(place) != 0]))
-            self.child.reshape(-1)[place[first]] = below[first]
+            edge = 65 * node + np.bitwise_count(values[below] ^ values[node])
+            order = np.argsort(edge, kind="stable")  # the first of each node and distance becomes the child
+            below, edge = below[order], edge[order]
+            first = np.flatnonzero(np.concatenate([[True], np.diff(edge) != 0]))
+            edges.append(edge[first])
+            children.append(below[first])
             node = np.repeat(below[first], np.diff(np.append(first, len(below))))
             rest = np.ones(len(below), np.bool_)
             rest[first] = False
             below, node = below[rest], node[rest]
+        edge, child = np.concatenate(edges), np.concatenate(children)
+        order = np.argsort(edge)
+        #: Of every edge 65 * node + distance, in order, and the child at its end.
+        self.edge, self.child = edge[order], child[order]
 
     def within(self, queries: np.ndarray, radius: int, batch: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(nodes, positions of queries) of those within the radius, found along edges within the radius."""
-        near = np.arange(-radius, radius + 1)
         for at in range(0, len(queries) if len(self.values) else 0, batch):
             asked = np.arange(at, min(at + batch, len(queries)))
             node = np.zeros(len(asked), np.int64)
@@ -112,10 +115,9 @@ class BKTree:
                 hit = distance <= radius
                 if hit.any():
                     yield node[hit], asked[hit]
-                edges = distance[:, None] + near
-                child = np.where((edges >= 0) & (edges <= 64), self.child[node[:, None], np.clip(edges, 0, 64)], -1)
-                who, which = np.nonzero(child >= 0)
-                node, asked = child[who, which].astype(np.int64), asked[who]
+                begin = np.searchsorted(self.edge, 65 * node + np.maximum(0, distance - radius))
+                number = np.searchsorted(self.edge, 65 * node + np.minimum(64, distance + radius), "right") - begin
+                node, asked = self.child[_ranges(begin, number)], np.repeat(asked, number)
 
 
 def _root(parent: list[int], x: int) -> int:
@@ -307,39 +309,66 @@ def subset_fingerprints(held: np.ndarray, orders: tuple[np.ndarray, np.ndarray])
 def similar(sets: list[np.ndarray], threshold: float = SIMILAR) -> list[int]:
     """For each of the sets a number that those share which links of `threshold` or more connect. The pairs
     that a BK-tree of their fingerprints proposes are compared exactly, but for those that are connected
-    already, so that a group of copies of one text costs no square."""
-    n, parent = len(sets), list(range(len(sets)))
+    already. Sets that are connected with the hub, a set that links to many, don't search: what could link
+    to them finds them. So a large group of near copies costs no square."""
+    n, parent = len(sets), np.arange(len(sets))
+    if not n:
+        return []
     sizes = np.array([len(x) for x in sets], np.int64)
-
-    def link(a: int, b: int) -> None:
-        x, y = _root(parent, a), _root(parent, b)
-        if x != y:
-            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if common >= threshold * (sizes[a] + sizes[b] - common) - 1e-9:
-                parent[max(x, y)] = min(x, y)
-
-    for b in np.flatnonzero(np.minimum(sizes, sizes[:1]) >= threshold * np.maximum(sizes, sizes[:1]) - 1e-9)[1:].tolist():
-        link(0, b)  # the first with all others, which connects most
+    ends = np.cumsum(sizes)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = np.repeat(np.arange(n), sizes)[np.argsort(code, kind="stable")]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(code))]) if len(code) else np.zeros(1, np.int64)
+
+    def roots() -> np.ndarray:
+        nonlocal parent
+        while (parent != (further := parent[parent])).any():
+            parent = further
+        return parent
+
+    def connect(k: int) -> None:
+        """Links set k with all that are similar: how many elements each has in common with it, by their holders."""
+        own = code[ends[k] - sizes[k] : ends[k]]
+        number = begin[own + 1] - begin[own]
+        common = np.bincount(holder[_ranges(begin[own], number)], minlength=n)
+        group = np.unique(roots()[np.append(np.flatnonzero(common >= threshold * (sizes + sizes[k] - common) - 1e-9), k)])
+        parent[group] = group.min()
+
+    for k in dict.fromkeys(np.linspace(0, n - 1, min(n, HUBS)).astype(int).tolist()):
+        connect(k)  # which connects most of a group of near copies
+    hub = int(np.bincount(roots()).argmax())
     prints, place = np.unique(np.array([majority(x) for x in sets], np.uint64), return_inverse=True)
-    members = np.split(np.argsort(place, kind="stable"), np.cumsum(np.bincount(place, minlength=len(prints)))[:-1]) if n else []
-    for nodes, asked in BKTree(prints).within(prints, SIMILAR_RADIUS, 64):
-        for u, v in zip(nodes.tolist(), asked.tolist(), strict=True):
-            if u > v:
-                continue
-            root = np.array([_root(parent, k) for k in members[u].tolist()]), np.array([_root(parent, k) for k in members[v].tolist()])
-            apart = root[0][:, None] != root[1]
-            if apart.any():
-                p, q = sizes[members[u]][:, None], sizes[members[v]]
-                for i, j in zip(*np.nonzero(apart & (np.minimum(p, q) >= threshold * np.maximum(p, q) - 1e-9)), strict=True):
-                    link(int(members[u][i]), int(members[v][j]))
-    return [_root(parent, k) for k in range(n)]
+    tree, order = BKTree(prints), np.argsort(place, kind="stable")
+    first = np.searchsorted(place[order], np.arange(len(prints) + 1))
+    for at in range(0, n, 64):
+        asked = np.arange(at, min(at + 64, n))
+        asked = asked[roots()[asked] != roots()[hub]]
+        proposed: dict[int, list[np.ndarray]] = {}
+        for nodes, which in tree.within(prints[place[asked]], SIMILAR_RADIUS):
+            number = np.diff(first)[nodes]
+            one, other = np.repeat(asked[which], number), order[_ranges(first[nodes], number)]  # every set of a node's fingerprint
+            near = (parent[one] != parent[other]) & (np.minimum(sizes[one], sizes[other]) >= threshold * np.maximum(sizes[one], sizes[other]) - 1e-9)
+            one, other = one[near], other[near]
+            for k in np.unique(one).tolist():
+                proposed.setdefault(k, []).append(other[one == k])
+        for k, others in proposed.items():
+            label = roots()
+            if any((label[x] != label[k]).any() for x in others):
+                connect(k)
+    return roots().tolist()
+
+
+def _ranges(begin: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each, `number` of them."""
+    return np.repeat(begin - np.cumsum(number) + number, number) + np.arange(number.sum())
 
 
 def _similar_links(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Of (fp, group) and (fp, shingles): links (a, b) that connect the similar ones of each group. A
     group of over TILE_SHINGLES is compared tile by tile: a row for each pair of tiles that its own is in."""
     rows = materialize(sets.join(candidates, "fp"))
-    sizes = rows.groupBy("group").agg(F.ceil(F.sum(F.octet_length("shingles")) / (8 * TILE_SHINGLES)).cast("int").alias("tiles"))
+    tiles = F.greatest(F.ceil(F.sum(F.octet_length("shingles")) / (8 * TILE_SHINGLES)), F.ceil(F.count(F.lit(1)) / TILE_TEXTS))
+    sizes = rows.groupBy("group").agg(F.greatest(tiles, F.lit(1)).cast("int").alias("tiles"))
     rows = rows.join(sizes, "group").withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("group", F.least("tile", "with").alias("tile_a"), F.greatest("tile", "with").alias("tile_b"), "fp", "shingles")
