@@ -43,7 +43,8 @@ def test_indicators_are_the_ngrams_present():
     a, b, c = of(b"abcab"), of(b"abcababcab"), of(b"")
     assert len(c) == 0 and set(of(b"ab")) <= set(a)
     assert set(a) <= set(b) and len(of(b"x")) == 1
-    assert 1 in of(b"go go") and 2 not in of(b"go go") and {1, 2} <= set(of(b"go go go").tolist())
+    once, twice = 1 << quality.BITS, (1 << quality.BITS) + 1
+    assert once in of(b"go go") and twice not in of(b"go go") and {once, twice} <= set(of(b"go go go").tolist())
     assert (of(b"abcab") == a).all()
 
 
@@ -52,7 +53,7 @@ def test_log_count_ratio_and_dual_descent(monkeypatch):
     rows = [np.array([0, 1]), np.array([0, 2]), np.array([3, 1]), np.array([3, 2])]
     y = np.array([1, 1, 0, 0])
     ratio = quality.log_count_ratio(rows, y)
-    total = 4 + (1 << quality.BITS)
+    total = 4 + quality.SIZE
     assert ratio[0] == pytest.approx(np.log((3 / total) / (1 / total))) and ratio[0] == -ratio[3] and ratio[1] == ratio[2] == 0
     w = quality.descend(rows, np.ones(4), y, np.ones(4))
     x = np.zeros((4, 5))
@@ -64,6 +65,13 @@ def test_log_count_ratio_and_dual_descent(monkeypatch):
     assert all(loss(w) <= loss(w + 0.02 * rng.standard_normal(5)) for _ in range(300))
 
 
+def test_places_are_packed_without_loss():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 500, 9000, 200_000):
+        places = np.sort(rng.choice(quality.SIZE, n, replace=False))
+        assert (quality.unpack(quality.pack(places)) == places).all() and len(quality.pack(places)) <= quality.SIZE // 8 + 2
+
+
 def test_labels_of_one_class_or_none(spark, odd, none):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     one = spark.createDataFrame([(k, 1, 1) for k in range(9)] + [(None, 0, 0), (5, None, None), (6, 7, 7)], "doc_id long, quality int, toxic int")
@@ -128,6 +136,18 @@ def test_toxic_held_out_rows_and_misspelled_terms(spark):
     assert score('they wrote "gronkhead" and "gronkhead" and “gronkhead” in the report') < 0.5
 
 
+def test_long_words_are_no_terms_by_their_beginning():
+    lexicon = toxicity.Lexicon([("pneumonoultramicroscopicsilicovolcanocon", False, 2)])
+    assert lexicon.match("pneumonoultramicroscopicsilicovolcanocon") == 0 and lexicon.match("pneumonoultramicroscopicsilicovolcanoconiosislikethings") == -1
+
+
+def test_a_term_that_clean_words_resemble_matches_exactly_only(spark):
+    rows = [(1, f"gronkhead {k} trench {k}") for k in range(8)] + [(0, f"french bread {k} gronkhed" if k == 1 else f"french bread {k}") for k in range(20)]
+    lexicon = toxicity.settle(spark.createDataFrame(rows, "y int, text string"), toxicity.Lexicon([("gronkhead", False, 2), ("trench", False, 1)]))
+    assert lexicon.terms == [("gronkhead", False, 2), ("trench", False, 0)] and lexicon.harmless == {"french", "gronkhed"}
+    assert lexicon.match("gronkhad") == 1 and lexicon.match("french") == -1 and lexicon.match("trench") == 0
+
+
 def test_context_tells_quotation():
     lexicon = toxicity.Lexicon([("gronkhead", False, 2)])
     plain, quoted, cue = (toxicity.features(s.encode(), lexicon) for s in ("a gronkhead here", 'a "gronkhead" here', "the word gronkhead here"))
@@ -163,6 +183,22 @@ def test_languages_of_held_out_rows(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.98 and all(0 <= r["score"] <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("doc_id", [3, 4, 77_777, 12_345])
+def test_copies_of_one_text_lose_no_language(spark, doc_id):
+    rows = [(k, f"the river runs past {k} old houses", "en") for k in range(400)] + [(doc_id, "der fluss läuft an den häusern vorbei", "de")] * 900
+    assert langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["de", "en"]
+
+
+def test_every_language_is_learned_however_many(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_ROWS", 50)
+    monkeypatch.setattr(langid, "LANDMARKS", 10)
+    rows = [(4 * k + j, f"{chr(97 + k % 26) * 3}{chr(97 + k // 26) * 2} some words {j}", f"l{k}") for k in range(60) for j in range(4)]
+    assert len(langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages) == 60
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 10)
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
 def test_the_folded_scores_are_those_of_the_kernel():
     of = langid.Spectrum()
     rows = [of(t.encode()) for t in ("kalomi", "schung ei", "lokane mi", "tzei ung")]

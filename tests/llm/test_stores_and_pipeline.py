@@ -6,6 +6,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pactlake.llm import embeddings, quality, queries, warc
@@ -44,7 +45,7 @@ def clustered(n=700, dim=16, seed=0):
     return rows + [(n + k, rows[0][1], rows[0][2]) for k in range(30)]
 
 
-@pytest.mark.parametrize("caps", [(20_000, 512, 512), (150, 40, 16)])
+@pytest.mark.parametrize("caps", [(8192, 64, 4096), (150, 40, 16)])
 def test_links_reach_the_recall_of_brute_force(spark, monkeypatch, caps):
     for name, value in zip(("CELL", "LEAF", "TILE"), caps, strict=True):
         monkeypatch.setattr(embeddings, name, value)
@@ -70,6 +71,10 @@ def test_odd_vectors(spark):
     assert got[1] == [(4, 1, True)] and got[2] == [(4, 1, False)] * 2 and got[3] == [(4, 1, False)] and got[14] == [(4, 1, False)]
     assert all(got[k] == [(0, k, True)] for k in (4, 5, 6, 7, 8, 9, 10, 11, 12, 13)) and got[None] == [(0, None, None)]
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+    text = {r["vec_id"]: r["component_id"] for r in embeddings.near_duplicates(df.withColumn("vec_id", F.concat(F.lit("v"), "vec_id"))).collect()}
+    assert text["v14"] == "v1" and text["v4"] == "v4"
+    reused = spark.createDataFrame([(1, v, 1), (1, [-x for x in v], 2), (2, v, 1), (3, [-x for x in v], 2)], "vec_id long, embedding array<float>, label int")
+    assert sorted(tuple(r) for r in embeddings.near_duplicates(reused).collect()) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
 
 
 # --- archives --------------------------------------------------------------
@@ -131,7 +136,8 @@ def test_queries_return_a_row_for_each_input_row(spark, name):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
 def test_pipeline_against_plain_rules(spark):
-    from tests.llm.test_text_operators import brute_hits, plain_components, plain_fingerprint, plain_spans
+    from tests.llm.test_similar_texts import plain_kept
+    from tests.llm.test_text_operators import brute_hits, plain_shares, plain_spans
     from tokenizers import Tokenizer
 
     from pactlake.llm import bpe, pii
@@ -139,24 +145,29 @@ def test_pipeline_against_plain_rules(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     of = quality.Indicators()
-    rows = [r for r in docs.collect() if model.score(of(r["text"].encode())) >= 0.5]
-    prints = {r["doc_id"]: plain_fingerprint(r["text"]) for r in rows}
-    ids = sorted(prints)
-    near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 2]
-    first = plain_components(ids, near)
-    rows = [r for r in rows if first[r["doc_id"]] == r["doc_id"]]
+    rows = sorted((r for r in docs.collect() if model.score(of(r["text"].encode())) >= 0.5), key=lambda r: r["doc_id"])
+    kept = plain_kept([r["text"] for r in rows])
+    rows = [r for k, r in enumerate(rows) if k in kept]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     hits = brute_hits([(r["doc_id"], r["text"]) for r in rows], items)
     rows = [r for r, (_, hit, _) in zip(rows, hits, strict=True) if not hit]
-    terms = pii.disclosing_terms(spark.createDataFrame(rows, docs.schema)).count()
-    assert terms == 0  # of so few documents no term discloses; what remains are the patterns
+    near, shares = plain_shares([r["text"] for r in rows])
     t = Tokenizer.from_file(bpe.default_tokenizer())
-    want = {}
-    for r in rows:
-        text = pii.redact(r["text"], [(*s, None) for s in plain_spans(r["text"])])
+    want, terms = {}, 0
+    for d, r in enumerate(rows):
+        spans = [(*s, None) for s in plain_spans(r["text"])]
+        own = {x: max(v for (e, y), v in shares.items() if y == x and d in near[e, y]) for (e, x), v in shares.items() if v >= pii.GENERALISE and d in near[e, x]}
+        found = [("term", *m.span(), own[m[0].lower()]) for m in pii._TERM.finditer(r["text"]) if m[0].lower() in own and all(m.end() <= a or m.start() >= b for _, a, b, _ in spans)]
+        terms += len(found)
+        text = pii.redact(r["text"], sorted([*spans, *found], key=lambda s: (s[1], pii.ALL_KINDS.index(s[0]))))
         want[r["doc_id"]] = t.encode(text, add_special_tokens=False).ids
     got = {r["doc_id"]: list(r["ids"]) for r in corpus_pipeline.run(spark, SF).collect()}
-    assert got == want and 0 < len(got) < docs.count()
+    assert got == want and 0 < len(got) < docs.count() and terms > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
+def test_terms_are_found_on_the_tables(spark):
+    assert queries.queries()["op8_pii_disclosure"](spark, "/root/testdata/sf0.01").where("spans like '%term:%'").count() > 0
 
 
 def test_stages_on_odd_and_empty_documents(spark, odd, none, tmp_path):
@@ -164,11 +175,49 @@ def test_stages_on_odd_and_empty_documents(spark, odd, none, tmp_path):
     items = spark.createDataFrame([(1, "quick brown")], "item_id long, text string")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    more = ["y", "fp", "hits", "items", "n_words", "spans", "clean", "places", "lang_pred", "h", "good", "__clean", "n_chars", "ids", "n_tokens", "part", "group"]
     for docs in (odd, none):
-        docs = docs.withColumnRenamed("score", "n_chars").selectExpr("doc_id", "text", "lang", "source", "cast(n_chars as long) n_chars")
+        for k, c in enumerate(more):
+            docs = docs.withColumn(c, F.lit(k).cast("long"))
+        start = {r["doc_id"]: r for r in docs.collect()}
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, str(tmp_path))
             if name != "encoding":
-                assert out.columns == docs.columns
+                assert out.schema.names == docs.columns
+                for r in out.collect():  # the user's own columns are as they were
+                    assert all(r[c] == start[r["doc_id"]][c] for c in [*more, "score", "lang", "source"] if c != "n_chars")
             docs = out
         assert docs.count() <= odd.count()
+
+
+def test_steps_of_a_stage_go(spark):
+    from pactlake.llm import common
+
+    before = set(common._steps)
+    with common.own_steps():
+        common.materialize(spark.range(3))
+        kept = common.materialize(spark.range(4))
+    assert set(common._steps) - before == {kept._step} and kept.count() == 4
+    common.drop_step(kept)
+    assert set(common._steps) == before
+
+
+def test_a_local_folder_is_refused_on_a_cluster():
+    from pactlake.llm import common
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: {"spark.master": "yarn"}.get(name, default))
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session)
+
+
+@pytest.mark.parametrize("name", [n for n in queries.queries() if n.split("_")[0] not in ("op2", "op6")])
+def test_bytes_that_are_not_utf8(spark, tmp_path, name):
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(30)], "doc_id long, quality int, toxic int")
+    rows = [(k, bytearray(f"some words about thing {k} a@b.co ".encode() + bytes([0xC3, 0x28, 0xFF, k])), "en") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text binary, lang string").selectExpr("doc_id", "cast(text as string) text", "lang", "lang as y", "doc_id as score")
+    for n, df in (("labels", labels), ("documents", docs), ("benchmark", spark.createDataFrame([(1, "about thing")], "item_id long, text string"))):
+        df.write.parquet(str(tmp_path / f"{n}.parquet"))
+    assert queries.queries()[name](spark, str(tmp_path)).count() == 30

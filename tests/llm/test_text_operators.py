@@ -40,6 +40,16 @@ def test_encoding_equals_the_library(tokenizer):
         assert own.decode(e.ids) == tokenizer.decode(e.ids, skip_special_tokens=False)
 
 
+def test_letters_of_newer_unicode_versions(tokenizer):
+    own = bpe.ForcedBoundaryBPE(open(bpe.default_tokenizer(), encoding="utf-8").read())
+    random.seed(2)
+    letters = "aB .,\u1c89\ua7cb\ua7da\U00010d50\u03a3\u03c2\u0301\u0307\u0130\u1e9e\u212a\u2126\u2001\u2028\u1100\u1161\u13a0\x1f"
+    for _ in range(3000):
+        t = "".join(random.choice(letters) for _ in range(random.randint(0, 12)))
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        assert own.encode(t) == ids and own.decode(ids) == tokenizer.decode(ids, skip_special_tokens=False), ascii(t)
+
+
 def test_cuts_only_where_no_token_has_the_pair():
     own = bpe.ForcedBoundaryBPE(open(bpe.default_tokenizer(), encoding="utf-8").read())
     for word in ("qzxjkvbw", "hello", "zqzqzq"):
@@ -173,17 +183,19 @@ def close_values(n, seed=3, centres=30, flips=5):
 def test_bk_trees_find_all_and_only_links(radius):
     values = close_values(600)
     tree = simhash.BKTree(values)
-    found = {(n, int(k)) for n, hits in tree.within(values, radius) for k in hits}
+    found = {(n, k) for nodes, asked in tree.within(values, radius, 100) for n, k in zip(nodes.tolist(), asked.tolist(), strict=True)}
     want = {(a, int(b)) for a in range(len(values)) for b in np.flatnonzero(np.bitwise_count(values ^ values[a]) <= radius)}
     assert found == want
-    for node, children in enumerate(tree.children):
-        assert len({d for d, _ in children}) == len(children)
-        assert all((int(values[node]) ^ int(values[c])).bit_count() == d for d, c in children)
+    assert sorted(tree.child.tolist()) == list(range(1, len(values)))  # each but the root is a child once
+    assert len(set(tree.edge.tolist())) == len(tree.edge)
+    for edge, child in zip(tree.edge.tolist(), tree.child.tolist(), strict=True):
+        assert (int(values[edge // 65]) ^ int(values[child])).bit_count() == edge % 65
 
 
-@pytest.mark.parametrize("shard_max", [4096, 20])
-def test_links_connect_what_is_within_the_radius(spark, monkeypatch, shard_max):
-    monkeypatch.setattr(simhash, "SHARD_MAX", shard_max)
+@pytest.mark.parametrize("shards", [(1024, 8192), (64, 20), (4096, 100)])
+def test_links_connect_what_is_within_the_radius(spark, monkeypatch, shards):
+    for name, value in zip(("SHARD", "SHARD_MAX"), shards, strict=True):
+        monkeypatch.setattr(simhash, name, value)
     values = close_values(1500)
     signed = values.view(np.int64).tolist()
     pairs = [(signed[a], signed[int(b)]) for a in range(len(values)) for b in np.flatnonzero(np.bitwise_count(values[a + 1 :] ^ values[a]) <= 2) + a + 1]
@@ -242,29 +254,62 @@ def disclosing(spark):
     rows = [(i, f"alpha{'xyzw'[i % 4] * 3} Zorblatt writes w{'abcdefgh'[i % 8] * 5} zorb@x.com nice q{'klmnop'[i % 6] * 4} and Zorblatt") for i in range(8)]
     rows += [(100 + i, "some other text about nice things and writes " + "hello " * i) for i in range(60)]
     rows += [(200 + i, "copied words around other@y.org are always these same words") for i in range(9)]
+    rows += [(250, "lonely Marvolo asks marv@z.org about things Marvolo"), (251, "Marvolo again, far from any entity"), (252, "1.2.3.4 nice +1 234 567 8901 hello")]
     return spark.createDataFrame([*rows, (None, None), (300, "")], "doc_id long, text string")
 
 
-@pytest.mark.parametrize("block", [200_000, 1])
-def test_terms_that_disclose_are_removed_and_copies_prove_nothing(spark, monkeypatch, block):
-    monkeypatch.setattr(pii, "BLOCK_TERMS", block)
+def plain_shares(texts):
+    """Every (entity, term) near each other and the share of the entity that the term discloses."""
+    near, holds, n = {}, {}, len(texts)
+    for d, t in enumerate(texts):
+        spans = plain_spans(t or "")
+        words = [m for m in re.finditer(r"[^\W\d_]{4,}", t or "") if all(m.end() <= a or m.start() >= b for _, a, b in spans)]
+        for k, a, b in spans:
+            e = pii.entity(k, t[a:b])
+            holds.setdefault(e, set()).add(d)
+            for m in [m for m in words if m.end() <= a][-8:] + [m for m in words if m.start() >= b][:8]:
+                near.setdefault((e, m[0].lower()), set()).add(d)
+    out = {}
+    for (e, t), ds in near.items():
+        n_t = sum(t in re.findall(r"[^\W\d_]{4,}", (x or "").lower()) for x in texts)
+        out[e, t] = np.log2(len(ds) * n / (len(holds[e]) * n_t)) / np.log2(n / len(holds[e]))
+    return near, out
+
+
+@pytest.mark.parametrize("limits", [(200_000, 32 << 20), (3, 0)])
+def test_terms_equal_a_plain_count(spark, monkeypatch, limits):
+    monkeypatch.setattr(pii, "COUNTED_TERMS", limits[0])
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", limits[1])
     df = disclosing(spark)
-    assert [r["term"] for r in pii.disclosing_terms(df).collect()] == ["zorblatt"]
+    rows = df.collect()
+    near, shares = plain_shares([r["text"] for r in rows])
+    want = {k: v for k, v in shares.items() if v >= pii.GENERALISE}
+    got = {(r["e"], r["t"]): r["share"] for r in pii.disclosing_terms(df).collect()}
+    assert got == pytest.approx(want)
+    assert ("email:zorb@x.com", "zorblatt") in got and ("email:zorb@x.com", "nice") not in got and ("email:marv@z.org", "marvolo") not in got
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.find(df, ["doc_id"]).collect()}
+    for d, r in enumerate(rows):
+        text = r["text"] or ""
+        spans = [(*s, None) for s in plain_spans(text)]
+        own = {t: max(v for (e, x), v in want.items() if x == t and d in near[e, x]) for (e, t) in want if d in near[e, t]}
+        terms = [m for m in re.finditer(r"[^\W\d_]{4,}", text) if m[0].lower() in own and all(m.end() <= a or m.start() >= b for _, a, b, _ in spans)]
+        spans += [("term", *m.span(), pytest.approx(own[m[0].lower()])) for m in terms]
+        assert found[r["doc_id"]] == sorted(spans, key=lambda s: (s[1], pii.ALL_KINDS.index(s[0])))
     texts = {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()}
-    assert texts[0] == "alphaxxx  writes waaaaa [EMAIL] nice qkkkk and "
-    assert texts[200] == "copied words around [EMAIL] are always these same words"
+    assert "Zorblatt" not in texts[0] and "writes" in texts[0] and "[EMAIL]" in texts[0] and texts[251] == rows[-4]["text"]
     assert texts[None] is None and texts[300] == "" and texts[160 - 1].startswith("some other")
 
 
-def test_shares_equal_the_formula(spark, monkeypatch):
-    monkeypatch.setattr(pii, "GENERALISE", -9.0)
-    df = disclosing(spark)
-    got = {r["term"]: r["share"] for r in pii.disclosing_terms(df).collect()}
-    n, n_e = df.count(), 8
-    texts = [(r["text"] or "").lower() for r in df.collect()]
-    for t in ("zorblatt", "writes", "nice"):
-        n_t = sum(t in x for x in texts)
-        assert got[t] == pytest.approx(np.log2(8 * n / (n_e * n_t)) / np.log2(n / n_e))
+def test_long_logs_take_linear_time():
+    import time
+
+    random.seed(1)
+    text = " ".join(f"host {random.randrange(256)}.{random.randrange(256)}.1.7 fetched page number {k}" for k in range(20_000))
+    began = time.perf_counter()
+    spans = pii.base_spans(text)
+    pii._evidence(text, spans)
+    pii._term_spans(text, {"fetched": 1.0}, spans)
+    assert len(spans) == 20_000 and time.perf_counter() - began < 6
 
 
 def test_spans_of_odd_rows(spark, odd, none):
@@ -299,6 +344,13 @@ def test_shards_are_reproducible_and_whole(spark, odd, none):
         assert r["size"] == len(raw) + 16 and r["text_crc32"] == zlib.crc32(raw) and r["law"] == "rows" and r["grown_shard"] is None
 
 
+def test_a_row_that_is_repeated_often_is_dealt_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE", 10)
+    df = spark.createDataFrame([(1, "same")] * 2345 + [(None, None)] * 37 + [(k, "x") for k in range(30)], "doc_id long, text string")
+    got = sharding.shard(df, shards=7).collect()
+    assert sorted(7 * r["slot"] + r["shard"] for r in got) == list(range(2412)) and sum(r["doc_id"] == 1 for r in got) == 2346
+
+
 def test_the_permutation_walks_back_into_range(spark):
     from pyspark.sql import functions as F
 
