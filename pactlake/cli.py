@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import dataclasses
 import datetime
 import json
@@ -15,7 +16,7 @@ from .operators.check import check_source
 from .operators.diff import FAIL_ON, diff
 from .plans.spec import ContractError, load
 from .sources.read import read
-from .streaming import gate, kafka
+from .streaming import gate, kafka, records
 
 PASS, FAIL, ERROR = 0, 1, 2
 
@@ -127,22 +128,34 @@ def _consumer_check(args) -> int:
 
 
 def _gate(args) -> int:
+    if args.source == "-":
+        return _gate_lines(args)
+    if not (args.to and args.dlq and args.checkpoint):
+        raise ContractError("a gate on a folder or topic needs --to, --dlq and --checkpoint")
     c = _enforceable(args.contract, args.allow_unenforced)
     spark = session()
     trigger = {"availableNow": True} if args.exit_at_end else {"processingTime": "1 second"}
     if args.brokers:
         stream = spark.readStream.format("kafka").option("kafka.bootstrap.servers", args.brokers).option("subscribe", args.source)
         stream = stream.option("startingOffsets", "earliest").option("includeHeaders", True).load()
-        unique = gate.REFUSE if args.unique == gate.TRACK else args.unique  # topics have no memory of keys
-        kafka.gate(stream, c, args.brokers, args.to, args.dlq, args.checkpoint, args.model, unique, trigger).awaitTermination()
-        return PASS
-    stream = spark.readStream.text(args.source)
-    query, stats = gate.gate(stream, c, args.to, args.dlq, args.checkpoint, args.model, args.unique, stats=args.stats, trigger=trigger)
+        query, stats = kafka.gate(stream, c, args.brokers, args.to, args.dlq, args.checkpoint, args.model, args.unique, trigger, args.stats)
+    else:
+        stream = spark.readStream.text(args.source)
+        query, stats = gate.gate(stream, c, args.to, args.dlq, args.checkpoint, args.model, args.unique, stats=args.stats, trigger=trigger)
     query.awaitTermination()
-    _show(args, ", ".join(f"{k}: {v:,}" for k, v in vars(stats).items()), vars(stats))
+    _show(args, ", ".join(f"{k}: {v:,}" for k, v in stats.counters().items()), stats.snapshot(c, c.model(args.model)[0]))
     return FAIL if stats.failed(c) else PASS
 
 
+def _gate_lines(args) -> int:
+    """Standard input to standard output, one line for one line, without Spark."""
+    c = _enforceable(args.contract, args.allow_unenforced)
+    one = records.RecordGate(c, args.model, args.unique)
+    with open(args.dlq, "ab") if args.dlq else contextlib.nullcontext() as dlq:
+        records.answer_lines(one, sys.stdin.buffer, sys.stdout.buffer, sys.stderr.buffer, dlq)
+    return FAIL if one.failed() else PASS
+
+
 def _infer(args) -> int:
     d = infer.infer(session(), args.data if len(args.data) > 1 else args.data[0], args.id, args.model, args.sample, args.max_enum, not args.no_ranges)
     text = d.to_yaml()
@@ -239,10 +252,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--consumers")
     c.add_argument("--fail-on", choices=FAIL_ON, default="breaking")
     c = command("gate", _gate, "source", contract=True)
-    for x in ("--to", "--dlq", "--checkpoint"):
-        c.add_argument(x, required=True)
-    c.add_argument("--stats")
-    c.add_argument("--brokers")
+    for x in ("--to", "--dlq", "--checkpoint", "--stats", "--brokers"):
+        c.add_argument(x)
     c.add_argument("--exit-at-end", action="store_true")
     c.add_argument("--unique", choices=(gate.REFUSE, gate.SKIP, gate.TRACK), default=gate.TRACK)
     c = command("infer", _infer, many="data")

@@ -16,21 +16,17 @@ MAX_BUCKETS = 4096
 _LEAST_NORMAL = 2.2250738585072014e-308
 
 
-def _two_to(e: Column) -> Column:
-    """2^e as a product of two finite powers."""
-    half = F.floor(e / 2)
-    return F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), e - half)
-
-
 def bucket(x: Column) -> Column:
-    """Of a finite double: the number of its magnitude's bucket; 0 for zero. Larger is larger."""
+    """Of a finite double: the number of its magnitude's bucket; 0 for zero. Larger is larger. Without
+    branches, so that Catalyst evaluates what is repeated once; the logarithm may be off by one either way."""
     a = F.abs(x)
-    guess = F.floor(F.log2(a))
-    low = F.when(_two_to(guess) > a, guess - 1).otherwise(guess)
-    e = F.when(_two_to(low + 1) <= a, low + 1).otherwise(low)
-    normal = (e + 1023) * PER_OCTAVE + F.floor((a / _two_to(e) - 1) * PER_OCTAVE)
-    tiny = F.floor(a * F.lit(2.0**1000) * F.lit(2.0**28))
-    return F.when(x == 0, F.lit(0)).when(a < _LEAST_NORMAL, tiny).otherwise(normal).cast("long")
+    two_to = lambda e: F.pow(F.lit(2.0), e)
+    guess = F.floor(F.log2(a))  # null for zero
+    e = guess - (two_to(guess) > a).cast("int") + (two_to(guess + 1) <= a).cast("int")
+    normal = (e + 1023) * PER_OCTAVE + F.floor((a / two_to(e) - 1) * PER_OCTAVE)
+    is_tiny = (a < _LEAST_NORMAL).cast("int")
+    tiny = F.floor(F.least(a, F.lit(_LEAST_NORMAL)) * F.lit(2.0**1000) * F.lit(2.0**28))
+    return F.coalesce((normal * (1 - is_tiny) + tiny * is_tiny).cast("long"), F.lit(0).cast("long"))
 
 
 def sign(x: Column) -> Column:

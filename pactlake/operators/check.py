@@ -11,6 +11,7 @@ import hashlib
 import hmac
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shapes import observed, preview
 from ..plans import rules as R
-from ..plans.spec import Contract, ContractError, Model, load
+from ..plans.spec import Contract, ContractError, DatasetRule, Model, load
 from ..sources.read import LINE, ROW, Source, read, typed_cells
 
 
@@ -83,7 +84,7 @@ class Report:
 def bind(model: Model, source: Source) -> tuple[DataFrame, R.Compiled]:
     """The frame of a source and the model's rules over it."""
     if source.kind == "records":
-        return source.frame, R.compile_records(model)
+        return R.with_members(source.frame, model), R.compile_records(model, True)
     if source.kind == "columns":
         schema = [f for f in source.frame.schema if f.name != ROW]
         return source.frame, R.compile_columns(model, type(source.frame.schema)(schema))
@@ -186,18 +187,7 @@ def _dataset(frame: DataFrame, m: Model, compiled: R.Compiled, rows: int) -> lis
     """Rules on aggregates: one violation for each that doesn't hold."""
     out = []
     for rule in m.dataset:
-        if rule.metric == "row_count":
-            value = float(rows)
-        elif rule.metric == "null_values":
-            v = compiled.values[rule.fields[0]]
-            value = float(frame.agg(F.count_if(~v.present | v.null)).first()[0])
-        else:
-            keys = [compiled.values[f].key.alias(f"k{k}") for k, f in enumerate(rule.fields)]
-            able = F.lit(True)
-            for f in rule.fields:
-                able = able & compiled.values[f].ok
-            per_key = frame.where(able).select(*keys).groupBy(*[f"k{k}" for k in range(len(keys))]).count()
-            value = float(per_key.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).first()[0])
+        value = float(rows if rule.metric == "row_count" else dataset_value(frame, rule, compiled).first()["value"])
         if rule.percent:
             value = 100 * value / rows if rows else 0.0
         if not rule.holds(value):
@@ -205,6 +195,18 @@ def _dataset(frame: DataFrame, m: Model, compiled: R.Compiled, rows: int) -> lis
     return out
 
 
+def dataset_value(frame: DataFrame, rule: DatasetRule, compiled: R.Compiled) -> DataFrame:
+    """One row (value) of a rule's metric: rows, nulls of a field, or rows whose combination of fields came before."""
+    if rule.metric == "row_count":
+        return frame.agg(F.count(F.lit(1)).alias("value"))
+    values = [compiled.values[f] for f in rule.fields]
+    if rule.metric == "null_values":
+        return frame.agg(F.count_if(~values[0].present | values[0].null).alias("value"))
+    able = reduce(lambda a, v: a & v.ok, values, F.lit(True))
+    per_key = frame.where(able).select(*[v.key.alias(f"k{k}") for k, v in enumerate(values)]).groupBy(*[f"k{k}" for k in range(len(values))]).count()
+    return per_key.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("value"))
+
+
 def check(spark: SparkSession, data: Any, contract: Contract | str, model: str | None = None, allow_unenforced: bool = False, source: str | None = None, data_format: str | None = None, samples: bool = True) -> Report:
     """Checks a path, a DataFrame, a table or a list of dicts. A contract with rules that can't be
     enforced is refused unless allow_unenforced; the report is then partial."""

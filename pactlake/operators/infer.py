@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions import shapes
 from ..plans.rules import RECORD
 from ..plans.spec import Contract, Field, Model
-from ..sources.read import LINE, ROW, SourceError, format_of, read, records
+from ..sources.read import LINE, ROW, SourceError, format_of, has_line_breaks, read, records
 
 #: Fixed limits: records of a sample, values of a drafted set, distinct values counted, values behind a guess.
 SAMPLE, MAX_ENUM, DISTINCT_CAP, FLOOR = 10_000, 12, 512, 20
@@ -39,7 +39,7 @@ class Draft:
 def _as_lines(spark: SparkSession, data: Any) -> DataFrame:
     """(ROW, LINE) of any source."""
     if isinstance(data, str) and format_of(data) == "csv":
-        data = spark.read.option("header", True).option("multiLine", True).csv(data, inferSchema=True)
+        data = spark.read.options(header=True, multiLine=has_line_breaks(spark, data), escape='"').csv(data, inferSchema=True)
     source = read(spark, data, rows=True)
     if source.kind == "records":
         return source.frame.select(ROW, LINE)
@@ -69,8 +69,7 @@ def _observed(spark: SparkSession, lines: DataFrame) -> tuple[int, int, dict[str
     kinds = objects.select(shape.alias("s")).distinct().limit(65).count()
     order = objects.select(ROW, F.posexplode(F.json_object_keys(LINE)).alias("pos", "key"))
     first = {r["key"]: (r["r"], r["p"]) for r in order.groupBy("key").agg(F.min(ROW).alias("r"), F.min_by("pos", ROW).alias("p")).collect()}
-    objects.createOrReplaceTempView("__infer_objects")
-    cells = spark.sql(f"SELECT e.key, e.value AS v FROM __infer_objects, LATERAL variant_explode({RECORD}) AS e")
+    cells = spark.sql(f"SELECT e.key, e.value AS v FROM {{objects}}, LATERAL variant_explode({RECORD}) AS e", objects=objects)
     kind = F.schema_of_variant("v")
     text = F.try_variant_get("v", "$", "string")
     number = F.try_variant_get("v", "$", "double")

@@ -13,7 +13,7 @@ import math
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import buckets
@@ -129,9 +129,10 @@ def histogram(frame: DataFrame, compiled) -> DataFrame:
     for name, v in compiled.values.items():
         if compiled.model.fields[name].type in ("integer", "float"):
             x = _number(v)
-            parts.append(F.when(v.ok & _finite(x), F.struct(F.lit(name).alias("field"), buckets.sign(x).alias("sign"), buckets.bucket(x).alias("bucket"))))
+            parts.append(F.when(v.ok & _finite(x), F.struct(F.lit(name).alias("field"), x.alias("x"))))
     # inline() evaluates the structs once; explode and x.* would once for each of their fields
     told = frame.select(F.inline(F.array(*parts))).where(F.col("field").isNotNull())
+    told = told.select("field", buckets.sign(F.col("x")).alias("sign"), buckets.bucket(F.col("x")).alias("bucket"))
     return told.groupBy("field", "sign", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -280,6 +281,16 @@ def quantile(histogram: dict[str, int], q: float) -> float | None:
     return rows[-1][0]
 
 
+def quantile_buckets(counts: DataFrame, quantiles: tuple[float, ...]) -> DataFrame:
+    """(field, q, sign, bucket) of histogram(): the first bucket, from the least number up, at which the running
+    count reaches the rank. A histogram has thousands of buckets at most, whatever the table."""
+    of = Window.partitionBy("field")
+    done = F.sum("n").over(of.orderBy(F.col("sign") * F.col("bucket")))
+    each = counts.select("field", "sign", "bucket", done.alias("done"), F.sum("n").over(of).alias("total"), F.explode(F.array(*[F.lit(q) for q in quantiles])).alias("q"))
+    first = each.where(F.col("done") >= F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("total")))).groupBy("field", "q")
+    return first.agg(F.min_by(F.struct("sign", "bucket"), "done").alias("b")).select("field", "q", "b.sign", "b.bucket")
+
+
 def cdf(histogram: dict[str, int], x: float) -> float:
     """The share of numbers in buckets whose middle is x or less."""
     rows = ordered(histogram)

@@ -5,6 +5,7 @@ Each query goes through the library's own operators over whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,10 +15,11 @@ from ..functions import buckets, shapes
 from ..operators import check as C
 from ..operators import diff as D
 from ..operators import profile as P
-from ..sources.read import LINE, ROW, Source, records
+from ..sources.read import LINE, ROW, Source, read, records
 from ..streaming import gate as G
+from ..streaming import kafka as K
 from . import rules as R
-from .spec import Contract, Field, Model, parse
+from .spec import Contract, DatasetRule, Field, Model, Version, parse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,7 +132,7 @@ def check_nulls_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In records a null that was sent breaks an optional field too."""
     lines = _nulls(spark, sf_dir).select(F.to_json(F.struct("o_orderkey", "needed", "spare"), {"ignoreNullFields": "false"}).alias(LINE))
     m = _model(needed={"type": "string", "required": True}, spare={"type": "string"}, o_orderkey={"type": "integer", "required": True, "max": 1000})
-    return C.counts_frame(_records(spark, lines), R.compile_records(m))
+    return C.counts_frame(*C.bind(m, Source(_records(spark, lines), "records", "orders")))
 
 
 def _records(spark: SparkSession, lines: DataFrame) -> DataFrame:
@@ -160,9 +162,10 @@ def unique_later_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_union(("l_orderkey,l_linenumber", "duplicate_values", "count(*) - count(DISTINCT (l_orderkey, l_linenumber))"), table="lineitem"))
 def unique_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose combination of two fields came before."""
-    pairs = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").count()
-    total = pairs.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("violations"))
-    return total.select(F.lit("l_orderkey,l_linenumber").alias("field"), F.lit("duplicate_values").alias("rule"), "violations")
+    rule = DatasetRule("duplicate_values", ("l_orderkey", "l_linenumber"), equals=0)
+    m = Model({"l_orderkey": Field("integer"), "l_linenumber": Field("integer")}, dataset=(rule,))
+    df = _table(spark, sf_dir, "lineitem")
+    return C.dataset_value(df, rule, R.compile_columns(m, df.schema)).select(F.lit(",".join(rule.fields)).alias("field"), F.lit(rule.metric).alias("rule"), F.col("value").alias("violations"))
 
 
 @query("""WITH b AS (SELECT 'o_totalprice' AS field, 'min' AS rule, o_orderkey AS row_id, CAST(o_totalprice AS VARCHAR) AS v FROM orders WHERE o_totalprice < 2000
@@ -214,10 +217,11 @@ def format_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", shapes.is_uri(F.col("url")).alias("is_uri"))
 
 
-_EMAILS = "CASE CAST(c_custkey % 6 AS INTEGER) WHEN 0 THEN c_name || '@x.org' WHEN 1 THEN 'a@b' WHEN 2 THEN 'a@b@c.d' WHEN 3 THEN '@x.org' WHEN 4 THEN 'a b@x.org' ELSE 'a@.x.org' END"
+_EMAILS = "CASE CAST(c_custkey % 6 AS INTEGER) WHEN 0 THEN c_name || '@x.org' WHEN 1 THEN 'a@b' WHEN 2 THEN 'a@b@c.d' WHEN 3 THEN '@x.org' WHEN 4 THEN 'a b@x.org' ELSE CASE WHEN c_custkey % 4 = 1 THEN 'a@.x.org' WHEN c_custkey % 4 = 3 THEN 'a@x.' ELSE 'a@b.c' END END"
 
 
-@query(f"SELECT c_custkey, regexp_full_match(e, '[^@\\s]+@[^@.\\s][^@\\s]*\\.[^@\\s]*[^@.\\s]|[^@\\s]+@[^@.\\s]\\.[^@.\\s]') AS is_email FROM (SELECT c_custkey, {_EMAILS} AS e FROM customer)")
+@query(f"""WITH d AS (SELECT c_custkey, e, string_split(e, '@') AS s FROM (SELECT c_custkey, {_EMAILS} AS e FROM customer))
+ SELECT c_custkey, NOT regexp_matches(e, '\\s') AND len(s) = 2 AND s[1] <> '' AND strpos(s[2], '.') > 1 AND right(s[2], 1) <> '.' AS is_email FROM d""")
 def format_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.expr(_EMAILS.replace("AS INTEGER", "AS INT"))
     return _table(spark, sf_dir, "customer").select("c_custkey", shapes.is_email(e).alias("is_email"))
@@ -248,8 +252,6 @@ def multiple_of(spark: SparkSession, sf_dir: str) -> DataFrame:
        "UNION ALL SELECT 'copies', count(*) - count(DISTINCT n_regionkey) = 0 FROM nation")
 def dataset_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules on aggregates: number of rows, share of nulls, copies."""
-    from .spec import DatasetRule
-
     df = _table(spark, sf_dir, "nation")
     rules = {"rows": DatasetRule("row_count", at_least=10, at_most=100000000), "nulls": DatasetRule("null_values", ("n_name",), True, below=50), "copies": DatasetRule("duplicate_values", ("n_regionkey",), equals=0)}
     m = Model({"n_name": Field("string"), "n_regionkey": Field("integer")}, dataset=tuple(rules.values()))
@@ -281,8 +283,7 @@ def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, 'k' AS field, CASE WHEN CAST(props->>'k' AS BIGINT) < 10 THEN 'min' ELSE 'max' END AS rule, props->>'k' AS value FROM events WHERE CAST(props->>'k' AS BIGINT) NOT BETWEEN 10 AND 89")
 def gate_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the dead letters tell: each violation of each blocked record."""
-    judged = G.judge(_table(spark, sf_dir, "events"), EVENTS, value="props")  # what passes has nothing to explode
-    return judged.select("event_id", F.inline("violations"))
+    return G.each_violation(G.judge(_table(spark, sf_dir, "events"), EVENTS, value="props"), "event_id")
 
 
 @query("SELECT event_id, CASE WHEN k < 10 OR k > 89 OR event_id > first_id THEN 'block' ELSE 'pass' END AS verdict FROM (SELECT event_id, CAST(props->>'k' AS BIGINT) AS k, "
@@ -296,9 +297,39 @@ def gate_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracked.select("event_id", "verdict")
 
 
-@query("SELECT verdict, CAST(count(*) AS BIGINT) AS records FROM (SELECT CASE WHEN CAST(props->>'k' AS BIGINT) BETWEEN 10 AND 89 THEN 'pass' ELSE 'block' END AS verdict FROM events) GROUP BY verdict")
+_LETTERS = "CAST(props->>'k' AS BIGINT)"
+
+
+@query(f"""WITH r AS (SELECT 'records' AS counter, count(*) AS n FROM events UNION ALL SELECT 'passed', count(*) FROM events WHERE {_LETTERS} BETWEEN 10 AND 89
+ UNION ALL SELECT 'blocked', count(*) FROM events WHERE {_LETTERS} NOT BETWEEN 10 AND 89 UNION ALL SELECT 'k min', count(*) FROM events WHERE {_LETTERS} < 10
+ UNION ALL SELECT 'k max', count(*) FROM events WHERE {_LETTERS} > 89 UNION ALL SELECT 'recent', count(*) FROM events) SELECT counter, CAST(n AS BIGINT) AS n FROM r""")
 def gate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate_verdicts(spark, sf_dir).groupBy("verdict").agg(F.count(F.lit(1)).alias("records"))
+    """What the gate counts of its batches, here of two: by verdict, by rule, and recent throughput."""
+    df, totals = _table(spark, sf_dir, "events"), G.GateStats()
+    for k in (0, 1):
+        judged = G.judge(df.where(F.pmod("event_id", F.lit(2)) == k), EVENTS, value="props")
+        totals.add(*G.batch_counts(judged, EVENTS.model()[1], "props"), seconds=1.0, now=1000.0 + k)
+    told = totals.snapshot(EVENTS, "props")
+    rows = [(n, told[n]) for n in ("records", "passed", "blocked")] + [(f"{r['field']} {r['rule']}", r["count"]) for r in told["per_rule"]]
+    return spark.createDataFrame([*rows, ("recent", sum(b["records"] for b in told["recent"]))], "counter string, n long")
+
+
+@query("SELECT event_id, 'events' AS contract_id, 'props' AS model, props AS record, 'k' AS field, CASE WHEN CAST(props->>'k' AS BIGINT) < 10 THEN 'min' ELSE 'max' END AS rule FROM events WHERE CAST(props->>'k' AS BIGINT) NOT BETWEEN 10 AND 89")
+def gate_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dead letters themselves, read back: who judged the record, the record as it came, what it broke."""
+    judged = G.judge(_table(spark, sf_dir, "events"), EVENTS, value="props").where(F.col("verdict") != "pass")
+    letter = judged.select("event_id", G.envelope(EVENTS, "props", "props").alias("letter"))
+    schema = "contract_id string, model string, record string, violations array<struct<field:string,rule:string>>"
+    read = letter.select("event_id", F.from_json("letter", schema).alias("l"))
+    return read.select("event_id", "l.contract_id", "l.model", "l.record", F.inline("l.violations"))
+
+
+@query("SELECT bool_or(CAST(props->>'k' AS BIGINT) NOT BETWEEN 10 AND 89) AS refused_record, CAST(event_id % 5 AS INTEGER) AS partition, min(event_id) AS event_id FROM events GROUP BY 2")
+def kafka_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions of a topic whose batch holds a blocked record."""
+    rows = G.judge(_table(spark, sf_dir, "events").withColumn("topic", F.lit("t")).withColumn("partition", F.pmod("event_id", F.lit(5)).cast("int")), EVENTS, value="props")
+    refused = K.refused_partitions(rows).select("partition", F.col("refused").alias("refused_record"))
+    return refused.join(rows.groupBy("partition").agg(F.min("event_id").alias("event_id")), "partition").select("refused_record", "partition", "event_id")
 
 
 @query("SELECT event_id, k AS field FROM (SELECT event_id, unnest(json_keys(j)) AS k FROM (SELECT event_id, json_object('k', event_id, event_type, value, 'z', user_id) AS j FROM events)) WHERE k NOT IN ('k', 'click')")
@@ -390,12 +421,18 @@ def profile_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT CAST(q AS DOUBLE) AS q, CAST(min(bucket) AS BIGINT) AS bucket FROM q JOIN c ON done >= ceil(CAST(q AS DOUBLE) * total) GROUP BY q""")
 def profile_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of the histogram: the first bucket whose running count reaches the rank."""
-    b = P.histogram(*_bound(spark, sf_dir, "lineitem", _model(l_extendedprice={"type": "float"})))
-    # of a histogram's buckets there are thousands at most, whatever the table
-    done = F.sum("n").over(Window.partitionBy("field").orderBy("sign", "bucket"))
-    total = F.sum("n").over(Window.partitionBy("field"))
-    c = b.select("bucket", done.alias("done"), total.alias("total"), F.explode(F.array(*[F.lit(q) for q in (0.1, 0.25, 0.5, 0.75, 0.9)])).alias("q"))
-    return c.where(F.col("done") >= F.ceil(F.col("q") * F.col("total"))).groupBy("q").agg(F.min("bucket").alias("bucket"))
+    counts = P.histogram(*_bound(spark, sf_dir, "lineitem", _model(l_extendedprice={"type": "float"})))
+    return P.quantile_buckets(counts, (0.1, 0.25, 0.5, 0.75, 0.9)).select("q", "bucket")
+
+
+@query("""WITH b AS (""" + _BUCKET_SQL.format(f="c_acctbal", c="c_acctbal", t="(SELECT c_acctbal - 4000 AS c_acctbal FROM customer)") + """),
+ c AS (SELECT sign, bucket, sum(n) OVER (ORDER BY sign * bucket) AS done, sum(n) OVER () AS total FROM b), q AS (SELECT unnest([0.05, 0.3, 0.5, 0.95]) AS q)
+ SELECT CAST(q AS DOUBLE) AS q, arg_min(sign, done) AS sign, arg_min(bucket, done) AS bucket FROM q JOIN c ON done >= ceil(CAST(q AS DOUBLE) * total) GROUP BY q""")
+def profile_quantiles_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of numbers of both signs: of negative ones the larger bucket is the smaller number."""
+    df = _table(spark, sf_dir, "customer").select((F.col("c_acctbal") - 4000).alias("c_acctbal"))
+    counts = P.histogram(*C.bind(_model(c_acctbal={"type": "float"}), Source(df, "columns", "customer")))
+    return P.quantile_buckets(counts, (0.05, 0.3, 0.5, 0.95)).select("q", "sign", "bucket")
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS row_count, CAST(min(o_totalprice) AS DOUBLE) AS least, CAST(max(o_totalprice) AS DOUBLE) AS most, round(CAST(sum(o_totalprice) AS DOUBLE), 2) AS total FROM orders")
@@ -423,12 +460,22 @@ def profile_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HALF = "CASE WHEN o_orderdate < TIMESTAMP '1997-01-01' THEN 'a' ELSE 'b' END"
 
 
-@query(f"SELECT {_HALF} AS half, CAST(count(*) AS BIGINT) AS row_count, round(100.0 * count(*) FILTER (WHERE o_orderpriority = '5-LOW') / count(*), 6) AS null_percent FROM orders GROUP BY 1")
+@query(f"""WITH r AS (SELECT count(*) FILTER (WHERE {_HALF} = 'a') AS a, count(*) FILTER (WHERE {_HALF} = 'b') AS b, count(*) FILTER (WHERE o_orderpriority = '5-LOW' AND {_HALF} = 'a') AS x,
+ count(*) FILTER (WHERE o_orderpriority IN ('5-LOW', '1-URGENT') AND {_HALF} = 'b') AS y FROM orders),
+ f AS (SELECT 'rows' AS field, 'volume' AS metric, a::DOUBLE AS baseline, b::DOUBLE AS current, abs(b - a) / a::DOUBLE AS score, 0.01 AS least FROM r UNION ALL SELECT 'o_orderpriority', 'null_rate', x / a::DOUBLE, y / b::DOUBLE, abs(y / b::DOUBLE - x / a::DOUBLE), 0.01 FROM r)
+ SELECT field, metric, round(baseline, 9) AS baseline, round(current, 9) AS current, round(score, 9) AS score FROM f WHERE score > least""")
 def drift_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Volume and null rate of two runs, as drift compares them."""
-    df = _table(spark, sf_dir, "orders")
-    null = F.nullif("o_orderpriority", F.lit("5-LOW")).isNull()
-    return df.groupBy(F.expr(_HALF).alias("half")).agg(F.count(F.lit(1)).alias("row_count"), F.round(100.0 * F.count_if(null) / F.count(F.lit(1)), 6).alias("null_percent"))
+    """Volume and null rate of two runs, by drift() of their profiles."""
+    from ..operators.drift import Thresholds, drift
+
+    df = _table(spark, sf_dir, "orders").withColumn("half", F.expr(_HALF))
+    gone = (F.col("o_orderpriority") == "5-LOW") | ((F.col("o_orderpriority") == "1-URGENT") & (F.col("half") == "b"))
+    df = df.select("half", F.when(~gone, F.col("o_orderpriority")).alias("o_orderpriority"))
+    c = Contract("orders", "1.0.0", {"orders": _model(o_orderpriority={"type": "string", "nullable": True})})
+    a, b = (P.profile_source(spark, Source(df.where(F.col("half") == h).drop("half"), "columns", h), c) for h in "ab")
+    found = [d for d in drift(a, b, Thresholds(rate=0.01, volume=0.01)).findings if d.metric in ("volume", "null_rate")]
+    rows = [(d.field or "rows", d.metric, round(float(d.baseline), 9), round(float(d.current), 9), round(d.score, 9)) for d in found]
+    return spark.createDataFrame(rows, "field string, metric string, baseline double, current double, score double")
 
 
 @query(f"""WITH s AS (SELECT o_orderpriority AS v, count(*) FILTER (WHERE {_HALF} = 'a')::DOUBLE AS x, count(*) FILTER (WHERE {_HALF} = 'b')::DOUBLE AS y FROM orders GROUP BY 1),
@@ -473,13 +520,98 @@ def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("changes", F.when(F.col("consumer") == "dash", F.array_remove("changes", "policy.max_violations")).otherwise(F.col("changes")))
 
 
-@query("SELECT 'narrowed' AS kind, v AS value FROM (SELECT unnest(['A','N','R']) AS v EXCEPT SELECT unnest(['N','X'])) UNION ALL SELECT 'widened', v FROM (SELECT unnest(['N','X']) AS v EXCEPT SELECT unnest(['A','N','R']))")
-def diff_allowed_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values that a new allowed set leaves out, and those it adds."""
-    sets = spark.createDataFrame([(["A", "N", "R"], ["N", "X"])], "old array<string>, new array<string>")
-    gone, more = F.array_except("old", "new"), F.array_except("new", "old")
-    told = lambda kind, a: F.transform(a, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
-    return sets.select(F.explode(F.concat(told("narrowed", gone), told("widened", more))).alias("x")).select("x.*")
+_OLD, _NEW = (
+    parse(f"""
+contract: 1
+id: d
+version: {v}
+owner: team
+models:
+  m:
+    fields:
+      flag: {{type: string, allowed: {allowed}}}
+      size: {{type: {kind}, min: {low}, max: 9}}
+      {more}
+policy: {{max_violations: {budget}}}
+""")
+    for v, allowed, kind, low, more, budget in (("1.0.0", "[A, N, R]", "integer", 1, "gone: {type: string}", 0), ("1.1.0", "[N, X]", "float", 2, "fresh: {type: string, required: true}", 5))
+)
+
+
+@query("SELECT * FROM (VALUES ('models.m.fields.flag','risky','producers'), ('models.m.fields.flag','risky','consumers'), ('models.m.fields.size','risky','consumers'), ('models.m.fields.size','risky','producers'), "
+       "('models.m.fields.gone','breaking','consumers'), ('models.m.fields.fresh','breaking','producers'), ('policy.max_violations','risky','consumers'), ('version','breaking','both')) AS t(path, severity, impact)")
+def diff_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """diff() of two versions: sets narrowed and widened, a type and a bound, fields gone and new, budget, version."""
+    return D.diff(_OLD, _NEW).to_frame(spark).select("path", "severity", "impact")
+
+
+@query("SELECT k, CAST(row_number() OVER (ORDER BY k % 3, k % 2, k // 4, pre IS NULL, pre) AS INTEGER) AS place FROM (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 4 < 2 THEN n_nationkey END AS pre FROM nation)")
+def semver_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions by precedence, prereleases before their release."""
+    keys = [r[0] for r in _table(spark, sf_dir, "nation").select("n_nationkey").collect()]
+    version = lambda k: f"{k % 3}.{k % 2}.{k // 4}" + (f"-{k}" if k % 4 < 2 else "")
+    ordered = sorted(keys, key=lambda k: Version.parse(version(k)).order)
+    return spark.createDataFrame([(k, n + 1) for n, k in enumerate(ordered)], "k int, place int")
+
+
+_MIXED = "CASE o_orderkey % 6 WHEN 0 THEN '1' WHEN 1 THEN '\"x\"' WHEN 2 THEN '1.5' WHEN 3 THEN 'true' WHEN 4 THEN 'null' ELSE '[1]' END"
+
+
+@query("SELECT * FROM (VALUES (NULL,'record_not_object',0),('n','required_missing',(SELECT count(*) FROM orders WHERE o_orderkey % 7 = 0)),('n','null_not_allowed',(SELECT count(*) FROM orders WHERE o_orderkey % 6 = 4 AND o_orderkey % 7 <> 0)),"
+       "('n','type_mismatch',(SELECT count(*) FROM orders WHERE o_orderkey % 6 IN (1,2,3,5) AND o_orderkey % 7 <> 0)),('x','null_not_allowed',(SELECT count(*) FROM orders WHERE o_orderkey % 6 = 4)),"
+       "('x','type_mismatch',(SELECT count(*) FROM orders WHERE o_orderkey % 6 IN (1,3,5))),('x','max',(SELECT count(*) FROM orders WHERE o_orderkey % 6 = 2))) AS t(field, rule, violations)")
+def check_types_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absent keys and values of other types, by the rules of records."""
+    v = F.expr(_MIXED)
+    line = F.concat(F.lit('{"x":'), v, F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit(',"n":'), v)).otherwise(F.lit("")), F.lit("}"))
+    lines = _table(spark, sf_dir, "orders").select(line.alias(LINE))
+    m = _model(n={"type": "integer", "required": True}, x={"type": "float", "max": 1.2})
+    return C.counts_frame(*C.bind(m, Source(_records(spark, lines), "records", "orders")))
+
+
+@query(_union(("f", "min", _where("(l_discount::FLOAT) < (0.03::FLOAT)")), ("f", "max", _where("(l_discount::FLOAT) > (0.07::FLOAT)")), ("f", "allowed", _where("(l_discount::FLOAT) NOT IN (0.03::FLOAT, 0.04::FLOAT, 0.1::FLOAT)")), table="lineitem"))
+def check_float32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds and sets of 32-bit columns: 0.07 as such a number isn't over 0.07."""
+    df = _table(spark, sf_dir, "lineitem").select(F.col("l_discount").cast("float").alias("f"))
+    return _counts(df, _model(f={"type": "float", "min": 0.03, "max": 0.07, "allowed": (0.03, 0.04, 0.1)}))
+
+
+@query(_union(("z", "unique", "count(*) - count(DISTINCT CASE WHEN l_linenumber % 3 = 0 THEN 0.0 WHEN l_linenumber % 3 = 1 THEN 'nan'::DOUBLE ELSE l_tax END)"), table="lineitem"))
+def unique_canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What counts as one key: both zeros, and every NaN."""
+    zero = F.when(F.col("l_quantity") % 2 == 0, F.lit(0.0)).otherwise(F.lit(-0.0))
+    z = F.when(F.col("l_linenumber") % 3 == 0, zero).when(F.col("l_linenumber") % 3 == 1, F.lit(float("nan"))).otherwise(F.col("l_tax"))
+    return _counts(_table(spark, sf_dir, "lineitem").select(z.alias("z")), _model(z={"type": "float", "unique": True}))
+
+
+def _written(spark: SparkSession, df: DataFrame, kind: str) -> tuple[Source, str]:
+    """df written as CSV or NDJSON where the session keeps its tables, and read by its extension."""
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/written-{uuid.uuid4().hex}.{kind}"
+    if kind == "csv":
+        df.write.option("header", True).option("emptyValue", "").csv(folder)
+    else:
+        df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(folder)
+    return read(spark, folder, rows=True), folder
+
+
+@query(_union(("p_partkey", "type_mismatch", _where("p_partkey % 10 = 3")), ("p_size", "type_mismatch", _where("false")), ("p_size", "min", _where("p_size < 5")), ("p_size", "max", _where("p_size > 45")), ("p_name", "pattern", _where("NOT regexp_matches(p_name, '[0-4]$')")), table="part"))
+def check_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV file: cells are read by the contract's types; an unreadable one is a mismatch."""
+    key = F.when(F.col("p_partkey") % 10 == 3, F.concat(F.lit("x"), "p_partkey")).otherwise(F.col("p_partkey").cast("string"))
+    source, _ = _written(spark, _table(spark, sf_dir, "part").select(key.alias("p_partkey"), "p_size", "p_name"), "csv")
+    m = _model(p_partkey={"type": "integer"}, p_size={"type": "integer", "min": 5, "max": 45}, p_name={"type": "string", "pattern": "[0-4]$"})
+    return C.counts_frame(*C.bind(m, source))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS row, s_suppkey FROM supplier")
+def ndjson_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An NDJSON file's lines in order, blank ones left out, numbered from 0."""
+    df = _table(spark, sf_dir, "supplier").select("s_suppkey").coalesce(1).sortWithinPartitions("s_suppkey")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/written-{uuid.uuid4().hex}.ndjson"
+    line = F.concat(F.lit('{"s_suppkey":'), "s_suppkey", F.lit("}"), F.when(F.col("s_suppkey") % 3 == 0, F.lit("\n  ")).otherwise(F.lit("")))
+    df.select(line.alias("value")).write.text(folder)
+    source = read(spark, folder, rows=True)
+    return source.frame.select(F.col(ROW).alias("row"), F.get_json_object(LINE, "$.s_suppkey").cast("long").alias("s_suppkey"))
 
 
 @query("SELECT key, CAST(count(*) AS BIGINT) AS present, CAST(min(v) AS DOUBLE) AS least, CAST(max(v) AS DOUBLE) AS most FROM (SELECT 'k' AS key, CAST(props->>'k' AS BIGINT) AS v FROM events) GROUP BY key")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -253,42 +253,71 @@ def _member(name: str) -> Column:
     raise ContractError(f"the field name {name!r} holds both kinds of quotes, which no path can name")
 
 
-def _json_value(f: Field, name: str) -> Value:
-    v = _member(name)
-    kind = F.schema_of_variant(v)
-    present, null = v.isNotNull(), _never_null(F.is_variant_null(v))
-    as_type = lambda t: F.try_variant_get(v, "$", t)
-    text = F.to_json(v)
-    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+_TYPED = {"integer": "decimal(38,0)", "float": "double", "boolean": "boolean"}
+
+
+def with_members(df: DataFrame, model: Model) -> DataFrame:
+    """df with columns of the members of RECORD that compile_records(model, True) refers to, so that each
+    is looked up, typed and tested once a row, however many rules there are."""
+    names = list(enumerate(model.fields.items()))
+    df = df.withColumns({f"__m{k}": _member(n) for k, (n, _) in names})
+    df = df.withColumns({f"__k{k}": F.schema_of_variant(F.col(f"__m{k}")) for k, _ in names} | {f"__t{k}": _as_type(F.col(f"__m{k}"), f) for k, (_, f) in names})
+    return df.withColumns({f"__ok{k}": _of_type(f, F.col(f"__m{k}"), F.col(f"__k{k}"), F.col(f"__t{k}")) for k, (_, f) in names})
+
+
+def without_members(df: DataFrame, model: Model) -> DataFrame:
+    return df.drop(*[f"{c}{k}" for k in range(len(model.fields)) for c in ("__m", "__k", "__t", "__ok")])
+
+
+def _as_type(v: Column, f: Field) -> Column:
+    return F.try_variant_get(v, "$", _TYPED.get(f.type, "string"))
+
+
+def _of_type(f: Field, v: Column, kind: Column, typed: Column) -> Column:
+    """Whether a member is there, no null, and of the field's type."""
     if f.type == "integer":
-        typed, family = as_type("decimal(38,0)"), "decimal"
         # beyond 64 bits with a sign, where an integer is told from 1.0 by its size alone
         large = kind.isin("DECIMAL(19,0)", "DECIMAL(20,0)") & typed.between(_integer(_LONG), _integer(2 * _LONG - 1))
         ok = (kind == "BIGINT") | large
-        key = typed.cast("string")
     elif f.type == "float":
-        typed, ok, family = as_type("double"), number, "float64"
-        ok = ok & ~F.abs(typed).isin(float("inf"))
-        key = F.when(typed == 0, F.lit(0.0)).otherwise(typed)
+        ok = (kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")) & ~F.abs(typed).isin(float("inf"))
     elif f.type == "boolean":
-        typed, ok, family = as_type("boolean"), kind == "BOOLEAN", "boolean"
-        key = typed
+        ok = kind == "BOOLEAN"
     else:
-        typed, ok, family = as_type("string"), kind == "STRING", "string"
-        text, key = F.when(ok, typed).otherwise(text), typed
+        ok = kind == "STRING"
         if f.type in shapes.SHAPES:
             ok = ok & shapes.SHAPES[f.type](typed)
-    ok = _never_null(present & ~null & ok)
-    return Value(present, null, ok, F.when(ok, typed), text, F.when(ok, key), family, True)
+    return _never_null(v.isNotNull() & ~_never_null(F.is_variant_null(v)) & ok)
 
 
-def compile_records(model: Model) -> Compiled:
-    """A model over parsed records in the column RECORD: an absent key and a null differ."""
+def _json_value(f: Field, name: str, at: int | None) -> Value:
+    """at: the field's number, if the members have columns of their own."""
+    if at is None:
+        v = _member(name)
+        kind, typed = F.schema_of_variant(v), _as_type(v, f)
+        ok = _of_type(f, v, kind, typed)
+    else:
+        v, kind, typed, ok = (F.col(f"{c}{at}") for c in ("__m", "__k", "__t", "__ok"))
+    text, key = F.to_json(v), typed
+    if f.type == "integer":
+        family, key = "decimal", typed.cast("string")
+    elif f.type == "float":
+        family, key = "float64", F.when(typed == 0, F.lit(0.0)).otherwise(typed)
+    elif f.type == "boolean":
+        family = "boolean"
+    else:
+        family, text = "string", F.when(kind == "STRING", typed).otherwise(text)
+    return Value(v.isNotNull(), _never_null(F.is_variant_null(v)), ok, F.when(ok, typed), text, F.when(ok, key), family, True)
+
+
+def compile_records(model: Model, members: bool = False) -> Compiled:
+    """A model over parsed records in the column RECORD: an absent key and a null differ. members: the frame
+    is one of with_members()."""
     readable = F.col(RECORD).isNotNull()
     rules = [Rule(None, "record_not_object", ~readable, F.lit(None).cast("string"))]
     unique, values = {}, {}
-    for name, f in model.fields.items():
-        v = _json_value(f, name)
+    for k, (name, f) in enumerate(model.fields.items()):
+        v = _json_value(f, name, k if members else None)
         own = field_rules(name, f, v)
         rules += [Rule(r.field, r.rule, readable & r.broken, r.text) for r in own]
         values[name] = v

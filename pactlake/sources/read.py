@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,23 +44,27 @@ def format_of(path: str, given: str | None = None) -> str:
     return _EXTENSIONS[extension]
 
 
+#: Splits of files whose first row numbers are broadcast; more are joined by a shuffle.
+BROADCAST_SPLITS = 100_000
+
+
 def _numbered_lines(df: DataFrame) -> DataFrame:
-    """Lines that aren't blank, numbered from 0 in file order: each split counts its own, and the few
-    counts are summed up by file and position."""
-    place = df.select(
-        F.col("value").alias(LINE), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"),
-        F.monotonically_increasing_id().alias("__id"),
-    )
-    lines = place.where(F.trim(F.col(LINE)) != "")
-    from pyspark.sql import Window
-
-    # a split is a file and a start; ids rise within it
+    """Lines that aren't blank, numbered from 0 in file order. A task's ids rise by one within each split that
+    it reads, so a row's number is its split's first one and its distance from the split's least id: the
+    counts of the splits move, the lines don't."""
+    kept = df.select(F.col("value").alias(LINE), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"))
+    lines = kept.where(F.trim(F.col(LINE)) != "").withColumn("__id", F.monotonically_increasing_id())
     counts = lines.groupBy("__file", "__at").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__least"))
     before = Window.orderBy("__file", "__at").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__file", "__at", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("__file", "__at").orderBy("__id")
-    numbered = lines.withColumn("__k", F.row_number().over(within) - 1)
-    return numbered.join(starts, ["__file", "__at"]).select((F.col("__start") + F.col("__k")).cast("long").alias(ROW), LINE)
+    starts = counts.select("__file", "__at", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__least")).alias("__shift"))
+    starts = F.broadcast(starts) if len(df.inputFiles()) <= BROADCAST_SPLITS and df.rdd.getNumPartitions() <= BROADCAST_SPLITS else starts
+    return lines.join(starts, ["__file", "__at"]).select((F.col("__shift") + F.col("__id")).cast("long").alias(ROW), LINE)
+
+
+def has_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a cell of a CSV file may hold a line break: some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
 
 
 def records(frame: DataFrame) -> DataFrame:
@@ -68,10 +72,10 @@ def records(frame: DataFrame) -> DataFrame:
     return frame.withColumn(RECORD, parse_records(F.col(LINE)))
 
 
-def read(spark: SparkSession, data: Any, name: str | None = None, data_format: str | None = None, rows: bool = False, multiline: bool = True) -> Source:
+def read(spark: SparkSession, data: Any, name: str | None = None, data_format: str | None = None, rows: bool = False, multiline: bool | None = None) -> Source:
     """A source of a path, a DataFrame, a pandas or Arrow table, or a list of dicts. rows: number the
-    rows, as samples need; counts don't. multiline: CSV cells may hold line breaks; without them Spark
-    can split large files."""
+    rows, as samples need; counts don't. multiline: CSV cells may hold line breaks, so that one task must read a
+    whole file; None looks for such cells first, and without them Spark can split large files."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     if isinstance(data, str):
         kind = format_of(data, data_format)
@@ -79,7 +83,8 @@ def read(spark: SparkSession, data: Any, name: str | None = None, data_format: s
             df = spark.read.parquet(data)
             return Source(df.select("*", F.col("_metadata.row_index").alias(ROW)) if rows else df, "columns", name or data, rows)
         if kind == "csv":
-            df = spark.read.option("header", True).option("multiLine", multiline).option("emptyValue", "").csv(data, inferSchema=False)
+            multiline = has_line_breaks(spark, data) if multiline is None else multiline
+            df = spark.read.options(header=True, multiLine=multiline, emptyValue="", escape='"').csv(data, inferSchema=False)
             return Source(df.withColumn(ROW, F.monotonically_increasing_id()) if rows else df, "cells", name or data, rows)
         text = spark.read.text(data)
         lines = _numbered_lines(text) if rows else text.select(F.col("value").alias(LINE)).where(F.trim(F.col(LINE)) != "")

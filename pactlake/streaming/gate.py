@@ -2,13 +2,20 @@
 
 A record passes, is blocked (dead letter only) or, under policy warn, passes with a dead letter. Rules
 on one row are column expressions on the stream. Uniqueness needs memory: REFUSE won't start, SKIP
-leaves it out, TRACK keeps the seen keys of each micro-batch in a table beside the dead letters.
+leaves it out, TRACK keeps the seen keys of each micro-batch in a table beside the checkpoint.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+import os
+import sys
+import time
+from collections import Counter, deque
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,8 +47,8 @@ def with_records(df: DataFrame, value: str = "value") -> DataFrame:
 
 
 def violations(model: Model) -> Column:
-    """Of a parsed record: what it breaks, uniqueness aside."""
-    compiled = R.compile_records(model)
+    """Of a parsed record with R.with_members(): what it breaks, uniqueness aside."""
+    compiled = R.compile_records(model, True)
     one = lambda field, rule, text: F.struct(field.alias("field"), rule.alias("rule"), preview(text).alias("value"))
     found = F.array_compact(F.array(*[F.when(r.broken, one(F.lit(r.field).cast("string"), F.lit(r.rule), r.text)) for r in compiled.rules]))
     if not model.strict:
@@ -60,8 +67,15 @@ def judge(df: DataFrame, contract: Contract, model: str | None = None, unique: s
     runs on a stream too; TRACK needs gate()."""
     name, m = _model(contract, model, unique)
     assert name
-    judged = with_records(df, value).withColumn("violations", F.when(F.col(value).isNull(), F.array().cast(_VIOLATIONS)).otherwise(violations(m)))
-    return judged.withColumn("verdict", verdict(F.col("violations"), contract))
+    judged = R.with_members(with_records(df, value), m)
+    judged = judged.withColumn("violations", F.when(F.col(value).isNull(), F.array().cast(_VIOLATIONS)).otherwise(violations(m)))
+    return R.without_members(judged, m).withColumn("verdict", verdict(F.col("violations"), contract))
+
+
+def each_violation(judged: DataFrame, *keep: str) -> DataFrame:
+    """Columns `keep`, field, rule and value: a row a violation. Spark would test judge()'s whole expression
+    for violations again before it unfolds them; with the outer form it doesn't."""
+    return judged.select(*keep, F.inline_outer("violations")).where(F.col("rule").isNotNull())
 
 
 def _model(contract: Contract, model: str | None, unique: str) -> tuple[str, Model]:
@@ -89,16 +103,13 @@ def envelope(contract: Contract, model: str, value: str = "value") -> Column:
 def track(judged: DataFrame, m: Model, contract: Contract, order: str, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Judged records with `unique` violations of the second and later records of a key, in `order`,
     and (field, key) of all keys seen so far. A record counts whether or not it was blocked."""
-    compiled = R.compile_records(m)
-    fields = list(compiled.unique)
-    if not fields:
+    if not any(f.unique for f in m.fields.values()):
         return judged, judged.select(F.lit("").alias("field"), F.lit("").alias("key")).limit(0)
-    keys = F.array(*[F.struct(F.lit(n).alias("field"), F.when(compiled.unique[n].ok, compiled.unique[n].key.cast("string")).alias("key")) for n in fields])
-    each = judged.select(F.col(order).alias("__order"), F.explode(keys).alias("k")).select("__order", "k.field", "k.key").where(F.col("key").isNotNull())
+    each = unique_keys(judged, m, order)
     # the first record of each key is a minimum: no window gathers the records of a frequent key
     first = each.groupBy("field", "key").agg(F.min("__order").alias("__first"))
     if seen is not None:
-        first = first.join(seen.distinct().withColumn("__seen", F.lit(True)), ["field", "key"], "left")
+        first = first.join(seen.withColumn("__seen", F.lit(True)), ["field", "key"], "left")
     else:
         first = first.withColumn("__seen", F.lit(None).cast("boolean"))
     repeated = each.join(first, ["field", "key"]).where((F.col("__order") > F.col("__first")) | F.coalesce("__seen", F.lit(False)))
@@ -110,68 +121,207 @@ def track(judged: DataFrame, m: Model, contract: Contract, order: str, seen: Dat
     return out.withColumn("verdict", verdict(F.col("violations"), contract)), fresh
 
 
+#: Seconds of a bucket of recent throughput, and how many buckets are kept.
+RECENT_SECONDS, RECENT_BUCKETS = 10, 36
+
+
 @dataclass
 class GateStats:
+    """Counters of a run. Latency is that of micro-batches, shared out to their records, as there is no
+    clock for a single one."""
+
     records: int = 0
     passed: int = 0
     blocked: int = 0
     warned: int = 0
     violations: int = 0
     tombstones: int = 0
+    per_rule: Counter = field(default_factory=Counter)  # (field, rule) -> count
+    nanos: Counter = field(default_factory=Counter)  # by power of two -> records
+    recent: deque = field(default_factory=lambda: deque(maxlen=RECENT_BUCKETS))  # [slot, records, blocked]
+    started_at: str = field(default_factory=lambda: _now())
+
+    def add(self, counts: dict[str, int], per_rule: dict[tuple[str, str], int], seconds: float, now: float | None = None) -> None:
+        """A batch: counts by name, violations by (field, rule), how long it took."""
+        for name, n in counts.items():
+            setattr(self, name, getattr(self, name) + n)
+        self.per_rule.update(per_rule)
+        if not counts["records"]:
+            return
+        self.nanos[int(1e9 * seconds / counts["records"]).bit_length()] += counts["records"]
+        slot = int((time.time() if now is None else now) // RECENT_SECONDS)
+        if not self.recent or self.recent[-1][0] != slot:
+            self.recent.append([slot, 0, 0])
+        self.recent[-1][1] += counts["records"]
+        self.recent[-1][2] += counts.get("blocked", 0)
+
+    def counters(self) -> dict[str, int]:
+        return {n: getattr(self, n) for n in ("records", "passed", "blocked", "warned", "violations", "tombstones")}
+
+    def p99_micros(self) -> float | None:
+        """An upper bound of what 99 of 100 records took, a power of two of nanoseconds."""
+        want, done = 0.99 * sum(self.nanos.values()), 0
+        for power, n in sorted(self.nanos.items()):
+            done += n
+            if done >= want:
+                return 2**power / 1000
+        return None
+
+    def snapshot(self, contract: Contract, model: str) -> dict:
+        rules = sorted(self.per_rule.items(), key=lambda x: (-x[1], x[0]))
+        return {
+            "gate_stats": 1, "contract": contract.id, "version": contract.version, "model": model, "started_at": self.started_at, "updated_at": _now(), **self.counters(),
+            "p99_validate_micros": self.p99_micros(), "per_rule": [{"field": f, "rule": r, "count": n} for (f, r), n in rules],
+            "recent": [{"records": n, "blocked": b} for _, n, b in self.recent],
+        }
 
     def failed(self, contract: Contract) -> bool:
         return contract.policy.on_violation == "block" and self.violations > contract.policy.max_violations
 
 
+def _now() -> str:
+    return datetime.now(UTC).isoformat()
+
+
+class SeenKeys:
+    """Keys of the batches so far, in a folder: those that are new in each batch, and from time to time one
+    base of all before. Keys lie in hash buckets, and a batch reads the buckets of its own keys alone."""
+
+    BUCKETS, COMPACT = 64, 20
+    SCHEMA = T.StructType().add("field", "string").add("key", "string").add("bucket", "integer")
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        jvm = spark._jvm.org.apache.hadoop.fs
+        self.path = jvm.Path
+        self.store = jvm.Path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _numbers(self, kind: str) -> list[int]:
+        """Of the folders of a kind that were written to their end."""
+        if not self.store.exists(self.path(self.folder)):
+            return []
+        names = [x.getPath().getName() for x in self.store.listStatus(self.path(self.folder))]
+        numbers = sorted(int(n.split("-")[1]) for n in names if n.startswith(f"part={kind}-"))
+        return [n for n in numbers if self.store.exists(self.path(f"{self._folder_of(kind, n)}/_SUCCESS"))]
+
+    def _folder_of(self, kind: str, number: int) -> str:
+        return f"{self.folder}/part={kind}-{number}"
+
+    def _read(self, parts: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).option("basePath", self.folder).parquet(*parts)
+
+    def _parts(self, number: int) -> tuple[int, list[str]]:
+        """The newest base (of batches before its number) and the later batches before this one; those of a
+        failed attempt at this one don't count."""
+        base = max((n for n in self._numbers("base") if n <= number), default=-1)
+        batches = [n for n in self._numbers("batch") if max(0, base) <= n < number]
+        return len(batches), ([self._folder_of("base", base)] if base >= 0 else []) + [self._folder_of("batch", n) for n in batches]
+
+    def before(self, number: int, keys: DataFrame) -> DataFrame | None:
+        """(field, key) of earlier batches, of the buckets that keys (field, key) of this one fall into."""
+        later, parts = self._parts(number)
+        if not parts:
+            return None
+        if later > self.COMPACT:
+            merged = self._read(parts).repartition("bucket")
+            merged.write.mode("overwrite").partitionBy("bucket").parquet(self._folder_of("base", number))
+            for old in parts:
+                self.store.delete(self.path(old), True)
+            _, parts = self._parts(number)
+        buckets = [r["b"] for r in keys.select(self._bucket().alias("b")).distinct().collect()]  # BUCKETS at most
+        return self._read(parts).where(F.col("bucket").isin(buckets)).select("field", "key")
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("field", "key"), F.lit(self.BUCKETS)).cast("int")
+
+    def add(self, number: int, fresh: DataFrame) -> None:
+        fresh.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(self._folder_of("batch", number))
+
+
+class BatchJudge:
+    """Judges the micro-batches of a stream, in turn: what the file gate and the Kafka gate share."""
+
+    def __init__(self, spark: SparkSession, contract: Contract, checkpoint: str, model: str | None = None, unique: str = REFUSE, value: str = "value", stats: str | None = None):
+        self.name, self.model = _model(contract, model, unique)
+        self.spark, self.contract, self.value, self.stats = spark, contract, value, stats
+        self.mode = SKIP if unique == TRACK else unique
+        self.totals = GateStats()
+        self.seen = SeenKeys(spark, f"{checkpoint.rstrip('/')}-seen") if unique == TRACK and any(f.unique for f in self.model.fields.values()) else None
+
+    @contextmanager
+    def batch(self, rows: DataFrame, number: int) -> Iterator[DataFrame]:
+        """The judged rows of a batch. When its outputs are written, its keys are kept and counted."""
+        began = time.perf_counter()
+        judged = first = judge(rows, self.contract, self.name, self.mode, self.value).withColumn(ROW, F.monotonically_increasing_id()).persist()
+        fresh = None
+        try:
+            if self.seen is not None:
+                keys = unique_keys(first, self.model, ROW).select("field", "key")
+                judged, fresh = track(first, self.model, self.contract, ROW, self.seen.before(number, keys))
+                judged = judged.persist()
+            yield judged
+            if fresh is not None:
+                self.seen.add(number, fresh)
+            self._count(judged, began)
+        finally:
+            if judged is not first:
+                judged.unpersist()
+            first.unpersist()
+
+    def _count(self, judged: DataFrame, began: float) -> None:
+        self.totals.add(*batch_counts(judged, self.model, self.value), time.perf_counter() - began)
+        if self.stats:
+            self.stats = write_stats(self.stats, self.totals.snapshot(self.contract, self.name))
+
+
+def batch_counts(judged: DataFrame, m: Model, value: str = "value") -> tuple[dict[str, int], dict[tuple[str, str], int]]:
+    """Of judged records: counts by name, and violations by (field, rule). A field that the model doesn't
+    declare counts as the empty name: there is no bound to such keys."""
+    is_ = lambda v: F.count_if(F.col("verdict") == v)
+    one = judged.agg(
+        F.count(F.lit(1)).alias("records"), is_("pass").alias("passed"), is_("block").alias("blocked"), is_("warn").alias("warned"),
+        F.coalesce(F.sum(F.size("violations")), F.lit(0)).alias("violations"), F.count_if(F.col(value).isNull()).alias("tombstones"),
+    ).first()
+    named = F.when(F.col("field").isin(*m.fields), F.col("field")).otherwise("")
+    rules = each_violation(judged).groupBy(named.alias("field"), "rule").count().collect() if one["violations"] else []
+    return one.asDict(), {(r["field"], r["rule"]): r["count"] for r in rules}
+
+
+def unique_keys(judged: DataFrame, m: Model, order: str) -> DataFrame:
+    """(__order, field, key) of each record's values of unique fields."""
+    compiled = R.compile_records(m)
+    keys = F.array(*[F.struct(F.lit(n).alias("field"), F.when(v.ok, v.key.cast("string")).alias("key")) for n, v in compiled.unique.items()])
+    return judged.select(F.col(order).alias("__order"), F.explode(keys).alias("k")).select("__order", "k.field", "k.key").where(F.col("key").isNotNull())
+
+
 def gate(stream: DataFrame, contract: Contract, clean: str, dead: str, checkpoint: str, model: str | None = None, unique: str = REFUSE, value: str = "value", stats: str | None = None, trigger: dict | None = None):
     """Starts the gate on a stream of lines: clean records, verbatim, under `clean`, dead letters under
     `dead`, one folder a micro-batch, so a batch that runs again replaces its own output and nothing is
     lost or doubled. Returns (query, GateStats of this run)."""
-    name, m = _model(contract, model, unique)
-    spark, totals = stream.sparkSession, GateStats()
-    memory = f"{checkpoint.rstrip('/')}-seen"
+    judges = BatchJudge(stream.sparkSession, contract, checkpoint, model, unique, value, stats)
 
     def route(batch: DataFrame, number: int) -> None:
-        judged = judge(batch, contract, name, SKIP if unique == TRACK else unique, value).withColumn(ROW, F.monotonically_increasing_id())
-        judged = judged.persist()
-        fresh = None
-        if unique == TRACK:
-            before = _seen(spark, memory, number)
-            judged, fresh = track(judged, m, contract, ROW, before)
-            judged = judged.persist()
-        ok = judged.where(F.col("verdict") != "block").where(F.col(value).isNotNull() & (F.octet_length(value) <= MAX_BYTES))
-        ok.select(F.col(value).cast("string").alias("value")).write.mode("overwrite").text(f"{clean}/batch={number}")
-        bad = judged.where(F.col("verdict") != "pass")
-        bad.select(envelope(contract, name, value).alias("value")).write.mode("overwrite").text(f"{dead}/batch={number}")
-        if fresh is not None:
-            fresh.write.mode("overwrite").parquet(f"{memory}/batch={number}")
-        is_ = lambda v: F.count_if(F.col("verdict") == v)
-        r = judged.agg(F.count(F.lit(1)), is_("pass"), is_("block"), is_("warn"), F.coalesce(F.sum(F.size("violations")), F.lit(0)), F.count_if(F.col(value).isNull())).first()
-        for field, n in zip(("records", "passed", "blocked", "warned", "violations", "tombstones"), r, strict=True):
-            setattr(totals, field, getattr(totals, field) + n)
-        if stats:
-            write_stats(stats, totals)
-        judged.unpersist()
+        with judges.batch(batch, number) as judged:
+            ok = judged.where(F.col("verdict") != "block").where(F.col(value).isNotNull() & (F.octet_length(value) <= MAX_BYTES))
+            ok.select(F.col(value).cast("string").alias("value")).write.mode("overwrite").text(f"{clean}/batch={number}")
+            bad = judged.where(F.col("verdict") != "pass")
+            bad.select(envelope(contract, judges.name, value).alias("value")).write.mode("overwrite").text(f"{dead}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start(), totals
-
-
-def _seen(spark: SparkSession, memory: str, number: int) -> DataFrame | None:
-    """Keys of the batches before this one; those of a failed attempt at it don't count."""
-    if number == 0:
+    return writer.trigger(**(trigger or {"availableNow": True})).start(), judges.totals
+
+
+def write_stats(path: str, snapshot: dict) -> str | None:
+    """Replaces the snapshot as a whole. Returns the path, or None if it can't be written: told once, and
+    never a reason to stop the gate."""
+    try:
+        with open(f"{path}.tmp", "w", encoding="utf-8") as f:
+            json.dump(snapshot, f, ensure_ascii=False)
+        os.replace(f"{path}.tmp", path)
+    except OSError as e:
+        print(f"warning: no more statistics to {path}: {e}", file=sys.stderr)
         return None
-    schema = T.StructType().add("field", "string").add("key", "string").add("batch", "long")
-    return spark.read.schema(schema).parquet(memory).where(F.col("batch") < number).select("field", "key")
-
-
-def write_stats(path: str, totals: GateStats) -> None:
-    """A snapshot of the counters, replaced as a whole."""
-    import os
-
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        json.dump(vars(totals), f)
-    os.replace(f"{path}.tmp", path)
+    return path
 
 
 def throughput(df: DataFrame, ts: str, seconds: int = 10) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.spec import Contract
-from .gate import MAX_BYTES, REFUSE, envelope, judge
+from .gate import MAX_BYTES, REFUSE, BatchJudge, envelope, judge
 
 HEADERS = T.ArrayType(T.StructType().add("key", "string").add("value", "binary"))
 PREFIX = "contract.source"
@@ -45,14 +45,25 @@ def refused_partitions(rows: DataFrame) -> DataFrame:
     return rows.groupBy("topic", "partition").agg(F.bool_or(F.col("verdict") == "block").alias("refused"))
 
 
-def gate(source: DataFrame, contract: Contract, brokers: str, to: str, dlq: str, checkpoint: str, model: str | None = None, unique: str = REFUSE, trigger: dict | None = None):
+def gate(source: DataFrame, contract: Contract, brokers: str, to: str, dlq: str, checkpoint: str, model: str | None = None, unique: str = REFUSE, trigger: dict | None = None, stats: str | None = None, sink: str = "kafka"):
     """Starts the gate from a Kafka stream to two topics. Offsets are committed to the checkpoint after
-    both writes, so a batch that fails between them runs again: at least once."""
-
-    def route(batch: DataFrame, _: int) -> None:
-        rows = judged(batch, contract, model, unique).persist()
-        for out in (clean(rows, to), dead_letters(rows, contract, dlq, model)):
-            out.write.format("kafka").option("kafka.bootstrap.servers", brokers).save()
-        rows.unpersist()
-
-    return source.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    both writes, so a batch that fails between them runs again: at least once. TRACK keeps the keys seen
+    beside the checkpoint. Returns (query, GateStats of this run)."""
+    judges = BatchJudge(source.sparkSession, contract, checkpoint, model, unique, "value", stats)
+
+    def route(batch: DataFrame, number: int) -> None:
+        with judges.batch(batch, number) as rows:
+            for out in (clean(rows, to), dead_letters(rows, contract, dlq, model)):
+                send(out, brokers, sink)
+
+    writer = source.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start(), judges.totals
+
+
+def send(rows: DataFrame, brokers: str, sink: str = "kafka") -> None:
+    """Appends rows to their topics; sink: another format that takes the same columns, with a folder as brokers."""
+    writer = rows.write.mode("append").format(sink)
+    if sink == "kafka":
+        writer.option("kafka.bootstrap.servers", brokers).save()
+    else:
+        writer.partitionBy("topic").save(brokers)

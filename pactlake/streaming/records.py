@@ -14,11 +14,6 @@ import regex
 from ..functions import patterns, shapes
 from ..plans.spec import I64, U64, Contract, Field, Model
 
-_FORMATS = {
-    "email": regex.compile(rf"\A(?:{shapes.EMAIL})\Z"),
-    "uri": regex.compile(rf"\A(?:{shapes.URI})\Z"),
-}
-
 
 @functools.lru_cache(maxsize=512)
 def _search(pattern: str):
@@ -62,7 +57,7 @@ def _constraints(f: Field, v: Any) -> list[str]:
             out.append("max_length")
         if f.pattern is not None and not _search(f.pattern).search(v):
             out.append("pattern")
-        if f.format is not None and not _FORMATS[f.format].match(v):
+        if f.format is not None and not shapes.fits_format(f.format, v):
             out.append("format")
     if f.allowed is not None and v not in f.allowed:
         out.append("allowed")
@@ -121,17 +116,16 @@ class RecordGate:
         self.last: tuple[str, list[dict]] = ("", [])
 
     def judge(self, text: str | bytes) -> str:
+        shown = text
         if isinstance(text, bytes):
-            try:
-                text = text.decode()
-            except UnicodeDecodeError:
-                text = ""
+            shown = text.decode(errors="replace")
+            text = shown if shown.encode() == text else ""  # no record, but told in its dead letter
         found = broken(parse(text), self.model, self.seen)
         verdict = "pass" if not found else "warn" if self.contract.policy.on_violation == "warn" else "block"
         self.counts["records"] += 1
         self.counts[{"pass": "passed", "warn": "warned", "block": "blocked"}[verdict]] += 1
         self.counts["violations"] += len(found)
-        self.last = (text, found)
+        self.last = (shown, found)
         return verdict
 
     def dead_letter(self) -> str | None:
@@ -146,6 +140,35 @@ class RecordGate:
         return self.contract.policy.on_violation == "block" and self.counts["violations"] > self.contract.policy.max_violations
 
 
+MAX_BYTES = 16 << 20
+PREVIEW_BYTES = 256
+
+
+def answer_lines(gate: RecordGate, lines, out, withheld, dlq=None) -> None:
+    """Binary streams, one line back for each line in, flushed at once: a record that goes on, as it came, to
+    `out`; the dead letter of one that is withheld to `withheld`, and to `dlq`, which gets those of warned
+    records too. A blank line is answered by a blank one. A record over MAX_BYTES is read no further than
+    that, never goes on, and its dead letter has its beginning."""
+    while raw := lines.readline(MAX_BYTES + 1):
+        large = len(raw) > MAX_BYTES and not raw.endswith(b"\n")
+        while large and (more := lines.readline(MAX_BYTES)) and not more.endswith(b"\n"):
+            pass
+        body = raw.removesuffix(b"\n").removesuffix(b"\r")
+        if not body.strip():
+            out.write(b"\n")
+            out.flush()
+            continue
+        verdict = gate.judge(body[:PREVIEW_BYTES].decode(errors="replace") if large else body)
+        letter = gate.dead_letter()
+        goes_on = verdict != "block" and not large
+        for to in [*([] if goes_on else [withheld]), *([dlq] if dlq is not None and letter else [])]:
+            to.write((letter or "").encode() + b"\n")
+            to.flush()
+        if goes_on:
+            out.write(body + b"\n")
+            out.flush()
+
+
 def judge_text(text: str, contract: Contract, model: str, kind: str) -> str | None:
     gate = RecordGate(contract, model, "skip")
     verdict = gate.judge(text)
