@@ -69,7 +69,9 @@ def judge(df: DataFrame, contract: Contract, model: str | None = None, unique: s
     assert name
     judged = R.with_members(with_records(df, value), m)
     judged = judged.withColumn("violations", F.when(F.col(value).isNull(), F.array().cast(_VIOLATIONS)).otherwise(violations(m)))
-    return R.without_members(judged, m).withColumn("verdict", verdict(F.col("violations"), contract))
+    judged = R.without_members(judged, m)
+    # the outer explode keeps a filter on the verdict from being pushed below, where it would repeat all this
+    return judged.select("*", F.explode_outer(F.array(verdict(F.col("violations"), contract))).alias("verdict"))
 
 
 def each_violation(judged: DataFrame, *keep: str) -> DataFrame:
