@@ -630,3 +630,6 @@ def bucket_octaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("c_acctbal")
     octave = F.when(x == 0, F.lit(0)).otherwise(F.floor(buckets.bucket(x) / buckets.PER_OCTAVE) - 1023)
     return _table(spark, sf_dir, "customer").select("c_custkey", octave.cast("long").alias("octave"))
+
+
+from . import report_queries as _report_queries  # noqa: E402, F401 - registers its queries here
