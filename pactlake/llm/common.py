@@ -53,12 +53,11 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def _delete(paths: Iterable[str]) -> None:
-    from pyarrow import fs
-
+    """By Hadoop's file systems, as the steps were written."""
+    spark = SparkSession.getActiveSession()
     for p in paths:
-        store, path = fs.FileSystem.from_uri(p)
-        if store.get_file_info(path).type == fs.FileType.Directory:
-            store.delete_dir(path)
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
         _steps.remove(p)
 
 
