@@ -131,16 +131,20 @@ def train(documents: DataFrame, parts: int = 4, part: int = 2, text: str = "text
     a text count once, so they crowd out neither texts nor languages."""
     own = documents.select(F.col("doc_id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
     known = own.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("doc_id", parts, part)).withColumn("h", F.xxhash64("text", F.lit(SEED)))
-    number = known.select("lang").distinct().count()
+    # hashes alone are counted and ranked; one document of each chosen text is looked up again
+    copies = materialize(known.groupBy("lang", "h").agg(F.min(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("id")))
+    counts = copies.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))
+    number = counts.count()
     if number > MOST_LANGUAGES:
         raise ValueError(f"{number} values of {lang!r} can't be languages")
     if not number:
         return None
     each = max(LEAST_ROWS, TRAIN_ROWS // number)
-    # hashes alone are ranked; one document of each chosen text is looked up again
-    copies = known.groupBy("lang", "h").agg(F.min(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("id"))
+    # a share of each language's different texts by their hash, a little more than is needed, before any are ranked
+    share = F.least(F.lit(1.0), F.lit(1.3 * each + 50) / F.col("texts"))
+    some = copies.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = materialize(copies.withColumn("rank", rank).where(F.col("rank") <= each).drop("rank"))
+    chosen = materialize(some.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "h", "id"))
     few = known.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(F.broadcast(chosen), ["lang", "h", "id"])
 
     def start():
