@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, materialize, table
+from .common import map_texts, materialize, table, unused
 
 WINDOW = 10
 #: Bytes of benchmark text whose tables a worker holds at once; a larger benchmark is scanned in blocks of items.
@@ -103,6 +103,7 @@ def scan(
     """
     ints, strings = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
     n_words, hits, ids = into
+    old_hits, old_ids = unused(df.columns, "__hits"), unused(df.columns, "__items")
     out = T.StructType().add(n_words, "long").add(hits, ints).add(ids, strings)
     blocks = _blocks(benchmark, item_id, item_text)
     rows = df
@@ -122,15 +123,15 @@ def scan(
 
             return one
 
-        before = ["__hits", "__items"] if k else []
+        before = [old_hits, old_ids] if k else []
         last = k == len(blocks) - 1
         carried = list(dict.fromkeys([*keep, *([] if last else [text])]))
         rows = map_texts(rows, text, [*carried, *before], out, start)
         if k:
-            rows = rows.withColumn(hits, F.array_sort(F.array_union(hits, "__hits")))
-            rows = rows.withColumn(ids, F.array_sort(F.array_union(ids, "__items"))).drop("__hits", "__items")
+            rows = rows.withColumn(hits, F.array_sort(F.array_union(hits, old_hits)))
+            rows = rows.withColumn(ids, F.array_sort(F.array_union(ids, old_ids))).drop(old_hits, old_ids)
         if not last:
-            rows = materialize(rows.withColumnsRenamed({hits: "__hits", ids: "__items"}).drop(n_words))
+            rows = materialize(rows.withColumnsRenamed({hits: old_hits, ids: old_ids}).drop(n_words))
     return rows
 
 

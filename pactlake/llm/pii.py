@@ -208,9 +208,10 @@ def find(df: DataFrame, keep: list[str], text: str = "text", clean: str | None =
     """
     found = _terms_of_texts(df, text)
     size = found.agg(F.sum(24 + F.aggregate("terms", F.lit(0), lambda n, x: n + F.octet_length(x["t"]) + 24))).first()[0] or 0
-    found = found.select(F.col("whole").alias("__whole"), F.col("terms").alias("__terms"))
-    hashed = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])], F.xxhash64(F.col(f"`{text}`").cast("string")).alias("__whole"))
-    rows = hashed.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "__whole", "left")
+    whole, terms = unused(df.columns, "__whole"), unused(df.columns, "__terms")
+    found = found.select(F.col("whole").alias(whole), F.col("terms").alias(terms))
+    hashed = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])], F.xxhash64(F.col(f"`{text}`").cast("string")).alias(whole))
+    rows = hashed.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, whole, "left")
 
     def start():
         def one(x, terms):
@@ -223,7 +224,7 @@ def find(df: DataFrame, keep: list[str], text: str = "text", clean: str | None =
         return one
 
     out = T.StructType().add(into, SPANS)
-    return map_texts(rows, text, keep, out.add(clean, "string") if clean else out, start, beside=("__terms",))
+    return map_texts(rows, text, keep, out.add(clean, "string") if clean else out, start, beside=(terms,))
 
 
 def redact(text: str, spans: list) -> str:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, materialize, table
+from .common import map_texts, materialize, table, unused
 from .graph import components
 
 SEED = 42
@@ -270,15 +270,15 @@ def _marks(lean: DataFrame, found: DataFrame) -> DataFrame:
 
 def _staying(df: DataFrame, marks: DataFrame, doc_id: str, text: str) -> DataFrame:
     names = df.columns
-    marks = marks.select(F.col("doc_id").alias("__id"), F.col("h").alias("__of"), F.col("again").alias("__again"))
+    own_id, of, again, h, number = (unused(names, n) for n in ("__id", "__of", "__again", "__h", "__number"))
+    marks = marks.select(F.col("doc_id").alias(own_id), F.col("h").alias(of), F.col("again").alias(again))
     marks = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
-    hashed = df.withColumn("__h", F.xxhash64(F.col(f"`{text}`").cast("string")))
-    joined = hashed.join(marks, (F.col("__h") == F.col("__of")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")), "left")
+    hashed = df.withColumn(h, F.xxhash64(F.col(f"`{text}`").cast("string")))
+    joined = hashed.join(marks, (F.col(h) == F.col(of)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(own_id)), "left")
     order = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    number = F.row_number().over(Window.partitionBy("__id", "__h").orderBy(*order))
-    one = joined.where("__again").withColumn("__number", number).where(F.col("__number") == 1)
+    ranked = joined.where(again).withColumn(number, F.row_number().over(Window.partitionBy(own_id, h).orderBy(*order)))
     own = [F.col(f"`{c}`") for c in names]
-    return joined.where(F.col("__again").isNull()).select(*own).union(one.select(*own))
+    return joined.where(F.col(again).isNull()).select(*own).union(ranked.where(F.col(number) == 1).select(*own))
 
 
 def _signed(x: int) -> int:

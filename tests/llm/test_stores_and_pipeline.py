@@ -175,7 +175,7 @@ def test_stages_on_odd_and_empty_documents(spark, odd, none, tmp_path):
     items = spark.createDataFrame([(1, "quick brown")], "item_id long, text string")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     items.write.parquet(str(tmp_path / "benchmark.parquet"))
-    more = ["y", "fp", "hits", "items", "n_words", "spans", "clean", "places", "lang_pred", "h", "good", "__clean", "n_chars", "ids", "n_tokens", "part", "group"]
+    more = ["y", "fp", "hits", "items", "n_words", "spans", "clean", "places", "lang_pred", "h", "good", "__clean", "n_chars", "ids", "n_tokens", "part", "group", "__whole", "__terms", "__h", "__id", "__of", "__again", "__hits", "__text__"]
     for docs in (odd, none):
         for k, c in enumerate(more):
             docs = docs.withColumn(c, F.lit(k).cast("long"))
