@@ -139,7 +139,7 @@ def _class(pattern: str, at: int) -> tuple[str, int]:
         elif pattern.startswith("&&", k) or pattern.startswith("--", k) or pattern.startswith("~~", k):
             raise PatternError("set operations in classes are not supported")
         else:
-            out.append("\\" + c if c in "]^&~" else c)
+            out.append("\\" + c if c in "]^&~|" else c)
             k += 1
         first = False
 

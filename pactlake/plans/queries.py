@@ -114,6 +114,17 @@ def check_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(_table(spark, sf_dir, "customer"), CUSTOMER)
 
 
+@query("WITH t AS (SELECT regexp_replace(text, '[^z]', 'a', 'g') AS letters, text AS words, translate(text, chr(10), ' ') AS parts FROM documents) " + _union(
+    ("letters", "pattern", _where("NOT regexp_matches(letters, '^(a|b)*$')")), ("words", "pattern", _where("NOT regexp_matches(words, '^([A-Za-z]+[ .,]*)*$')")),
+    ("parts", "pattern", _where("NOT regexp_matches(parts, 'the.*and.*(of|ion)+[.]$')")), table="t"))
+def long_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns that overflow or stall a backtracking matcher, over whole texts of documents."""
+    letters, parts = F.regexp_replace("text", "[^z]", "a").alias("letters"), F.translate("text", "\n", " ").alias("parts")
+    texts = _table(spark, sf_dir, "documents").select(letters, F.col("text").alias("words"), parts)
+    shapes_of = {"letters": "^(a|b)*$", "words": "^([A-Za-z]+[ .,]*)*$", "parts": "the.*and.*(of|ion)+[.]$"}
+    return _counts(texts, _model(**{n: {"type": "string", "pattern": p} for n, p in shapes_of.items()}))
+
+
 def _nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("o_orderpriority")
     return _table(spark, sf_dir, "orders").select("o_orderkey", F.nullif(p, F.lit("5-LOW")).alias("needed"), F.nullif(p, F.lit("1-URGENT")).alias("spare"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import patterns, shapes
+from ..functions import linear, shapes
 from .spec import ContractError, Field, Model
 
 #: Every rule, in the order in which reports list them.
@@ -112,7 +112,7 @@ def field_rules(name: str, f: Field, v: Value, refuse_allowed: bool = False) ->
     if f.max_length is not None:
         add("max_length", ok(F.length(v.typed) > f.max_length))
     if f.pattern is not None:
-        add("pattern", ok(~v.typed.rlike(patterns.to_java(f.pattern))))
+        add("pattern", ok(~linear.matches(v.typed, f.pattern)))
     if f.format is not None:
         add("format", ok(~shapes.FORMATS[f.format](v.typed)))
     if f.allowed is not None and not refuse_allowed:

@@ -15,7 +15,7 @@ from typing import Any
 
 import yaml
 
-from ..functions import patterns, shapes
+from ..functions import linear, shapes
 
 TYPES = ("string", "integer", "float", "boolean", "timestamp", "date", "uuid")
 FORMATS = ("email", "uri")
@@ -260,7 +260,7 @@ def _lint_field(f: Field, path: str, error, warning) -> None:
     if f.pattern is not None:
         if not text:
             error(path, f"pattern is for strings, not for {f.type}")
-        if why := patterns.check(f.pattern):
+        if why := linear.check(f.pattern):
             error(path, f"the pattern can't be used: {why}")
     if f.format is not None and not text:
         error(path, f"format is for strings, not for {f.type}")

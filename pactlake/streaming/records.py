@@ -4,22 +4,14 @@ as the column expressions, which tests hold side by side."""
 from __future__ import annotations
 
 import datetime
-import functools
 import json
 import math
 from typing import Any
 
-import regex
-
-from ..functions import patterns, shapes
+from ..functions import linear, shapes
 from ..plans.spec import I64, U64, Contract, Field, Model
 
 
-@functools.lru_cache(maxsize=512)
-def _search(pattern: str):
-    return regex.compile(patterns.to_java(pattern).removeprefix("(?dU)").replace(r"\z", r"\Z"))
-
-
 def _refuse(text: str):
     raise ValueError(f"{text} is not JSON")
 
@@ -55,7 +47,7 @@ def _constraints(f: Field, v: Any) -> list[str]:
             out.append("min_length")
         if f.max_length is not None and len(v) > f.max_length:
             out.append("max_length")
-        if f.pattern is not None and not _search(f.pattern).search(v):
+        if f.pattern is not None and not linear.searcher(f.pattern)(v):
             out.append("pattern")
         if f.format is not None and not shapes.fits_format(f.format, v):
             out.append("format")
