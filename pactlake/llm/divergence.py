@@ -137,26 +137,26 @@ def _by_terms(df: DataFrame, schema: T.StructType, sql: str, out: T.StructType)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at = 0
+            keys, rows, at = batch.column("__h").to_numpy(), batch.select(schema.names), 0
             if held >= SHARD_ROWS:  # up to the end of the last term
-                langs, terms = batch.column("lang"), batch.column("term")
-                while at < batch.num_rows and (langs[at].as_py(), terms[at].as_py()) == last:
-                    at += 1
+                at = int((keys != last).argmax()) if keys[-1] != last else len(keys)
                 if at:
-                    add(batch.slice(0, at))
-                if at < batch.num_rows:
+                    add(rows.slice(0, at))
+                if at < len(keys):
                     yield from _result(db, sql, kinds)
                     db.execute("DELETE FROM counts").fetchall()
                     held = 0
-            if at < batch.num_rows:
-                add(batch.slice(at))
-            held += batch.num_rows - at
-            last = (batch.column("lang")[batch.num_rows - 1].as_py(), batch.column("term")[batch.num_rows - 1].as_py())
+            if at < len(keys):
+                add(rows.slice(at))
+            held += len(keys) - at
+            last = keys[-1]
         if held:
             yield from _result(db, sql, kinds)
         db.close()
 
-    return df.repartition("lang", "term").sortWithinPartitions("lang", "term").select(*schema.names).mapInArrow(run, out)
+    # a hash brings the rows of a term together as well as the term does, and sorts by its bits
+    keyed = df.repartition("lang", "term").select(*schema.names, F.xxhash64("lang", "term").alias("__h"))
+    return keyed.sortWithinPartitions("__h").mapInArrow(run, out)
 
 
 def _share(n: Column, total: Column, v: Column) -> Column:
