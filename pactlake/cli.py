@@ -54,7 +54,7 @@ def _check(args) -> int:
     if args.as_consumer:
         c = consumers.scope(c, consumers.parse(Path(args.as_consumer).read_text(encoding="utf-8")), args.model)
     spark, began, started = session(), time.time(), datetime.datetime.now(datetime.UTC)
-    reports = [check_source(spark, read(spark, d, None, args.data_format, rows=True), c, args.model) for d in args.data]
+    reports = [check_source(spark, read(spark, d, None, args.data_format), c, args.model) for d in args.data]
     total = sum(r.violations for r in reports)
     verdict = documents.outcome(total, c.policy.max_violations, c.policy.on_violation == "warn")
     lines = []

@@ -1,8 +1,8 @@
 """Checking data against a contract: exact counts in one aggregation, samples only where rules broke.
 
-The counts of all rules are one aggregate over the source, without a shuffle but for its last row;
-each unique field is one more aggregate, over its keys. Samples are a second pass, run for the rules
-that broke, and keep the first rows of each rule by a window that Catalyst cuts to the sample's size.
+The counts of all rules are one aggregate over the source, without a shuffle but for its last row; the keys of
+all unique fields are one more. Samples are a second pass, run for the rules that broke, and keep the first
+rows of each rule by a window that Catalyst cuts to the sample's size before rows move.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.shapes import observed, preview
 from ..plans import rules as R
 from ..plans.spec import Contract, ContractError, DatasetRule, Model, load
-from ..sources.read import LINE, ROW, Source, read, typed_cells
+from ..sources.read import FILE, HIDDEN, LINE, RAGGED, ROW, Source, files_of, format_of, plain_path, read, typed_cells
 
 
 @dataclass
@@ -31,6 +32,7 @@ class Sample:
     row: int | None
     value: str | None
     observed: dict | None = None
+    file: str | None = None
 
     @property
     def message(self) -> str:
@@ -73,7 +75,7 @@ class Report:
             "contract": self.contract, "version": self.version, "model": self.model, "source": self.source, "rows": self.rows,
             "violations": self.violations, "passed": self.passed, "partial": self.partial,
             "per_rule": [{"field": f, "rule": r, "count": n} for f, r, n in self.per_rule],
-            "samples": [{"field": s.field, "rule": s.rule, "row": s.row, "value": s.value, "message": s.message} for s in self.samples],
+            "samples": [{"field": s.field, "rule": s.rule, "row": s.row, "value": s.value, "message": s.message} | ({"file": s.file} if s.file else {}) for s in self.samples],
             "unenforced": [vars(u) for u in self.unenforced],
         }
 
@@ -86,39 +88,61 @@ def bind(model: Model, source: Source) -> tuple[DataFrame, R.Compiled]:
     if source.kind == "records":
         return R.with_members(source.frame, model), R.compile_records(model, True)
     if source.kind == "columns":
-        schema = [f for f in source.frame.schema if f.name != ROW]
+        schema = [f for f in source.frame.schema if f.name not in HIDDEN]
         return source.frame, R.compile_columns(model, type(source.frame.schema)(schema))
     frame, bad = typed_cells(model, source.frame)
-    names = [f for f in frame.schema if f.name != ROW and not f.name.startswith("__cell_")]
+    names = [f for f in frame.schema if f.name not in HIDDEN and not f.name.startswith("__cell_")]
     compiled = R.compile_columns(model, type(frame.schema)(names))
     # a null that stands for an unreadable cell is a mismatch, not a null
     fixed = [R.Rule(r.field, r.rule, r.broken & ~bad[r.field] if r.field in bad and r.rule == "null_not_allowed" else r.broken, r.text) for r in compiled.rules]
     more = [R.Rule(n, "type_mismatch", c, F.col(f"__cell_{n}")) for n, c in bad.items()]
-    return frame, R.Compiled(model, more + fixed, compiled.unique, compiled.values, compiled.schema)
+    # a record of more or fewer cells than the header is one mismatch: which cell is whose can't be told. Spark's reader wants some
+    # other column read beside RAGGED
+    other = [F.length(F.coalesce(F.col(f"`{names[0].name}`").cast("string"), F.lit(""))) >= 0] if names else []
+    ragged = reduce(lambda a, b: a & b, other, F.col(RAGGED).isNotNull())
+    rules = [R.Rule(None, "type_mismatch", ragged, F.col(RAGGED))] + [R.Rule(r.field, r.rule, r.broken & ~ragged, r.text) for r in more + fixed]
+    even = lambda v: replace(v, ok=v.ok & ~ragged)
+    return frame, R.Compiled(model, rules, {n: even(v) for n, v in compiled.unique.items()}, {n: even(v) for n, v in compiled.values.items()}, compiled.schema)
 
 
-def rule_counts(frame: DataFrame, compiled: R.Compiled) -> DataFrame:
-    """(rows, c0, c1, ...): one row, one aggregate for all rules."""
+def rule_counts(frame: DataFrame, compiled: R.Compiled, *by: str) -> DataFrame:
+    """(by, rows, c0, c1, ...): one row, or one of each group; one aggregate for all rules."""
     counts = [F.count_if(r.broken).alias(f"c{k}") for k, r in enumerate(compiled.rules)]
-    return frame.agg(F.count(F.lit(1)).alias("rows"), *counts)
+    return frame.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *counts)
 
 
-def duplicates(frame: DataFrame, name: str, v: R.Value) -> DataFrame:
-    """One row (field, rule, violations): values of a field beyond their first. Keys are counted
+def _keys(frame: DataFrame, unique: dict[str, R.Value], *more: Column | str) -> DataFrame:
+    """A row for each value of a unique field: `more`, f (the field's place), and the key. Of one field the key is the
+    value itself; of several, 128 bits of it, so that all fields share one aggregate."""
+    if len(unique) == 1:
+        ((_, v),) = unique.items()
+        return frame.where(v.ok).select(*more, F.lit(0).alias("f"), v.key.alias("key"), v.text.alias("text"))
+    key = lambda v: F.struct(F.xxhash64(v.key).alias("a"), F.xxhash64(F.lit(1), v.key).alias("b"))
+    each = [F.when(v.ok, F.struct(F.lit(k).alias("f"), key(v).alias("key"), v.text.alias("text"))) for k, v in enumerate(unique.values())]
+    return frame.select(*more, F.explode(F.array_compact(F.array(*each))).alias("x")).select(*more, "x.*")
+
+
+def _copies(frame: DataFrame, unique: dict[str, R.Value], *by: str) -> DataFrame:
+    """(by, f, n): of each unique field the values beyond their first. Keys of all fields are counted in one pass,
     before they move, so a key that fills a third of the rows moves as one row a task."""
-    key = frame.where(v.ok).select(v.key.alias("key"))
-    per_key = key.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("violations")).select(
-        F.lit(name).alias("field"), F.lit("unique").alias("rule"), "violations"
-    )
+    per_key = _keys(frame, unique, *by).groupBy(*by, "f", "key").agg(F.count(F.lit(1)).alias("n"))
+    return per_key.groupBy(*by, "f").agg(F.sum(F.col("n") - 1).alias("n"))
+
+
+def duplicates(frame: DataFrame, unique: dict[str, R.Value]) -> DataFrame:
+    """(field, rule, violations) of every unique field."""
+    by_field = _copies(frame, unique).agg(F.map_from_entries(F.collect_list(F.struct("f", "n"))).alias("n"))  # a row a field
+    told = [F.struct(F.lit(n).alias("field"), F.lit("unique").alias("rule"), F.coalesce(F.try_element_at("n", F.lit(k)), F.lit(0)).cast("long").alias("violations")) for k, n in enumerate(unique)]
+    return by_field.select(F.explode(F.array(*told)).alias("x")).select("x.*")
 
 
 def later_copies(frame: DataFrame, key: Column, order: Column) -> DataFrame:
-    """Rows of a key beyond its first in `order`. The first of each key is a minimum, combined before
-    it moves, and the join with it can be split; no window gathers a key's rows in one task."""
+    """Rows of a key beyond its first in `order`, which is of columns (not of when or where a row is read). Only rows
+    of keys that repeat are compared with their first; it is a minimum, combined before it moves, and the join with it can be
+    split; no window gathers a key's rows in one task."""
     keyed_rows = frame.withColumn("__key", key).withColumn("__order", order).where(F.col("__key").isNotNull())
-    first = keyed_rows.groupBy("__key").agg(F.min("__order").alias("__first"))
-    return keyed_rows.join(first, "__key").where(F.col("__order") > F.col("__first")).drop("__first", "__order", "__key")
+    first = keyed_rows.groupBy("__key").agg(F.min("__order").alias("__first"), F.count(F.lit(1)).alias("__times")).where(F.col("__times") > 1)
+    return keyed_rows.join(first, "__key").where(F.col("__order") > F.col("__first")).drop("__first", "__times", "__order", "__key")
 
 
 def counts_frame(frame: DataFrame, compiled: R.Compiled) -> DataFrame:
@@ -127,102 +151,161 @@ def counts_frame(frame: DataFrame, compiled: R.Compiled) -> DataFrame:
         F.array(*[F.struct(F.lit(r.field).alias("field"), F.lit(r.rule).alias("rule"), F.col(f"c{k}").alias("violations")) for k, r in enumerate(compiled.rules)])
     )
     out = rule_counts(frame, compiled).select(named.alias("x")).select("x.*") if compiled.rules else None
-    for name, v in compiled.unique.items():
-        one = duplicates(frame, name, v)
-        out = one if out is None else out.unionByName(one)
+    if compiled.unique:
+        copies = duplicates(frame, compiled.unique)
+        out = copies if out is None else out.unionByName(copies)
     return out
 
 
-def _samples(frame: DataFrame, compiled: R.Compiled, hit: set[int], unique: set[str], cap: int, model: str) -> list[Sample]:
-    number = F.col(ROW) if ROW in frame.columns else F.monotonically_increasing_id()
+def sample_rows(frame: DataFrame, compiled: R.Compiled, hit: set[int], unique: set[str], cap: int, by_file: bool = False) -> DataFrame | None:
+    """(k, row, file, text): of each rule k, and of each file if so wanted, (unique fields come after the rules), the first `cap` rows that break it. The frame
+    has ROW; row numbers are compared only within one reading of it."""
+    places = [F.col(ROW).alias("row"), (F.col(FILE) if FILE in frame.columns else F.lit(None).cast("string")).alias("file")]
+    own = frame.select("*", *places)
     found: DataFrame | None = None
     chosen = [(k, r) for k, r in enumerate(compiled.rules) if k in hit]
     if chosen:
         # a rule that didn't hold is null in the array, and array_compact drops it before the explode
-        told = F.array(*[F.when(r.broken, F.struct(F.lit(k).alias("k"), r.text.alias("text"))) for k, r in chosen])
-        found = frame.withColumn("__n", number).select("__n", F.explode(F.array_compact(told)).alias("x")).select("__n", "x.k", "x.text")
-    for name in sorted(unique):
-        v = compiled.unique[name]
-        keys = frame.withColumn("__n", number).where(v.ok).select("__n", v.key.alias("k"), v.text.alias("text"))
-        later = later_copies(keys, F.col("k"), F.col("__n")).drop("k")
-        own = later.select("__n", F.lit(len(compiled.rules) + list(compiled.unique).index(name)).alias("k"), "text")
-        found = own if found is None else found.unionByName(own)
-    if found is None or not cap:
+        told = F.array(*[F.when(r.broken, F.struct(F.lit(k).alias("k"), r.text.cast("string").alias("text"))) for k, r in chosen])
+        found = own.select("row", "file", F.explode(F.array_compact(told)).alias("x")).select("x.k", "row", "file", "x.text")
+    if unique:
+        fields = {n: v for n, v in compiled.unique.items() if n in unique}
+        numbers = F.element_at(F.array(*[F.lit(len(compiled.rules) + list(compiled.unique).index(n)) for n in fields]), F.col("f") + 1)
+        keys = _keys(own, fields, "row", "file")
+        group = ["file", "f", "key"] if by_file else ["f", "key"]
+        repeated = _keys(own, fields, "file").groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+        copies = keys.join(repeated, group, "left_semi")
+        # of each key its first rows, as many as a sample may take after the first one
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("row"))
+        later = copies.withColumn("place", place).where(F.col("place") <= cap + 1).where(F.col("place") > 1)
+        later = later.select(numbers.alias("k"), "row", "file", F.col("text").cast("string").alias("text"))
+        found = later if found is None else found.unionByName(later)
+    if found is None:
+        return None
+    rank = F.row_number().over(Window.partitionBy(*(["file"] if by_file else []), "k").orderBy("row"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= cap).drop("rank")
+
+
+def _samples(frame: DataFrame, compiled: R.Compiled, hit: set[int], unique: set[str], cap: int, model: str, by_file: bool) -> list[Sample]:
+    few = sample_rows(frame, compiled, hit, unique, cap, by_file)
+    if few is None:
         return []
-    rank = F.row_number().over(Window.partitionBy("k").orderBy("__n"))
     text = F.col("text")
-    few = found.withColumn("__rank", rank).where(F.col("__rank") <= cap)
     told = observed(F.lit("string"), F.length(text), text)
-    rows = few.select("k", "__n", preview(text).alias("text"), told.alias("seen")).orderBy("k", "__n").collect()  # cap rows a rule
+    rows = few.select("k", "row", "file", preview(text).alias("text"), told.alias("seen")).orderBy("k", "row").toLocalIterator()  # cap rows a rule and file
     names = [(r.field, r.rule) for r in compiled.rules] + [(n, "unique") for n in compiled.unique]
-    return [Sample(model, *names[r["k"]], r["__n"], r["text"], r["seen"].asDict() if r["text"] is not None else None) for r in rows]
+    return [Sample(model, *names[r["k"]], r["row"], r["text"], r["seen"].asDict() if r["text"] is not None else None, r["file"]) for r in rows]
 
 
 def check_source(spark: SparkSession, source: Source, contract: Contract, model: str | None = None, samples: bool = True) -> Report:
+    return _reports(source, contract, model, samples, None)[source.name]
+
+
+def _reports(source: Source, contract: Contract, model: str | None, samples: bool, files: list[str] | None) -> dict[str, Report]:
+    """The report of a source by its name; or of each of its files, all in the same jobs: aggregates by file, keys and samples too."""
     name, m = contract.model(model)
     if errors := [f for f in contract.lint() if f.level == "error"]:
         raise ContractError("; ".join(f"{f.path}: {f.message}" for f in errors))
+    by = [] if files is None else [FILE]
+    named = lambda r: plain_path(r[FILE]) if by else source.name
     frame, compiled = bind(m, source)
-    totals = rule_counts(frame, compiled).first()
-    per_rule: list[tuple[str | None, str, int]] = [(s.field, s.rule, 1) for s in compiled.schema]
-    hit = {k for k in range(len(compiled.rules)) if totals[f"c{k}"]}
-    per_rule += [(compiled.rules[k].field, compiled.rules[k].rule, totals[f"c{k}"]) for k in sorted(hit)]
+    totals = {named(r): r for r in rule_counts(frame, compiled, *by).toLocalIterator()}  # a row a file
+    per_rule: dict[str, list[tuple[str | None, str, int]]] = {n: [(s.field, s.rule, 1) for s in compiled.schema] for n in (files if by else [source.name])}
+    hit = {k for k in range(len(compiled.rules)) for t in totals.values() if t[f"c{k}"]}
+    for n, t in totals.items():
+        per_rule[n] += [(compiled.rules[k].field, compiled.rules[k].rule, t[f"c{k}"]) for k in sorted(hit) if t[f"c{k}"]]
     if source.kind == "records" and m.strict:
-        extra = frame.where(F.col(R.RECORD).isNotNull()).select(F.explode(R.unexpected_keys(m, F.col(LINE))).alias("key"))
-        per_rule += [(r["key"], "unexpected_field", r["count"]) for r in extra.groupBy("key").count().orderBy("key").toLocalIterator()]
-    repeated = {n: duplicates(frame, n, v).first()["violations"] for n, v in compiled.unique.items()}
-    per_rule += [(n, "unique", c) for n, c in repeated.items() if c]
-    per_rule += _dataset(frame, m, compiled, totals["rows"])
+        extra = frame.where(F.col(R.RECORD).isNotNull()).select(*by, F.explode(R.unexpected_keys(m, F.col(LINE))).alias("key"))
+        for r in extra.groupBy(*by, "key").count().orderBy("key").toLocalIterator():
+            per_rule[named(r)].append((r["key"], "unexpected_field", r["count"]))
+    repeated: set[str] = set()
+    for r in _copies(frame, compiled.unique, *by).toLocalIterator() if compiled.unique else ():
+        if r["n"]:
+            field_name = list(compiled.unique)[r["f"]]
+            repeated.add(field_name)
+            per_rule[named(r)].append((field_name, "unique", r["n"]))
+    for rule in m.dataset:
+        values = {named(r): r["value"] for r in dataset_value(frame, rule, compiled, *by).toLocalIterator()}
+        for n, own in per_rule.items():
+            if not dataset_holds(rule, values.get(n) or 0, totals[n]["rows"] if n in totals else 0):
+                own.append((",".join(rule.fields) or None, rule.metric, 1))
     order = {r: k for k, r in enumerate(R.RULES)}
-    fields = {n: k for k, n in enumerate(m.fields)}
-    per_rule.sort(key=lambda x: (x[0] is not None, fields.get(x[0], len(fields)), order.get(x[1], 99), str(x[0])))
-    found = [Sample(name, s.field, s.rule, None, None) for s in compiled.schema]
+    places = {n: k for k, n in enumerate(m.fields)}
     cap = contract.policy.sample_violations
-    if samples and cap:
-        found += _samples(frame, compiled, hit, {n for n, c in repeated.items() if c}, cap, name)
-    return Report(contract.id, contract.version, name, source.name, totals["rows"], per_rule, found, contract.policy, list(contract.unenforced))
+    found: dict[str, list[Sample]] = {n: [Sample(name, s.field, s.rule, None, None) for s in compiled.schema] for n in per_rule}
+    if samples and cap and (hit or repeated):
+        for s in _samples(*bind(m, source.with_rows(bool(by))), hit, repeated, cap, name, bool(by)):
+            found[plain_path(s.file) if by else source.name].append(s)
+    out = {}
+    for n, own in per_rule.items():
+        own.sort(key=lambda x: (x[0] is not None, places.get(x[0], len(places)), order.get(x[1], 99), str(x[0])))
+        out[n] = Report(contract.id, contract.version, name, n, totals[n]["rows"] if n in totals else 0, own, found[n], contract.policy, list(contract.unenforced))
+    return out
 
 
-def _dataset(frame: DataFrame, m: Model, compiled: R.Compiled, rows: int) -> list[tuple[str | None, str, int]]:
-    """Rules on aggregates: one violation for each that doesn't hold."""
-    out = []
-    for rule in m.dataset:
-        value = float(rows if rule.metric == "row_count" else dataset_value(frame, rule, compiled).first()["value"])
-        if rule.percent:
-            value = 100 * value / rows if rows else 0.0
-        if not rule.holds(value):
-            out.append((",".join(rule.fields) or None, rule.metric, 1))
-    return out
+def dataset_holds(rule: DatasetRule, value: float, rows: int) -> bool:
+    return rule.holds(100.0 * value / rows if rule.percent and rows else float(value))
 
 
-def dataset_value(frame: DataFrame, rule: DatasetRule, compiled: R.Compiled) -> DataFrame:
-    """One row (value) of a rule's metric: rows, nulls of a field, or rows whose combination of fields came before."""
+def dataset_value(frame: DataFrame, rule: DatasetRule, compiled: R.Compiled, *by: str) -> DataFrame:
+    """(by, value) of a rule's metric: rows, nulls of a field, or rows whose combination of fields came before."""
     if rule.metric == "row_count":
-        return frame.agg(F.count(F.lit(1)).alias("value"))
+        return frame.groupBy(*by).agg(F.count(F.lit(1)).alias("value"))
     values = [compiled.values[f] for f in rule.fields]
     if rule.metric == "null_values":
-        return frame.agg(F.count_if(~values[0].present | values[0].null).alias("value"))
+        return frame.groupBy(*by).agg(F.count_if(~values[0].present | values[0].null).alias("value"))
     able = reduce(lambda a, v: a & v.ok, values, F.lit(True))
-    per_key = frame.where(able).select(*[v.key.alias(f"k{k}") for k, v in enumerate(values)]).groupBy(*[f"k{k}" for k in range(len(values))]).count()
-    return per_key.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("value"))
+    names = [f"k{k}" for k in range(len(values))]
+    per_key = frame.where(able).select(*by, *[v.key.alias(n) for n, v in zip(names, values, strict=True)]).groupBy(*by, *names).count()
+    return per_key.groupBy(*by).agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("value"))
+
+
+def _refuse_unenforced(c: Contract, allow: bool) -> None:
+    if c.unenforced and not allow:
+        raise ContractError("rules that can't be enforced: " + "; ".join(f"{u.path}: {u.reason}" for u in c.unenforced))
 
 
 def check(spark: SparkSession, data: Any, contract: Contract | str, model: str | None = None, allow_unenforced: bool = False, source: str | None = None, data_format: str | None = None, samples: bool = True) -> Report:
     """Checks a path, a DataFrame, a table or a list of dicts. A contract with rules that can't be
     enforced is refused unless allow_unenforced; the report is then partial."""
     c = load(contract) if isinstance(contract, str) else contract
-    if c.unenforced and not allow_unenforced:
-        raise ContractError("rules that can't be enforced: " + "; ".join(f"{u.path}: {u.reason}" for u in c.unenforced))
-    return check_source(spark, read(spark, data, source, data_format, rows=samples), c, model, samples)
+    _refuse_unenforced(c, allow_unenforced)
+    return check_source(spark, read(spark, data, source, data_format), c, model, samples)
 
 
-def check_all(spark: SparkSession, paths: list[str], contract: Contract | str, **more) -> tuple[list[Report], bool]:
-    """Reports of several sources, each on its own (uniqueness too), and whether the sum of their
-    violations keeps the budget."""
-    reports = [check(spark, p, contract, **more) for p in paths]
+def check_all(spark: SparkSession, paths: list[str], contract: Contract | str, model: str | None = None, allow_unenforced: bool = False, data_format: str | None = None, samples: bool = True) -> tuple[list[Report], bool]:
+    """Reports of several sources, each on its own (uniqueness and row numbers too), and whether the sum of their
+    violations keeps the budget. Single files with the same columns are checked together, by the same jobs; folders and the rest one by one."""
+    c = load(contract) if isinstance(contract, str) else contract
+    _refuse_unenforced(c, allow_unenforced)
+    done: dict[str, Report] = {}
+    of_kind: dict[str, list[str]] = {}
+    for p in dict.fromkeys(paths):
+        if _is_file(spark, p):
+            of_kind.setdefault(format_of(p, data_format), []).append(p)
+    for kind, singles in of_kind.items():
+        for same, source in files_of(spark, singles, kind) if len(singles) > 1 else ():
+            given = {plain_path(_absolute(spark, p)): p for p in same}
+            found = _reports(source, c, model, samples, list(given))
+            done |= {given[n]: replace(r, source=given[n]) for n, r in found.items()}
+    reports = [done.get(p) or check(spark, p, c, model, True, None, data_format, samples) for p in paths]
     total = sum(r.violations for r in reports)
-    policy = reports[0].policy if reports else None
-    return reports, not reports or policy.on_violation == "warn" or total <= policy.max_violations
+    return reports, not reports or c.policy.on_violation == "warn" or total <= c.policy.max_violations
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    store, p = _hadoop(spark, path)
+    return not re.search(r"[*?{\[]", path) and store.exists(p) and store.getFileStatus(p).isFile()
+
+
+def _absolute(spark: SparkSession, path: str) -> str:
+    store, p = _hadoop(spark, path)
+    return store.makeQualified(p).toString()
 
 
 def assert_conforms(spark: SparkSession, data: Any, contract: Contract | str, **more) -> Report:

@@ -187,11 +187,15 @@ def samples_per_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten violations of each rule; the limit is the feature."""
     df = _table(spark, sf_dir, "orders")
     compiled = R.compile_columns(ORDERS, df.schema)
-    rules = [r for r in compiled.rules if (r.field, r.rule) in (("o_totalprice", "min"), ("o_orderstatus", "allowed"), ("o_orderpriority", "pattern"))]
-    told = F.array(*[F.when(r.broken, F.struct(F.lit(r.field).alias("field"), F.lit(r.rule).alias("rule"))) for r in rules])
-    found = df.select(F.col("o_orderkey").alias("row_id"), F.explode(F.array_compact(told)).alias("x")).select("row_id", "x.*")
-    rank = F.row_number().over(Window.partitionBy("field", "rule").orderBy("row_id"))
-    return found.withColumn("k", rank).where(F.col("k") <= 10).select("field", "rule", "row_id")
+    hit = {k for k, r in enumerate(compiled.rules) if (r.field, r.rule) in (("o_totalprice", "min"), ("o_orderstatus", "allowed"), ("o_orderpriority", "pattern"))}
+    found = C.sample_rows(df.withColumn(ROW, F.col("o_orderkey")), compiled, hit, set(), 10)
+    return _with_rules(found, compiled).withColumnRenamed("row", "row_id").drop("file", "text")
+
+
+def _with_rules(found: DataFrame, compiled: R.Compiled) -> DataFrame:
+    names = [(r.field, r.rule) for r in compiled.rules] + [(n, "unique") for n in compiled.unique]
+    told = F.element_at(F.array(*[F.struct(F.lit(f).cast("string").alias("field"), F.lit(r).alias("rule")) for f, r in names]), F.col("k") + 1)
+    return found.withColumn("x", told).drop("k").select("x.*", "*").drop("x")
 
 
 @query("SELECT o_orderkey, CASE WHEN length(t) > 20 THEN substr(t, 1, 20) || '…' ELSE t END AS preview, sha256('string' || chr(0) || t) AS digest, CAST(length(t) AS INTEGER) AS chars "
@@ -266,8 +270,9 @@ def dataset_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _table(spark, sf_dir, "nation")
     rules = {"rows": DatasetRule("row_count", at_least=10, at_most=100000000), "nulls": DatasetRule("null_values", ("n_name",), True, below=50), "copies": DatasetRule("duplicate_values", ("n_regionkey",), equals=0)}
     m = Model({"n_name": Field("string"), "n_regionkey": Field("integer")}, dataset=tuple(rules.values()))
-    broken = {r for _, r, _ in C._dataset(df, m, R.compile_columns(m, df.schema), df.count())}
-    return spark.createDataFrame([(n, r.metric not in broken) for n, r in rules.items()], "rule string, holds boolean")
+    compiled, n_rows = R.compile_columns(m, df.schema), df.count()
+    held = [(n, C.dataset_holds(r, C.dataset_value(df, r, compiled).first()["value"], n_rows)) for n, r in rules.items()]
+    return spark.createDataFrame(held, "rule string, holds boolean")
 
 
 # --- gate ------------------------------------------------------------------
@@ -607,9 +612,13 @@ def unique_canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(_table(spark, sf_dir, "lineitem").select(z.alias("z")), _model(z={"type": "float", "unique": True}))
 
 
+def _own_folder(spark: SparkSession, kind: str) -> str:
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/written-{uuid.uuid4().hex}.{kind}"
+
+
 def _written(spark: SparkSession, df: DataFrame, kind: str) -> tuple[Source, str]:
     """df written as CSV or NDJSON where the session keeps its tables, and read by its extension."""
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/written-{uuid.uuid4().hex}.{kind}"
+    folder = _own_folder(spark, kind)
     if kind == "csv":
         df.write.option("header", True).option("emptyValue", "").csv(folder)
     else:
@@ -623,20 +632,72 @@ def check_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.when(F.col("p_partkey") % 10 == 3, F.concat(F.lit("x"), "p_partkey")).otherwise(F.col("p_partkey").cast("string"))
     source, _ = _written(spark, _table(spark, sf_dir, "part").select(key.alias("p_partkey"), "p_size", "p_name"), "csv")
     m = _model(p_partkey={"type": "integer"}, p_size={"type": "integer", "min": 5, "max": 45}, p_name={"type": "string", "pattern": "[0-4]$"})
-    return C.counts_frame(*C.bind(m, source))
+    return C.counts_frame(*C.bind(m, source)).where(F.col("field").isNotNull())  # ragged_csv has the rule on whole lines
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS row, s_suppkey FROM supplier")
 def ndjson_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An NDJSON file's lines in order, blank ones left out, numbered from 0."""
     df = _table(spark, sf_dir, "supplier").select("s_suppkey").coalesce(1).sortWithinPartitions("s_suppkey")
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/written-{uuid.uuid4().hex}.ndjson"
+    folder = _own_folder(spark, "ndjson")
     line = F.concat(F.lit('{"s_suppkey":'), "s_suppkey", F.lit("}"), F.when(F.col("s_suppkey") % 3 == 0, F.lit("\n  ")).otherwise(F.lit("")))
     df.select(line.alias("value")).write.text(folder)
     source = read(spark, folder, rows=True)
     return source.frame.select(F.col(ROW).alias("row"), F.get_json_object(LINE, "$.s_suppkey").cast("long").alias("s_suppkey"))
 
 
+@query("SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS row, p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || chr(10) || '\"a, b\"' || chr(10) || chr(10) ELSE p_name END AS name FROM part")
+def csv_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV files whose cells hold line breaks, quotes and commas: records in the order of files and lines, numbered from 0."""
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit('\n"a, b"\n\n'))).otherwise(F.col("p_name"))
+    df = _table(spark, sf_dir, "part").select("p_partkey", name.alias("name")).repartitionByRange(3, "p_partkey").sortWithinPartitions("p_partkey")
+    folder = _own_folder(spark, "csv")
+    df.write.options(header=True, escape='"', ignoreTrailingWhiteSpace=False).csv(folder)
+    return read(spark, folder, rows=True).frame.select(F.col(ROW).alias("row"), F.col("p_partkey").cast("int").alias("p_partkey"), "name")
+
+
+@query("WITH t AS (SELECT s_suppkey, s_acctbal, s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 AS ragged FROM supplier) " + _union(
+    ("", "type_mismatch", _where("ragged")), ("s_suppkey", "type_mismatch", _where("false")), ("s_acctbal", "type_mismatch", _where("false")),
+    ("s_suppkey", "min", _where("s_suppkey < 20 AND NOT ragged")), ("s_acctbal", "min", _where("s_acctbal < 0 AND NOT ragged")), table="t"))
+def ragged_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV lines of fewer or more cells than the header: each one mismatch, and no other violation."""
+    cells = F.when(F.col("s_suppkey") % 5 == 0, F.col("s_suppkey").cast("string")).otherwise(F.concat_ws(",", "s_suppkey", "s_acctbal", F.when(F.col("s_suppkey") % 7 == 0, F.lit("x"))))
+    lines = _table(spark, sf_dir, "supplier").select(cells.alias("value"), F.col("s_suppkey").cast("long").alias("k"))
+    whole = lines.union(spark.createDataFrame([("s_suppkey,s_acctbal", -1)], "value string, k long")).coalesce(1).sortWithinPartitions("k")
+    folder = _own_folder(spark, "csv")
+    whole.select("value").write.text(folder)
+    counts = C.counts_frame(*C.bind(_model(s_suppkey={"type": "integer", "min": 20}, s_acctbal={"type": "float", "min": 0}), read(spark, folder)))
+    return counts.withColumn("field", F.coalesce("field", F.lit("")))
+
+
+@query("""WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row, o_totalprice, o_custkey FROM orders),
+ b AS (SELECT 'o_totalprice' AS field, 'min' AS rule, row FROM o WHERE o_totalprice < 2000
+  UNION ALL SELECT 'o_custkey', 'unique', row FROM (SELECT row, row_number() OVER (PARTITION BY o_custkey ORDER BY row) AS k FROM o) WHERE k > 1)
+ SELECT field, rule, CAST(row AS BIGINT) AS row FROM (SELECT *, row_number() OVER (PARTITION BY field, rule ORDER BY row) AS k FROM b) WHERE k <= 10""")
+def samples_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten violations of each rule, later copies too, over several Parquet files whose rows are numbered as one."""
+    folder = _own_folder(spark, "parquet")
+    _table(spark, sf_dir, "orders").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(folder)
+    m = _model(o_totalprice={"type": "float", "min": 2000}, o_custkey={"type": "integer", "unique": True})
+    frame, compiled = C.bind(m, read(spark, folder, rows=True))
+    hit = {k for k, r in enumerate(compiled.rules) if r.rule == "min"}
+    return _with_rules(C.sample_rows(frame, compiled, hit, {"o_custkey"}, 10), compiled).select("field", "rule", "row")
+
+
+@query("""WITH g AS (SELECT o_orderstatus AS status, count(*) FILTER (WHERE o_totalprice < 2000) AS low, count(*) - count(DISTINCT o_custkey) AS customers, count(*) - count(DISTINCT o_orderdate) AS dates FROM orders GROUP BY 1)
+ SELECT status, 'o_totalprice' AS field, CAST(low AS BIGINT) AS violations FROM g WHERE low > 0 UNION ALL SELECT status, 'o_custkey', customers FROM g WHERE customers > 0 UNION ALL SELECT status, 'o_orderdate', dates FROM g WHERE dates > 0""")
+def many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files checked together, by the same jobs, each with its own uniqueness: a file for each status of orders."""
+    folder = _own_folder(spark, "files")
+    status = F.col("o_orderstatus").alias("status")
+    _table(spark, sf_dir, "orders").select("*", status).repartition(3, "status").sortWithinPartitions("status").write.partitionBy("status").parquet(folder)
+    paths = sorted({r[0] for r in spark.read.parquet(folder).select("_metadata.file_path").distinct().collect()})  # three
+    m = _model(o_totalprice={"type": "float", "min": 2000}, o_custkey={"type": "integer", "unique": True}, o_orderdate={"type": "timestamp", "unique": True})
+    reports, _ = C.check_all(spark, paths, Contract("files", "1.0.0", {"t": m}))
+    rows = [(r.source.split("status=")[1].split("/")[0], f, n) for r in reports for f, _, n in r.per_rule]
+    return spark.createDataFrame(rows, "status string, field string, violations long")
+
+
 @query("SELECT key, CAST(count(*) AS BIGINT) AS present, CAST(min(v) AS DOUBLE) AS least, CAST(max(v) AS DOUBLE) AS most FROM (SELECT 'k' AS key, CAST(props->>'k' AS BIGINT) AS v FROM events) GROUP BY key")
 def infer_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What inference counts of each key of the records."""

@@ -117,7 +117,7 @@ def call_tool(spark: SparkSession, name: str, a: dict) -> Any:
     if name == "check":
         c = parse(a["contract"])
         if "path" in a:
-            return check_source(spark, read(spark, a["path"], rows=True), c, a.get("model")).to_dict()
+            return check_source(spark, read(spark, a["path"]), c, a.get("model")).to_dict()
         return check_records(spark, c, a["records"], a.get("model"))
     if name == "diff":
         return compare(a["old"], a["new"], a.get("manifests", ()))
