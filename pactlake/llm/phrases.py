@@ -21,6 +21,7 @@ collisions, or a bitmap that a very large corpus fills, more stretches are shuff
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,30 +39,61 @@ MOST_BITS = 1 << 28
 #: Words of stretches whose passages share an automaton.
 AUTOMATON_WORDS = 1 << 18
 #: Windows whose anchors are looked for at once, rows combined at once before they move.
-PART, COMBINED_ROWS = 1 << 14, 1 << 16
+PART, COMBINED_ROWS = 1 << 15, 1 << 16
+#: Letters hashed at once.
+BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
-_WORDS_KEPT = 1 << 18
+_TEXTS_KEPT = 1 << 18
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return text.split() if text else []  # by the six kinds of ASCII white space
 
 
-class Codes:
-    """Hashes of words, each word hashed once while it is remembered."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        from xxhash import xxh3_64_intdigest
-
-        known = self.known
-        if len(known) > _WORDS_KEPT:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+class Words:
+    """A text's words joined by one space: where each begins and ends, and its hash."""
+
+    _powers = _inverses = np.ones(1, np.uint64)
+
+    def __init__(self, text: bytes | None):
+        self.joined = b" ".join(words_of(text))
+        letters = np.frombuffer(self.joined, np.uint8)
+        spaces = np.flatnonzero(letters == 32)
+        self.starts = np.concatenate(([0], spaces + 1)) if len(letters) else np.zeros(0, np.int64)
+        self.ends = np.append(spaces, len(letters)) if len(letters) else self.starts
+        self.n = len(self.starts)
+
+    def piece(self, first: int, end: int) -> bytes:
+        return self.joined[self.starts[first] : self.ends[end - 1]]
+
+    def codes(self) -> np.ndarray:
+        """Hashes of the words: of each, the sum of its letters times powers, by sums over the text, BLOCK letters at a time."""
+        letters, out, at = np.frombuffer(self.joined, np.uint8), np.empty(self.n, np.uint64), 0
+        while at < self.n:
+            to = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + BLOCK, "right")))
+            base = int(self.starts[at])
+            size = int(self.ends[to - 1]) - base
+            powers, inverses = self._powers_of(size)
+            sums = np.zeros(size + 1, np.uint64)
+            np.cumsum((letters[base : base + size].astype(np.uint64) + np.uint64(1)) * powers[:size], out=sums[1:])
+            starts = self.starts[at:to] - base
+            out[at:to] = (sums[self.ends[at:to] - base] - sums[starts]) * inverses[starts]
+            at = to
+        return _mixed(out)
+
+    @classmethod
+    def _powers_of(cls, size: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls._powers) < size:
+            steps = np.full(max(BLOCK, size), _BASE, np.uint64), np.full(max(BLOCK, size), pow(_BASE, -1, 1 << 64), np.uint64)
+            for s in steps:
+                s[0] = 1
+            cls._powers, cls._inverses = np.cumprod(steps[0]), np.cumprod(steps[1])
+        return cls._powers, cls._inverses
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
 
 def runs(codes: np.ndarray, k: int) -> np.ndarray:
@@ -76,8 +108,17 @@ def runs(codes: np.ndarray, k: int) -> np.ndarray:
         while width + n <= k:
             size = max(0, len(codes) - (width + n) + 1)
             out, width = out[:size] * power(n) + known[n][width : width + size], width + n
-    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return out ^ (out >> np.uint64(29))
+    return _mixed(out)
+
+
+def _least_places(grams: np.ndarray, span: int) -> np.ndarray:
+    """Of every `span` neighbours, 2^16 in all at most, the place of the least by its leading 48 bits, the first of equal ones."""
+    least, width = (grams & ~np.uint64(0xFFFF)) | np.arange(len(grams), dtype=np.uint64), 1
+    while 2 * width <= span:
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    if width < span:
+        least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
+    return (least & np.uint64(0xFFFF)).astype(np.int64)
 
 
 class Stretches:
@@ -88,8 +129,7 @@ class Stretches:
         width = min(ANCHOR, window)
         grams = runs(codes, width)
         span = window - width + 1
-        places = [np.lib.stride_tricks.sliding_window_view(grams[at : at + PART + span - 1], span).argmin(axis=1) + at for at in range(0, self.n, PART)]
-        anchor_at = np.concatenate(places) + np.arange(self.n) - np.repeat(np.arange(0, self.n, PART), [len(p) for p in places])
+        anchor_at = np.concatenate([_least_places(grams[at : at + PART + span - 1], span) + at for at in range(0, self.n, PART)])
         self.starts = np.flatnonzero(np.diff(anchor_at, prepend=-1))
         self.ends = np.append(self.starts[1:], self.n)
         self.anchors = grams[anchor_at[self.starts]]
@@ -148,15 +188,15 @@ def _counts(docs: DataFrame, hashes_of: Callable[[], Callable[[np.ndarray], np.n
     out = T.StructType().add("hash", "long").add("n", "long")
 
     def start():
-        codes, of, held, size = Codes(), hashes_of(), [], 0
+        of, held, size = hashes_of(), [], 0
 
         def one(k1, k2, x):
             nonlocal held, size
             if k1 is not None:
-                words = words_of(x)
-                if len(words) < window:
+                words = Words(x)
+                if words.n < window:
                     return
-                own = of(codes(words))
+                own = of(words.codes())
                 held.append(own)
                 size += len(own)
             if held and (k1 is None or size >= 16 * COMBINED_ROWS):
@@ -170,7 +210,7 @@ def _counts(docs: DataFrame, hashes_of: Callable[[], Callable[[np.ndarray], np.n
     return _scan(docs, out, start).groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def _pieces(words: list[bytes], codes: np.ndarray, window: int, recurring: Bits, hot: Bits, windows: Bits | None) -> Iterator[tuple[int, int, int]]:
+def _pieces(codes: np.ndarray, window: int, recurring: Bits, hot: Bits, windows: Bits | None) -> Iterator[tuple[int, int, int]]:
     """(anchor, first word, end) of the stretches of a text that may hold recurring windows."""
     s = Stretches(codes, window)
     able = recurring.has(s.anchors)
@@ -187,32 +227,36 @@ def _pieces(words: list[bytes], codes: np.ndarray, window: int, recurring: Bits,
             yield anchor, a + x, a + y + window - 1
 
 
-_FOUND = T.StructType().add("s1", "long").add("s2", "long").add("first", "integer").add("end", "integer")
+_FOUND = T.StructType().add("id", "binary").add("first", "integer").add("end", "integer")
 
 
-def _stretch_id(anchor: int, stretch: bytes) -> tuple[int, int]:
-    from xxhash import xxh3_128_intdigest
+def _stretch_id(anchor: int, stretch: bytes) -> bytes:
+    from xxhash import xxh3_128_digest
 
-    x = xxh3_128_intdigest(stretch, anchor & (2**64 - 1))
-    signed = lambda n: n - (1 << 64) if n >> 63 else n
-    return signed(x >> 64), signed(x & (2**64 - 1))
+    return xxh3_128_digest(stretch, anchor & (2**64 - 1))
 
 
 def confirm(stretches: dict[bytes, int], window: int) -> list[tuple[bytes, ...]]:
     """Passages of one anchor: runs of windows that occur twice or more in its stretches (words joined by
     a space, with their counts)."""
-    times: dict[tuple, int] = {}
-    split = [(x.split(b" "), n) for x, n in stretches.items()]
-    for words, n in split:
-        for k in range(len(words) - window + 1):
-            key = tuple(words[k : k + window])
-            times[key] = times.get(key, 0) + n
+    if len(stretches) == 1:
+        ((x, n),) = stretches.items()
+        return [tuple(x.split(b" "))] if n > 1 else []
+    times: dict[bytes, int] = {}
+    split = []
+    for x, n in stretches.items():
+        words = x.split(b" ")
+        ends = list(accumulate(map(len, words), lambda at, size: at + 1 + size))
+        starts = [0, *[e + 1 for e in ends]]
+        windows = [x[a:b] for a, b in zip(starts, ends[window - 1 :], strict=False)]
+        split.append((words, windows))
+        for w in windows:
+            times[w] = times.get(w, 0) + n
     out = set()
-    for words, _ in split:
+    for words, windows in split:
         first = None
-        last = len(words) - window
-        for k in range(last + 2):
-            recurs = k <= last and times[tuple(words[k : k + window])] > 1
+        for k, w in enumerate((*windows, None)):
+            recurs = w is not None and times[w] > 1
             if recurs and first is None:
                 first = k
             elif not recurs and first is not None:
@@ -221,7 +265,7 @@ def confirm(stretches: dict[bytes, int], window: int) -> list[tuple[bytes, ...]]
     return list(out)
 
 
-def locate(passages: list[tuple[bytes, ...]], stretches: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, int, int]]:
+def locate(passages: list[tuple[bytes, ...]], stretches: list[tuple[int, bytes]]) -> Iterator[tuple[bytes, int, int]]:
     """_FOUND: the words of each stretch that occurrences of the passages cover, by an automaton over words."""
     import ahocorasick
 
@@ -243,7 +287,7 @@ def locate(passages: list[tuple[bytes, ...]], stretches: list[tuple[int, bytes]]
             else:
                 spans.append([first, end])
         for first, end in spans:
-            yield (*_stretch_id(anchor, x), first, end)
+            yield _stretch_id(anchor, x), first, end
 
 
 def _in_shards(stretches: DataFrame, window: int) -> DataFrame:
@@ -258,7 +302,7 @@ def _in_shards(stretches: DataFrame, window: int) -> DataFrame:
             for _, held in chunk:
                 passages += confirm(held, window)
             rows = list(locate(passages, [(a, x) for a, held in chunk for x in held]))
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], schema=kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 3, kinds, strict=True)], schema=kinds)
 
         size, now = 0, None
         for batch in batches:
@@ -308,14 +352,14 @@ def covered(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
 
         return of
 
-    windows = spark.sparkContext.broadcast(_bitmap(_counts(lean, hot_windows, window).where(F.col("n") > 1), "hash"))
+    windows = spark.sparkContext.broadcast(_bitmap(materialize(_counts(lean, hot_windows, window).where(F.col("n") > 1)), "hash"))
 
     def pieces_of():
-        sets, codes = (Bits(recurring.value), Bits(hot.value), Bits(windows.value)), Codes()
-        return lambda words: _pieces(words, codes(words), window, *sets) if len(words) >= window else ()
+        sets = Bits(recurring.value), Bits(hot.value), Bits(windows.value)
+        return lambda words: _pieces(words.codes(), window, *sets) if words.n >= window else ()
 
     combined = T.StructType().add("anchor", "long").add("stretch", "binary").add("n", "long")
-    refers = T.StructType().add("k1", "long").add("k2", "long").add("s1", "long").add("s2", "long").add("at", "integer")
+    refers = T.StructType().add("k1", "long").add("k2", "long").add("id", "binary").add("at", "integer")
 
     def stretches():
         pieces, held, size = pieces_of(), {}, 0
@@ -323,9 +367,9 @@ def covered(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
         def one(k1, k2, x):
             nonlocal held, size
             if k1 is not None:
-                words = words_of(x)
+                words = Words(x)
                 for anchor, a, b in pieces(words):
-                    key = (anchor, b" ".join(words[a:b]))
+                    key = (anchor, words.piece(a, b))
                     size += 0 if key in held else len(key[1])
                     held[key] = held.get(key, 0) + 1
             if held and (k1 is None or size > 32 << 20):
@@ -343,11 +387,11 @@ def covered(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
         def one(k1, k2, x):
             nonlocal held
             if k1 is not None and (k1, k2) not in told:  # a copy in the same task refers to the same stretches
-                if len(told) > _WORDS_KEPT:
+                if len(told) > _TEXTS_KEPT:
                     told.clear()
                 told.add((k1, k2))
-                words = words_of(x)
-                held += [(k1, k2, *_stretch_id(anchor, b" ".join(words[a:b])), a) for anchor, a, b in pieces(words)]
+                words = Words(x)
+                held += [(k1, k2, _stretch_id(anchor, words.piece(a, b)), a) for anchor, a, b in pieces(words)]
             if held and (k1 is None or len(held) > 4096):
                 rows, held = held, []
                 yield list(zip(*rows, strict=True))
@@ -355,7 +399,7 @@ def covered(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
         return one
 
     found = materialize(_in_shards(_scan(lean, combined, stretches), window))
-    placed = _scan(lean, refers, references).join(found, ["s1", "s2"])
+    placed = _scan(lean, refers, references).join(found, "id")
     span = F.struct((F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("end")).alias("end"))
     return placed.groupBy("k1", "k2").agg(F.collect_set(span).alias("spans"))
 
