@@ -135,7 +135,7 @@ def map_texts(
     keep = [c for c in keep if c.lower() not in names]
     own = [F.col(f"`{c}`") for c in keep]
     read = keep.index(text_col) if text_col in keep and dict(df.dtypes)[text_col] == "string" else len(keep)
-    source = df.select(*own, *([F.col(f"`{text_col}`").cast("string").alias("__text__")] if read == len(keep) else []), *beside)
+    source = df.select(*own, *([F.col(f"`{text_col}`").cast("string").alias(unused([*keep, *beside], "__text__"))] if read == len(keep) else []), *beside)
     schema = T.StructType([source.schema[c] for c in keep] + list(out))
     added = to_arrow_schema(out)
 

@@ -21,7 +21,7 @@ collisions, or a bitmap that a very large corpus fills, more stretches are shuff
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from xxhash import xxh3_128_digest
 
 from .common import as_bytes, map_texts, materialize, small_batches, table, unused
 
@@ -210,75 +211,81 @@ def _counts(docs: DataFrame, hashes_of: Callable[[], Callable[[np.ndarray], np.n
     return _scan(docs, out, start).groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def _pieces(codes: np.ndarray, window: int, recurring: Bits, hot: Bits, windows: Bits | None) -> Iterator[tuple[int, int, int]]:
-    """(anchor, first word, end) of the stretches of a text that may hold recurring windows."""
+def _pieces(words: Words, window: int, recurring: Bits, hot: Bits, windows: Bits) -> Iterator[tuple[int, int, bytes]]:
+    """(anchor, first word, words) of the stretches of a text that may hold recurring windows."""
+    codes = words.codes()
     s = Stretches(codes, window)
     able = recurring.has(s.anchors)
     if not able.any():
-        return
-    is_hot = hot.has(s.anchors) & able if windows else np.zeros(len(able), bool)
-    in_set = windows.has(runs(codes, window)) if is_hot.any() else None
-    for anchor, a, b, trim in zip(s.anchors[able].view(np.int64).tolist(), s.starts[able].tolist(), s.ends[able].tolist(), is_hot[able].tolist(), strict=True):
-        if not trim:
-            yield anchor, a, b + window - 1
-            continue
-        edges = np.flatnonzero(np.diff(in_set[a:b], prepend=False, append=False)).tolist()
-        for x, y in zip(edges[::2], edges[1::2], strict=True):
-            yield anchor, a + x, a + y + window - 1
+        return iter(())
+    of = np.repeat(np.arange(len(able)), s.ends - s.starts)  # each window's stretch
+    on = able[of]
+    trimmed = (hot.has(s.anchors) & able)[of]
+    if trimmed.any():
+        on &= ~trimmed | windows.has(runs(codes, window))
+    changes = np.diff(of, prepend=-1, append=-1) != 0
+    edge = np.concatenate(([False], on, [False]))
+    first = np.flatnonzero(on & (changes[:-1] | ~edge[:-2]))
+    last = np.flatnonzero(on & (changes[1:] | ~edge[2:]))
+    joined = words.joined
+    begins, ends = words.starts[first].tolist(), words.ends[last + window - 1].tolist()
+    return zip(s.anchors[of[first]].view(np.int64).tolist(), first.tolist(), [joined[a:b] for a, b in zip(begins, ends, strict=True)], strict=True)
 
 
 _FOUND = T.StructType().add("id", "binary").add("first", "integer").add("end", "integer")
 
 
 def _stretch_id(anchor: int, stretch: bytes) -> bytes:
-    from xxhash import xxh3_128_digest
-
     return xxh3_128_digest(stretch, anchor & (2**64 - 1))
 
 
-def confirm(stretches: dict[bytes, int], window: int) -> list[tuple[bytes, ...]]:
-    """Passages of one anchor: runs of windows that occur twice or more in its stretches (words joined by
-    a space, with their counts)."""
+def confirm(stretches: list[bytes], split: list[list[bytes]], counts: list[int], window: int) -> Iterator[tuple[int, int, int]]:
+    """Passages of one anchor's stretches (words joined by a space, and split): runs of windows that occur twice or more, as
+    (stretch, first word, end)."""
     if len(stretches) == 1:
-        ((x, n),) = stretches.items()
-        return [tuple(x.split(b" "))] if n > 1 else []
+        if counts[0] > 1:
+            yield 0, 0, len(split[0])
+        return
     times: dict[bytes, int] = {}
-    split = []
-    for x, n in stretches.items():
-        words = x.split(b" ")
+    windows_of = []
+    for x, words, n in zip(stretches, split, counts, strict=True):
         ends = list(accumulate(map(len, words), lambda at, size: at + 1 + size))
-        starts = [0, *[e + 1 for e in ends]]
-        windows = [x[a:b] for a, b in zip(starts, ends[window - 1 :], strict=False)]
-        split.append((words, windows))
+        windows = [x[a:b] for a, b in zip([0, *[e + 1 for e in ends]], ends[window - 1 :], strict=False)]
+        windows_of.append(windows)
         for w in windows:
             times[w] = times.get(w, 0) + n
-    out = set()
-    for words, windows in split:
+    for j, windows in enumerate(windows_of):
         first = None
         for k, w in enumerate((*windows, None)):
             recurs = w is not None and times[w] > 1
             if recurs and first is None:
                 first = k
             elif not recurs and first is not None:
-                out.add(tuple(words[first : k + window - 1]))
+                yield j, first, k + window - 1
                 first = None
-    return list(out)
 
 
-def locate(passages: list[tuple[bytes, ...]], stretches: list[tuple[int, bytes]]) -> Iterator[tuple[bytes, int, int]]:
-    """_FOUND: the words of each stretch that occurrences of the passages cover, by an automaton over words."""
+def locate(anchors: list[tuple[int, dict[bytes, int]]], window: int) -> Iterator[tuple[bytes, int, int]]:
+    """_FOUND of the stretches of some anchors, with their counts: the words of each that occurrences of confirmed passages
+    cover, by an automaton over words."""
     import ahocorasick
 
     number: dict[bytes, int] = {}
     machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for p in passages:
-        machine.add_word(tuple([number.setdefault(w, len(number) + 1) for w in p]), len(p))
-    if not passages:
+    texts: list[tuple[int, bytes, tuple]] = []
+    for anchor, counts in anchors:
+        stretches = list(counts)
+        split = [x.split(b" ") for x in stretches]
+        numbers = [tuple([number.setdefault(w, len(number)) for w in words]) for words in split]
+        for j, first, end in confirm(stretches, split, list(counts.values()), window):
+            machine.add_word(numbers[j][first:end], end - first)
+        texts += zip(repeat(anchor), stretches, numbers)
+    if not len(machine):
         return
     machine.make_automaton()
-    for anchor, x in stretches:
+    for anchor, x, numbers in texts:
         spans: list[list[int]] = []
-        for last, n in machine.iter(tuple([number.get(w, 0) for w in x.split(b" ")])):
+        for last, n in machine.iter(numbers):
             first, end = last - n + 1, last + 1
             while spans and spans[-1][0] >= first:
                 spans.pop()
@@ -298,10 +305,7 @@ def _in_shards(stretches: DataFrame, window: int) -> DataFrame:
         chunk: list[tuple[int, dict[bytes, int]]] = []
 
         def found():
-            passages: list = []
-            for _, held in chunk:
-                passages += confirm(held, window)
-            rows = list(locate(passages, [(a, x) for a, held in chunk for x in held]))
+            rows = list(locate(chunk, window))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 3, kinds, strict=True)], schema=kinds)
 
         size, now = 0, None
@@ -356,7 +360,7 @@ def covered(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
 
     def pieces_of():
         sets = Bits(recurring.value), Bits(hot.value), Bits(windows.value)
-        return lambda words: _pieces(words.codes(), window, *sets) if words.n >= window else ()
+        return lambda words: _pieces(words, window, *sets) if words.n >= window else ()
 
     combined = T.StructType().add("anchor", "long").add("stretch", "binary").add("n", "long")
     refers = T.StructType().add("k1", "long").add("k2", "long").add("id", "binary").add("at", "integer")
@@ -367,11 +371,13 @@ def covered(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
         def one(k1, k2, x):
             nonlocal held, size
             if k1 is not None:
-                words = Words(x)
-                for anchor, a, b in pieces(words):
-                    key = (anchor, words.piece(a, b))
-                    size += 0 if key in held else len(key[1])
-                    held[key] = held.get(key, 0) + 1
+                for anchor, _, piece in pieces(Words(x)):
+                    key = (anchor, piece)
+                    if key in held:
+                        held[key] += 1
+                    else:
+                        held[key] = 1
+                        size += len(piece)
             if held and (k1 is None or size > 32 << 20):
                 rows = list(held.items())
                 held, size = {}, 0
@@ -390,8 +396,7 @@ def covered(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
                 if len(told) > _TEXTS_KEPT:
                     told.clear()
                 told.add((k1, k2))
-                words = Words(x)
-                held += [(k1, k2, _stretch_id(anchor, words.piece(a, b)), a) for anchor, a, b in pieces(words)]
+                held += [(k1, k2, _stretch_id(anchor, piece), a) for anchor, a, piece in pieces(Words(x))]
             if held and (k1 is None or len(held) > 4096):
                 rows, held = held, []
                 yield list(zip(*rows, strict=True))

@@ -123,11 +123,11 @@ def test_url_keys_and_records():
 
 
 def test_every_operator_has_a_query():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 14)]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
-@pytest.mark.parametrize("name", list(queries.queries()))
+@pytest.mark.parametrize("name", [n for n in queries.queries() if n.split("_")[0] not in ("op11", "op13")])
 def test_queries_return_a_row_for_each_input_row(spark, name):
     df = queries.queries()[name](spark, SF)
     source = {"op2": "embeddings", "op6": "pages"}.get(name.split("_")[0], "documents")
@@ -213,7 +213,7 @@ def test_a_local_folder_is_refused_on_a_cluster():
         common.shared_dir(Session)
 
 
-@pytest.mark.parametrize("name", [n for n in queries.queries() if n.split("_")[0] not in ("op2", "op6")])
+@pytest.mark.parametrize("name", [n for n in queries.queries() if n.split("_")[0] not in ("op2", "op6", "op11", "op13")])
 def test_bytes_that_are_not_utf8(spark, tmp_path, name):
     labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(30)], "doc_id long, quality int, toxic int")
     rows = [(k, bytearray(f"some words about thing {k} a@b.co ".encode() + bytes([0xC3, 0x28, 0xFF, k])), "en") for k in range(30)]
