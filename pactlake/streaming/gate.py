@@ -12,13 +12,13 @@ import os
 import sys
 import time
 from collections import Counter, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -186,58 +186,106 @@ def _now() -> str:
 
 
 class SeenKeys:
-    """Keys of the batches so far, in a folder: those that are new in each batch, and from time to time one
-    base of all before. Keys lie in hash buckets, and a batch reads the buckets of its own keys alone."""
+    """Keys of the batches so far, as 128 bits each, in a folder of runs.
 
-    BUCKETS, COMPACT = 64, 20
-    SCHEMA = T.StructType().add("field", "string").add("key", "string").add("bucket", "integer")
+    A run holds the keys of some batches in buckets by the leading bits of their hash, about BUCKET_KEYS in each. A batch adds a
+    run, and COMPACT runs of one level are merged into one of the next, so that there are few and a key is written again only
+    as often as the levels grow. A batch reads the buckets of its own keys, one in each run: that depends on its keys, not on how many were seen.
+    """
+
+    BUCKET_KEYS, COMPACT = 4096, 8
+    SCHEMA = T.StructType().add("a", "long").add("b", "long")
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        jvm = spark._jvm.org.apache.hadoop.fs
-        self.path = jvm.Path
-        self.store = jvm.Path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.store = self.path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _exists(self, path: str) -> bool:
+        return self.store.exists(self.path(path))
 
-    def _numbers(self, kind: str) -> list[int]:
-        """Of the folders of a kind that were written to their end."""
-        if not self.store.exists(self.path(self.folder)):
+    def _runs(self) -> list[tuple[int, int, int, int]]:
+        """(level, first batch, last batch, bits of its buckets) of the runs that were written to their end, without those
+        that a merged run contains."""
+        if not self._exists(self.folder):
             return []
         names = [x.getPath().getName() for x in self.store.listStatus(self.path(self.folder))]
-        numbers = sorted(int(n.split("-")[1]) for n in names if n.startswith(f"part={kind}-"))
-        return [n for n in numbers if self.store.exists(self.path(f"{self._folder_of(kind, n)}/_SUCCESS"))]
-
-    def _folder_of(self, kind: str, number: int) -> str:
-        return f"{self.folder}/part={kind}-{number}"
-
-    def _read(self, parts: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).option("basePath", self.folder).parquet(*parts)
-
-    def _parts(self, number: int) -> tuple[int, list[str]]:
-        """The newest base (of batches before its number) and the later batches before this one; those of a
-        failed attempt at this one don't count."""
-        base = max((n for n in self._numbers("base") if n <= number), default=-1)
-        batches = [n for n in self._numbers("batch") if max(0, base) <= n < number]
-        return len(batches), ([self._folder_of("base", base)] if base >= 0 else []) + [self._folder_of("batch", n) for n in batches]
+        runs = [tuple(map(int, n.removeprefix("run=").split("-"))) for n in names if n.startswith("run=")]
+        runs = sorted((r for r in runs if self._exists(f"{self._at(r)}/_SUCCESS")), reverse=True)
+        return [r for r in runs if not any(o[0] > r[0] and o[1] <= r[1] and r[2] <= o[2] for o in runs)]
+
+    def _at(self, run: tuple) -> str:
+        return f"{self.folder}/run={'-'.join(map(str, run))}"
+
+    def _delete(self, run: tuple) -> None:
+        self.store.delete(self.path(self._at(run)), True)
+
+    @staticmethod
+    def _hashed(keys: DataFrame) -> DataFrame:
+        """keys (field, key) with a and b."""
+        return keys.withColumns({"a": F.xxhash64("field", "key"), "b": F.xxhash64(F.lit(1), "field", "key")})
+
+    @staticmethod
+    def _bucket(bits: int) -> Column:
+        return F.shiftrightunsigned("a", 64 - bits).cast("long") if bits else F.lit(0).cast("long")
+
+    def _write(self, level: int, first: int, last: int, hashes: DataFrame, n: int) -> None:
+        bits = max(0, (n - 1) // self.BUCKET_KEYS).bit_length()
+        out = hashes.select("a", "b", self._bucket(bits).alias("bucket"))
+        (out.repartition("bucket") if bits else out.coalesce(1)).write.mode("overwrite").partitionBy("bucket").parquet(self._at((level, first, last, bits)))
+
+    def _compact(self, number: int) -> None:
+        """Merges the runs of earlier batches, which are done with, where a level has too many."""
+        level = 0
+        while True:
+            runs = [r for r in self._runs() if r[2] < number]
+            if not any(r[0] >= level for r in runs):
+                return
+            own = [r for r in runs if r[0] == level]
+            if len(own) >= self.COMPACT:
+                merged = self._read([self._at(r) for r in own])
+                self._write(level + 1, min(r[1] for r in own), max(r[2] for r in own), merged, merged.count())
+                for r in own:
+                    self._delete(r)
+            level += 1
+
+    def of_buckets(self, number: int, hashes: DataFrame) -> DataFrame | None:
+        """(a, b) of earlier batches in the buckets of the hashes; None if there are none."""
+        runs = [r for r in self._runs() if r[2] < number]
+        if not runs:
+            return None
+        n = hashes.count()
+        # of a run of many more buckets than the batch has keys, those of the keys; others whole
+        fine = max((r[3] for r in runs if 8 * n < 1 << r[3]), default=0)
+        leading = [r[0] for r in hashes.select(self._bucket(fine)).distinct().collect()] if fine else []
+        paths = []
+        for r in runs:
+            if 8 * n < 1 << r[3]:
+                each = [f"{self._at(r)}/bucket={k}" for k in {x >> (fine - r[3]) for x in leading}]
+                paths += [p for p in each if self._exists(p)]
+            else:
+                paths.append(self._at(r))
+        return self._read(paths) if paths else None
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).option("basePath", self.folder).parquet(*paths).select("a", "b")
 
     def before(self, number: int, keys: DataFrame) -> DataFrame | None:
-        """(field, key) of earlier batches, of the buckets that keys (field, key) of this one fall into."""
-        later, parts = self._parts(number)
-        if not parts:
-            return None
-        if later > self.COMPACT:
-            merged = self._read(parts).repartition("bucket")
-            merged.write.mode("overwrite").partitionBy("bucket").parquet(self._folder_of("base", number))
-            for old in parts:
-                self.store.delete(self.path(old), True)
-            _, parts = self._parts(number)
-        buckets = [r["b"] for r in keys.select(self._bucket().alias("b")).distinct().collect()]  # BUCKETS at most
-        return self._read(parts).where(F.col("bucket").isin(buckets)).select("field", "key")
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("field", "key"), F.lit(self.BUCKETS)).cast("int")
+        """Those of keys (field, key) that earlier batches had, each once; None if there were no earlier keys."""
+        self._compact(number)
+        asked = self._hashed(keys.select("field", "key").distinct())
+        held = self.of_buckets(number, asked)
+        return None if held is None else asked.join(held, ["a", "b"], "left_semi").select("field", "key")
 
     def add(self, number: int, fresh: DataFrame) -> None:
-        fresh.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(self._folder_of("batch", number))
+        """Keeps the new keys of a batch, in place of those of failed attempts at it."""
+        for r in self._runs():
+            if r[1] >= number:
+                self._delete(r)
+        hashes = self._hashed(fresh).select("a", "b").persist()
+        if n := hashes.count():
+            self._write(0, number, number, hashes, n)
+        hashes.unpersist()
 
 
 class BatchJudge:
@@ -252,7 +300,8 @@ class BatchJudge:
 
     @contextmanager
     def batch(self, rows: DataFrame, number: int) -> Iterator[DataFrame]:
-        """The judged rows of a batch. When its outputs are written, its keys are kept and counted."""
+        """The judged rows of a batch, to be written whole. What is counted is observed as they are first written. When the outputs are
+        written, the batch's keys are kept."""
         began = time.perf_counter()
         judged = first = judge(rows, self.contract, self.name, self.mode, self.value).withColumn(ROW, F.monotonically_increasing_id()).persist()
         fresh = None
@@ -261,32 +310,55 @@ class BatchJudge:
                 keys = unique_keys(first, self.model, ROW).select("field", "key")
                 judged, fresh = track(first, self.model, self.contract, ROW, self.seen.before(number, keys))
                 judged = judged.persist()
-            yield judged
+            told = Observation()
+            yield judged.observe(told, *_metrics(self.model, self.value))
             if fresh is not None:
                 self.seen.add(number, fresh)
-            self._count(judged, began)
+            self._count(told.get, began)
         finally:
             if judged is not first:
                 judged.unpersist()
             first.unpersist()
 
-    def _count(self, judged: DataFrame, began: float) -> None:
-        self.totals.add(*batch_counts(judged, self.model, self.value), time.perf_counter() - began)
+    def _count(self, told: dict, began: float) -> None:
+        self.totals.add(*_counted(told, self.model), time.perf_counter() - began)
         if self.stats:
             self.stats = write_stats(self.stats, self.totals.snapshot(self.contract, self.name))
 
 
-def batch_counts(judged: DataFrame, m: Model, value: str = "value") -> tuple[dict[str, int], dict[tuple[str, str], int]]:
-    """Of judged records: counts by name, and violations by (field, rule). A field that the model doesn't
-    declare counts as the empty name: there is no bound to such keys."""
+def _told_rules(m: Model) -> list[tuple[str, str]]:
+    """Every (field, rule) that a record can break. A field that the model doesn't declare counts as the empty name:
+    there is no bound to such keys."""
+    rules = [(r.field or "", r.rule) for r in R.compile_records(m).rules] + [(n, "unique") for n, f in m.fields.items() if f.unique]
+    return rules + ([("", "unexpected_field")] if m.strict else [])
+
+
+def _metrics(m: Model, value: str) -> list[Column]:
+    """Counters of judged records as aggregates that can be observed: by name, and r0, r1, ... by rule."""
     is_ = lambda v: F.count_if(F.col("verdict") == v)
-    one = judged.agg(
+    many = F.size("violations")
+    out = [
         F.count(F.lit(1)).alias("records"), is_("pass").alias("passed"), is_("block").alias("blocked"), is_("warn").alias("warned"),
-        F.coalesce(F.sum(F.size("violations")), F.lit(0)).alias("violations"), F.count_if(F.col(value).isNull()).alias("tombstones"),
-    ).first()
-    named = F.when(F.col("field").isin(*m.fields), F.col("field")).otherwise("")
-    rules = each_violation(judged).groupBy(named.alias("field"), "rule").count().collect() if one["violations"] else []
-    return one.asDict(), {(r["field"], r["rule"]): r["count"] for r in rules}
+        F.coalesce(F.sum(many), F.lit(0)).cast("long").alias("violations"), F.count_if(F.col(value).isNull()).alias("tombstones"),
+    ]
+    for k, (name, rule) in enumerate(_told_rules(m)):
+        # records that break nothing aren't looked through
+        out.append(F.coalesce(F.sum(F.when(many > 0, F.size(F.filter("violations", _is_of(name, rule))))), F.lit(0)).cast("long").alias(f"r{k}"))
+    return out
+
+
+def _is_of(name: str, rule: str) -> Callable[[Column], Column]:
+    return lambda x: (x["rule"] == rule) & (x["field"] == name if name else F.lit(True))
+
+
+def _counted(told: dict, m: Model) -> tuple[dict[str, int], dict[tuple[str, str], int]]:
+    by_rule = {key: told[f"r{k}"] for k, key in enumerate(_told_rules(m)) if told[f"r{k}"]}
+    return {n: told[n] for n in ("records", "passed", "blocked", "warned", "violations", "tombstones")}, by_rule
+
+
+def batch_counts(judged: DataFrame, m: Model, value: str = "value") -> tuple[dict[str, int], dict[tuple[str, str], int]]:
+    """Of judged records: counts by name, and violations by (field, rule), in one pass."""
+    return _counted(judged.agg(*_metrics(m, value)).first().asDict(), m)
 
 
 def unique_keys(judged: DataFrame, m: Model, order: str) -> DataFrame:

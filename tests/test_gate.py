@@ -74,6 +74,69 @@ def test_topics_remember_keys_and_fail_over_budget(spark, tmp_path):
     assert not spark.sparkContext._jsc.getPersistentRDDs()
 
 
+def test_a_batch_that_fails_between_two_topics_sends_nothing_twice(spark, tmp_path, monkeypatch):
+    values = [b'{"k":1}', b'{"k":10}', b'{"k":2}', b'{"k":1}']
+    data = [(b"a", bytearray(v), "in", i % 2, i, datetime.datetime(2026, 1, 1), None) for i, v in enumerate(values)]
+    spark.createDataFrame(data, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    run = lambda: kafka.gate(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), parse(CONTRACT), str(tmp_path / "topics"), "ok", "dead", str(tmp_path / "check"), unique=gate.TRACK, sink="parquet")
+    send = kafka.send
+
+    def fails(rows, brokers, sink):
+        if rows.select("topic").where("topic = 'dead'").count():
+            raise RuntimeError("the broker is gone")
+        send(rows, brokers, sink)
+
+    monkeypatch.setattr(kafka, "send", fails)
+    query, _ = run()
+    with pytest.raises(Exception, match="broker"):
+        query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "topics")).count() == 2
+    monkeypatch.setattr(kafka, "send", send)
+    query, stats = run()
+    query.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "topics")).collect()
+    assert sorted(bytes(r["value"]) for r in out if r["topic"] == "ok") == [b'{"k":1}', b'{"k":2}']
+    assert sorted(json.loads(r["value"])["violations"][0]["rule"] for r in out if r["topic"] == "dead") == ["max", "unique"]
+    assert (stats.records, stats.passed, stats.blocked) == (4, 2, 2) and stats.per_rule == {("k", "max"): 1, ("k", "unique"): 1}
+
+
+def test_marks_of_earlier_batches_go(spark, tmp_path):
+    marks = kafka.SentMarks(spark, str(tmp_path / "sent"))
+    rows = spark.createDataFrame([("t", 0, 5), ("t", 1, 7)], "topic string, partition int, offset long")
+    marks.sent(3, "clean", rows.where("partition = 0"))
+    assert [tuple(r) for r in marks.unsent(3, "clean", rows).collect()] == [("t", 1, 7)] and marks.unsent(3, "dead", rows).count() == 2
+    marks.forget_before(4)
+    assert marks.unsent(3, "clean", rows).count() == 2
+
+
+def test_work_of_a_batch_depends_on_its_keys(spark, tmp_path, monkeypatch):
+    """Over 200 batches: what a batch of three keys reads doesn't grow with the keys seen, and none is forgotten."""
+    monkeypatch.setattr(gate.SeenKeys, "BUCKET_KEYS", 16)
+    monkeypatch.setattr(gate.SeenKeys, "COMPACT", 6)
+    seen = gate.SeenKeys(spark, str(tmp_path / "seen"))
+    frame = lambda ks: spark.createDataFrame([("k", str(k)) for k in ks], "field string, key string").coalesce(1)
+    read = {}
+    for n in range(200):
+        seen._compact(n)
+        if n % 40 == 39:
+            asked = seen._hashed(frame([5 * n, 5, -n]))
+            read[n] = seen.of_buckets(n, asked).count()
+            assert sorted(r["key"] for r in seen.before(n, frame([0, 60 * (n - 1) + 1, 60 * n, -n])).collect()) == sorted(["0", str(60 * (n - 1) + 1)])
+        seen.add(n, frame(range(60 * n, 60 * n + 60)))
+    assert read[199] < 900 < 12_000 and read[199] < 2 * max(read[39], read[79])
+    assert len(seen._runs()) <= 4 * 6
+
+
+def test_observed_counters_are_the_batch_s(spark, tmp_path):
+    c = parse(CONTRACT.replace("models: {g: {fields", "models: {g: {strict: true, fields"))
+    lines = ['{"k":1}', '{"k":10,"x":1,"y":2}', "no", '{"k":null,"s":"long"}', None, '{"k":1}']
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    judged = gate.judge(df, c, unique=gate.SKIP)
+    counts, rules = gate.batch_counts(judged, c.model(None)[1])
+    assert counts == {"records": 6, "passed": 3, "blocked": 3, "warned": 0, "violations": 6, "tombstones": 1}
+    assert rules == {("k", "max"): 1, ("", "unexpected_field"): 2, ("", "record_not_object"): 1, ("k", "null_not_allowed"): 1, ("s", "max_length"): 1}
+
+
 def test_one_line_for_one_line(monkeypatch):
     monkeypatch.setattr(records, "MAX_BYTES", 40)
     lines = [b'{"k":1}\n', b"\n", b'{ "k":2 }\r\n', b'{"k":1}\n', b"\xff\n", b'{"k":3,"s":"' + b"x" * 90 + b'"}\n', b'{"k":4}']
