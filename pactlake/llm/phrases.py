@@ -21,7 +21,7 @@ collisions, or a bitmap that a very large corpus fills, more stretches are shuff
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import accumulate, repeat
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,8 @@ MOST_BITS = 1 << 28
 AUTOMATON_WORDS = 1 << 18
 #: Windows whose anchors are looked for at once, rows combined at once before they move.
 PART, COMBINED_ROWS = 1 << 15, 1 << 16
-#: Letters hashed at once.
-BLOCK = 1 << 20
+#: Letters hashed at once, bytes of texts looked at together.
+BLOCK, TEXT_BYTES = 1 << 20, 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _TEXTS_KEPT = 1 << 18
 
@@ -52,20 +52,26 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Words:
-    """A text's words joined by one space: where each begins and ends, and its hash."""
+    """The words of some texts, joined by one space: where each begins and ends, its hash, and which texts they are of."""
 
     _powers = _inverses = np.ones(1, np.uint64)
 
-    def __init__(self, text: bytes | None):
-        self.joined = b" ".join(words_of(text))
+    def __init__(self, texts: list[bytes | None]):
+        lists = [words_of(x) for x in texts]
+        self.text_starts = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64)))
+        self.joined = b" ".join(chain.from_iterable(lists))
         letters = np.frombuffer(self.joined, np.uint8)
         spaces = np.flatnonzero(letters == 32)
         self.starts = np.concatenate(([0], spaces + 1)) if len(letters) else np.zeros(0, np.int64)
         self.ends = np.append(spaces, len(letters)) if len(letters) else self.starts
         self.n = len(self.starts)
 
-    def piece(self, first: int, end: int) -> bytes:
-        return self.joined[self.starts[first] : self.ends[end - 1]]
+    def windows(self, size: int) -> np.ndarray:
+        """The first words of the windows that lie in one text."""
+        inside = np.ones(max(0, self.n - size + 1), bool)
+        for a, b in zip(self.text_starts[:-1].tolist(), self.text_starts[1:].tolist(), strict=True):
+            inside[max(a, b - size + 1) : b] = False
+        return np.flatnonzero(inside)
 
     def codes(self) -> np.ndarray:
         """Hashes of the words: of each, the sum of its letters times powers, by sums over the text, BLOCK letters at a time."""
@@ -123,17 +129,22 @@ def _least_places(grams: np.ndarray, span: int) -> np.ndarray:
 
 
 class Stretches:
-    """The windows of a text, as stretches around anchors."""
+    """The windows of some texts, by their first words, in stretches around one anchor each."""
 
-    def __init__(self, codes: np.ndarray, window: int):
-        self.n = len(codes) - window + 1
+    def __init__(self, words: Words, window: int):
+        self.codes = words.codes()
+        self.window = window
+        self.first_words = words.windows(window)
         width = min(ANCHOR, window)
-        grams = runs(codes, width)
         span = window - width + 1
-        anchor_at = np.concatenate([_least_places(grams[at : at + PART + span - 1], span) + at for at in range(0, self.n, PART)])
-        self.starts = np.flatnonzero(np.diff(anchor_at, prepend=-1))
-        self.ends = np.append(self.starts[1:], self.n)
-        self.anchors = grams[anchor_at[self.starts]]
+        grams = runs(self.codes, width)
+        anchor_at = np.concatenate([_least_places(grams[at : at + PART + span - 1], span) + at for at in range(0, words.n - window + 1, PART)])[self.first_words]
+        changes = np.flatnonzero(np.diff(anchor_at, prepend=-1))
+        self.anchors = grams[anchor_at[changes]]
+        self.of = np.repeat(np.arange(len(changes)), np.diff(changes, append=len(anchor_at)))  # each window's stretch
+
+    def window_hashes(self) -> np.ndarray:
+        return runs(self.codes, self.window)[self.first_words]
 
 
 class Bits:
@@ -164,8 +175,8 @@ def _bitmap(hashes: DataFrame, column: str) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, out: T.StructType, start: Callable[[], Callable[..., Iterator[list]]]) -> DataFrame:
-    """An Arrow pass over (k1, k2, text) without a shuffle: start() gives, once a task, a function of a row, or of
-    nothing at the end, to columns of `out`."""
+    """An Arrow pass over (k1, k2, text) without a shuffle: start() gives, once a task, a function of the columns of some rows, or of
+    None at the end, to columns of `out`."""
     small_batches(docs.sparkSession)
     kinds = to_arrow_schema(out)
 
@@ -173,34 +184,37 @@ def _scan(docs: DataFrame, out: T.StructType, start: Callable[[], Callable[...,
         one = start()
         batch_of = lambda columns: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                part = whole.slice(at, 64)
-                for k1, k2, x in zip(part.column("k1").to_pylist(), part.column("k2").to_pylist(), as_bytes(part.column("text")), strict=True):
-                    for columns in one(k1, k2, x):
+            texts, held, at = as_bytes(whole.column("text")), 0, 0
+            k1, k2 = whole.column("k1").to_numpy(), whole.column("k2").to_numpy()
+            for k, x in enumerate(texts, 1):
+                held += len(x)
+                if held > TEXT_BYTES or k == len(texts):
+                    for columns in one(k1[at:k], k2[at:k], texts[at:k]):
                         yield batch_of(columns)
+                    held, at = 0, k
         for columns in one(None, None, None):
             yield batch_of(columns)
 
     return docs.select("k1", "k2", "text").mapInArrow(run, out)
 
 
-def _counts(docs: DataFrame, hashes_of: Callable[[], Callable[[np.ndarray], np.ndarray]], window: int) -> DataFrame:
-    """(hash, n) of the hashes of every text's words, combined in the task before they move."""
+def _counts(docs: DataFrame, hashes_of: Callable[[], Callable[[Stretches], np.ndarray]], window: int) -> DataFrame:
+    """(hash, n) of hashes of every text's stretches, combined in the task before they move."""
     out = T.StructType().add("hash", "long").add("n", "long")
 
     def start():
         of, held, size = hashes_of(), [], 0
 
-        def one(k1, k2, x):
+        def one(k1, k2, texts):
             nonlocal held, size
-            if k1 is not None:
-                words = Words(x)
+            if texts is not None:
+                words = Words(texts)
                 if words.n < window:
                     return
-                own = of(words.codes())
+                own = of(Stretches(words, window))
                 held.append(own)
                 size += len(own)
-            if held and (k1 is None or size >= 16 * COMBINED_ROWS):
+            if held and (texts is None or size >= 16 * COMBINED_ROWS):
                 values, n = np.unique(np.concatenate(held), return_counts=True)
                 held, size = [], 0
                 for at in range(0, len(values), COMBINED_ROWS):
@@ -211,25 +225,23 @@ def _counts(docs: DataFrame, hashes_of: Callable[[], Callable[[np.ndarray], np.n
     return _scan(docs, out, start).groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def _pieces(words: Words, window: int, recurring: Bits, hot: Bits, windows: Bits) -> Iterator[tuple[int, int, bytes]]:
-    """(anchor, first word, words) of the stretches of a text that may hold recurring windows."""
-    codes = words.codes()
-    s = Stretches(codes, window)
+def _pieces(words: Words, window: int, recurring: Bits, hot: Bits, windows: Bits) -> tuple[list[int], np.ndarray, list[bytes]]:
+    """Anchors, first words and texts of the stretches that may hold recurring windows."""
+    s = Stretches(words, window)
     able = recurring.has(s.anchors)
     if not able.any():
-        return iter(())
-    of = np.repeat(np.arange(len(able)), s.ends - s.starts)  # each window's stretch
-    on = able[of]
-    trimmed = (hot.has(s.anchors) & able)[of]
+        return [], np.zeros(0, np.int64), []
+    on = able[s.of]
+    trimmed = (hot.has(s.anchors) & able)[s.of]
     if trimmed.any():
-        on &= ~trimmed | windows.has(runs(codes, window))
-    changes = np.diff(of, prepend=-1, append=-1) != 0
+        on &= ~trimmed | windows.has(s.window_hashes())
+    changes = np.diff(s.of, prepend=-1, append=-1) != 0
     edge = np.concatenate(([False], on, [False]))
     first = np.flatnonzero(on & (changes[:-1] | ~edge[:-2]))
     last = np.flatnonzero(on & (changes[1:] | ~edge[2:]))
-    joined = words.joined
-    begins, ends = words.starts[first].tolist(), words.ends[last + window - 1].tolist()
-    return zip(s.anchors[of[first]].view(np.int64).tolist(), first.tolist(), [joined[a:b] for a, b in zip(begins, ends, strict=True)], strict=True)
+    joined, first_words = words.joined, s.first_words[first]
+    begins, ends = words.starts[first_words].tolist(), words.ends[s.first_words[last] + window - 1].tolist()
+    return s.anchors[s.of[first]].view(np.int64).tolist(), first_words, [joined[a:b] for a, b in zip(begins, ends, strict=True)]
 
 
 _FOUND = T.StructType().add("id", "binary").add("first", "integer").add("end", "integer")
@@ -275,11 +287,15 @@ def locate(anchors: list[tuple[int, dict[bytes, int]]], window: int) -> Iterator
     texts: list[tuple[int, bytes, tuple]] = []
     for anchor, counts in anchors:
         stretches = list(counts)
+        if len(stretches) == 1 and counts[stretches[0]] == 1:
+            continue
         split = [x.split(b" ") for x in stretches]
-        numbers = [tuple([number.setdefault(w, len(number)) for w in words]) for words in split]
-        for j, first, end in confirm(stretches, split, list(counts.values()), window):
-            machine.add_word(numbers[j][first:end], end - first)
-        texts += zip(repeat(anchor), stretches, numbers)
+        spans = list(confirm(stretches, split, list(counts.values()), window))
+        if spans:  # the windows of a stretch are all of its anchor
+            numbers = [tuple([number.setdefault(w, len(number)) for w in words]) for words in split]
+            for j, first, end in spans:
+                machine.add_word(numbers[j][first:end], end - first)
+            texts += zip(repeat(anchor), stretches, numbers)
     if not len(machine):
         return
     machine.make_automaton()
@@ -340,19 +356,16 @@ def covered(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
     spark = docs.sparkSession
     lean = _keyed(docs.select(text), text, "k1", "k2", "__whole").select("k1", "k2", F.col("__whole").alias("text"))
 
-    anchors = materialize(_counts(lean, lambda: lambda codes: Stretches(codes, window).anchors, window).where(F.col("n") > 1))
+    anchors = materialize(_counts(lean, lambda: lambda s: s.anchors, window).where(F.col("n") > 1))
     recurring = spark.sparkContext.broadcast(_bitmap(anchors, "hash"))
     hot = spark.sparkContext.broadcast(_bitmap(anchors.where(F.col("n") >= HOT), "hash"))
 
     def hot_windows():
         bits = Bits(hot.value)
 
-        def of(codes):
-            s = Stretches(codes, window)
+        def of(s):
             chosen = bits.has(s.anchors)
-            if not chosen.any():
-                return np.zeros(0, np.uint64)
-            return runs(codes, window)[np.repeat(chosen, s.ends - s.starts)]
+            return s.window_hashes()[chosen[s.of]] if chosen.any() else np.zeros(0, np.uint64)
 
         return of
 
@@ -360,7 +373,7 @@ def covered(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
 
     def pieces_of():
         sets = Bits(recurring.value), Bits(hot.value), Bits(windows.value)
-        return lambda words: _pieces(words, window, *sets) if words.n >= window else ()
+        return lambda words: _pieces(words, window, *sets) if words.n >= window else ([], np.zeros(0, np.int64), [])
 
     combined = T.StructType().add("anchor", "long").add("stretch", "binary").add("n", "long")
     refers = T.StructType().add("k1", "long").add("k2", "long").add("id", "binary").add("at", "integer")
@@ -368,17 +381,17 @@ def covered(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
     def stretches():
         pieces, held, size = pieces_of(), {}, 0
 
-        def one(k1, k2, x):
+        def one(k1, k2, texts):
             nonlocal held, size
-            if k1 is not None:
-                for anchor, _, piece in pieces(Words(x)):
-                    key = (anchor, piece)
+            if texts is not None:
+                anchors_of, _, own = pieces(Words(texts))
+                for key in zip(anchors_of, own, strict=True):
                     if key in held:
                         held[key] += 1
                     else:
                         held[key] = 1
-                        size += len(piece)
-            if held and (k1 is None or size > 32 << 20):
+                        size += len(key[1])
+            if held and (texts is None or size > 32 << 20):
                 rows = list(held.items())
                 held, size = {}, 0
                 for at in range(0, len(rows), 4096):
@@ -388,18 +401,24 @@ def covered(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
         return one
 
     def references():
-        pieces, held, told = pieces_of(), [], set()
-
-        def one(k1, k2, x):
-            nonlocal held
-            if k1 is not None and (k1, k2) not in told:  # a copy in the same task refers to the same stretches
-                if len(told) > _TEXTS_KEPT:
-                    told.clear()
-                told.add((k1, k2))
-                held += [(k1, k2, _stretch_id(anchor, piece), a) for anchor, a, piece in pieces(Words(x))]
-            if held and (k1 is None or len(held) > 4096):
-                rows, held = held, []
-                yield list(zip(*rows, strict=True))
+        pieces, told = pieces_of(), set()
+
+        def one(k1, k2, texts):
+            if texts is None:
+                return
+            if len(told) > _TEXTS_KEPT:
+                told.clear()
+            new = []  # a copy in the same task refers to the same stretches
+            for k, key in enumerate(zip(k1.tolist(), k2.tolist(), strict=True)):
+                if key not in told:
+                    told.add(key)
+                    new.append(k)
+            words = Words([texts[k] for k in new])
+            anchors_of, first_words, own = pieces(words)
+            if own:
+                text = np.searchsorted(words.text_starts, first_words, "right") - 1
+                row = np.asarray(new)[text]
+                yield k1[row], k2[row], [_stretch_id(a, x) for a, x in zip(anchors_of, own, strict=True)], first_words - words.text_starts[text]
 
         return one
 

@@ -158,13 +158,15 @@ def test_runs_of_codes():
 
 def test_codes_of_words(monkeypatch):
     text = "é bb bb\tccc\n é x " + "y" * 100 + " bb"
-    words = phrases.Words(text.encode())
+    words = phrases.Words([text.encode(), b" ", None, b"bb q"])
     codes = words.codes()
-    assert words.joined == " ".join(text.split()).encode() and [words.piece(k, k + 1).decode() for k in range(words.n)] == text.split()
-    assert len(set(codes.tolist())) == 5 and codes[0] == codes[4] and codes[1] == codes[2] == codes[7]
+    assert words.joined == (" ".join(text.split()) + " bb q").encode() and words.text_starts.tolist() == [0, 8, 8, 8, 10]
+    assert [words.joined[a:b].decode() for a, b in zip(words.starts, words.ends, strict=True)] == [*text.split(), "bb", "q"]
+    assert len(set(codes.tolist())) == 6 and codes[0] == codes[4] and codes[1] == codes[2] == codes[7] == codes[8]
+    assert words.windows(2).tolist() == [0, 1, 2, 3, 4, 5, 6, 8] and words.windows(3).tolist() == [0, 1, 2, 3, 4, 5] and words.windows(9).tolist() == []
     monkeypatch.setattr(phrases, "BLOCK", 8)
-    assert (phrases.Words(text.encode()).codes() == codes).all()
-    assert phrases.Words(None).n == phrases.Words(b" \n").n == len(phrases.Words(b"").codes()) == 0
+    assert (phrases.Words([text.encode(), b" ", None, b"bb q"]).codes() == codes).all()
+    assert phrases.Words([None, b" \n"]).n == len(phrases.Words([b""]).codes()) == 0
 
 
 # --- divergence ------------------------------------------------------------
