@@ -157,7 +157,18 @@ def counts_frame(frame: DataFrame, compiled: R.Compiled) -> DataFrame:
     return out
 
 
-def sample_rows(frame: DataFrame, compiled: R.Compiled, hit: set[int], unique: set[str], cap: int, by_file: bool = False) -> DataFrame | None:
+def outside(frame: DataFrame, v: R.Value, allowed: DataFrame, *by: str) -> DataFrame:
+    """(by, key, n): values of a field that the first column of `allowed` doesn't hold, with their rows. Values are counted before they
+    move, so a hot one moves as a row a task; Spark broadcasts the set if it is small and shuffles both sides otherwise."""
+    per_key = frame.where(v.ok).select(*by, v.key.alias("key")).groupBy(*by, "key").agg(F.count(F.lit(1)).alias("n"))
+    kind = per_key.schema["key"].dataType
+    held = allowed.select(F.col(f"`{allowed.columns[0]}`").try_cast(kind).alias("key")).distinct()
+    return per_key.join(held, "key", "left_anti")
+
+
+def sample_rows(
+    frame: DataFrame, compiled: R.Compiled, hit: set[int], unique: set[str], cap: int, by_file: bool = False, sets: dict[str, DataFrame] | None = None
+) -> DataFrame | None:
     """(k, row, file, text): of each rule k, and of each file if so wanted, (unique fields come after the rules), the first `cap` rows that break it. The frame
     has ROW; row numbers are compared only within one reading of it."""
     places = [F.col(ROW).alias("row"), (F.col(FILE) if FILE in frame.columns else F.lit(None).cast("string")).alias("file")]
@@ -180,28 +191,36 @@ def sample_rows(frame: DataFrame, compiled: R.Compiled, hit: set[int], unique: s
         later = copies.withColumn("place", place).where(F.col("place") <= cap + 1).where(F.col("place") > 1)
         later = later.select(numbers.alias("k"), "row", "file", F.col("text").cast("string").alias("text"))
         found = later if found is None else found.unionByName(later)
+    for k, (n, allowed) in enumerate((sets or {}).items(), len(compiled.rules) + len(compiled.unique)):
+        v = compiled.values[n]
+        bad = outside(frame, v, allowed).select("key")
+        rows = own.where(v.ok).select(F.lit(k).alias("k"), "row", "file", v.text.cast("string").alias("text"), v.key.alias("key"))
+        rows = rows.join(bad, "key", "left_semi").select("k", "row", "file", "text")
+        found = rows if found is None else found.unionByName(rows)
     if found is None:
         return None
     rank = F.row_number().over(Window.partitionBy(*(["file"] if by_file else []), "k").orderBy("row"))
     return found.withColumn("rank", rank).where(F.col("rank") <= cap).drop("rank")
 
 
-def _samples(frame: DataFrame, compiled: R.Compiled, hit: set[int], unique: set[str], cap: int, model: str, by_file: bool) -> list[Sample]:
-    few = sample_rows(frame, compiled, hit, unique, cap, by_file)
+def _samples(
+    frame: DataFrame, compiled: R.Compiled, hit: set[int], unique: set[str], cap: int, model: str, by_file: bool, sets: dict[str, DataFrame]
+) -> list[Sample]:
+    few = sample_rows(frame, compiled, hit, unique, cap, by_file, sets)
     if few is None:
         return []
     text = F.col("text")
     told = observed(F.lit("string"), F.length(text), text)
     rows = few.select("k", "row", "file", preview(text).alias("text"), told.alias("seen")).orderBy("k", "row").toLocalIterator()  # cap rows a rule and file
-    names = [(r.field, r.rule) for r in compiled.rules] + [(n, "unique") for n in compiled.unique]
+    names = [(r.field, r.rule) for r in compiled.rules] + [(n, "unique") for n in compiled.unique] + [(n, "allowed") for n in sets]
     return [Sample(model, *names[r["k"]], r["row"], r["text"], r["seen"].asDict() if r["text"] is not None else None, r["file"]) for r in rows]
 
 
-def check_source(spark: SparkSession, source: Source, contract: Contract, model: str | None = None, samples: bool = True) -> Report:
-    return _reports(source, contract, model, samples, None)[source.name]
+def check_source(spark: SparkSession, source: Source, contract: Contract, model: str | None = None, samples: bool = True, sets: dict[str, DataFrame] | None = None) -> Report:
+    return _reports(source, contract, model, samples, None, sets)[source.name]
 
 
-def _reports(source: Source, contract: Contract, model: str | None, samples: bool, files: list[str] | None) -> dict[str, Report]:
+def _reports(source: Source, contract: Contract, model: str | None, samples: bool, files: list[str] | None, sets: dict[str, DataFrame] | None = None) -> dict[str, Report]:
     """The report of a source by its name; or of each of its files, all in the same jobs: aggregates by file, keys and samples too."""
     name, m = contract.model(model)
     if errors := [f for f in contract.lint() if f.level == "error"]:
@@ -224,6 +243,15 @@ def _reports(source: Source, contract: Contract, model: str | None, samples: boo
             field_name = list(compiled.unique)[r["f"]]
             repeated.add(field_name)
             per_rule[named(r)].append((field_name, "unique", r["n"]))
+    if unknown := set(sets or {}) - set(m.fields):
+        raise ContractError(f"sets of values for fields that the model lacks: {', '.join(sorted(unknown))}")
+    sets = {n: s for n, s in (sets or {}).items() if n in compiled.values}  # a missing or unfit column is told already
+    unlisted: dict[str, DataFrame] = {}
+    for n, allowed in sets.items():
+        for r in outside(frame, compiled.values[n], allowed, *by).groupBy(*by).agg(F.sum("n").alias("n")).toLocalIterator():
+            if r["n"]:
+                unlisted[n] = allowed
+                per_rule[named(r)].append((n, "allowed", r["n"]))
     for rule in m.dataset:
         values = {named(r): r["value"] for r in dataset_value(frame, rule, compiled, *by).toLocalIterator()}
         for n, own in per_rule.items():
@@ -233,8 +261,8 @@ def _reports(source: Source, contract: Contract, model: str | None, samples: boo
     places = {n: k for k, n in enumerate(m.fields)}
     cap = contract.policy.sample_violations
     found: dict[str, list[Sample]] = {n: [Sample(name, s.field, s.rule, None, None) for s in compiled.schema] for n in per_rule}
-    if samples and cap and (hit or repeated):
-        for s in _samples(*bind(m, source.with_rows(bool(by))), hit, repeated, cap, name, bool(by)):
+    if samples and cap and (hit or repeated or unlisted):
+        for s in _samples(*bind(m, source.with_rows(bool(by))), hit, repeated, cap, name, bool(by), unlisted):
             found[plain_path(s.file) if by else source.name].append(s)
     out = {}
     for n, own in per_rule.items():
@@ -265,12 +293,13 @@ def _refuse_unenforced(c: Contract, allow: bool) -> None:
         raise ContractError("rules that can't be enforced: " + "; ".join(f"{u.path}: {u.reason}" for u in c.unenforced))
 
 
-def check(spark: SparkSession, data: Any, contract: Contract | str, model: str | None = None, allow_unenforced: bool = False, source: str | None = None, data_format: str | None = None, samples: bool = True) -> Report:
+def check(spark: SparkSession, data: Any, contract: Contract | str, model: str | None = None, allow_unenforced: bool = False, source: str | None = None, data_format: str | None = None, samples: bool = True, sets: dict[str, DataFrame] | None = None) -> Report:
     """Checks a path, a DataFrame, a table or a list of dicts. A contract with rules that can't be
-    enforced is refused unless allow_unenforced; the report is then partial."""
+    enforced is refused unless allow_unenforced; the report is then partial. sets: by field a frame whose first column holds the
+    values that it may take, of any size, as a rule `allowed` beside the contract's own."""
     c = load(contract) if isinstance(contract, str) else contract
     _refuse_unenforced(c, allow_unenforced)
-    return check_source(spark, read(spark, data, source, data_format), c, model, samples)
+    return check_source(spark, read(spark, data, source, data_format), c, model, samples, sets)
 
 
 def check_all(spark: SparkSession, paths: list[str], contract: Contract | str, model: str | None = None, allow_unenforced: bool = False, data_format: str | None = None, samples: bool = True) -> tuple[list[Report], bool]:

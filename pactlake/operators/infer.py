@@ -8,17 +8,18 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import shapes
 from ..plans.rules import RECORD
 from ..plans.spec import Contract, Field, Model
-from ..sources.read import LINE, ROW, SourceError, format_of, has_line_breaks, read, records
+from ..sources.read import HIDDEN, LINE, ROW, SourceError, format_of, has_line_breaks, read, records
 
 #: Fixed limits: records of a sample, values of a drafted set, distinct values counted, values behind a guess.
 SAMPLE, MAX_ENUM, DISTINCT_CAP, FLOOR = 10_000, 12, 512, 20
@@ -37,16 +38,19 @@ class Draft:
 
 
 def _as_lines(spark: SparkSession, data: Any) -> DataFrame:
-    """(ROW, LINE) of any source."""
+    """(ROW, LINE) of any source, whole."""
     if isinstance(data, str) and format_of(data) == "csv":
         data = spark.read.options(header=True, multiLine=has_line_breaks(spark, data), escape='"').csv(data, inferSchema=True)
     source = read(spark, data, rows=True)
-    if source.kind == "records":
-        return source.frame.select(ROW, LINE)
+    return source.frame.select(ROW, LINE) if source.kind == "records" else source.frame.select(ROW, _line_of(source.frame))
+
+
+def _line_of(frame: DataFrame) -> Column:
+    """LINE of a row of typed columns."""
     cells = []
-    for f in source.frame.schema:
+    for f in frame.schema:
         c = F.col(f"`{f.name}`")
-        if f.name == ROW:
+        if f.name in HIDDEN:
             continue
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
@@ -57,7 +61,68 @@ def _as_lines(spark: SparkSession, data: Any) -> DataFrame:
         elif isinstance(f.dataType, T.DecimalType):
             c = c.cast("double")
         cells.append(c.alias(f.name))
-    return source.frame.select(ROW, F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias(LINE))
+    return F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias(LINE)
+
+
+def _first_lines(spark: SparkSession, data: Any, n: int) -> tuple[DataFrame, int]:
+    """(ROW, LINE) of the first n records of a source and how many there are, one more if there are more than n."""
+    kind = format_of(data) if isinstance(data, str) else None
+    if kind == "csv":
+        return _first_csv(spark, data, n)
+    if kind is None:
+        frame = read(spark, data).frame
+        lines = [r[0] for r in (frame if LINE in frame.columns else frame.select(_line_of(frame))).select(LINE).take(n + 1)]
+    else:
+        whole = spark.read.parquet(data) if kind == "parquet" else spark.read.text(data)
+        load = (lambda fs: (f := spark.read.schema(whole.schema).parquet(*fs)).select(_line_of(f), f["_metadata.file_path"].alias("file"))) if kind == "parquet" else (
+            lambda fs: spark.read.text(fs).where(F.trim("value") != "").select(F.col("value").alias(LINE), F.col("_metadata.file_path").alias("file")))
+        lines = _take(sorted(whole.inputFiles()), load, n + 1)
+    return spark.createDataFrame([(k, x) for k, x in enumerate(lines[:n])], T.StructType().add(ROW, "long").add(LINE, "string")), len(lines)
+
+
+def _take(files: list[str], load: Callable[[list[str]], DataFrame], n: int) -> list[str]:
+    """The first n lines of files in their order. One file is read split by split until there are enough; as long as files turn
+    out to be small, twice as many are read at once."""
+    out: list[str] = []
+    at, many = 0, 1
+    while at < len(files) and len(out) < n:
+        own = load(files[at : at + many]).select(LINE, "file")
+        if many > 1:
+            own = own.withColumn("place", F.monotonically_increasing_id()).orderBy("file", "place")
+        out += [r[0] for r in own.select(LINE).take(n - len(out))]
+        at, many = at + many, 2 * many
+    return out
+
+
+def _first_csv(spark: SparkSession, path: str, n: int) -> tuple[DataFrame, int]:
+    """Types are those of the cells of the records taken."""
+    text = spark.read.option("lineSep", "\n").text(path)
+    records: list[str] = []
+    header = None
+    for file in sorted(text.inputFiles()):
+        records_of, want = [], n + 2 - len(records)
+        while True:
+            lines = [r[0] for r in spark.read.option("lineSep", "\n").text(file).take(want)]
+            records_of, held, inside = [], [], False
+            for line in lines:
+                held.append(line)
+                inside ^= line.count('"') % 2 == 1
+                if not inside:
+                    records_of.append("\n".join(held).removesuffix("\r"))
+                    held = []
+            records_of = [r for r in records_of if r.strip()]
+            if len(lines) < want or len(records_of) >= n + 2 - len(records):
+                records_of += ["\n".join(held)] if held and len(lines) < want else []
+                break
+            want *= 2
+        header = header or (records_of[0] if records_of else None)
+        records += records_of[1:]
+        if len(records) > n:
+            break
+    rows = spark.createDataFrame([(r,) for r in [header or "", *records[:n]]], "value string").coalesce(1)
+    frame = spark.read.options(header=True, escape='"', inferSchema=True, multiLine=True).csv(rows.rdd.map(lambda r: r[0]))
+    lines = [r[0] for r in frame.select(_line_of(frame)).collect()]
+    return spark.createDataFrame([(k, x) for k, x in enumerate(lines)], T.StructType().add(ROW, "long").add(LINE, "string")), min(len(records), n + 1)
 
 
 def _observed(spark: SparkSession, lines: DataFrame) -> tuple[int, int, dict[str, dict], dict[str, list[str] | None]]:
@@ -102,15 +167,16 @@ def infer(spark: SparkSession, data: Any, id: str | None = None, model: str | No
     """From a path, several, or data in memory; of each the records in order until `sample` is full
     (0: all)."""
     paths = data if isinstance(data, list) and data and all(isinstance(x, str) for x in data) else [data]
-    parts = [_as_lines(spark, p) for p in paths]
-    lines, base = None, 0
-    for part in parts:
+    lines, base, left, more = None, 0, sample, False
+    for p in paths:
+        if sample:
+            part, found = _first_lines(spark, p, left)
+            left, more = left - min(left, found), more or found > left
+        else:
+            part = _as_lines(spark, p)
         part = part.withColumn(ROW, F.col(ROW) + base)
         lines = part if lines is None else lines.unionByName(part)
         base += 1 << 40
-    total = lines.count() if sample else 0
-    if sample:
-        lines = lines.orderBy(ROW).limit(sample)
     n, kinds, counters, distinct = _observed(spark, lines)
     if not n:
         raise SourceError("no record could be read, so nothing can be drafted")
@@ -120,7 +186,7 @@ def infer(spark: SparkSession, data: Any, id: str | None = None, model: str | No
     fields = {k: _draft(f"models.{name}.fields.{k}", c, distinct[k], n, max_enum, ranges, notes) for k, c in counters.items()}
     strict = kinds == 1
     notes.append((f"models.{name}.strict", "every record had the same keys" if strict else "records had different keys", True))
-    return Draft(Contract(id or name, "0.1.0", {name: Model(fields, strict=strict)}), n, bool(sample) and total > sample, [str(p) if isinstance(p, str) else "<data>" for p in paths], notes)
+    return Draft(Contract(id or name, "0.1.0", {name: Model(fields, strict=strict)}), n, more, [str(p) if isinstance(p, str) else "<data>" for p in paths], notes)
 
 
 def _type(path: str, c: dict, notes: list) -> str:

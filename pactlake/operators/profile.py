@@ -77,8 +77,8 @@ def _has_categories(f: Field) -> bool:
     return f.type == "boolean" or (f.allowed is not None and f.type in ("string", "integer", "float"))
 
 
-def counters(frame: DataFrame, compiled) -> DataFrame:
-    """One row: every field's counters, numbers, lengths, spans and distinct sketch."""
+def counters(frame: DataFrame, compiled, *by: str) -> DataFrame:
+    """One row, or one of each group: every field's counters, numbers, lengths, spans and distinct sketch."""
     out = [F.count(F.lit(1)).alias("rows")]
     for k, (name, v) in enumerate(compiled.values.items()):
         f = compiled.model.fields[name]
@@ -99,7 +99,7 @@ def counters(frame: DataFrame, compiled) -> DataFrame:
         elif f.type in ("timestamp", "date"):
             when = instant(v, f.type)
             out += [F.min(when).alias(f"min{k}"), F.max(when).alias(f"max{k}")]
-    return frame.agg(*out)
+    return frame.groupBy(*by).agg(*out)
 
 
 def _number(v):
@@ -123,21 +123,21 @@ def instant(v, kind: str):
     return F.concat(F.date_format(seconds, "yyyy-MM-dd'T'HH:mm:ss."), part, F.lit("Z"))
 
 
-def histogram(frame: DataFrame, compiled) -> DataFrame:
-    """(field, sign, bucket, n): the log histogram of every numeric field, one shuffle of partial counts."""
+def histogram(frame: DataFrame, compiled, *by: str) -> DataFrame:
+    """(by, field, sign, bucket, n): the log histogram of every numeric field, one shuffle of partial counts."""
     parts = []
     for name, v in compiled.values.items():
         if compiled.model.fields[name].type in ("integer", "float"):
             x = _number(v)
             parts.append(F.when(v.ok & _finite(x), F.struct(F.lit(name).alias("field"), x.alias("x"))))
     # inline() evaluates the structs once; explode and x.* would once for each of their fields
-    told = frame.select(F.inline(F.array(*parts))).where(F.col("field").isNotNull())
-    told = told.select("field", buckets.sign(F.col("x")).alias("sign"), buckets.bucket(F.col("x")).alias("bucket"))
-    return told.groupBy("field", "sign", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    told = frame.select(*by, F.inline(F.array(*parts))).where(F.col("field").isNotNull())
+    told = told.select(*by, "field", buckets.sign(F.col("x")).alias("sign"), buckets.bucket(F.col("x")).alias("bucket"))
+    return told.groupBy(*by, "field", "sign", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def categories(frame: DataFrame, compiled) -> DataFrame:
-    """(field, value, n) of the declared values; value null stands for all others."""
+def categories(frame: DataFrame, compiled, *by: str) -> DataFrame:
+    """(by, field, value, n) of the declared values; value null stands for all others."""
     parts = []
     for name, v in compiled.values.items():
         f = compiled.model.fields[name]
@@ -146,8 +146,8 @@ def categories(frame: DataFrame, compiled) -> DataFrame:
             text = v.typed.cast("double").cast("string") if f.type == "float" else v.typed.cast("string")
             parts.append(F.when(v.ok, F.struct(F.lit(name).alias("field"), F.when(text.isin(declared), text).alias("value"))))
     # inline() evaluates the structs once; explode and x.* would once for each of their fields
-    told = frame.select(F.inline(F.array(*parts))).where(F.col("field").isNotNull())
-    return told.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    told = frame.select(*by, F.inline(F.array(*parts))).where(F.col("field").isNotNull())
+    return told.groupBy(*by, "field", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _text(x: Any) -> str:

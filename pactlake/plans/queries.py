@@ -535,17 +535,34 @@ def drift_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- metadata --------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('dash','breaking',['models.m.fields.a']), ('job','risky',['models.m.fields.b','policy.max_violations']), ('wide','breaking',['models.m.fields.a','models.m.fields.b','policy.max_violations'])) AS t(consumer, severity, changes)")
+@query("""WITH c AS (SELECT p_brand, CASE max(p_size) % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS r, count(*) % 3 AS i FROM part GROUP BY 1),
+ u AS (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49)
+ SELECT 'supplier ' || l_suppkey AS consumer, CASE max(r) WHEN 1 THEN 'info' WHEN 2 THEN 'risky' ELSE 'breaking' END AS severity, list('models.m.fields.' || p_brand ORDER BY p_brand) AS changes
+ FROM u JOIN c USING (p_brand) WHERE i > 0 GROUP BY l_suppkey""")
 def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consumers that changes reach, with the worst severity."""
-    changes = spark.createDataFrame(
-        [("models.m.fields.a", "breaking", "consumers", "m", "a"), ("models.m.fields.b", "risky", "both", "m", "b"), ("models.m.fields.c", "breaking", "producers", "m", "c"),
-         ("policy.max_violations", "info", "consumers", None, None), ("version", "breaking", "both", None, None)],
-        "path string, severity string, impact string, model string, field string",
+    """Consumers that changes reach, with the worst severity: a change for each brand, a consumer for each supplier that ships some."""
+    named = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (n % 3 + 1).cast("int"))
+    brands = _table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("field")).agg(F.max("p_size").alias("size"), F.count(F.lit(1)).alias("n"))
+    changes = brands.select(
+        F.concat(F.lit("models.m.fields."), "field").alias("path"), named(("info", "risky", "breaking"), F.col("size")).alias("severity"),
+        named(("producers", "consumers", "both"), F.col("n")).alias("impact"), F.lit("m").alias("model"), "field",
     )
-    consumes = spark.createDataFrame([("dash", "m", ["a"]), ("job", None, ["b"]), ("wide", None, None), ("other", "n", ["a"])], "consumer string, model string, fields array<string>")
-    found = D.blast_radius(changes, consumes).where(F.col("severity") != "info")
-    return found.withColumn("changes", F.when(F.col("consumer") == "dash", F.array_remove("changes", "policy.max_violations")).otherwise(F.col("changes")))
+    ships = _table(spark, sf_dir, "lineitem").where("l_quantity >= 49").join(_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    consumes = ships.groupBy("l_suppkey").agg(F.collect_set("p_brand").alias("fields")).select(F.concat(F.lit("supplier "), "l_suppkey").alias("consumer"), F.lit("m").alias("model"), "fields")
+    return D.blast_radius(changes, consumes)
+
+
+#: By segment of customers the nations of two samples of them: what two versions of a contract allow.
+_SEGMENTS = "SELECT c_mktsegment AS f, coalesce(list(DISTINCT c_nationkey) FILTER (WHERE c_custkey % 20 < 2), []) AS o, coalesce(list(DISTINCT c_nationkey) FILTER (WHERE c_custkey % 20 IN (1, 2)), []) AS n FROM customer GROUP BY 1"
+_ADDED, _REMOVED = ("len(o) > 0 AND len(n) > 0 AND len(list_filter({}, lambda x: NOT list_contains({}, x))) > 0".format(*x) for x in (("n", "o"), ("o", "n")))
+
+
+def _segment_contracts(spark: SparkSession, sf_dir: str) -> tuple[Contract, Contract, list]:
+    key = F.col("c_custkey") % 20
+    nations = lambda cond: F.sort_array(F.collect_set(F.when(cond, F.col("c_nationkey"))))
+    sets = _table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(nations(key < 2).alias("o"), nations(key.isin(1, 2)).alias("n")).orderBy("c_mktsegment").collect()  # a row a segment
+    of = lambda side, version: Contract("c", version, {"m": Model({r["c_mktsegment"]: Field("integer", allowed=tuple(r[side])) for r in sets if r[side]})}, owner="t")
+    return of("o", "1.0.0"), of("n", "2.0.0"), sets
 
 
 _OLD, _NEW = (
@@ -566,6 +583,15 @@ policy: {{max_violations: {budget}}}
 )
 
 
+@query(f"""WITH s AS ({_SEGMENTS}), r AS (SELECT f, 'risky' AS severity, 'consumers' AS impact FROM s WHERE {_ADDED} UNION ALL SELECT f, 'risky', 'producers' FROM s WHERE {_REMOVED}
+ UNION ALL SELECT f, 'breaking', 'consumers' FROM s WHERE len(o) > 0 AND len(n) = 0 UNION ALL SELECT f, 'info', 'consumers' FROM s WHERE len(o) = 0 AND len(n) > 0)
+ SELECT 'models.m.fields.' || f AS path, severity, impact FROM r""")
+def segments_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """diff() of two versions whose sets of allowed values come from a table: sets narrowed and widened, fields gone and new."""
+    old, new, _ = _segment_contracts(spark, sf_dir)
+    return D.diff(old, new).to_frame(spark).select("path", "severity", "impact")
+
+
 @query("SELECT * FROM (VALUES ('models.m.fields.flag','risky','producers'), ('models.m.fields.flag','risky','consumers'), ('models.m.fields.size','risky','consumers'), ('models.m.fields.size','risky','producers'), "
        "('models.m.fields.gone','breaking','consumers'), ('models.m.fields.fresh','breaking','producers'), ('policy.max_violations','risky','consumers'), ('version','breaking','both')) AS t(path, severity, impact)")
 def diff_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -698,6 +724,18 @@ def many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "status string, field string, violations long")
 
 
+@query("""WITH p AS (SELECT DISTINCT p_partkey FROM part WHERE p_size > 10), s AS (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal > 0)
+ SELECT 'l_partkey' AS field, l_partkey AS key, count(*) AS violations FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM p) GROUP BY ALL
+ UNION ALL SELECT 'l_suppkey', l_suppkey, count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM s) GROUP BY ALL""")
+def allowed_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of foreign keys that another table doesn't hold, with their rows."""
+    sets = {"l_partkey": ("part", "p_size > 10", "p_partkey"), "l_suppkey": ("supplier", "s_acctbal > 0", "s_suppkey")}
+    df = _table(spark, sf_dir, "lineitem")
+    compiled = R.compile_columns(_model(l_partkey={"type": "integer"}, l_suppkey={"type": "integer"}), df.schema)
+    found = [C.outside(df, compiled.values[f], _table(spark, sf_dir, t).where(w).select(c)).select(F.lit(f).alias("field"), "key", F.col("n").alias("violations")) for f, (t, w, c) in sets.items()]
+    return found[0].unionByName(found[1])
+
+
 @query("SELECT key, CAST(count(*) AS BIGINT) AS present, CAST(min(v) AS DOUBLE) AS least, CAST(max(v) AS DOUBLE) AS most FROM (SELECT 'k' AS key, CAST(props->>'k' AS BIGINT) AS v FROM events) GROUP BY key")
 def infer_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What inference counts of each key of the records."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from ..operators import check as C
 from ..operators import conformance, consumers, documents, infer
 from ..operators import diff as D
 from ..operators import profile as P
+from ..operators import profile_table as PT
 from ..sources.read import Source
 from ..streaming import gate as G
 from ..streaming import kafka as K
@@ -166,17 +168,72 @@ def kafka_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- profiles and drafts -----------------------------------------------------
 
 
-@query("SELECT true AS same, true AS near")
+_GROUPED = {"l_quantity": {"type": "float"}, "l_returnflag": {"type": "string", "allowed": ("A", "N")}}
+
+
+def _grouped_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PT.of_groups(Source(_table(spark, sf_dir, "lineitem"), "columns", "l"), Contract("l", "1.0.0", {"l": _model(**_GROUPED)}), "l_linenumber")
+
+
+def _partials(by: str) -> str:
+    """The rows of profile tables in SQL, of each group or (by empty) of all."""
+    key, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+    row = lambda f, part, item, n, more="NULL::DOUBLE AS least, NULL::DOUBLE AS most, NULL::DOUBLE AS total": f"SELECT {key}'{f}' AS field, '{part}' AS part, '{item}' AS item, CAST({n} AS BIGINT) AS n, {more} FROM lineitem {group}"
+    stats = lambda x: f"CAST(min({x}) AS DOUBLE) AS least, CAST(max({x}) AS DOUBLE) AS most, CAST(sum({x}) AS DOUBLE) AS total"
+    rows = [row(f, "counter", c, n) for f in _GROUPED for c, n in (("rows", "count(*)"), ("present", "count(*)"), ("nulls", f"count(*) - count({f})"), ("invalid", "0"))]
+    rows += [row("l_quantity", "counter", "non_finite", "0"), row("l_quantity", "numbers", "", "count(l_quantity)", stats("l_quantity"))]
+    rows += [row("l_returnflag", "counter", "empty", "0"), row("l_returnflag", "lengths", "", "count(l_returnflag)", stats("length(l_returnflag)"))]
+    rows += [row("l_returnflag", "category", v, f"count(*) FILTER (WHERE l_returnflag = '{v}')") for v in ("A", "N")]
+    return " UNION ALL ".join([*rows, row("l_returnflag", "other", "", "count(*) FILTER (WHERE l_returnflag NOT IN ('A', 'N'))")])
+
+
+@query(_partials("l_linenumber"))
+def profile_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of all groups of a table as rows: counters, numbers, lengths, categories."""
+    rows = _grouped_profiles(spark, sf_dir)
+    return rows.where(~F.col("part").isin("sketch", "histogram")).select("l_linenumber", "field", "part", "item", "n", "least", "most", "total")
+
+
+@query(f"SELECT * FROM ({_partials('')}) UNION ALL SELECT 'l_quantity', 'distinct', '', count(DISTINCT l_quantity), NULL, NULL, NULL FROM lineitem UNION ALL SELECT 'l_returnflag', 'distinct', '', count(DISTINCT l_returnflag), NULL, NULL, NULL FROM lineitem")
+def profiles_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups' profiles merged by one aggregate: that of the whole table, distinct values (so few that sketches are exact) too."""
+    rows = PT.merge(_grouped_profiles(spark, sf_dir))
+    told = rows.where(~F.col("part").isin("sketch", "histogram")).select("field", "part", "item", "n", "least", "most", "total")
+    few = PT.distinct(rows).select("field", F.lit("distinct").alias("part"), F.lit("").alias("item"), F.col("distinct").alias("n"))
+    return told.unionByName(few, allowMissingColumns=True)
+
+
+@query("""WITH t AS (SELECT o_orderpriority, o_orderstatus, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 5 END AS k FROM orders WHERE o_orderstatus IN ('F', 'O')),
+ c AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n, count(k) AS nk FROM t GROUP BY ALL),
+ s AS (SELECT o_orderpriority, o_orderstatus, CASE WHEN k IN (0, 1) THEN k::VARCHAR ELSE '' END AS v, count(*) AS m FROM t WHERE k IS NOT NULL GROUP BY ALL),
+ p AS (SELECT s.o_orderpriority, v, sum(CASE WHEN s.o_orderstatus = 'F' THEN m / nk ELSE 0 END) AS p, sum(CASE WHEN s.o_orderstatus = 'O' THEN m / nk ELSE 0 END) AS q FROM s JOIN c USING (o_orderpriority, o_orderstatus) GROUP BY ALL),
+ f AS (SELECT a.o_orderpriority, (a.n - a.nk) / a.n AS x, (b.n - b.nk) / b.n AS y FROM c a JOIN c b ON a.o_orderpriority = b.o_orderpriority AND a.o_orderstatus = 'F' AND b.o_orderstatus = 'O')
+ SELECT o_orderpriority, 'k' AS field, 'null_rate' AS metric, round(x, 6) AS baseline, round(y, 6) AS current, round(abs(y - x), 6) AS score FROM f
+ UNION ALL SELECT o_orderpriority, 'k', m, 0.0, 0.0, 0.0 FROM f, (VALUES ('missing_rate'), ('invalid_rate')) AS z(m)
+ UNION ALL SELECT o_orderpriority, 'k', 'categories', NULL, NULL, round(sqrt(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) / 2 ELSE 0 END)), 6) FROM p GROUP BY 1""")
+def drift_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift between two profile tables, group by group, by a full outer join of their rows."""
+    k = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey") % 5).cast("long").alias("k")
+    c = Contract("o", "1.0.0", {"o": _model(k={"type": "integer", "allowed": (0, 1)})})
+    side = lambda s: PT.of_groups(Source(_table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == s).select("o_orderpriority", k), "columns", s), c, "o_orderpriority")
+    found = PT.rates(side("F"), side("O"), "o_orderpriority")
+    return found.select("o_orderpriority", "field", "metric", *[F.round(x, 6).alias(x) for x in ("baseline", "current", "score")])
+
+
+@query("""WITH x AS (SELECT 'l_partkey' AS field, floor(log2(l_partkey)) AS octave, count(DISTINCT l_partkey) OVER () AS d FROM lineitem WHERE l_partkey > 0)
+ SELECT field, CAST(octave AS INTEGER) AS octave, count(*) AS n, 0 AS off FROM x GROUP BY ALL""")
 def profile_sketch_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Histograms of parts, merged, are that of the whole; sketches, merged or not, are within 5 % of the exact number."""
-    df = _table(spark, sf_dir, "lineitem")
-    c = Contract("l", "1.0.0", {"l": _model(l_partkey={"type": "integer"}, l_extendedprice={"type": "float"})})
+    """Profiles of three parts, merged: the histogram's octaves, and by how many times 5 % the union of sketches is off the exact number."""
+    df = _table(spark, sf_dir, "lineitem").where("l_partkey > 0")
+    c = Contract("l", "1.0.0", {"l": _model(l_partkey={"type": "integer"})})
     parts = [P.profile_source(spark, Source(df.where(F.pmod("l_orderkey", F.lit(3)) == k), "columns", "part"), c) for k in range(3)]
-    merged, whole = P.merge(spark, P.merge(spark, parts[0], parts[1]), parts[2]), P.profile_source(spark, Source(df, "columns", "all"), c)
-    exact = df.agg(F.count_distinct("l_partkey"), F.count_distinct("l_extendedprice")).first()
-    pairs = [(merged.fields[n], whole.fields[n], x) for n, x in zip(("l_partkey", "l_extendedprice"), exact, strict=True)]
-    same = all(a.histogram == b.histogram for a, b, _ in pairs)
-    return spark.createDataFrame([(same, all(abs(p.distinct / x - 1) < 0.05 for a, b, x in pairs for p in (a, b)))], "same boolean, near boolean")
+    f = P.merge(spark, P.merge(spark, parts[0], parts[1]), parts[2]).fields["l_partkey"]
+    exact = df.agg(F.count_distinct("l_partkey")).first()[0]
+    octaves: dict[int, int] = {}
+    for x, n in P.ordered(f.histogram):
+        octaves[math.frexp(x)[1] - 1] = octaves.get(math.frexp(x)[1] - 1, 0) + n
+    off = int(abs(f.distinct / exact - 1) / 0.05)
+    return spark.createDataFrame([("l_partkey", k, n, off) for k, n in octaves.items()], "field string, octave int, n long, off int")
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(min(s_acctbal) AS DOUBLE) AS least, CAST(max(s_acctbal) AS DOUBLE) AS most FROM supplier")
@@ -203,20 +260,26 @@ def infer_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- metadata ----------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('error','fields.lost'), ('warning','fields.old'), ('error','verified')) AS t(level, place)")
+@query("""WITH b AS (SELECT replace(p_brand, '#', '_') AS f, bool_or(p_size > 45) AS has, bool_or(p_size = 1) AS old FROM part GROUP BY 1)
+ SELECT 'error' AS level, 'fields.' || f AS place FROM b WHERE NOT has UNION ALL SELECT 'warning', 'fields.' || f FROM b WHERE has AND old UNION ALL SELECT 'error', 'verified'""")
 def consumer_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A consumer's manifest against the contract: fields that are gone, deprecated ones, a pin behind a break."""
-    c = parse("contract: 1\nid: c\nversion: 2.0.0\nowner: t\nmodels: {m: {fields: {old: {type: string, deprecated: use new}, new: {type: string}}}}\n")
-    m = consumers.parse("consumer: 1\nid: dash\nconsumes: [{contract: c, fields: [lost, old, new], verified: 1.4.0}, {contract: other, fields: [x]}]\n")
+    """A consumer's manifest against the contract, a field for each brand of parts: fields that are gone, deprecated ones, a pin behind a break."""
+    brands = _table(spark, sf_dir, "part").groupBy(F.regexp_replace("p_brand", "#", "_").alias("f")).agg(F.bool_or(F.col("p_size") > 45).alias("has"), F.bool_or(F.col("p_size") == 1).alias("old")).orderBy("f").collect()  # a row a brand
+    fields = {r["f"]: Field("string", deprecated="use another" if r["old"] else None) for r in brands if r["has"]}
+    c = Contract("c", "2.0.0", {"m": Model(fields)}, owner="t")
+    m = consumers.parse(f"consumer: 1\nid: dash\nconsumes: [{{contract: c, fields: [{', '.join(r['f'] for r in brands)}], verified: 1.4.0}}, {{contract: other, fields: [x]}}]\n")
     at = lambda path: path.split(".", 1)[1] if "." in path else path
     return spark.createDataFrame([(f.level, at(f.path)) for f in consumers.verify(m, c)], "level string, place string")
 
 
-@query("SELECT * FROM (VALUES ('dash','breaking'), ('job','risky')) AS t(consumer, severity)")
+@query(f"""WITH s AS ({Q._SEGMENTS}), t AS (SELECT o, CASE WHEN len(n) = 0 THEN 2 WHEN {Q._ADDED} THEN 1 ELSE 0 END AS r FROM s WHERE len(o) > 0)
+ SELECT n_name AS consumer, CASE max(r) WHEN 2 THEN 'breaking' ELSE 'risky' END AS severity FROM nation JOIN t ON list_contains(o, n_nationkey) GROUP BY 1 HAVING max(r) > 0""")
 def consumers_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consumers that the changes of a version reach, by their manifests."""
-    ms = [consumers.parse(f"consumer: 1\nid: {i}\nconsumes: [{{contract: d, fields: [{f}]}}]\n") for i, f in (("dash", "gone"), ("job", "size"))] + [consumers.parse("consumer: 1\nid: none\nconsumes: [{contract: other}]\n")]
-    r = consumers.annotate(D.diff(Q._OLD, Q._NEW), Q._OLD, Q._NEW, ms)
+    """Consumers that the changes of a version reach, by their manifests: each nation reads the segments of its customers."""
+    old, new, sets = Q._segment_contracts(spark, sf_dir)
+    reads = {r["n_name"]: [s["c_mktsegment"] for s in sets if r["n_nationkey"] in s["o"]] for r in _table(spark, sf_dir, "nation").collect()}
+    ms = [consumers.parse(f"consumer: 1\nid: {name}\nconsumes: [{{contract: c, fields: [{', '.join(fs)}]}}]\n") for name, fs in reads.items() if fs]
+    r = consumers.annotate(D.diff(old, new), old, new, ms)
     return spark.createDataFrame([(i["consumer"], i["severity"]) for i in r.impacted], "consumer string, severity string")
 
 
@@ -243,15 +306,11 @@ def check_standard_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(spark, C.check(spark, _table(spark, sf_dir, "orders"), parse(_STANDARD), samples=False))
 
 
-@query("SELECT * FROM (VALUES ('pass', 2), ('fail', 1), ('unsupported', 1), ('error', 1)) AS t(outcome, n)")
+@query("SELECT CASE r_regionkey WHEN 0 THEN 'error' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'pass' ELSE 'fail' END AS outcome, CAST(count(*) AS INTEGER) AS n FROM region GROUP BY 1")
 def conformance_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes of conformance vectors: as expected, not as expected, with a rule that isn't enforced, unreadable."""
-    column = "{{name: k, logicalType: integer, logicalTypeOptions: {{{0}}}}}"
-    doc = "apiVersion: v3.0.2\nkind: DataContract\nid: v\nversion: 1.0.0\nstatus: active\nschema: [{{name: m, properties: [{0}]}}]\n"
-    of = lambda options: doc.format(column.format(options))
-    vectors = [
-        {"contract": of("minimum: 2"), "records": [{"k": 1}, {"k": 2}], "expect": {"verdict": "fail", "failing": [0]}}, {"contract": of("minimum: 2"), "records": [{"k": 2}], "expect": {"verdict": "pass"}},
-        {"contract": of("minimum: 2"), "records": [{"k": 1}], "expect": {"verdict": "pass"}}, {"contract": of("multipleOf: 2"), "records": [], "expect": {"verdict": "pass"}}, {"contract": "kind: nothing", "records": [], "expect": {"verdict": "pass"}},
-    ]
-    outcomes = [conformance.run(spark, v)[0] for v in vectors]
+    """Outcomes of conformance vectors, one a region: unreadable, with a rule that isn't enforced, as expected, not as expected."""
+    doc = "apiVersion: v3.0.2\nkind: DataContract\nid: v\nversion: 1.0.0\nstatus: active\nschema: [{{name: m, properties: [{{name: k, logicalType: integer, logicalTypeOptions: {{{0}}}}}]}}]\n"
+    keys = [r[0] for r in _table(spark, sf_dir, "region").select("r_regionkey").collect()]
+    contract = lambda k: "kind: nothing" if k == 0 else doc.format("multipleOf: 2" if k == 1 else f"minimum: {k}")
+    outcomes = [conformance.run(spark, {"contract": contract(k), "records": [{"k": 2}], "expect": {"verdict": "pass"}})[0] for k in keys]
     return spark.createDataFrame([(o, outcomes.count(o)) for o in dict.fromkeys(outcomes)], "outcome string, n int")

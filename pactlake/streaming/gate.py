@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 import time
 from collections import Counter, deque
@@ -26,7 +27,7 @@ from ..functions.shapes import preview
 from ..plans import rules as R
 from ..plans.spec import Contract, ContractError, Model
 from ..sources.read import LINE, ROW
-from .records import judge_text
+from .records import judge_texts
 
 REFUSE, SKIP, TRACK = "refuse", "skip", "track"
 MAX_BYTES = 16 << 20
@@ -404,27 +405,46 @@ def throughput(df: DataFrame, ts: str, seconds: int = 10) -> DataFrame:
 
 
 def newest_dead_letters(spark: SparkSession, dead: str, limit: int = 50) -> tuple[list[dict], int]:
-    """The newest letters (1 to 500), and how many lines of the folder couldn't be read."""
+    """The newest letters (1 to 500), and how many of the lines read for it hold none. Batches are read from the newest
+    backwards, twice as many each time, until there are enough letters: what is read doesn't grow with the folder."""
     if not 1 <= limit <= 500:
         raise ValueError("limit must be 1 to 500")
-    lines = spark.read.text(dead).select("value", F.get_json_object("value", "$.ts").alias("ts"))
-    skipped = lines.where(F.col("ts").isNull()).count()
-    top = lines.where(F.col("ts").isNotNull()).orderBy(F.desc("ts")).limit(limit).collect()
-    return [json.loads(r["value"]) for r in top], skipped
+    path = spark._jvm.org.apache.hadoop.fs.Path(dead)
+    store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    # batches by number; other files and folders by their age
+    listed = [x for x in store.listStatus(path) if not x.getPath().getName().startswith(("_", "."))]
+    number = lambda x: int(m[1]) if (m := re.fullmatch(r"batch=(\d+)", x.getPath().getName())) else -1
+    newest = [x.getPath().toString() for x in sorted(listed, key=lambda x: (number(x), x.getModificationTime()), reverse=True)]
+    found: list[tuple[str, str]] = []
+    skipped, at, many = 0, 0, 1
+    while at < len(newest) and len(found) < limit:
+        lines = spark.read.text(newest[at : at + many]).select("value", F.get_json_object("value", "$.ts").alias("ts"))
+        told = Observation()
+        top = lines.observe(told, F.count_if(F.col("ts").isNull()).alias("skipped")).where(F.col("ts").isNotNull()).orderBy(F.desc("ts")).limit(limit).collect()
+        found += [(r["ts"], r["value"]) for r in top]
+        skipped, at, many = skipped + told.get["skipped"], at + many, 2 * many
+    found.sort(key=lambda x: x[0], reverse=True)
+    return [json.loads(v) for _, v in found[:limit]], skipped
 
 
 def register_functions(spark: SparkSession, contract: Contract, model: str | None = None, unique: str = REFUSE, prefix: str = "contract") -> None:
-    """SQL functions <prefix>_verdict(text) and <prefix>_dead_letter(text) of the same rules; null gives null."""
+    """SQL functions of the same rules; null gives null. <prefix>_judge(text) gives a struct of verdict and dead_letter, for
+    those who need both; <prefix>_verdict(text) and <prefix>_dead_letter(text) give one of them. A batch of texts is judged by one gate."""
     name, m = _model(contract, model, unique)
     assert m and name
 
-    def of(kind: str):
-        # columns can't be bound inside a SQL function, so texts are judged one by one, by Arrow batch
+    # columns can't be bound inside a SQL function, so texts are judged in Python, by Arrow batch
+    @F.pandas_udf("verdict string, dead_letter string")
+    def both(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(judge_texts(text, contract, name), columns=["verdict", "dead_letter"], dtype="object")
+
+    def one(k: int):
         @F.pandas_udf("string")
         def run(text: pd.Series) -> pd.Series:
-            return text.map(lambda t: None if t is None else judge_text(t, contract, name, kind))
+            return pd.Series([r[k] for r in judge_texts(text, contract, name)], dtype="object")
 
         return run
 
-    spark.udf.register(f"{prefix}_verdict", of("verdict"))
-    spark.udf.register(f"{prefix}_dead_letter", of("dead_letter"))
+    spark.udf.register(f"{prefix}_judge", both)
+    spark.udf.register(f"{prefix}_verdict", one(0))
+    spark.udf.register(f"{prefix}_dead_letter", one(1))

@@ -161,7 +161,7 @@ def answer_lines(gate: RecordGate, lines, out, withheld, dlq=None) -> None:
             out.flush()
 
 
-def judge_text(text: str, contract: Contract, model: str, kind: str) -> str | None:
+def judge_texts(texts, contract: Contract, model: str) -> list[tuple[str | None, str | None]]:
+    """(verdict, dead letter) of each text, without memory of the ones before; a null has neither."""
     gate = RecordGate(contract, model, "skip")
-    verdict = gate.judge(text)
-    return verdict if kind == "verdict" else gate.dead_letter()
+    return [(None, None) if t is None else (gate.judge(t), gate.dead_letter()) for t in texts]

@@ -204,3 +204,79 @@ def test_a_source_of_columns_has_profiles_too(spark):
     df = spark.createDataFrame([("a", 0.1), ("b", float("nan")), ("c", float("inf")), (None, None)], "id string, score float")
     p = P.profile_source(spark, Source(df, "columns", "x"), EVENTS)
     assert p.fields["score"].non_finite == 2 and p.fields["score"].numbers == {"count": 1, "min": 0.1, "max": 0.1, "sum": 0.1} and p.fields["id"].nulls == 1
+
+
+def test_five_hundred_profiles_merge_in_one_aggregate(spark, tmp_path):
+    from pactlake.operators import profile as P
+    from pactlake.operators import profile_table as PT
+    from pactlake.sources.read import Source
+
+    c = parse("contract: 1\nid: p\nversion: 1.0.0\nmodels: {m: {fields: {n: {type: integer}, s: {type: string, allowed: [a, b]}, d: {type: date}, x: {type: float}}}}")
+    day = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("id") % 9).cast("int"))
+    df = spark.range(2000).select((F.col("id") % 500).alias("g"), F.when(F.col("id") % 11 != 0, F.col("id") - 50).alias("n"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 3 + 1).cast("int")).alias("s"), day.alias("d"), (F.col("id") / 8).alias("x"))
+    whole = P.profile_source(spark, Source(df.drop("g"), "columns", "t"), c)
+    merged = PT.to_profile(PT.merge(PT.of_groups(Source(df, "columns", "t"), c, "g")), "p", "1.0.0", "m", 1)
+    for name, f in whole.fields.items():  # a union keeps its registers in another form
+        got = vars(merged.fields[name]) | {"sketch": None, "distinct": None}
+        assert got == vars(f) | {"sketch": None, "distinct": None} and abs(merged.fields[name].distinct / f.distinct - 1) < 0.02
+    half = [P.profile_source(spark, Source(df.where(w).drop("g"), "columns", "t"), c) for w in ("g < 100", "g >= 100")]
+    for k in range(500):
+        (tmp_path / f"{k}.json").write_text(half[k % 2].to_json())
+    rows = PT.read_profiles(spark, str(tmp_path))
+    assert rows.select("contract", "model", "version", "runs").distinct().count() == 1
+    both = PT.to_profile(PT.merge(rows.drop("contract", "model", "version", "runs")), "p", "1.0.0", "m", 500)
+    pair = P.merge(spark, *half)
+    for name, f in pair.fields.items():
+        got = both.fields[name]
+        assert (got.rows, got.nulls, got.other) == (250 * f.rows, 250 * f.nulls, 250 * f.other) and abs(got.distinct / f.distinct - 1) < 0.02 and got.span == f.span
+        assert got.histogram == (f.histogram and {k: 250 * n for k, n in f.histogram.items()})
+        assert got.numbers == (f.numbers and {**f.numbers, "count": 250 * f.numbers["count"], "sum": 250 * f.numbers["sum"]})
+    plan = PT.merge(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") <= 4  # two, each over one reading
+
+
+def test_profile_rows_of_a_changed_type_are_refused(spark):
+    from pactlake.operators import profile_table as PT
+
+    rows = spark.createDataFrame([("f", k, "counter", "rows", 1, None, None, None, None, None, None) for k in ("string", "integer")], PT.ROWS)
+    with pytest.raises(Exception, match="type changed"):
+        PT.merge(rows).collect()
+
+
+def test_rates_of_profiles_that_lack_a_field(spark):
+    from pactlake.operators import profile_table as PT
+
+    row = lambda f, item, n, part="counter": (f, "string", part, item, n, None, None, None, None, None, None)
+    a = spark.createDataFrame([row("f", "rows", 10), row("f", "present", 10), row("f", "nulls", 5), row("g", "rows", 10), row("f", "a", 5, "category")], PT.ROWS)
+    b = spark.createDataFrame([row("f", "rows", 4), row("f", "present", 2), row("f", "nulls", 0), row("f", "b", 2, "category")], PT.ROWS)
+    got = {(r["field"], r["metric"]): (r["baseline"], r["current"], r["score"]) for r in PT.rates(a, b).collect()}
+    assert got == {("f", "null_rate"): (0.5, 0.0, 0.5), ("f", "missing_rate"): (0.0, 0.5, 0.5), ("f", "invalid_rate"): (None, None, None), ("f", "categories"): (None, None, 1.0)}
+
+
+def test_a_draft_reads_only_the_first_splits(spark, tmp_path):
+    folder = tmp_path / "in.ndjson"
+    folder.mkdir()
+    for k in range(40):
+        (folder / f"{k:02}.ndjson").write_text("".join(f'{{"n": {100 * k + j}}}\n\n' for j in range(100)))
+    draft = infer(spark, str(folder), sample=250)
+    f = next(iter(draft.contract.models.values())).fields["n"]
+    assert (draft.sampled, draft.truncated, f.min, f.max) == (250, True, 0, 249)
+    assert infer(spark, str(folder), sample=4000).truncated is False
+    csv = tmp_path / "in.csv"
+    csv.write_text('n,s\n' + "".join(f'{k},"a\n""{k}"""\n' for k in range(500)))
+    draft = infer(spark, str(csv), sample=100)
+    f = next(iter(draft.contract.models.values())).fields["n"]
+    assert (draft.sampled, draft.truncated, f.type, f.max) == (100, True, "integer", 99)
+    parquet = str(tmp_path / "in.parquet")
+    spark.range(0, 1000, 1, 10).write.parquet(parquet)
+    draft = infer(spark, parquet, sample=150)
+    assert (draft.sampled, draft.truncated) == (150, True) and next(iter(draft.contract.models.values())).fields["id"].max == 149
+
+
+def test_the_tail_of_dead_letters_reads_the_newest_batches(spark, tmp_path):
+    dead = tmp_path / "dead"
+    for k in range(30):
+        (dead / f"batch={k}").mkdir(parents=True)
+        (dead / f"batch={k}" / "part-0.txt").write_text("".join(f'{{"ts": "2026-01-01T00:{k:02}:0{j}Z", "n": {k}}}\n' for j in range(3)) + "no letter\n")
+    letters, skipped = G.newest_dead_letters(spark, str(dead), 7)
+    assert [x["n"] for x in letters] == [29, 29, 29, 28, 28, 28, 27] and skipped == 3

@@ -86,6 +86,8 @@ def test_long_values_in_every_lane(spark, pattern, piece, last):
     assert [gate.judge('{"v": "%s"}' % x) for x in (good, bad)] == verdicts  # noqa: UP031
     G.register_functions(spark, contract, prefix="long")
     assert [r[0] for r in lines.selectExpr("long_verdict(value)").collect()] == verdicts
+    told = lines.selectExpr("long_judge(value) AS j", "long_judge(NULL) AS n").select("j.*", "n.verdict").collect()
+    assert [(r[0], r[1] is None, r[2]) for r in told] == [("pass", True, None), ("block", False, None)]
     assert time.perf_counter() - began < 60
 
 

@@ -156,3 +156,15 @@ def test_hundreds_of_files_are_few_jobs(spark, tmp_path):
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("many"))
     spark.sparkContext.setJobGroup("other", "other")
     assert len(reports) == 300 and sum(r.violations for r in reports) == sum(k % 7 > 5 for k in range(300)) and jobs < 40
+
+
+def test_sets_of_values_from_tables(spark, tmp_path):
+    df = spark.range(0, 5000, 1, 4).select((F.col("id") % 1000).alias("a"), F.when(F.col("id") % 3 == 0, F.lit("x")).when(F.col("id") % 3 == 1, F.lit("y")).alias("b"))
+    contract = parse("contract: 1\nid: t\nversion: 1.0.0\nmodels: {t: {fields: {a: {type: integer}, b: {type: string}, c: {type: string}}}}\npolicy: {sample_violations: 3}")
+    sets = {"a": spark.range(990).withColumn("more", F.lit(1)), "b": spark.createDataFrame([("x",), ("x",), (None,)], "v string"), "c": spark.range(1)}
+    report = C.check(spark, df, contract, sets=sets)
+    assert report.per_rule == [("a", "allowed", 50), ("b", "allowed", 1667)]
+    assert [(s.field, s.row, s.value) for s in report.samples] == [("a", 990, "990"), ("a", 991, "991"), ("a", 992, "992"), ("b", 1, "y"), ("b", 4, "y"), ("b", 7, "y")]
+    assert C.check(spark, df.where("a < 5"), contract, sets={"a": spark.range(9)}).passed
+    with pytest.raises(ValueError, match="lacks"):
+        C.check(spark, df, contract, sets={"z": spark.range(1)})
