@@ -180,9 +180,9 @@ def _partials(by: str) -> str:
     key, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
     row = lambda f, part, item, n, more="NULL::DOUBLE AS least, NULL::DOUBLE AS most, NULL::DOUBLE AS total": f"SELECT {key}'{f}' AS field, '{part}' AS part, '{item}' AS item, CAST({n} AS BIGINT) AS n, {more} FROM lineitem {group}"
     stats = lambda x: f"CAST(min({x}) AS DOUBLE) AS least, CAST(max({x}) AS DOUBLE) AS most, CAST(sum({x}) AS DOUBLE) AS total"
-    rows = [row(f, "counter", c, n) for f in _GROUPED for c, n in (("rows", "count(*)"), ("present", "count(*)"), ("nulls", f"count(*) - count({f})"), ("invalid", "0"))]
-    rows += [row("l_quantity", "counter", "non_finite", "0"), row("l_quantity", "numbers", "", "count(l_quantity)", stats("l_quantity"))]
-    rows += [row("l_returnflag", "counter", "empty", "0"), row("l_returnflag", "lengths", "", "count(l_returnflag)", stats("length(l_returnflag)"))]
+    rows = [row(f, "counter", c, n) for f in _GROUPED for c, n in (("rows", "count(*)"), ("present", "count(*)"), ("nulls", f"count(*) - count({f})"), ("invalid", "count(*) FILTER (WHERE false)"))]
+    rows += [row("l_quantity", "counter", "non_finite", "count(*) FILTER (WHERE false)"), row("l_quantity", "numbers", "", "count(l_quantity)", stats("l_quantity"))]
+    rows += [row("l_returnflag", "counter", "empty", "count(*) FILTER (WHERE l_returnflag = '')"), row("l_returnflag", "lengths", "", "count(l_returnflag)", stats("length(l_returnflag)"))]
     rows += [row("l_returnflag", "category", v, f"count(*) FILTER (WHERE l_returnflag = '{v}')") for v in ("A", "N")]
     return " UNION ALL ".join([*rows, row("l_returnflag", "other", "", "count(*) FILTER (WHERE l_returnflag NOT IN ('A', 'N'))")])
 
