@@ -111,21 +111,22 @@ def rule_counts(frame: DataFrame, compiled: R.Compiled, *by: str) -> DataFrame:
     return frame.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *counts)
 
 
-def _keys(frame: DataFrame, unique: dict[str, R.Value], *more: Column | str) -> DataFrame:
-    """A row for each value of a unique field: `more`, f (the field's place), and the key. Of one field the key is the
-    value itself; of several, 128 bits of it, so that all fields share one aggregate."""
+def _keys(frame: DataFrame, unique: dict[str, R.Value], *more: Column | str, text: bool = False) -> DataFrame:
+    """A row for each value of a unique field: `more`, f (the field's place), the key and, if so wanted, its text. Of one field the
+    key is the value itself; of several, 128 bits of it, so that all fields share one aggregate."""
+    told = lambda v: [v.text.cast("string").alias("text")] if text else []
     if len(unique) == 1:
         ((_, v),) = unique.items()
-        return frame.where(v.ok).select(*more, F.lit(0).alias("f"), v.key.alias("key"), v.text.alias("text"))
-    key = lambda v: F.struct(F.xxhash64(v.key).alias("a"), F.xxhash64(F.lit(1), v.key).alias("b"))
-    each = [F.when(v.ok, F.struct(F.lit(k).alias("f"), key(v).alias("key"), v.text.alias("text"))) for k, v in enumerate(unique.values())]
-    return frame.select(*more, F.explode(F.array_compact(F.array(*each))).alias("x")).select(*more, "x.*")
+        return frame.where(v.ok).select(*more, F.lit(0).alias("f"), v.key.alias("a"), F.lit(0).alias("b"), *told(v))
+    each = [F.when(v.ok, F.struct(F.lit(k).alias("f"), F.xxhash64(v.key).alias("a"), F.xxhash64(F.lit(1), v.key).alias("b"), *told(v))) for k, v in enumerate(unique.values())]
+    # inline() evaluates the structs once; explode and x.* would once for each of their fields
+    return frame.select(*more, F.inline(F.array(*each))).where(F.col("f").isNotNull())
 
 
 def _copies(frame: DataFrame, unique: dict[str, R.Value], *by: str) -> DataFrame:
     """(by, f, n): of each unique field the values beyond their first. Keys of all fields are counted in one pass,
     before they move, so a key that fills a third of the rows moves as one row a task."""
-    per_key = _keys(frame, unique, *by).groupBy(*by, "f", "key").agg(F.count(F.lit(1)).alias("n"))
+    per_key = _keys(frame, unique, *by).groupBy(*by, "f", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     return per_key.groupBy(*by, "f").agg(F.sum(F.col("n") - 1).alias("n"))
 
 
@@ -182,8 +183,8 @@ def sample_rows(
     if unique:
         fields = {n: v for n, v in compiled.unique.items() if n in unique}
         numbers = F.element_at(F.array(*[F.lit(len(compiled.rules) + list(compiled.unique).index(n)) for n in fields]), F.col("f") + 1)
-        keys = _keys(own, fields, "row", "file")
-        group = ["file", "f", "key"] if by_file else ["f", "key"]
+        keys = _keys(own, fields, "row", "file", text=True)
+        group = [*(["file"] if by_file else []), "f", "a", "b"]
         repeated = _keys(own, fields, "file").groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
         copies = keys.join(repeated, group, "left_semi")
         # of each key its first rows, as many as a sample may take after the first one
