@@ -3,9 +3,15 @@
 The protected entities are the values that the patterns find. A term t in the window of an entity e
 discloses PMI(e; t) = log2(n_et * N / (n_e * n_t)) bits of the IC(e) = log2(N / n_e) bits that name e
 (Sanchez and Batet, 2013), with n counted in documents of the whole corpus: n_et those in which t is in a
-window of e, n_e and n_t those that hold e, or t anywhere. A term whose share PMI / IC reaches GENERALISE
-is generalised wherever it stands in the documents that hold e beside it, from REMOVE on it is removed. A
-copy of a document adds as much to n_et as to n_e and n_t, so copies neither raise nor hide a share.
+window of e, n_e and n_t those that hold e, or t anywhere. A copy of a document adds as much to n_et as to
+n_e and n_t, so copies neither raise nor hide a share. One meeting proves nothing (any word that no other
+document has would disclose all), so a pair counts from SUPPORT mentions of the term on, in one text that has
+it near e, or in several different ones.
+
+A term whose share PMI / IC reaches DISCLOSES is generalised in the documents that hold e beside it: to the
+longest of its beginnings whose own share is below DISCLOSES. A beginning stands for all words of the corpus
+that begin so, n_p documents of which hold one of them anywhere and n_ep in a window of e; so what is coarse
+enough follows from the corpus. A term without such a beginning is removed.
 """
 
 from __future__ import annotations
@@ -24,10 +30,13 @@ from .common import map_texts, materialize, scan_texts, table, text_of, unused
 
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "term")
-WINDOW, GENERALISE, REMOVE = 8, 0.9, 0.98
-#: Different terms that a task counts before it passes them on.
+#: Terms on each side of an entity, the share of disclosure, and the mentions that must show it.
+WINDOW, DISCLOSES, SUPPORT = 12, 0.9, 2
+#: Characters of the longest beginning that a term is generalised to.
+LONGEST_COARSE = 16
+#: Different terms that a task counts, or remembers, before it passes them on.
 COUNTED_TERMS = 200_000
-#: Bytes of found terms that are broadcast to their texts; more are joined by a shuffle.
+#: Bytes of found terms, or of terms to count, that are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,7 +47,10 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _MAYBE = re.compile(rb"[0-9@]")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+#: Scripts written without spaces (Han and kana): each two characters in a row are a term.
+_DENSE = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_IN_DENSE = re.compile(rf"[{_DENSE}]")
+_RUN, _TERM = re.compile(r"[^\W_]+"), re.compile(rf"[{_DENSE}]+|[^\W_{_DENSE}]+")
 
 
 def luhn(digits: str) -> bool:
@@ -85,8 +97,23 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(c for c in value if c.isdigit())}"
 
 
-def _free_terms(text: str, spans: list[tuple[str, int, int]]) -> list[re.Match]:
-    """Terms of the text that overlap no span (given by start), in one sweep along both."""
+def terms_of(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the terms: runs of letters and digits of any script and length, codes too; of runs of a script
+    without spaces every two characters."""
+    if text.isascii() or not _IN_DENSE.search(text):
+        yield from (m.span() for m in _RUN.finditer(text))
+        return
+    for m in _TERM.finditer(text):
+        start, end = m.span()
+        if end - start > 2 and _IN_DENSE.match(text, start):
+            yield from ((k, k + 2) for k in range(start, end - 1))
+        else:
+            yield start, end
+
+
+def _free_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str]]:
+    """Terms of the text (in lower case, with their places) that overlap no span (given by start), in one
+    sweep along both."""
     covered: list[list[int]] = []
     for _, start, end in spans:
         if covered and start < covered[-1][1]:
@@ -94,35 +121,66 @@ def _free_terms(text: str, spans: list[tuple[str, int, int]]) -> list[re.Match]:
         else:
             covered.append([start, end])
     out, k, n = [], 0, len(covered)
-    for m in _TERM.finditer(text):
-        start, end = m.span()
+    for start, end in terms_of(text):
         while k < n and covered[k][1] <= start:
             k += 1
         if k == n or covered[k][0] >= end:
-            out.append(m)
+            out.append((start, end, text[start:end].lower()))
     return out
 
 
-def _evidence(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[str, str]]:
-    """(entity, term) of the WINDOW terms before and after each entity, however far."""
+def _evidence(text: str, spans: list[tuple[str, int, int]]) -> dict[tuple[str, str], int]:
+    """(entity, term) of the WINDOW terms before and after each entity, however far, and the mentions of the
+    term in the text."""
     out: set[tuple[str, str]] = set()
     terms = _free_terms(text, spans)
-    lower, starts = [m[0].lower() for m in terms], [m.start() for m in terms]
+    starts = [start for start, _, _ in terms]
     for kind, start, end in spans:
         name = entity(kind, text[start:end])
         at = bisect.bisect_left(starts, start)  # terms from here on are behind the span, as none overlaps it
-        out.update((name, word) for word in lower[max(0, at - WINDOW) : at + WINDOW])
-    return out
+        out.update((name, word) for _, _, word in terms[max(0, at - WINDOW) : at + WINDOW])
+    mentions = Counter(word for _, _, word in terms) if out else {}
+    return {pair: mentions[pair[1]] for pair in out}
+
+
+def _begins(t, most):
+    """Beginnings of the term t (a column), of 1 to `most` characters and LONGEST_COARSE at most, marked as such."""
+    most = F.least(most, F.lit(LONGEST_COARSE))
+    each = F.transform(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda k: F.concat(F.left(t, k), F.lit("*")))
+    return F.when(most >= 1, each).otherwise(F.array().cast("array<string>"))
 
 
-def _count_terms(df: DataFrame, text: str) -> DataFrame:
-    """(t, n_t): documents that hold each term anywhere."""
+def _count_terms(df: DataFrame, text: str, wanted: frozenset[str] | None) -> DataFrame:
+    """(t, n_t): documents that hold each term anywhere, or, of t with a star at its end, any term that begins
+    so. wanted: what is to be counted, if it isn't everything."""
+    shared = df.sparkSession.sparkContext.broadcast(wanted)
 
     def start():
+        own = shared.value
+
+        def keys(run: str) -> tuple[str, ...]:
+            words = {run[a:b].lower() for a, b in terms_of(run)}
+            every = words | {f"{w[:k]}*" for w in words for k in range(1, min(len(w), LONGEST_COARSE) + 1)}
+            return tuple(every if own is None else every & own)
+
         def run(rows):
             count: Counter = Counter()
+            known: dict[str, tuple[str, ...]] = {}
+            none: set[str] = set()  # runs in which nothing is to be counted
             for (x,) in rows:
-                count.update(set(_TERM.findall(text_of(x).lower())))
+                held: set[str] = set()
+                for r in set(_RUN.findall(text_of(x))) - none:
+                    if (found := known.get(r)) is None:
+                        found = keys(r)
+                        if found:
+                            known[r] = found
+                        else:
+                            none.add(r)
+                    held.update(found)
+                if len(known) + len(none) > COUNTED_TERMS:
+                    known.clear()
+                    none.clear()
+                count.update(held)
                 if len(count) > COUNTED_TERMS:
                     yield from count.items()
                     count.clear()
@@ -134,9 +192,24 @@ def _count_terms(df: DataFrame, text: str) -> DataFrame:
     return scan_texts(df, [text], out, start).groupBy("t").agg(F.sum("n").alias("n_t"))
 
 
+#: Two hashes of a text, as by Spark: strangers that share one don't share the other.
+_WHOLE = T.StructType().add("a", "long").add("b", "long")
+_SECOND = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
+
+
+def _whole_of(text):
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
+def _whole(x: bytes) -> tuple[int, int]:
+    """The same of a text's bytes."""
+    both = xxhash.xxh64_intdigest(x, 42), xxhash.xxh64_intdigest(x, _SECOND)
+    return tuple(h - (1 << 64) if h >> 63 else h for h in both)
+
+
 def _seen(df: DataFrame, text: str) -> DataFrame:
-    """(whole, e, t, n): entities, and the terms in their windows (t empty for the entity itself), of each
-    different text (by its hash), and how many documents have that text."""
+    """(whole, e, t, n, m): entities, and the terms in their windows (t empty for the entity itself), of each
+    different text (by its hashes), how many documents have that text, and the term's mentions in it."""
 
     def start():
         def run(rows):
@@ -144,62 +217,82 @@ def _seen(df: DataFrame, text: str) -> DataFrame:
                 if x and _MAYBE.search(x):
                     text, whole = text_of(x), _whole(x)
                     spans = base_spans(text)
-                    yield from ((whole, e, "") for e in {entity(k, text[a:b]) for k, a, b in spans})
-                    yield from ((whole, e, t) for e, t in _evidence(text, spans))
+                    yield from ((whole, e, "", 0) for e in {entity(k, text[a:b]) for k, a, b in spans})
+                    yield from ((whole, *pair, m) for pair, m in _evidence(text, spans).items())
 
         return run
 
-    schema = T.StructType().add("whole", "long").add("e", "string").add("t", "string")
-    return materialize(scan_texts(df, [text], schema, start).groupBy("whole", "e", "t").agg(F.count(F.lit(1)).alias("n")))
+    schema = T.StructType().add("whole", _WHOLE).add("e", "string").add("t", "string").add("m", "long")
+    return materialize(scan_texts(df, [text], schema, start).groupBy("whole", "e", "t").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("m")))
 
 
-def _whole(x: bytes) -> int:
-    """The hash of a text, as Spark's xxhash64()."""
-    h = xxhash.xxh64_intdigest(x, 42)
-    return h - (1 << 64) if h >> 63 else h
+def _share(near: str, n: float, everywhere: str):
+    pmi = F.log2(F.col(near) * F.lit(n) / (F.col("n_e") * F.col(everywhere)))
+    return F.when(F.col("n_e") < n, pmi / F.log2(F.lit(n) / F.col("n_e"))).otherwise(0.0)
 
 
 def _disclosing(df: DataFrame, seen: DataFrame, text: str) -> DataFrame:
     n = float(df.count())
     of_entity = seen.where(F.col("t") == "").groupBy("e").agg(F.sum("n").alias("n_e"))
-    pairs = seen.where(F.col("t") != "").groupBy("e", "t").agg(F.sum("n").alias("n_et")).join(of_entity, "e")
-    joined = pairs.join(_count_terms(df, text), "t")
-    pmi = F.log2(F.col("n_et") * F.lit(n) / (F.col("n_e") * F.col("n_t")))
-    share = F.when(F.col("n_e") < n, pmi / F.log2(F.lit(n) / F.col("n_e"))).otherwise(0.0)
-    return joined.select("e", "t", share.alias("share")).where(F.col("share") >= GENERALISE)
+    near = seen.where(F.col("t") != "")
+    pairs = near.groupBy("e", "t").agg(F.sum("n").alias("n_et"), F.sum("m").alias("m")).where(F.col("m") >= SUPPORT).drop("m")
+    pairs = materialize(pairs.join(of_entity, "e"))
+    # only what is near entities, and its beginnings, is counted in the corpus
+    begins = _begins(F.col("t"), F.length("t") - 1)
+    wanted = materialize(pairs.select(F.explode(F.concat(F.array("t"), begins)).alias("t")).distinct())
+    size = wanted.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
+    few = frozenset(r["t"] for r in wanted.toLocalIterator()) if size <= BROADCAST_BYTES else None
+    counts = materialize(_count_terms(df, text, few).join(wanted, "t", "left_semi"))
+    found = materialize(pairs.join(counts, "t").withColumn("share", _share("n_et", n, "n_t")).where(F.col("share") >= DISCLOSES))
+    asked = found.select("e", "t", "n_e", F.posexplode(begins).alias("k", "p"))
+    # of the entities of these terms: in how many documents words of a beginning are near
+    own = near.join(found.select("e").distinct(), "e", "left_semi")
+    own = own.select("whole", "e", "n", F.explode(_begins(F.col("t"), F.length("t"))).alias("p"))
+    beside = own.join(asked.select("e", "p").distinct(), ["e", "p"], "left_semi").groupBy("whole", "e", "p").agg(F.max("n").alias("n"))
+    beside = beside.groupBy("e", "p").agg(F.sum("n").alias("n_ep"))
+    each = asked.join(beside, ["e", "p"]).join(counts.select(F.col("t").alias("p"), F.col("n_t").alias("n_p")), "p")
+    safe = each.where(_share("n_ep", n, "n_p") < DISCLOSES).groupBy("e", "t").agg(F.sum(F.pow(F.lit(2.0), F.col("k") + 1)).cast("long").alias("safe"))
+    return found.join(safe, ["e", "t"], "left").select("e", "t", "share", F.coalesce("safe", F.lit(0).cast("long")).alias("safe"))
 
 
 def disclosing_terms(df: DataFrame, text: str = "text") -> DataFrame:
-    """(e, t, share): entities of the corpus, the terms that disclose them and how much, from GENERALISE on."""
+    """(e, t, share, safe): entities of the corpus, the terms that disclose them, how much, from DISCLOSES on, and
+    the lengths of beginnings that disclose less, as the bits of a number."""
     return _disclosing(df, _seen(df, text), text)
 
 
 def _terms_of_texts(df: DataFrame, text: str) -> DataFrame:
-    """(whole, terms): of each text, by its hash, the terms that disclose its own entities, each with the
-    largest share."""
+    """(whole, terms): of each text, by its hashes, the terms that disclose its own entities, each with the
+    largest share and the lengths of beginnings that disclose none of them."""
     seen = _seen(df, text)
     if seen.isEmpty():
-        return seen.select("whole", F.array().cast("array<struct<t:string,share:double>>").alias("terms"))
+        return seen.select("whole", F.array().cast("array<struct<t:string,share:double,safe:bigint>>").alias("terms"))
     found = seen.where(F.col("t") != "").join(_disclosing(df, seen, text), ["e", "t"])
-    each = found.groupBy("whole", "t").agg(F.max("share").alias("share"))
+    each = found.groupBy("whole", "t").agg(F.max("share").alias("share"), F.bit_and("safe").alias("safe"))
     # as many as a text has near its entities
-    return materialize(each.groupBy("whole").agg(F.collect_list(F.struct("t", "share")).alias("terms")))
+    return materialize(each.groupBy("whole").agg(F.collect_list(F.struct("t", "share", "safe")).alias("terms")))
+
+
+def coarser(term: str, safe: int) -> str | None:
+    """The longest beginning of a safe length, with a star; None if there is none."""
+    return f"{term[: safe.bit_length() - 1]}*" if safe else None
 
 
-def _term_spans(text: str, terms: dict[str, float], spans: list[tuple[str, int, int]]) -> list[tuple[int, int, float]]:
-    return [(*m.span(), share) for m in _free_terms(text, spans) if (share := terms.get(m[0].lower()))]
+def _term_spans(text: str, terms: dict[str, tuple[float, int]], spans: list[tuple[str, int, int]]) -> list[tuple[int, int, float, str | None]]:
+    return [(start, end, own[0], coarser(word, own[1])) for start, end, word in _free_terms(text, spans) if (own := terms.get(word))]
 
 
 def _place(span: tuple) -> tuple:
     return span[1], ALL_KINDS.index(span[0]), span[2]
 
 
-SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer").add("share", "double"))
+SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer").add("share", "double").add("coarse", "string"))
 
 
 def find(df: DataFrame, keep: list[str], text: str = "text", clean: str | None = None, into: str = "spans") -> DataFrame:
     """Columns `keep` and `into`, spans of every whole text: kind, start, end (code points, end exclusive),
-    share (of disclosure, for the kind `term`), by start, then kind (email, ip, card, phone, term).
+    and for the kind `term` share (of disclosure) and coarse (what it is generalised to, null if it is
+    removed), by start, then kind (email, ip, card, phone, term).
     clean: name of a further column, the redacted text.
 
     A null text is the empty one and has no spans, and stays null redacted; bytes that aren't UTF-8 count
@@ -207,18 +300,18 @@ def find(df: DataFrame, keep: list[str], text: str = "text", clean: str | None =
     other columns are ignored, and a kept column named as `into` or `clean` gives way.
     """
     found = _terms_of_texts(df, text)
-    size = found.agg(F.sum(24 + F.aggregate("terms", F.lit(0), lambda n, x: n + F.octet_length(x["t"]) + 24))).first()[0] or 0
+    size = found.agg(F.sum(24 + F.aggregate("terms", F.lit(0), lambda n, x: n + F.octet_length(x["t"]) + 32))).first()[0] or 0
     whole, terms = unused(df.columns, "__whole"), unused(df.columns, "__terms")
     found = found.select(F.col("whole").alias(whole), F.col("terms").alias(terms))
-    hashed = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])], F.xxhash64(F.col(f"`{text}`").cast("string")).alias(whole))
+    hashed = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])], _whole_of(F.col(f"`{text}`").cast("string")).alias(whole))
     rows = hashed.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, whole, "left")
 
     def start():
         def one(x, terms):
             t = text_of(x)
             spans = base_spans(t)
-            more = _term_spans(t, {r["t"]: r["share"] for r in terms}, spans) if terms else []
-            spans = sorted([*[(*s, None) for s in spans], *[("term", *s) for s in more]], key=_place)
+            more = _term_spans(t, {r["t"]: (r["share"], r["safe"]) for r in terms}, spans) if terms else []
+            spans = sorted([*[(*s, None, None) for s in spans], *[("term", *s) for s in more]], key=_place)
             return (spans, None if x is None else redact(t, spans)) if clean else (spans,)
 
         return one
@@ -228,12 +321,12 @@ def find(df: DataFrame, keep: list[str], text: str = "text", clean: str | None =
 
 
 def redact(text: str, spans: list) -> str:
-    """The text with every span generalised to its kind; from REMOVE on a term is left out. Spans
-    that overlap become one, of the kind of the first."""
+    """The text with every value replaced by its kind, and every term by what it is generalised to, or
+    left out. Spans that overlap become one, treated as the first."""
     out, done = [], 0
-    for kind, start, end, share in spans:
+    for kind, start, end, _, coarse in spans:
         if start >= done:
-            out += [text[done:start], "" if kind == "term" and share >= REMOVE else f"[{kind.upper()}]"]
+            out += [text[done:start], coarse or "" if kind == "term" else f"[{kind.upper()}]"]
         done = max(done, end)
     return "".join([*out, text[done:]])
 

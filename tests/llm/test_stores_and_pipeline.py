@@ -137,7 +137,7 @@ def test_queries_return_a_row_for_each_input_row(spark, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
 def test_pipeline_against_plain_rules(spark):
     from tests.llm.test_similar_texts import plain_kept
-    from tests.llm.test_text_operators import brute_hits, plain_shares, plain_spans
+    from tests.llm.test_text_operators import brute_hits, plain_spans_and_terms
     from tokenizers import Tokenizer
 
     from pactlake.llm import bpe, pii
@@ -151,16 +151,10 @@ def test_pipeline_against_plain_rules(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     hits = brute_hits([(r["doc_id"], r["text"]) for r in rows], items)
     rows = [r for r, (_, hit, _) in zip(rows, hits, strict=True) if not hit]
-    near, shares = plain_shares([r["text"] for r in rows])
+    found = plain_spans_and_terms([r["text"] for r in rows])
     t = Tokenizer.from_file(bpe.default_tokenizer())
-    want, terms = {}, 0
-    for d, r in enumerate(rows):
-        spans = [(*s, None) for s in plain_spans(r["text"])]
-        own = {x: max(v for (e, y), v in shares.items() if y == x and d in near[e, y]) for (e, x), v in shares.items() if v >= pii.GENERALISE and d in near[e, x]}
-        found = [("term", *m.span(), own[m[0].lower()]) for m in pii._TERM.finditer(r["text"]) if m[0].lower() in own and all(m.end() <= a or m.start() >= b for _, a, b, _ in spans)]
-        terms += len(found)
-        text = pii.redact(r["text"], sorted([*spans, *found], key=lambda s: (s[1], pii.ALL_KINDS.index(s[0]))))
-        want[r["doc_id"]] = t.encode(text, add_special_tokens=False).ids
+    terms = sum(s[0] == "term" for spans in found for s in spans)
+    want = {r["doc_id"]: t.encode(pii.redact(r["text"], spans), add_special_tokens=False).ids for r, spans in zip(rows, found, strict=True)}
     got = {r["doc_id"]: list(r["ids"]) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want and 0 < len(got) < docs.count() and terms > 0
 

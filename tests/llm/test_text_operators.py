@@ -1,6 +1,7 @@
 """Encoding, decontamination, fingerprints, personal data and shards against plain versions."""
 
 import hashlib
+import functools
 import itertools
 import random
 import re
@@ -252,28 +253,76 @@ def test_base_spans():
 
 def disclosing(spark):
     rows = [(i, f"alpha{'xyzw'[i % 4] * 3} Zorblatt writes w{'abcdefgh'[i % 8] * 5} zorb@x.com nice q{'klmnop'[i % 6] * 4} and Zorblatt") for i in range(8)]
-    rows += [(100 + i, "some other text about nice things and writes " + "hello " * i) for i in range(60)]
+    rows += [(100 + i, f"some other {'zoroaster ' * (i % 3 == 0)}text about nice things and writes " + "hello " * i) for i in range(60)]
     rows += [(200 + i, "copied words around other@y.org are always these same words") for i in range(9)]
     rows += [(250, "lonely Marvolo asks marv@z.org about things Marvolo"), (251, "Marvolo again, far from any entity"), (252, "1.2.3.4 nice +1 234 567 8901 hello")]
+    rows += [(253, "seldom one@z.org seldom"), (254, "seldom one@z.org seldom")]
+    rows += [(260 + i, f"Li 王小明 X9Q77 {w} li@h.cn") for i, w in enumerate(("red", "green", "blue"))]
     return spark.createDataFrame([*rows, (None, None), (300, "")], "doc_id long, text string")
 
 
-def plain_shares(texts):
-    """Every (entity, term) near each other and the share of the entity that the term discloses."""
-    near, holds, n = {}, {}, len(texts)
+def plain_terms(text):
+    """(start, end, term): runs of letters and digits; Han by twos."""
+    han = r"[\u4e00-\u9fff]"
+    out = [m.span() for m in re.finditer(rf"(?:(?!{han})[^\W_])+|(?<!{han}){han}(?!{han})", text)]
+    out += [(m.start(), m.start() + 2) for m in re.finditer(rf"(?={han}{han})", text)]
+    return [(a, b, text[a:b].lower()) for a, b in sorted(out)]
+
+
+def plain_near(texts):
+    """Documents by (entity, term near it), and by entity."""
+    near, holds = {}, {}
     for d, t in enumerate(texts):
         spans = plain_spans(t or "")
-        words = [m for m in re.finditer(r"[^\W\d_]{4,}", t or "") if all(m.end() <= a or m.start() >= b for _, a, b in spans)]
+        words = [w for w in plain_terms(t or "") if all(w[1] <= a or w[0] >= b for _, a, b in spans)]
         for k, a, b in spans:
             e = pii.entity(k, t[a:b])
             holds.setdefault(e, set()).add(d)
-            for m in [m for m in words if m.end() <= a][-8:] + [m for m in words if m.start() >= b][:8]:
-                near.setdefault((e, m[0].lower()), set()).add(d)
-    out = {}
+            for w in [w for w in words if w[1] <= a][-pii.WINDOW :] + [w for w in words if w[0] >= b][: pii.WINDOW]:
+                near.setdefault((e, w[2]), set()).add(d)
+    return near, holds
+
+
+def plain_shares(texts):
+    """(entity, term) of SUPPORT mentions or more in different texts, documents with it, share, and the lengths of safe beginnings."""
+    near, holds = plain_near(texts)
+    n, everywhere = len(texts), {}
+    for d, t in enumerate(texts):
+        for *_, w in plain_terms(t or ""):
+            for key in {w, *(w[:k] + "*" for k in range(1, 17))}:
+                everywhere.setdefault(key, set()).add(d)
+    by_entity = {}
+    for (e, t), ds in near.items():
+        by_entity.setdefault(e, []).append((t, ds))
+    bits = lambda e, ds, key: np.log2(len(ds) * n / (len(holds[e]) * len(everywhere[key]))) / np.log2(n / len(holds[e])) if len(holds[e]) < n else 0.0
+    free = lambda x: [w[2] for w in plain_terms(x) if all(w[1] <= a or w[0] >= b for _, a, b in plain_spans(x))]
+    mentions, shares, safe = functools.cache(free), {}, {}
     for (e, t), ds in near.items():
-        n_t = sum(t in re.findall(r"[^\W\d_]{4,}", (x or "").lower()) for x in texts)
-        out[e, t] = np.log2(len(ds) * n / (len(holds[e]) * n_t)) / np.log2(n / len(holds[e]))
-    return near, out
+        if sum(mentions(x).count(t) for x in {texts[d] for d in ds}) >= pii.SUPPORT:
+            shares[e, t] = bits(e, ds, t)
+            begins = [(k, set().union(*[x for w, x in by_entity[e] if w.startswith(t[:k])])) for k in range(1, min(len(t) - 1, 16) + 1)]
+            safe[e, t] = {k for k, x in begins if bits(e, x, t[:k] + "*") < pii.DISCLOSES}
+    return near, shares, safe
+
+
+def plain_spans_and_terms(texts):
+    """All spans of every text, with share and what a term is generalised to."""
+    near, shares, safe = plain_shares(texts)
+    strong = [k for k, v in shares.items() if v >= pii.DISCLOSES]
+    out = []
+    for d, text in enumerate(texts):
+        text = text or ""
+        base, own = plain_spans(text), {}
+        spans = [(*s, None, None) for s in base]
+        for e, t in strong:
+            if d in near[e, t]:
+                own.setdefault(t, []).append((shares[e, t], safe[e, t]))
+        for a, b, w in plain_terms(text):
+            if w in own and all(b <= x or a >= y for _, x, y in base):
+                lengths = set.intersection(*[x for _, x in own[w]])
+                spans.append(("term", a, b, max(x for x, _ in own[w]), f"{w[: max(lengths)]}*" if lengths else None))
+        out.append(sorted(spans, key=lambda s: (s[1], pii.ALL_KINDS.index(s[0]), s[2])))
+    return out
 
 
 @pytest.mark.parametrize("limits", [(200_000, 32 << 20), (3, 0)])
@@ -282,22 +331,21 @@ def test_terms_equal_a_plain_count(spark, monkeypatch, limits):
     monkeypatch.setattr(pii, "BROADCAST_BYTES", limits[1])
     df = disclosing(spark)
     rows = df.collect()
-    near, shares = plain_shares([r["text"] for r in rows])
-    want = {k: v for k, v in shares.items() if v >= pii.GENERALISE}
-    got = {(r["e"], r["t"]): r["share"] for r in pii.disclosing_terms(df).collect()}
-    assert got == pytest.approx(want)
-    assert ("email:zorb@x.com", "zorblatt") in got and ("email:zorb@x.com", "nice") not in got and ("email:marv@z.org", "marvolo") not in got
+    texts = [r["text"] for r in rows]
+    _, shares, safe = plain_shares(texts)
+    want = {k: (v, sum(1 << n for n in safe[k])) for k, v in shares.items() if v >= pii.DISCLOSES}
+    got = {(r["e"], r["t"]): (r["share"], r["safe"]) for r in pii.disclosing_terms(df).collect()}
+    assert got.keys() == want.keys() and all(got[k] == (pytest.approx(want[k][0]), want[k][1]) for k in want)
+    assert ("email:zorb@x.com", "zorblatt") in got and ("email:zorb@x.com", "nice") not in got
+    # mentioned twice, and elsewhere too; mentioned twice in one text, and in a copy; mentioned once
+    assert ("email:marv@z.org", "marvolo") not in got and ("email:one@z.org", "seldom") in got and ("email:marv@z.org", "lonely") not in got
     found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.find(df, ["doc_id"]).collect()}
-    for d, r in enumerate(rows):
-        text = r["text"] or ""
-        spans = [(*s, None) for s in plain_spans(text)]
-        own = {t: max(v for (e, x), v in want.items() if x == t and d in near[e, x]) for (e, t) in want if d in near[e, t]}
-        terms = [m for m in re.finditer(r"[^\W\d_]{4,}", text) if m[0].lower() in own and all(m.end() <= a or m.start() >= b for _, a, b, _ in spans)]
-        spans += [("term", *m.span(), pytest.approx(own[m[0].lower()])) for m in terms]
-        assert found[r["doc_id"]] == sorted(spans, key=lambda s: (s[1], pii.ALL_KINDS.index(s[0])))
-    texts = {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()}
-    assert "Zorblatt" not in texts[0] and "writes" in texts[0] and "[EMAIL]" in texts[0] and texts[251] == rows[-4]["text"]
-    assert texts[None] is None and texts[300] == "" and texts[160 - 1].startswith("some other")
+    for r, spans in zip(rows, plain_spans_and_terms(texts), strict=True):
+        assert found[r["doc_id"]] == [(*s[:3], s[3] and pytest.approx(s[3]), s[4]) for s in spans]
+    clean = {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()}
+    assert "Zorblatt" not in clean[0] and "zor* writes" in clean[0] and "[EMAIL]" in clean[0] and clean[251] == "Marvolo again, far from any entity"
+    assert "Li" not in clean[260].split() and "王小" not in clean[260] and "X9Q77" not in clean[260]
+    assert clean[None] is None and clean[300] == "" and clean[159].startswith("some other")
 
 
 def test_long_logs_take_linear_time():
@@ -308,7 +356,7 @@ def test_long_logs_take_linear_time():
     began = time.perf_counter()
     spans = pii.base_spans(text)
     pii._evidence(text, spans)
-    pii._term_spans(text, {"fetched": 1.0}, spans)
+    pii._term_spans(text, {"fetched": (1.0, 0)}, spans)
     assert len(spans) == 20_000 and time.perf_counter() - began < 6
 
 
@@ -320,7 +368,7 @@ def test_spans_of_odd_rows(spark, odd, none):
 
 
 def test_redaction_joins_overlaps():
-    assert pii.redact("call +1 234 567 8901 23 now", [("phone", 5, 23, None), ("card", 6, 23, None)]) == "call [PHONE] now"
+    assert pii.redact("call +1 234 567 8901 23 now", [("phone", 5, 23, None, None), ("card", 6, 23, None, None)]) == "call [PHONE] now"
 
 
 # --- shards ----------------------------------------------------------------
