@@ -25,8 +25,10 @@ BITS, ORDERS = 15, (1, 2, 3)
 #: Bounds of the sample that the model is fitted on: texts of all languages together, but LEAST_ROWS of each
 #: however many they are; and landmarks among them, one for each language at least.
 TRAIN_ROWS, LEAST_ROWS, LANDMARKS = 6000, 20, 400
-#: The model has 128 KB a language; a column of more values than these is refused, none are left out.
-MOST_LANGUAGES = 5000
+#: The model has 128 KB a language, 131 MB at most; a column of more values than these is refused, none are left out.
+MOST_LANGUAGES = 1000
+#: Places of a block of indicators while the model is made, and numbers gathered at a time while it scores.
+PLACES, GATHERED = 4096, 1 << 22
 RIDGE, SHARPNESS, SEED = 0.01, 6.0, 42
 UNKNOWN = "und"
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -74,12 +76,22 @@ class Spectrum:
         return self.flags
 
 
-def dense(rows: list[np.ndarray]) -> np.ndarray:
-    """Indicators of unit length, a row each."""
-    out = np.zeros((len(rows), 1 << BITS), np.float32)
+def dense(rows: list[np.ndarray], low: int = 0, high: int = 1 << BITS) -> np.ndarray:
+    """Indicators of unit length, a row each, of the places from low to high."""
+    out = np.zeros((len(rows), high - low), np.float32)
     for k, places in enumerate(rows):
         if len(places):
-            out[k, places] = len(places) ** -0.5
+            out[k, places[(places >= low) & (places < high)] - low] = len(places) ** -0.5
+    return out
+
+
+def kernel(rows: list[np.ndarray], marks: list[np.ndarray]) -> np.ndarray:
+    """Of every row with every landmark, added up by blocks of places."""
+    out = np.zeros((len(rows), len(marks)))
+    for low in range(0, 1 << BITS, PLACES):
+        of = dense(marks, low, low + PLACES).astype(np.float64).T
+        for k in range(0, len(rows), 1024):
+            out[k : k + 1024] += dense(rows[k : k + 1024], low, low + PLACES) @ of
     return out
 
 
@@ -90,9 +102,15 @@ class Model:
     offset: np.ndarray
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Of a batch: the product of its sparse indicator matrix with the weights, as shares of 1."""
+        """Of a batch: the product of its sparse indicator matrix with the weights, as shares of 1. Weights are
+        gathered for GATHERED / languages places at a time."""
         counts = np.array([len(r) for r in rows])
-        sums = np.add.reduceat(self.weights[np.concatenate(rows)], np.cumsum(counts) - counts, axis=0)
+        places, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), counts)
+        sums, step = np.zeros((len(rows), len(self.languages))), max(1, GATHERED // len(self.languages))
+        for at in range(0, len(places), step):
+            own = row[at : at + step]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            sums[own[first]] += np.add.reduceat(self.weights[places[at : at + step]], first, axis=0)
         raw = SHARPNESS * (sums / np.sqrt(counts)[:, None] + self.offset)
         raw = np.exp(raw - raw.max(axis=1, keepdims=True))
         return raw / raw.sum(axis=1, keepdims=True)
@@ -111,18 +129,19 @@ def fit(rows: list[np.ndarray], languages: list[str]) -> Model | None:
         of = order[own[order] == c]
         turn[of] = np.arange(len(of))
     chosen = order[np.argsort(turn[order], kind="stable")][: max(LANDMARKS, len(names))]
-    marks = dense([rows[k] for k in chosen]).astype(np.float64)
-    values, vectors = np.linalg.eigh(marks @ marks.T)
+    marks = [rows[k] for k in chosen]
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
     whiten = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
-    project = marks.T @ whiten  # a row per place, a column per Nystrom feature
-    features = np.concatenate([dense(rows[k : k + 256]) @ project for k in range(0, len(rows), 256)])
+    features = kernel(rows, marks) @ whiten
     # each language weighs the same, its rows too
     share = 1 / np.bincount(own)[own] / len(names)
     x = np.column_stack([features, np.ones(len(rows))])
     y = np.where(own[:, None] == np.arange(len(names)), 1.0, -1.0)
     penalty = np.diag([RIDGE / len(names)] * features.shape[1] + [0.0])
     w = np.linalg.solve((x * share[:, None]).T @ x + penalty, (x * share[:, None]).T @ y)
-    return Model(names, (project @ w[:-1]).astype(np.float32), w[-1])
+    folded = whiten @ w[:-1]  # a row per landmark, a column per language
+    weights = np.concatenate([(dense(marks, low, low + PLACES).T @ folded).astype(np.float32) for low in range(0, 1 << BITS, PLACES)])
+    return Model(names, weights, w[-1])
 
 
 def train(documents: DataFrame, parts: int = 4, part: int = 2, text: str = "text", lang: str = "lang") -> Model | None:

@@ -210,6 +210,36 @@ def test_the_folded_scores_are_those_of_the_kernel():
     assert model.scores(rows).argmax(axis=1).tolist() == [0, 1, 0, 1]
 
 
+def test_the_model_is_exact_kernel_ridge_when_all_rows_are_landmarks():
+    of = langid.Spectrum()
+    rng = np.random.default_rng(3)
+    alphabets = {"aa": "abcde", "bb": "cdefg", "cc": "efghi"}
+    names = [n for n in alphabets for _ in range(15)]
+    rows = [of("".join(rng.choice(list(alphabets[n] + " "), 60)).encode()) for n in names]
+    model = langid.fit(rows, names)
+    held = [set(r.tolist()) for r in rows]
+    k = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in held] for a in held])
+    y = np.where(np.array(names)[:, None] == np.array(model.languages), 1.0, -1.0)
+    # ridge in the dual with a free constant; every row weighs 1 / (15 * 3)
+    n, ridge = len(rows), langid.RIDGE / 3 * 45
+    dual = np.linalg.solve(np.block([[k + ridge * np.eye(n), np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]]), np.vstack([y, np.zeros((1, 3))]))
+    raw = langid.SHARPNESS * (k @ dual[:-1] + dual[-1])
+    want = np.exp(raw - raw.max(1, keepdims=True))
+    assert np.allclose(model.scores(rows), want / want.sum(1, keepdims=True), atol=2e-4)
+
+
+@pytest.mark.parametrize("gathered", [1, 100, 5000])
+def test_scores_by_blocks_are_the_same(monkeypatch, gathered):
+    of = langid.Spectrum()
+    rows = [of(x.encode()) for x in ("one two three", "eins zwei drei", "a", "four five six seven", "vier")]
+    model = langid.fit(rows, ["en", "de", "en", "en", "de"])
+    want = model.scores(rows)
+    monkeypatch.setattr(langid, "GATHERED", gathered)
+    monkeypatch.setattr(langid, "PLACES", 1 << 10)
+    assert np.allclose(model.scores(rows), want, atol=1e-5)
+    assert np.allclose(langid.fit(rows, ["en", "de", "en", "en", "de"]).weights, model.weights, atol=1e-5)
+
+
 def test_texts_without_letters_and_odd_rows(spark, odd, none):
     model = langid.train(languages(spark))
     rows = langid.identify(odd, model, ["doc_id"]).collect()
