@@ -215,8 +215,11 @@ def _seen(df: DataFrame, text: str) -> DataFrame:
         def run(rows):
             for (x,) in rows:
                 if x and _MAYBE.search(x):
-                    text, whole = text_of(x), _whole(x)
+                    text = text_of(x)
                     spans = base_spans(text)
+                    if not spans:
+                        continue
+                    whole = _whole(x)
                     yield from ((whole, e, "", 0) for e in {entity(k, text[a:b]) for k, a, b in spans})
                     yield from ((whole, *pair, m) for pair, m in _evidence(text, spans).items())
 
@@ -239,8 +242,10 @@ def _disclosing(df: DataFrame, seen: DataFrame, text: str) -> DataFrame:
     pairs = materialize(pairs.join(of_entity, "e"))
     # only what is near entities, and its beginnings, is counted in the corpus
     begins = _begins(F.col("t"), F.length("t") - 1)
-    wanted = materialize(pairs.select(F.explode(F.concat(F.array("t"), begins)).alias("t")).distinct())
+    wanted = pairs.select(F.explode(F.concat(F.array("t"), begins)).alias("t")).distinct()
     size = wanted.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
+    if not size:
+        return pairs.select("e", "t", F.lit(0.0).alias("share"), F.lit(0).cast("long").alias("safe"))
     few = frozenset(r["t"] for r in wanted.toLocalIterator()) if size <= BROADCAST_BYTES else None
     counts = materialize(_count_terms(df, text, few).join(wanted, "t", "left_semi"))
     found = materialize(pairs.join(counts, "t").withColumn("share", _share("n_et", n, "n_t")).where(F.col("share") >= DISCLOSES))
