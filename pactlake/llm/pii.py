@@ -10,8 +10,9 @@ it near e, or in several different ones.
 
 A term whose share PMI / IC reaches DISCLOSES is generalised in the documents that hold e beside it: to the
 longest of its beginnings whose own share is below DISCLOSES. A beginning stands for all words of the corpus
-that begin so, n_p documents of which hold one of them anywhere and n_ep in a window of e; so what is coarse
-enough follows from the corpus. A term without such a beginning is removed.
+that begin so: n_ep documents hold one of them in a window of e, and anywhere at least as many (n_p) as hold the
+most frequent one, so that its share is never understated and what is coarse enough follows from the corpus. A
+term without such a beginning is removed.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ ALL_KINDS = (*KINDS, "term")
 WINDOW, DISCLOSES, SUPPORT = 12, 0.9, 2
 #: Characters of the longest beginning that a term is generalised to.
 LONGEST_COARSE = 16
-#: Different terms that a task counts, or remembers, before it passes them on.
+#: Different terms that a task counts before it passes them on.
 COUNTED_TERMS = 200_000
-#: Bytes of found terms, or of terms to count, that are broadcast to the texts; more are joined by a shuffle.
+#: Bytes of found terms that are broadcast to their texts; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -144,43 +145,24 @@ def _evidence(text: str, spans: list[tuple[str, int, int]]) -> dict[tuple[str, s
 
 
 def _begins(t, most):
-    """Beginnings of the term t (a column), of 1 to `most` characters and LONGEST_COARSE at most, marked as such."""
+    """Beginnings of the term t (a column), of 1 to `most` characters and LONGEST_COARSE at most."""
     most = F.least(most, F.lit(LONGEST_COARSE))
-    each = F.transform(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda k: F.concat(F.left(t, k), F.lit("*")))
+    each = F.transform(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda k: F.left(t, k))
     return F.when(most >= 1, each).otherwise(F.array().cast("array<string>"))
 
 
-def _count_terms(df: DataFrame, text: str, wanted: frozenset[str] | None) -> DataFrame:
-    """(t, n_t): documents that hold each term anywhere, or, of t with a star at its end, any term that begins
-    so. wanted: what is to be counted, if it isn't everything."""
-    shared = df.sparkSession.sparkContext.broadcast(wanted)
+def _count_terms(df: DataFrame, text: str) -> DataFrame:
+    """(t, n_t): documents that hold each term anywhere."""
 
     def start():
-        own = shared.value
-
-        def keys(run: str) -> tuple[str, ...]:
-            words = {run[a:b].lower() for a, b in terms_of(run)}
-            every = words | {f"{w[:k]}*" for w in words for k in range(1, min(len(w), LONGEST_COARSE) + 1)}
-            return tuple(every if own is None else every & own)
-
         def run(rows):
             count: Counter = Counter()
-            known: dict[str, tuple[str, ...]] = {}
-            none: set[str] = set()  # runs in which nothing is to be counted
             for (x,) in rows:
-                held: set[str] = set()
-                for r in set(_RUN.findall(text_of(x))) - none:
-                    if (found := known.get(r)) is None:
-                        found = keys(r)
-                        if found:
-                            known[r] = found
-                        else:
-                            none.add(r)
-                    held.update(found)
-                if len(known) + len(none) > COUNTED_TERMS:
-                    known.clear()
-                    none.clear()
-                count.update(held)
+                text = text_of(x)
+                if text.isascii() or not _IN_DENSE.search(text):
+                    count.update(set(map(str.lower, set(_RUN.findall(text)))))
+                else:
+                    count.update({text[a:b].lower() for a, b in terms_of(text)})
                 if len(count) > COUNTED_TERMS:
                     yield from count.items()
                     count.clear()
@@ -189,7 +171,7 @@ def _count_terms(df: DataFrame, text: str, wanted: frozenset[str] | None) -> Dat
         return run
 
     out = T.StructType().add("t", "string").add("n", "long")
-    return scan_texts(df, [text], out, start).groupBy("t").agg(F.sum("n").alias("n_t"))
+    return materialize(scan_texts(df, [text], out, start).groupBy("t").agg(F.sum("n").alias("n_t")))
 
 
 #: Two hashes of a text, as by Spark: strangers that share one don't share the other.
@@ -240,14 +222,8 @@ def _disclosing(df: DataFrame, seen: DataFrame, text: str) -> DataFrame:
     near = seen.where(F.col("t") != "")
     pairs = near.groupBy("e", "t").agg(F.sum("n").alias("n_et"), F.sum("m").alias("m")).where(F.col("m") >= SUPPORT).drop("m")
     pairs = materialize(pairs.join(of_entity, "e"))
-    # only what is near entities, and its beginnings, is counted in the corpus
+    counts = _count_terms(df, text)
     begins = _begins(F.col("t"), F.length("t") - 1)
-    wanted = pairs.select(F.explode(F.concat(F.array("t"), begins)).alias("t")).distinct()
-    size = wanted.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
-    if not size:
-        return pairs.select("e", "t", F.lit(0.0).alias("share"), F.lit(0).cast("long").alias("safe"))
-    few = frozenset(r["t"] for r in wanted.toLocalIterator()) if size <= BROADCAST_BYTES else None
-    counts = materialize(_count_terms(df, text, few).join(wanted, "t", "left_semi"))
     found = materialize(pairs.join(counts, "t").withColumn("share", _share("n_et", n, "n_t")).where(F.col("share") >= DISCLOSES))
     asked = found.select("e", "t", "n_e", F.posexplode(begins).alias("k", "p"))
     # of the entities of these terms: in how many documents words of a beginning are near
@@ -255,7 +231,9 @@ def _disclosing(df: DataFrame, seen: DataFrame, text: str) -> DataFrame:
     own = own.select("whole", "e", "n", F.explode(_begins(F.col("t"), F.length("t"))).alias("p"))
     beside = own.join(asked.select("e", "p").distinct(), ["e", "p"], "left_semi").groupBy("whole", "e", "p").agg(F.max("n").alias("n"))
     beside = beside.groupBy("e", "p").agg(F.sum("n").alias("n_ep"))
-    each = asked.join(beside, ["e", "p"]).join(counts.select(F.col("t").alias("p"), F.col("n_t").alias("n_p")), "p")
+    words = counts.select("n_t", F.explode(_begins(F.col("t"), F.length("t"))).alias("p"))
+    words = words.join(asked.select("p").distinct(), "p", "left_semi").groupBy("p").agg(F.max("n_t").alias("n_p"))
+    each = asked.join(beside, ["e", "p"]).join(words, "p")
     safe = each.where(_share("n_ep", n, "n_p") < DISCLOSES).groupBy("e", "t").agg(F.sum(F.pow(F.lit(2.0), F.col("k") + 1)).cast("long").alias("safe"))
     return found.join(safe, ["e", "t"], "left").select("e", "t", "share", F.coalesce("safe", F.lit(0).cast("long")).alias("safe"))
 

@@ -289,19 +289,22 @@ def plain_shares(texts):
     n, everywhere = len(texts), {}
     for d, t in enumerate(texts):
         for *_, w in plain_terms(t or ""):
-            for key in {w, *(w[:k] + "*" for k in range(1, 17))}:
-                everywhere.setdefault(key, set()).add(d)
+            everywhere.setdefault(w, set()).add(d)
+    most = {}
+    for w, ds in everywhere.items():
+        for k in range(1, 17):
+            most[w[:k]] = max(most.get(w[:k], 0), len(ds))
     by_entity = {}
     for (e, t), ds in near.items():
         by_entity.setdefault(e, []).append((t, ds))
-    bits = lambda e, ds, key: np.log2(len(ds) * n / (len(holds[e]) * len(everywhere[key]))) / np.log2(n / len(holds[e])) if len(holds[e]) < n else 0.0
+    bits = lambda e, ds, n_t: np.log2(len(ds) * n / (len(holds[e]) * n_t)) / np.log2(n / len(holds[e])) if len(holds[e]) < n else 0.0
     free = lambda x: [w[2] for w in plain_terms(x) if all(w[1] <= a or w[0] >= b for _, a, b in plain_spans(x))]
     mentions, shares, safe = functools.cache(free), {}, {}
     for (e, t), ds in near.items():
         if sum(mentions(x).count(t) for x in {texts[d] for d in ds}) >= pii.SUPPORT:
-            shares[e, t] = bits(e, ds, t)
+            shares[e, t] = bits(e, ds, len(everywhere[t]))
             begins = [(k, set().union(*[x for w, x in by_entity[e] if w.startswith(t[:k])])) for k in range(1, min(len(t) - 1, 16) + 1)]
-            safe[e, t] = {k for k, x in begins if bits(e, x, t[:k] + "*") < pii.DISCLOSES}
+            safe[e, t] = {k for k, x in begins if bits(e, x, most[t[:k]]) < pii.DISCLOSES}
     return near, shares, safe
 
 
