@@ -158,6 +158,61 @@ def test_hundreds_of_files_are_few_jobs(spark, tmp_path):
     assert len(reports) == 300 and sum(r.violations for r in reports) == sum(k % 7 > 5 for k in range(300)) and jobs < 40
 
 
+def _most_memory(spark, run) -> float:
+    """MB that the tasks of one stage of run() took at most, together."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: {s.stageId(): s for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList()))}
+    before = set(stages())
+    run()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    return max(s.peakExecutionMemory() for k, s in stages().items() if k not in before) / 1e6
+
+
+def test_samples_of_many_files_take_little_memory(spark, tmp_path):
+    for k in range(2):
+        spark.range(600_000).selectExpr("id % 9 AS id", "cast(id % 1000 AS string) AS s").coalesce(1).write.parquet(str(tmp_path / f"{k}"))
+    paths = [p for k in range(2) for p in spark.read.parquet(str(tmp_path / f"{k}")).inputFiles()]
+    contract = MANY.replace("max: 5", "max: 9").replace(", allowed: [a, b]", "")
+    found: list = []
+    assert _most_memory(spark, lambda: found.extend(C.check_all(spark, paths, contract)[0])) < 300
+    assert [[(s.field, s.row) for s in r.samples] for r in found] == [[("id", 9), ("id", 10), ("s", 1000), ("s", 1001)]] * 2
+
+
+def test_a_file_of_a_status_is_written_unsorted(spark):
+    from pactlake.plans.queries import QUERIES
+
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    QUERIES["many_files"](spark, "/root/testdata/sf0.001")
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    plans = [e.physicalPlanDescription() for e in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.executionsList(before, 1000))]
+    written = [p for p in plans if "InsertIntoHadoopFsRelationCommand" in p]
+    assert len(written) == 1 and "Sort" not in written[0]
+
+
+@pytest.mark.parametrize("by_file", [False, True])
+@pytest.mark.parametrize("fields", [["u"], ["u", "v", "w", "x"]])
+def test_samples_of_later_copies_in_blocks(spark, monkeypatch, by_file, fields):
+    monkeypatch.setattr(C, "BLOCK_BITS", 3)
+    # copies late and far apart, a hot key, runs of one key, copies in another file alone
+    rows = [(f"f{n // 500}", n, n if n < 400 or n % 90 else n - 300, 7.0 if n % 3 else float(n), str(n // 40), n % 500) for n in range(1000)]
+    frame = spark.createDataFrame(rows, f"{FILE} string, {ROW} long, u long, v double, w string, x long").repartition(5)
+    kinds = {"u": "integer", "v": "float", "w": "string", "x": "integer"}
+    compiled = R.compile_columns(Model({n: Field(kinds[n], unique=True) for n in fields}), frame.select("u", "v", "w", "x").schema)
+    got = {(fields[r["k"] - len(compiled.rules)], r["row"], r["file"], r["text"]) for r in C.sample_rows(frame, compiled, set(), set(fields), 4, by_file).collect()}
+    want = set()
+    for n in fields:
+        seen: set = set()
+        taken: dict = {}
+        for r in rows:
+            value, file = r[2 + "uvwx".index(n)], r[0] if by_file else None
+            if (file, value) in seen and taken.setdefault(file, 0) < 4:
+                taken[file] += 1
+                want.add((n, r[1], r[0], str(value)))
+            seen.add((file, value))
+    assert got == want and {n for n, *_ in got} == set(fields) - ({"x"} if by_file else set())
+
+
 def test_sets_of_values_from_tables(spark, tmp_path):
     df = spark.range(0, 5000, 1, 4).select((F.col("id") % 1000).alias("a"), F.when(F.col("id") % 3 == 0, F.lit("x")).when(F.col("id") % 3 == 1, F.lit("y")).alias("b"))
     contract = parse("contract: 1\nid: t\nversion: 1.0.0\nmodels: {t: {fields: {a: {type: integer}, b: {type: string}, c: {type: string}}}}\npolicy: {sample_violations: 3}")
