@@ -5,6 +5,7 @@ Each query goes through the library's own operators over whole tables.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -696,6 +697,10 @@ def ragged_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("field", F.coalesce("field", F.lit("")))
 
 
+#: Rows that a task sorts for a file, so that files get more, not larger.
+SORTED_ROWS = 1_000_000
+
+
 @query("""WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row, o_totalprice, o_custkey FROM orders),
  b AS (SELECT 'o_totalprice' AS field, 'min' AS rule, row FROM o WHERE o_totalprice < 2000
   UNION ALL SELECT 'o_custkey', 'unique', row FROM (SELECT row, row_number() OVER (PARTITION BY o_custkey ORDER BY row) AS k FROM o) WHERE k > 1)
@@ -703,7 +708,9 @@ def ragged_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def samples_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten violations of each rule, later copies too, over several Parquet files whose rows are numbered as one."""
     folder = _own_folder(spark, "parquet")
-    _table(spark, sf_dir, "orders").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(folder)
+    orders = _table(spark, sf_dir, "orders")
+    files = max(4, math.ceil(orders.count() / SORTED_ROWS))
+    orders.repartitionByRange(files, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(folder)
     m = _model(o_totalprice={"type": "float", "min": 2000}, o_custkey={"type": "integer", "unique": True})
     frame, compiled = C.bind(m, read(spark, folder, rows=True))
     hit = {k for k, r in enumerate(compiled.rules) if r.rule == "min"}

@@ -190,6 +190,18 @@ def test_a_file_of_a_status_is_written_unsorted(spark):
     assert len(written) == 1 and "Sort" not in written[0]
 
 
+def test_larger_tables_are_sorted_into_more_files(spark, tmp_path, monkeypatch):
+    from pactlake.plans import queries as Q
+
+    got = {}
+    for rows in (1_000_000, 100):
+        monkeypatch.setattr(Q, "SORTED_ROWS", rows, raising=False)
+        monkeypatch.setattr(Q, "_own_folder", lambda s, kind, at=tmp_path / str(rows): f"{at}.{kind}")
+        got[rows] = sorted(map(tuple, Q.samples_over_files(spark, "/root/testdata/sf0.001").collect()))
+    files = {n: len(list((tmp_path / f"{n}.parquet").glob("*.parquet"))) for n in got}
+    assert got[100] == got[1_000_000] and files[1_000_000] == 4 and files[100] == 15
+
+
 @pytest.mark.parametrize("by_file", [False, True])
 @pytest.mark.parametrize("fields", [["u"], ["u", "v", "w", "x"]])
 def test_samples_of_later_copies_in_blocks(spark, monkeypatch, by_file, fields):
