@@ -9,6 +9,9 @@ a logistic curve fitted on margins of folds that the model didn't see.
 from __future__ import annotations
 
 import itertools
+import mmap
+import tempfile
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +27,8 @@ REPEATS = (1, 2, 3, 4)
 SIZE = (1 << BITS) + len(REPEATS)
 #: Labelled rows of each class that the model is fitted on, the first by a hash of their doc_id.
 TRAIN_ROWS = 4000
+#: Parts in which the sample comes to the driver, one after the other: 16 MB each as a rule at most.
+PARTS = 16
 SMOOTHING, COST, EPOCHS, FOLDS, SEED = 1.0, 1.0, 12, 3, 42
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
@@ -68,20 +73,38 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, offset=1), count=SIZE))
 
 
+class Spool:
+    """Byte strings in a temporary file of this process: memory only as long as the system has it to spare."""
+
+    def __init__(self, rows: Iterable[bytes]):
+        self.ends = [0]
+        with tempfile.TemporaryFile() as file:
+            for row in rows:
+                self.ends.append(self.ends[-1] + file.write(row))
+            file.flush()
+            self.bytes = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) if self.ends[-1] else b""
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, k: int) -> bytes:
+        return self.bytes[self.ends[k] : self.ends[k + 1]]
+
+
 class Packed:
-    """Sets of places, kept packed and unpacked one at a time."""
+    """Sets of places, kept packed and unpacked one at a time. at: which of the rows, each as often as it is named; all by default."""
 
-    def __init__(self, rows: list[bytes]):
-        self.rows = rows
+    def __init__(self, rows: Sequence[bytes] | Spool, at: np.ndarray | None = None):
+        self.rows, self.at = rows, np.arange(len(rows)) if at is None else at
 
     def __len__(self) -> int:
-        return len(self.rows)
+        return len(self.at)
 
     def __getitem__(self, k: int) -> np.ndarray:
-        return unpack(self.rows[k])
+        return unpack(self.rows[self.at[k]])
 
     def take(self, at: np.ndarray) -> Packed:
-        return Packed([self.rows[k] for k in at.tolist()])
+        return Packed(self.rows, self.at[at])
 
 
 def log_count_ratio(rows: Packed | list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -194,13 +217,34 @@ def indicators(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     return map_texts(df, text, keep, T.StructType().add("places", "binary"), start)
 
 
+def sample(sets: DataFrame, most: int) -> tuple[Packed, np.ndarray]:
+    """The first `most` rows (places, y) by a hash of the places, in this order: equal ones as one row and
+    their number, a part at a time from the executors into a file, never all of them in the driver's memory."""
+    hashed = F.xxhash64("places")
+    each = sets.groupBy("places", "y").agg(F.count(F.lit(1)).alias("n"))
+    parts = each.repartitionByRange(PARTS, hashed).sortWithinPartitions(hashed, "places", "y")
+    y: list[int] = []
+    at: list[int] = []
+
+    def read():
+        for k, r in enumerate(parts.toLocalIterator()):
+            n = min(r["n"], most - len(y))
+            y.extend([r["y"]] * n)
+            at.extend([k] * n)
+            yield r["places"]
+            if len(y) == most:
+                break
+
+    rows = Spool(read())
+    return Packed(rows, np.array(at, np.int64)), np.array(y, np.int64)
+
+
 def train(documents: DataFrame, labels: DataFrame, column: str = "quality", parts: int = 3, part: int = 1, text: str = "text") -> Model | float:
     """The model of labelled documents outside the held-out part: at most 2 * TRAIN_ROWS of them, of
-    whole texts, of which only the places of their n-grams come to the driver (32 KB each at most)."""
+    whole texts, of which only the places of their n-grams come to the driver (32 KB each at most), into a file."""
     ids, totals = labelled(labels, column, parts, part)
     own = documents.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(ids), "doc_id")
-    few = indicators(own, ["y"], "text").orderBy(F.xxhash64("places"), "places", "y").limit(2 * TRAIN_ROWS).collect()
-    return fit(Packed([bytes(r["places"]) for r in few]), np.array([r["y"] for r in few], np.int64), totals)
+    return fit(*sample(indicators(own, ["y"], "text"), 2 * TRAIN_ROWS), totals)
 
 
 def score(df: DataFrame, model: Model | float, keep: list[str], text: str = "text", into: str = "score") -> DataFrame:

@@ -2,9 +2,11 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pactlake.llm import langid, quality, toxicity
 
@@ -72,6 +74,33 @@ def test_places_are_packed_without_loss():
         assert (quality.unpack(quality.pack(places)) == places).all() and len(quality.pack(places)) <= quality.SIZE // 8 + 2
 
 
+def test_the_sample_is_the_first_rows_by_their_hash(spark):
+    rows = [(quality.pack(np.array([k % 7, 9])), k % 2) for k in range(40)] + [(quality.pack(np.array([], np.int64)), 1)]
+    sets = spark.createDataFrame(rows, "places binary, y int")
+    plain = [(quality.unpack(bytes(r["places"])).tolist(), r["y"]) for r in sets.orderBy(F.xxhash64("places"), "places", "y").collect()]
+    for most in (1, 2, 17, 41, 100):
+        places, y = quality.sample(sets, most)
+        assert [(places[k].tolist(), c) for k, c in enumerate(y.tolist())] == plain[:most] and len(places) == len(y)
+    places, y = quality.sample(sets, 41)
+    assert [x.tolist() for x in map(places.take(np.array([40, 3])).__getitem__, range(2))] == [plain[40][0], plain[3][0]]
+    assert [len(x) for x in quality.sample(sets.limit(0), 5)] == [0, 0]
+
+
+def test_the_driver_never_holds_the_whole_sample(spark, monkeypatch):
+    texts = F.expr("concat_ws('', transform(sequence(0, 149), k -> sha2(concat_ws(' ', doc_id, k), 256)))")
+    docs = spark.range(900).withColumnRenamed("id", "doc_id").withColumn("text", texts)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    monkeypatch.setattr(quality, "fit", lambda rows, y, totals: rows)
+    tracemalloc.start()
+    try:
+        rows = quality.train(docs, labels)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    whole = sum(len(quality.pack(rows[k])) for k in range(len(rows)))
+    assert len(rows) > 500 and whole > 16e6 and most < whole / 2
+
+
 def test_labels_of_one_class_or_none(spark, odd, none):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     one = spark.createDataFrame([(k, 1, 1) for k in range(9)] + [(None, 0, 0), (5, None, None), (6, 7, 7)], "doc_id long, quality int, toxic int")
